@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.scalars import css_escape, js_trim, nullif, ordered_text, squash
+from gleanery.functions.scalars import js_trim, nullif, ordered_text, squash, truncated
 from gleanery.operators.selectors import KEY
 from gleanery.sources.nodes import documents, elements
 
@@ -198,8 +198,6 @@ def relevant_html(
     pages without a match use the container element, else the body.
     ``found`` must carry ``parent``.
     """
-    from gleanery.functions.scalars import truncated
-
     spans = elements(nodes).select("page_id", "pre", *HTML_SPAN, "tag")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
     first = found.select("page_id", "pre", "parent").withColumn("rank", rank).filter(F.col("rank") <= cap)
@@ -215,13 +213,3 @@ def relevant_html(
     return pieces.join(pages.select("page_id", "html"), "page_id").select(
         "page_id", truncated(text, limit, "<!-- HTML truncated for size limits -->").alias("html")
     )
-
-
-def generated_part() -> Column:
-    """One step of a generated selector: tag, classes, position among same-tag siblings.
-
-    The position is written as ``:nth-of-type``, which is what is counted.
-    """
-    names = F.array_join(F.transform("classes", lambda c: F.concat(F.lit("."), css_escape(c))), "")
-    nth = F.when(F.col("type_cnt") > 1, F.format_string(":nth-of-type(%d)", "type_pos")).otherwise(F.lit(""))
-    return F.concat("tag", names, nth)

@@ -35,10 +35,11 @@ class Step:
     tests: list[Column] = field(default_factory=list)
 
     def test(self) -> Column:
-        out = F.lit(True)
-        for t in self.tests:
+        """Plain conjunction, so that a filter on it reaches the parquet scan."""
+        out = self.tests[0]
+        for t in self.tests[1:]:
             out = out & t
-        return F.coalesce(out, F.lit(False))
+        return out
 
 
 _IDENT = r"(?:\\[0-9a-fA-F]{1,6}\s?|\\.|[\w-]|[^\x00-\x7f])+"
@@ -228,11 +229,11 @@ def _descend(els: DataFrame, cur: DataFrame | None, run: list[Step], wide: tuple
     any_test = tests[0]
     for t in tests[1:]:
         any_test = any_test | t
-    rows = els.filter(any_test).select(*_columns(wide), *[t.alias(f"_f{k}") for k, t in enumerate(tests)])
+    if cur is None and len(run) == 1:
+        return els.filter(any_test).select(*_columns(wide))
+    rows = els.filter(any_test).select(*_columns(wide), *[F.coalesce(t, F.lit(False)).alias(f"_f{k}") for k, t in enumerate(tests)])
     if cur is None:
         matched, first = F.col("_f0"), 1
-        if len(run) == 1:
-            return rows.filter("_f0").drop("_f0")
     else:
         # earlier matches join the window as extra rows; at equal pre the
         # element itself sorts first, so it is never its own ancestor

@@ -69,6 +69,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "gleanery", app, f"{name}-{os.urandom(6).hex()}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(spark: SparkSession, key: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``build()`` once per application and read it back as a table.
 
