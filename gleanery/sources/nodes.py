@@ -10,7 +10,8 @@ offsets into three page-level strings, which are stored once per page on the
 
 so the text or HTML of any element is one ``substring``: no ordered
 aggregation, and no text is copied once per ancestor. ``anc`` lists the
-``pre`` numbers of all ancestors, which turns containment into an equi join.
+``pre`` numbers of all ancestors, which turns containment into an equi join;
+``path`` is the tag path, a handful of distinct values per site.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from gleanery.session import spread, table
 NODE_SCHEMA = (
     "page_id LONG, pre INT, last INT, parent INT, depth INT, kind STRING, tag STRING, id STRING, "
     "classes ARRAY<STRING>, attrs MAP<STRING,STRING>, sib_pos INT, sib_cnt INT, type_pos INT, type_cnt INT, "
-    "anc ARRAY<INT>, hidden BOOLEAN, faded BOOLEAN, text STRING, vtext STRING, "
+    "anc ARRAY<INT>, path STRING, hidden BOOLEAN, faded BOOLEAN, text STRING, vtext STRING, "
     "t0 INT, t1 INT, v0 INT, v1 INT, o0 INT, i0 INT, i1 INT, o1 INT"
 )
 _ARROW = pa.schema(
@@ -40,6 +41,7 @@ _ARROW = pa.schema(
         ("attrs", pa.map_(pa.string(), pa.string())),
         *[(n, pa.int32()) for n in ("sib_pos", "sib_cnt", "type_pos", "type_cnt")],
         ("anc", pa.list_(pa.int32())),
+        ("path", pa.string()),
         ("hidden", pa.bool_()),
         ("faded", pa.bool_()),
         ("text", pa.string()),
@@ -80,7 +82,7 @@ _FADED = re.compile(r"opacity\s*:\s*0*\.?0+\s*(?:;|!|$)", re.I)
 
 class _Node:
     __slots__ = (
-        "pre last parent depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc hidden faded "
+        "pre last parent depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc path hidden faded "
         "text t0 t1 v0 v1 o0 i0 i1 o1 kids"
     ).split()
 
@@ -91,6 +93,7 @@ class _Node:
         up = parent
         self.depth = up.depth + 1 if up else 0
         self.anc = up.anc + [up.pre] if up else []
+        self.path = (up.path + "/" + tag if up else "") if kind != "text" and kind != "comment" else None
         self.hidden, self.faded = (up.hidden, up.faded) if up else (False, False)
 
 
@@ -240,7 +243,7 @@ def _rows(page_id: int, html: str, out: dict[str, list]) -> None:
         out["classes"].append(attrs["class"].split() if "class" in attrs else [])
         out["vtext"].append(vtext if n is root else None)
         for f in (
-            "pre last depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc hidden faded text "
+            "pre last depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc path hidden faded text "
             "t0 t1 v0 v1 o0 i0 i1 o1"
         ).split():
             out[f].append(getattr(n, f))
