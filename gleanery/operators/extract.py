@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.transforms import apply_transform
 from gleanery.operators.dom import attr, with_text
-from gleanery.operators.selectors import css_then_xpath, select_or_empty, within
+from gleanery.operators.selectors import css_then_xpath, select_many, within
 from gleanery.sources.nodes import elements
 
 RECORD_CAP = 100  # fixed values: records per page, in full and sample runs
@@ -39,30 +39,28 @@ def containers(nodes: DataFrame, css: str | None, xpath: str | None = None, cap:
     return ranked.withColumnRenamed("pre", "rec_pre")
 
 
-def _field_values(nodes: DataFrame, recs: DataFrame, f: Field) -> DataFrame:
-    """(page_id, rec_pre, attrs, t0, t1) of the element the field reads in each record."""
-    if f.selector is None:
-        return recs.select(*REC, "attrs", "t0", "t1")
-    hits = select_or_empty(nodes, f.selector, "anc", "attrs", "t0", "t1")
-    pairs = within(hits, recs.select("page_id", F.col("rec_pre").alias("pre"))).withColumnRenamed("ctx_pre", "rec_pre")
-    best = pairs.groupBy(*REC).agg(F.min_by(F.struct("attrs", "t0", "t1"), "pre").alias("_e"))
-    return best.select(*REC, "_e.*")
-
-
 def extract_records(nodes: DataFrame, recs: DataFrame, fields: list[Field], page_urls: DataFrame | None = None) -> DataFrame:
     """One row per container, one column per field (D1); a miss is NULL.
 
-    All fields are read in one long table, then folded by conditional
-    aggregates over known names: no pivot job, one shuffle on the record.
+    All fields go through one long table: one containment join, one
+    first-match aggregate and one fold over known names, however many fields
+    there are. Containment joins on the ancestor list, so it is linear.
     """
-    longs = None
-    for f in fields:
-        vals = _field_values(nodes, recs, f)
-        raw = attr(f.attribute) if f.attribute else F.lit(None).cast("string")
-        vals = vals.select(*REC, F.lit(f.name).alias("field"), raw.alias("attr_value"), F.lit(f.attribute is None).alias("by_text"), "t0", "t1")
-        longs = vals if longs is None else longs.unionByName(vals)
-    longs = with_text(longs, nodes).withColumn("value", F.when(F.col("by_text"), F.col("value")).otherwise(F.col("attr_value")))
-    wide = longs.groupBy(*REC).agg(*[F.max(F.when(F.col("field") == f.name, F.col("value"))).alias(f.name) for f in fields])
+    span = ("attrs", "t0", "t1")
+    hits = select_many(nodes, {f.name: f.selector for f in fields if f.selector}, "anc", *span)
+    pairs = within(hits, recs.select("page_id", F.col("rec_pre").alias("pre"))).withColumnRenamed("ctx_pre", "rec_pre")
+    longs = pairs.groupBy(*REC, "label").agg(F.min_by(F.struct(*span), "pre").alias("_e")).select(*REC, "label", "_e.*")
+    own = [f.name for f in fields if not f.selector]
+    if own:
+        here = recs.select(*REC, F.explode(F.array(*[F.lit(n) for n in own])).alias("label"), *span)
+        longs = longs.unionByName(here)
+    longs = with_text(longs, nodes)
+    wide = longs.groupBy(*REC).agg(
+        *[
+            F.max(F.when(F.col("label") == f.name, attr(f.attribute) if f.attribute else F.col("value"))).alias(f.name)
+            for f in fields
+        ]
+    )
     out = recs.select(*REC, "rec_no").join(wide, REC, "left")
     if page_urls is not None:
         out = out.join(page_urls.select("page_id", F.col("url").alias("_url")), "page_id")

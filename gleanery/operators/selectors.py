@@ -308,6 +308,35 @@ def select_or_empty(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
     return nodes.filter(F.lit(False)).select(*dict.fromkeys((*KEY, *cols)))
 
 
+def select_many(nodes: DataFrame, selectors: dict[str, str], *cols: str) -> DataFrame:
+    """Matches of several labelled selectors as (label, page_id, pre, cols).
+
+    All one-step selectors share a single scan; each longer one adds a branch.
+    Unusable selectors match nothing.
+    """
+    simple, out = {}, None
+    for label, sel in selectors.items():
+        if not is_valid(sel):
+            continue
+        chains = [xpath_steps(sel)[0]] if selector_kind(sel) == "xpath" else css_steps(sel)
+        if all(len(c) == 1 for c in chains) and not (selector_kind(sel) == "xpath" and xpath_steps(sel)[1]):
+            test = chains[0][0].test()
+            for c in chains[1:]:
+                test = test | c[0].test()
+            simple[label] = test
+        else:
+            rows = select(nodes, sel, *cols).select(F.lit(label).alias("label"), *KEY, *cols)
+            out = rows if out is None else out.unionByName(rows)
+    if simple or out is None:
+        any_test = F.lit(False)
+        for t in simple.values():
+            any_test = any_test | t
+        labels = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in simple.items()])).cast("array<string>")
+        rows = elements(nodes).filter(any_test).select(F.explode(labels).alias("label"), *KEY, *cols)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def within(matches: DataFrame, contexts: DataFrame, *ctx_cols: str) -> DataFrame:
     """Pair each match with every context element around it.
 
@@ -328,18 +357,13 @@ def first_per_page(matches: DataFrame) -> DataFrame:
 def match_counts(pages: DataFrame, nodes: DataFrame, selectors: list[str]) -> DataFrame:
     """(page_id, selector, n, valid) for every page and selector, zeros included.
 
-    Selectors are plan-level text known on the driver; each adds one branch
-    over the staged node table.
+    Selectors are plan-level text known on the driver, so the grid of pages
+    and selectors is an explode.
     """
-    good = [s for s in selectors if is_valid(s)]
-    counts = None
-    for s in good:
-        c = select(nodes, s).groupBy("page_id").agg(F.count("*").alias("n")).withColumn("selector", F.lit(s))
-        counts = c if counts is None else counts.unionByName(c)
+    found = select_many(nodes, {s: s for s in selectors}).groupBy("page_id", F.col("label").alias("selector"))
+    counts = found.agg(F.count("*").alias("n"))
     grid = pages.select("page_id", F.explode(F.array(*[F.lit(s) for s in selectors])).alias("selector"))
-    valid = F.col("selector").isin(good)
-    if counts is None:
-        return grid.select("page_id", "selector", F.lit(0).cast("long").alias("n"), valid.alias("valid"))
+    valid = F.col("selector").isin([s for s in selectors if is_valid(s)])
     return grid.join(counts, ["page_id", "selector"], "left").select(
         "page_id", "selector", F.coalesce("n", F.lit(0)).alias("n"), valid.alias("valid")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.scalars import (
     is_http_url, iso_utc, parse_date, prefix_number, resolve_url, squash, url_host, word_boolean,
 )
+from gleanery.session import written
 
 KEY = ["page_id", "dp_id"]
 
@@ -76,36 +77,44 @@ def clean_items(rows: DataFrame) -> DataFrame:
     failed), typed columns ``num``, ``bool``, ``ts`` and the issue ``code``.
     """
     t, v, j = F.col("type"), F.col("value"), F.col("json_type")
-    text = F.when(j == "string", squash(v)).otherwise(v)
-    is_str, is_num = j == "string", j == "number"
-    num = F.when(t == "number", F.when(is_str, prefix_number(text)).when(is_num, v.try_cast("double")))
-    boolean = F.when(t == "boolean", word_boolean(text))
-    url_type = t.isin("url", "image_url")
-    kept = url_type & is_str & is_http_url(text)
-    resolved = F.when(url_type & is_str & ~is_http_url(text) & F.col("url").isNotNull(), resolve_url(text, F.col("url")))
-    url_ok = kept | (resolved.isNotNull() & is_http_url(resolved))
-    ts = F.when(t == "date", F.when(is_num, F.timestamp_millis(v.try_cast("double").cast("long"))).otherwise(parse_date(text)))
-    code = F.when(v.isNull() | (j == "null"), F.lit(None)).otherwise(
-        F.when((t == "number") & num.isNull(), F.when(is_str, F.lit("number_unparsed")).otherwise(F.lit("number_type")))
-        .when((t == "boolean") & boolean.isNull(), F.lit("boolean_type"))
+    text, url, resolved = F.col("_text"), F.col("url"), F.col("_resolved")
+    is_str, is_num, is_url = j == "string", j == "number", t.isin("url", "image_url")
+    missing = v.isNull() | (j == "null")
+    # separate projections: each costly expression is computed once
+    rows = rows.withColumn("_text", F.when(is_str, squash(v)).otherwise(v))
+    rows = rows.withColumn("_kept", is_url & is_str & is_http_url(text))
+    rows = rows.withColumn("_resolved", F.when(is_url & is_str & ~F.col("_kept") & url.isNotNull(), resolve_url(text, url)))
+    rows = rows.withColumns(
+        {
+            "num": F.when(t == "number", F.when(is_str, prefix_number(text)).when(is_num, v.try_cast("double"))),
+            "bool": F.when(t == "boolean", word_boolean(text)),
+            "ts": F.when(
+                t == "date", F.when(is_num, F.timestamp_millis(v.try_cast("double").cast("long"))).otherwise(parse_date(text))
+            ),
+            "_ok": F.col("_kept") | (is_url & resolved.isNotNull() & is_http_url(resolved)),
+        }
+    )
+    code = F.when(missing, F.lit(None)).otherwise(
+        F.when((t == "number") & F.col("num").isNull(), F.when(is_str, F.lit("number_unparsed")).otherwise(F.lit("number_type")))
+        .when((t == "boolean") & F.col("bool").isNull(), F.lit("boolean_type"))
         .when(
-            url_type & ~url_ok,
-            F.when(~is_str | F.col("url").isNull(), F.lit("url_type"))
+            is_url & ~F.col("_ok"),
+            F.when(~is_str | url.isNull(), F.lit("url_type"))
             .when(resolved.isNull(), F.lit("url_unresolved"))
             .otherwise(F.lit("url_invalid")),
         )
-        .when((t == "date") & ts.isNull(), F.lit("date_unparsed"))
+        .when((t == "date") & F.col("ts").isNull(), F.lit("date_unparsed"))
         .when(~t.isin("number", "boolean", "url", "image_url", "date") & ~is_str, F.lit("string_type"))
     )
-    clean = F.when(v.isNull() | (j == "null"), F.lit(None)).otherwise(
+    clean = F.when(missing, F.lit(None)).otherwise(
         F.coalesce(
-            F.when(t == "boolean", boolean.cast("string")),
-            F.when(url_type, F.when(kept, text).when(url_ok, resolved)),
-            F.when(t == "date", iso_utc(ts)),
+            F.col("bool").cast("string"),
+            F.when(F.col("_ok"), F.coalesce(resolved, text)),
+            iso_utc(F.col("ts")),
             text,
         )
     )
-    return rows.withColumns({"num": num, "bool": boolean, "ts": ts, "code": code, "clean": clean})
+    return rows.withColumns({"code": code, "clean": clean}).drop("_text", "_kept", "_resolved", "_ok")
 
 
 def shaped(raw: DataFrame, pages: DataFrame, plan: list[DataPoint]) -> DataFrame:
@@ -131,7 +140,8 @@ def validate(raw: DataFrame, pages: DataFrame, plan: list[DataPoint]) -> tuple[D
     is pre-aggregated before it is shuffled.
     """
     n_raw = raw.filter(F.col("raw_kind") == "list").groupBy(*KEY).agg(F.count("pos").alias("n_raw"))
-    items = clean_items(shaped(raw, pages, plan))
+    # read three times below: coerce once
+    items = written(clean_items(shaped(raw, pages, plan)), "items")
     values = items.filter(~F.col("is_list") | F.col("clean").isNotNull()).select(
         *KEY, "type", "is_list", F.coalesce("pos", F.lit(0)).alias("pos"), "clean", "num", "bool", "ts", "code"
     )
