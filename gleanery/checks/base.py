@@ -78,8 +78,8 @@ def sql_plain(x: str) -> str:
 
 def sql_encode(x: str) -> str:
     return (
-        f"list_aggregate(list_transform(string_split({x}, ''), ch -> CASE WHEN regexp_matches(ch, '[^!-~]|[\"<>`{{}}]') "
-        f"THEN url_encode(ch) ELSE ch END), 'string_agg', '')"
+        f"array_to_string([CASE WHEN regexp_matches(ch, '[^!-~]|[\"<>`{{}}]') THEN url_encode(ch) ELSE ch END "
+        f"FOR ch IN string_split({x}, '')], '')"
     )
 
 
