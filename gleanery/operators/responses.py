@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.scalars import first_match, js_trim, nullif
 from gleanery.functions.transforms import type_setting
@@ -82,7 +83,7 @@ def plan_strategy(text: Column) -> Column:
     return js_trim(F.regexp_replace(_section(text, STRATEGY, CHALLENGES), r"\n\s*-\s*\z", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json(candidates: pd.Series) -> pd.Series:
     """The first candidate that is one complete JSON value; NaN and Infinity are not JSON."""
 
