@@ -78,12 +78,13 @@ def plan_rows(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> list:
 
 def proposals(selectors: DataFrame, strategies: tuple[Strategy, ...] = RULES) -> DataFrame:
     """selectors(dp_id, selector) -> (dp_id, failed, strategy, strategy_rank, alt_rank, selector)."""
-    out = None
+    shape = "dp_id string, failed string, alt_rank int, selector string, strategy string, strategy_rank int"
+    out = selectors.sparkSession.createDataFrame([], shape)
     for rank, s in enumerate(strategies):
         got = selectors.select("dp_id", F.col("selector").alias("failed"), F.posexplode(s.propose(F.col("selector"))).alias("alt_rank", "selector"))
         got = got.filter((F.col("selector") != "") & (F.col("selector") != F.col("failed")))
         got = got.withColumns({"strategy": F.lit(s.name), "strategy_rank": F.lit(rank)})
-        out = got if out is None else out.unionByName(got)
+        out = out.unionByName(got)
     return out
 
 
