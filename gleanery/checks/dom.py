@@ -26,7 +26,7 @@ def pos_of(df):
 @query("nav_links", f"WITH {SQL_LINKS} SELECT page_id, pos, txt AS link_text, href, {sql_encode(SQL_ORIGIN + ' || href')} AS abs_url FROM links")
 def nav_links(spark, sf):
     ns = nodes(spark, sf)
-    links = dom.with_text(sel.select_css(ns, "nav ul li a", "attrs", "t0", "t1"), ns)
+    links = dom.with_text(sel.select_css(ns, "nav ul li a", "attrs", "text"), ns)
     links = pos_of(links).join(pages(spark, sf).select("page_id", "url"), "page_id")
     href = dom.attr("href")
     return links.select(
@@ -145,7 +145,7 @@ def css_then_xpath(spark, sf):
 )
 def element_text(spark, sf):
     ns = nodes(spark, sf)
-    both = dom.with_text(sel.select_css(ns, "title, h1", "tag", "t0", "t1"), ns)
+    both = dom.with_text(sel.select_css(ns, "title, h1", "tag", "text"), ns)
     return both.groupBy("page_id").agg(*[F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t) for t in ("title", "h1")])
 
 
@@ -155,7 +155,7 @@ SQL_BODY = "regexp_extract(html, '(?s)<body>(.*)', 1)"
 @query("visible_text", f"SELECT page_id, {sql_plain(SQL_BODY)} AS visible FROM pages")
 def visible_text(spark, sf):
     ns = nodes(spark, sf)
-    return dom.with_visible_text(sel.select_css(ns, "body", "v0", "v1"), ns).select("page_id", "visible")
+    return dom.with_visible_text(sel.select_css(ns, "body", "vtext"), ns).select("page_id", "visible")
 
 
 @query(
@@ -165,7 +165,7 @@ def visible_text(spark, sf):
 )
 def text_prefer_visible(spark, sf):
     ns = nodes(spark, sf)
-    found = sel.select_css(ns, "style, footer, br", "tag", "t0", "t1", "v0", "v1")
+    found = sel.select_css(ns, "style, footer, br", "tag", "text", "vtext")
     return dom.with_best_text(found, ns).select("page_id", "tag", "value").distinct()
 
 

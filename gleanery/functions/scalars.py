@@ -15,8 +15,16 @@ WS = r"\t\n\x0B\f\r    -     　﻿"
 TRUE_WORDS = ("true", "yes", "1", "on")
 FALSE_WORDS = ("false", "no", "0", "off")
 
-# Date layouts accepted besides ISO-8601.
-DATE_FORMATS = ("MM/dd/yyyy", "M/d/yyyy", "yyyy/MM/dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
+# Date layouts accepted besides ISO-8601, each with the shape of its texts.
+# The shape is tested first, so only the one layout that can fit is ever tried.
+DATE_FORMATS = {
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}\z",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}\z",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}\z",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,9} \d{1,2}, \d{4}\z",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}\z",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,9} \d{4}\z",
+}
 
 _NUMBER = r"^-?(\d+\.?\d*|\.\d+)\z"
 _FLOAT_PREFIX = r"^[+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
@@ -130,8 +138,10 @@ def resolve_url(ref: Column, base: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """TIMESTAMP from the accepted layouts; a date alone means midnight UTC."""
     text = js_trim(c)
-    iso = F.when(text.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2})?)?([T ].*)?\z"), F.try_to_timestamp(text))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    out = F.when(text.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2})?)?([T ].*)?\z"), F.try_to_timestamp(text))
+    for layout, shape in DATE_FORMATS.items():
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
+    return out
 
 
 def iso_utc(ts: Column) -> Column:

@@ -85,9 +85,9 @@ def pagination_series(pages: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
 
 def next_page_links(pages: DataFrame, nodes: DataFrame, selector: str | None = None) -> DataFrame:
     """The first next-page link of each page, absolute (M5): by selector, else by link text."""
-    links = select_css(nodes, "a[href]", "attrs", "t0", "t1")
+    links = select_css(nodes, "a[href]", "attrs", "text")
     if selector:
-        chosen = select_css(nodes, selector, "attrs", "t0", "t1")
+        chosen = select_css(nodes, selector, "attrs", "text")
     else:
         from gleanery.operators.dom import with_text
 

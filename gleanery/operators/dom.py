@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import js_trim, nullif, ordered_text, squash, truncated
 from gleanery.operators.selectors import KEY
-from gleanery.sources.nodes import documents, elements
+from gleanery.sources.nodes import elements, text_nodes
 
-TEXT_SPAN = ("t0", "t1")
-SEEN_SPAN = ("v0", "v1")
 HTML_SPAN = ("o0", "i0", "i1", "o1")
 # Attributes kept in the compact page text, and elements left out of it.
 CONTEXT_ATTRS = ("id", "class", "href", "src", "alt", "title")
@@ -19,31 +17,42 @@ NOISE_TAGS = ("script", "style", "noscript", "template", "nav", "footer", "heade
 NOISE_CLASSES = ("ad", "ads", "advert", "advertisement", "sponsored", "cookie", "popup")
 
 
-def _cut(text: str, a: str, b: str) -> Column:
-    return F.substring(F.col(text), F.col(a) + 1, F.col(b) - F.col(a))
+def _long_text(keys: DataFrame, nodes: DataFrame, source: str, sep: str) -> DataFrame:
+    """(page_id, pre, _long): text of elements too long to be kept on their own row.
+
+    Text nodes find their selected ancestors by key alone; the text itself is
+    moved only for pairs that are part of the answer.
+    """
+    texts = text_nodes(nodes).filter(F.col(source).isNotNull())
+    owned = texts.select("page_id", F.col("pre").alias("at"), F.explode("anc").alias("pre")).join(keys, list(KEY), "left_semi")
+    body = texts.select("page_id", F.col("pre").alias("at"), F.col(source).alias("text"))
+    parts = owned.join(body, ["page_id", "at"]).groupBy(*KEY)
+    return parts.agg(ordered_text(F.collect_list(F.struct("at", "text")), sep).alias("_long"))
+
+
+def _text_column(found: DataFrame, nodes: DataFrame, source: str, sep: str, name: str) -> DataFrame:
+    short = found.filter(F.col(source).isNotNull()).withColumnRenamed(source, name)
+    rest = found.filter(F.col(source).isNull()).drop(source)
+    whole = rest.join(_long_text(rest.select(*KEY).distinct(), nodes, source, sep), list(KEY), "left")
+    whole = whole.withColumn(name, F.coalesce("_long", F.lit(""))).drop("_long")
+    return short.unionByName(whole)
 
 
 def with_text(found: DataFrame, nodes: DataFrame, trim: bool = True) -> DataFrame:
-    """Add ``value`` = text content (B10). ``found`` must carry ``t0, t1``."""
-    raw = _cut("text", *TEXT_SPAN)
-    docs = documents(nodes).select("page_id", "text")
-    return found.join(docs, "page_id").withColumn("value", js_trim(raw) if trim else raw).drop("text", *TEXT_SPAN)
+    """Add ``value`` = text content (B10). ``found`` must carry ``text``."""
+    out = _text_column(found, nodes, "text", "", "value")
+    return out.withColumn("value", js_trim(F.col("value"))) if trim else out
 
 
 def with_visible_text(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add ``visible`` = text without hidden elements and scripts."""
-    docs = documents(nodes).select("page_id", "vtext")
-    return found.join(docs, "page_id").withColumn("visible", squash(_cut("vtext", *SEEN_SPAN))).drop("vtext", *SEEN_SPAN)
+    """Add ``visible`` = text without hidden elements and scripts (B11). ``found`` must carry ``vtext``."""
+    return _text_column(found, nodes, "vtext", " ", "visible").withColumn("visible", squash(F.col("visible")))
 
 
 def with_best_text(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add ``value`` = visible text, else all text, else NULL."""
-    seen, whole = squash(_cut("vtext", *SEEN_SPAN)), js_trim(_cut("text", *TEXT_SPAN))
-    return (
-        found.join(documents(nodes), "page_id")
-        .withColumn("value", F.coalesce(nullif(seen), nullif(whole)))
-        .drop("vtext", "text", *SEEN_SPAN, *TEXT_SPAN)
-    )
+    both = with_visible_text(with_text(found, nodes), nodes)
+    return both.withColumn("value", F.coalesce(nullif(F.col("visible")), nullif(F.col("value")))).drop("visible")
 
 
 def attr(name: str) -> Column:
@@ -55,11 +64,22 @@ def attr_rows(found: DataFrame) -> DataFrame:
     return found.select(*KEY, F.explode("attrs").alias("name", "value"))
 
 
+def _cut(source: str, a: Column, b: Column) -> Column:
+    return F.decode(F.substring(F.col(source), a + 1, b - a), "UTF-8")
+
+
 def with_html(found: DataFrame, pages: DataFrame, inner: bool = True) -> DataFrame:
-    """Add ``value`` = source text of the element (B15). ``found`` must carry the o/i offsets."""
+    """Add ``value`` = source text of the element (B15). ``found`` must carry the o/i offsets.
+
+    Elements are gathered per page, so the page source is moved once per page
+    and cut by byte offsets, whatever the number of elements.
+    """
     a, b = ("i0", "i1") if inner else ("o0", "o1")
-    src = pages.select("page_id", "html")
-    return found.join(src, "page_id").withColumn("value", _cut("html", a, b)).drop("html", *HTML_SPAN)
+    rest = [c for c in found.columns if c != "page_id" and c not in HTML_SPAN]
+    spans = found.groupBy("page_id").agg(F.collect_list(F.struct(*rest, F.col(a).alias("_a"), F.col(b).alias("_b"))).alias("_s"))
+    src = pages.select("page_id", F.col("html").cast("binary").alias("_src"))
+    cut = F.transform("_s", lambda e: F.struct(*[e[c].alias(c) for c in rest], _cut("_src", e["_a"], e["_b"]).alias("value")))
+    return spans.join(src, "page_id").select("page_id", F.explode(cut).alias("_e")).select("page_id", "_e.*")
 
 
 def extract_list(found: DataFrame, nodes: DataFrame, pages: DataFrame, kind: str = "text", name: str = "href") -> DataFrame:
@@ -209,7 +229,7 @@ def relevant_html(
         boxes = held.unionByName(bodies.join(held, "page_id", "left_anti"))
     boxes = boxes.join(parents.select("page_id"), "page_id", "left_anti").select("page_id", F.lit(1).alias("rank"), "o0", "o1")
     pieces = parents.unionByName(boxes).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "o0", "o1"))).alias("_s"))
-    text = F.array_join(F.transform("_s", lambda s: F.substring(F.col("html"), s["o0"] + 1, s["o1"] - s["o0"])), "\n")
-    return pieces.join(pages.select("page_id", "html"), "page_id").select(
+    text = F.array_join(F.transform("_s", lambda s: _cut("_src", s["o0"], s["o1"])), "\n")
+    return pieces.join(pages.select("page_id", F.col("html").cast("binary").alias("_src")), "page_id").select(
         "page_id", truncated(text, limit, "<!-- HTML truncated for size limits -->").alias("html")
     )

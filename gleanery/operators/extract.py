@@ -31,7 +31,7 @@ class Field:
 
 def containers(nodes: DataFrame, css: str | None, xpath: str | None = None, cap: int | None = RECORD_CAP) -> DataFrame:
     """The first ``cap`` record containers of each page, with the total found."""
-    found = css_then_xpath(nodes, css, xpath, "t0", "t1", "attrs")
+    found = css_then_xpath(nodes, css, xpath, "text", "attrs")
     page = Window.partitionBy("page_id")
     ranked = found.withColumn("rec_no", F.row_number().over(page.orderBy("pre")))
     if cap is not None:
@@ -46,13 +46,14 @@ def extract_records(nodes: DataFrame, recs: DataFrame, fields: list[Field], page
     first-match aggregate and one fold over known names, however many fields
     there are. Containment joins on the ancestor list, so it is linear.
     """
-    span = ("attrs", "t0", "t1")
-    hits = select_many(nodes, {f.name: f.selector for f in fields if f.selector}, "anc", *span)
+    read = ("attrs", "text")
+    hits = select_many(nodes, {f.name: f.selector for f in fields if f.selector}, "anc", *read)
     pairs = within(hits, recs.select("page_id", F.col("rec_pre").alias("pre"))).withColumnRenamed("ctx_pre", "rec_pre")
-    longs = pairs.groupBy(*REC, "label").agg(F.min_by(F.struct(*span), "pre").alias("_e")).select(*REC, "label", "_e.*")
+    first = F.min_by(F.struct("pre", *read), "pre")
+    longs = pairs.groupBy(*REC, "label").agg(first.alias("_e")).select(*REC, "label", "_e.*")
     own = [f.name for f in fields if not f.selector]
     if own:
-        here = recs.select(*REC, F.explode(F.array(*[F.lit(n) for n in own])).alias("label"), *span)
+        here = recs.select(*REC, F.explode(F.array(*[F.lit(n) for n in own])).alias("label"), F.col("rec_pre").alias("pre"), *read)
         longs = longs.unionByName(here)
     longs = with_text(longs, nodes)
     wide = longs.groupBy(*REC).agg(

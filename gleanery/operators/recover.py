@@ -14,7 +14,7 @@ from gleanery.sources.nodes import elements
 
 MAX_ATTEMPTS = 2  # fixed value
 MAX_PLAN_ROWS = 10_000
-CARRY = ("attrs", "t0", "t1", "v0", "v1", "o0", "i0", "i1", "o1")
+CARRY = ("attrs", "text", "vtext", "o0", "i0", "i1", "o1")
 
 
 @dataclass(frozen=True)

@@ -6,52 +6,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.dom import with_text
-from gleanery.operators.selectors import select_css
+from gleanery.session import written
 from gleanery.sources.nodes import elements
 
 _TABLE = ["page_id", "table_pre"]
 
 
-def _in_tables(cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """Cells paired with each table around them (nested tables count for the outer one too)."""
-    return cells.withColumn("table_pre", F.explode("anc")).join(tables, _TABLE)
+def _items(nodes: DataFrame) -> DataFrame:
+    """Rows and cells with the tables and rows around them.
+
+    One equi join on the ancestor list answers every containment question.
+    A cell of a nested table belongs to the outer table and row as well.
+    """
+    items = with_text(elements(nodes).filter(F.col("tag").isin("tr", "th", "td")).select("page_id", "pre", "tag", "anc", "text"), nodes)
+    marks = elements(nodes).filter(F.col("tag").isin("table", "thead", "tr")).select(
+        "page_id", F.col("pre").alias("up"), F.col("tag").alias("up_tag"), F.col("sib_pos").alias("up_pos")
+    )
+    around = items.select("page_id", "pre", "tag", "value", F.explode("anc").alias("up")).join(marks, ["page_id", "up"])
+    facts = around.groupBy("page_id", "pre", "tag", "value").agg(
+        F.collect_list(F.when(F.col("up_tag") == "table", F.col("up"))).alias("tables"),
+        F.collect_list(F.when(F.col("up_tag") == "tr", F.col("up"))).alias("rows"),
+        F.bool_or(F.col("up_tag") == "thead").alias("in_thead"),
+        F.bool_or((F.col("up_tag") == "tr") & (F.col("up_pos") == 1)).alias("in_first"),
+    )
+    return facts.withColumn("table_pre", F.explode("tables")).drop("tables")
 
 
 def table_rows(nodes: DataFrame) -> DataFrame:
-    """(page_id, table_pre, row_no, col_name, value), one row per cell kept.
+    """(page_id, table_pre, row_no, col_name, value, idx), one row per cell kept.
 
     Headers are all ``thead th`` and ``tr:first-child th``; without any, the
-    ``td`` of first rows. The first ``tr`` is skipped when headers exist.
+    ``td`` of first rows. The first ``tr`` is skipped when headers exist,
+    cells beyond the headers drop out, a repeated header keeps its last cell.
     """
-    tables = elements(nodes).filter(F.col("tag") == "table").select("page_id", F.col("pre").alias("table_pre"))
-    carry = ("anc", "t0", "t1")
-    th = _in_tables(select_css(nodes, "thead th, tr:first-child th", *carry), tables)
-    td = _in_tables(select_css(nodes, "tr:first-child td", *carry), tables)
-    head = th.unionByName(td.join(th.select(*_TABLE).distinct(), _TABLE, "left_anti"))
-    in_table = Window.partitionBy(*_TABLE)
-    head = with_text(head, nodes).select(
-        *_TABLE, F.col("value").alias("col_name"), (F.row_number().over(in_table.orderBy("pre")) - 1).alias("idx")
+    table = Window.partitionBy(*_TABLE)
+    th_head = (F.col("tag") == "th") & (F.col("in_thead") | F.col("in_first"))
+    td_head = (F.col("tag") == "td") & F.col("in_first")
+    marked = _items(nodes).withColumn("has_th", F.max(th_head).over(table))
+    marked = marked.withColumn("is_head", F.when(F.col("has_th"), th_head).otherwise(td_head))
+    marked = marked.withColumns(
+        {
+            "has_head": F.max("is_head").over(table),
+            "first_row": F.min(F.when(F.col("tag") == "tr", F.col("pre"))).over(table),
+        }
     )
-    has_head = head.select(*_TABLE).distinct().withColumn("has_head", F.lit(True))
+    # read as headers and as cells below
+    marked = written(marked.filter(F.col("is_head") | (F.col("tag") == "td")), "table-items")
 
-    trs = _in_tables(elements(nodes).filter(F.col("tag") == "tr").select("page_id", "pre", "anc"), tables).select(
-        *_TABLE, F.col("pre").alias("tr_pre"), F.row_number().over(in_table.orderBy("pre")).alias("tr_no")
+    head = marked.filter("is_head").select(
+        *_TABLE, F.col("value").alias("head"), (F.row_number().over(table.orderBy("pre")) - 1).alias("idx")
     )
-    tr_keys = elements(nodes).filter(F.col("tag") == "tr").select("page_id", F.col("pre").alias("tr_pre"))
-    cells = elements(nodes).filter(F.col("tag") == "td").select("page_id", "pre", *carry)
-    cells = cells.withColumn("tr_pre", F.explode("anc")).drop("anc").join(tr_keys, ["page_id", "tr_pre"])
-    in_row = Window.partitionBy("page_id", "tr_pre").orderBy("pre")
-    cells = with_text(cells, nodes).select("page_id", "tr_pre", "pre", "value", (F.row_number().over(in_row) - 1).alias("idx"))
-
-    rows = (
-        trs.join(has_head, _TABLE, "left")
-        .filter(F.col("has_head").isNull() | (F.col("tr_no") > 1))
-        .join(cells, ["page_id", "tr_pre"])
-        .join(head, [*_TABLE, "idx"], "left")
-        .withColumn("col_name", F.when(F.col("has_head").isNull(), F.format_string("col%d", "idx")).otherwise(F.col("col_name")))
-        .filter(F.col("col_name").isNotNull())
+    kept_row = lambda r: (r > F.col("table_pre")) & ~(F.col("has_head") & (r == F.col("first_row")))
+    cells = marked.filter(F.col("tag") == "td").select(
+        *_TABLE, "pre", "value", "has_head", F.explode(F.filter("rows", kept_row)).alias("row_pre")
     )
-    # a repeated header keeps its last cell
-    rows = rows.groupBy(*_TABLE, "tr_no", "col_name").agg(F.max_by("value", "idx").alias("value"), F.max("idx").alias("idx"))
-    row_no = F.dense_rank().over(in_table.orderBy("tr_no"))
+    in_row = Window.partitionBy(*_TABLE, "row_pre").orderBy("pre")
+    cells = cells.withColumn("idx", F.row_number().over(in_row) - 1).join(head, [*_TABLE, "idx"], "left")
+    name = F.when(F.col("has_head"), F.col("head")).otherwise(F.format_string("col%d", "idx"))
+    cells = cells.withColumn("col_name", name).filter(F.col("col_name").isNotNull())
+    rows = cells.groupBy(*_TABLE, "row_pre", "col_name").agg(F.max_by("value", "idx").alias("value"), F.max("idx").alias("idx"))
+    row_no = F.dense_rank().over(table.orderBy("row_pre"))
     return rows.select(*_TABLE, row_no.alias("row_no"), "col_name", "value", "idx")

@@ -16,7 +16,7 @@ from gleanery.operators.validate import DataPoint, all_issues, run_summary, vali
 from gleanery.session import written
 from gleanery.sources.nodes import accepted, parse_pages, rejected
 
-CARRY = ("attrs", "t0", "t1", "v0", "v1", "o0", "i0", "i1", "o1")
+CARRY = ("attrs", "text", "vtext", "o0", "i0", "i1", "o1")
 RAW_SCHEMA = "page_id long, dp_id string, raw_kind string, pos int, value string, json_type string"
 
 

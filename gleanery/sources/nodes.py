@@ -1,17 +1,14 @@
 """Page scan and the page -> node table step.
 
-Each page becomes pre-order rows. Besides the tree links a row carries
-offsets into three page-level strings, which are stored once per page on the
-``document`` row:
-
-* ``t0..t1`` into ``text``   (all text of the page, document order)
-* ``v0..v1`` into ``vtext``  (visible text parts, one space before each part)
-* ``o0,i0,i1,o1`` into the page source (outer and inner HTML)
-
-so the text or HTML of any element is one ``substring``: no ordered
-aggregation, and no text is copied once per ancestor. ``anc`` lists the
-``pre`` numbers of all ancestors, which turns containment into an equi join;
-``path`` is the tag path, a handful of distinct values per site.
+Each page becomes pre-order rows:
+
+* ``anc`` lists the ``pre`` numbers of all ancestors, which turns containment
+  into an equi join; ``path`` is the tag path, a handful of values per site.
+* ``text``/``vtext`` hold the text content and visible text of text nodes and
+  of every element whose text is short (a cell, link, heading, price). Longer
+  elements are put together from their text nodes when asked for, so text is
+  never stored once per ancestor.
+* ``o0,i0,i1,o1`` are byte offsets of outer and inner HTML in the page source.
 """
 
 from __future__ import annotations
@@ -20,6 +17,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +28,7 @@ NODE_SCHEMA = (
     "page_id LONG, pre INT, last INT, parent INT, depth INT, kind STRING, tag STRING, id STRING, "
     "classes ARRAY<STRING>, attrs MAP<STRING,STRING>, sib_pos INT, sib_cnt INT, type_pos INT, type_cnt INT, "
     "anc ARRAY<INT>, path STRING, hidden BOOLEAN, faded BOOLEAN, text STRING, vtext STRING, "
-    "t0 INT, t1 INT, v0 INT, v1 INT, o0 INT, i0 INT, i1 INT, o1 INT"
+    "o0 INT, i0 INT, i1 INT, o1 INT"
 )
 _ARROW = pa.schema(
     [
@@ -46,10 +44,11 @@ _ARROW = pa.schema(
         ("faded", pa.bool_()),
         ("text", pa.string()),
         ("vtext", pa.string()),
-        *[(n, pa.int32()) for n in ("t0", "t1", "v0", "v1", "o0", "i0", "i1", "o1")],
+        *[(n, pa.int32()) for n in ("o0", "i0", "i1", "o1")],
     ]
 )
 _FLUSH_ROWS = 20_000
+SHORT_TEXT = 512  # characters kept on the element row itself
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -83,12 +82,12 @@ _FADED = re.compile(r"opacity\s*:\s*0*\.?0+\s*(?:;|!|$)", re.I)
 class _Node:
     __slots__ = (
         "pre last parent depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc path hidden faded "
-        "text t0 t1 v0 v1 o0 i0 i1 o1 kids"
+        "text vtext p0 l0 v0 w0 o0 i0 i1 o1 kids"
     ).split()
 
     def __init__(self, pre, parent, kind, tag=None):
         self.pre, self.kind, self.tag, self.parent = pre, kind, tag, parent
-        self.last, self.text, self.kids = pre, None, {}
+        self.last, self.text, self.vtext, self.kids = pre, None, None, {}
         self.attrs, self.sib_pos, self.sib_cnt, self.type_pos, self.type_cnt = [], None, None, None, None
         up = parent
         self.depth = up.depth + 1 if up else 0
@@ -117,8 +116,7 @@ class _Tree(HTMLParser):
     def _open(self, kind, tag, outer, inner) -> _Node:
         up = self.stack[-1] if self.stack else None
         n = _Node(len(self.nodes), up, kind, tag)
-        n.t0 = n.t1 = self.tlen
-        n.v0 = n.v1 = self.vlen
+        n.p0, n.l0, n.v0, n.w0 = len(self.parts), self.tlen, len(self.vparts), self.vlen
         n.o0, n.i0, n.i1, n.o1 = outer, inner, inner, inner
         self.nodes.append(n)
         if kind == "element":
@@ -132,7 +130,12 @@ class _Tree(HTMLParser):
         """Close open elements until ``size`` are left; the last closed one owns the end tag."""
         while len(self.stack) > size:
             n = self.stack.pop()
-            n.last, n.t1, n.v1 = len(self.nodes) - 1, self.tlen, self.vlen
+            n.last = len(self.nodes) - 1
+            if n.kind == "element":
+                if self.tlen - n.l0 <= SHORT_TEXT:
+                    n.text = "".join(self.parts[n.p0 :])
+                if self.vlen - n.w0 <= SHORT_TEXT:
+                    n.vtext = " ".join(self.vparts[n.v0 :])
             n.i1 = max(n.i0, n.i1, inner_end)
             n.o1 = max(n.i1, outer_end) if outer_end is not None and len(self.stack) == size else n.i1
             for kids in n.kids.values():
@@ -221,32 +224,39 @@ class _Tree(HTMLParser):
             n.text = data
         self.parts.append(data)
         self.tlen += len(data)
-        n.t1 = self.tlen
         if not (n.hidden or n.faded or top.tag in _SILENT) and (shown := data.strip()):
-            self.vparts.append(" " + shown)
+            self.vparts.append(shown)
             self.vlen += len(shown) + 1
-        n.v1 = self.vlen
+            n.vtext = f"{n.vtext} {shown}" if n.vtext else shown
 
     def handle_comment(self, data):
         self._open("comment", None, self._here(), self._here()).text = data
 
 
+def _byte_at(html: str):
+    """Character offset -> byte offset in the UTF-8 source."""
+    if html.isascii():
+        return lambda i: i
+    cp = np.frombuffer(html.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
+    return lambda i: int(ends[i - 1]) if i else 0
+
+
+_COPIED = "pre last depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc path hidden faded text vtext".split()
+
+
 def _rows(page_id: int, html: str, out: dict[str, list]) -> None:
-    tree = _Tree(html)
-    root = tree.nodes[0]
-    root.text, vtext = "".join(tree.parts), "".join(tree.vparts)
-    for n in tree.nodes:
+    at = _byte_at(html)
+    for n in _Tree(html).nodes:
         attrs = dict(n.attrs)
         out["page_id"].append(page_id)
         out["parent"].append(n.parent.pre if n.parent else None)
         out["id"].append(attrs.get("id") or None)
         out["classes"].append(attrs["class"].split() if "class" in attrs else [])
-        out["vtext"].append(vtext if n is root else None)
-        for f in (
-            "pre last depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc path hidden faded text "
-            "t0 t1 v0 v1 o0 i0 i1 o1"
-        ).split():
+        for f in _COPIED:
             out[f].append(getattr(n, f))
+        for f in ("o0", "i0", "i1", "o1"):
+            out[f].append(at(getattr(n, f)))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,5 +323,5 @@ def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "element")
 
 
-def documents(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(F.col("kind") == "document").select("page_id", "text", "vtext")
+def text_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(F.col("kind") == "text")
