@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.session import staged, table
+from gleanery.session import spread, staged, table
 from gleanery.sources.nodes import parse_pages, scan_pages
 from gleanery.sources.render import card_pages, table_pages
 
@@ -29,6 +29,11 @@ def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
+def heavy(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows cost much CPU each: uses all cores even when the file has few splits."""
+    return spread(table(spark, sf, name))
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages")
 
@@ -43,11 +48,12 @@ def cards(spark: SparkSession, sf: str, per_page: int = 20) -> DataFrame:
 
 
 def card_nodes(spark: SparkSession, sf: str, per_page: int = 20) -> DataFrame:
-    return staged(spark, f"card_nodes{per_page}:{sf}", lambda: parse_pages(cards(spark, sf, per_page)), ("kind",))
+    return staged(spark, f"card_nodes{per_page}:{sf}", lambda: parse_pages(spread(cards(spark, sf, per_page), "page_id")), ("kind",))
 
 
 def order_nodes(spark: SparkSession, sf: str, header: bool = True) -> DataFrame:
-    made = lambda: parse_pages(table_pages(table(spark, sf, "orders"), 25, header))
+    drawn = staged(spark, f"orders{header}:{sf}", lambda: table_pages(table(spark, sf, "orders"), 25, header))
+    made = lambda: parse_pages(spread(drawn, "page_id"))
     return staged(spark, f"order_nodes{header}:{sf}", made, ("kind",))
 
 

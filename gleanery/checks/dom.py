@@ -195,8 +195,7 @@ def inner_html(spark, sf):
 
 @query("extract_links", f"WITH {SQL_LINKS} SELECT page_id, (pos - 1)::BIGINT AS pos, href AS value FROM links")
 def extract_links(spark, sf):
-    found = sel.select_css(nodes(spark, sf), "a[href]", "attrs")
-    return dom.extract_list(found, nodes(spark, sf), pages(spark, sf), "attribute").select("page_id", long("pos").alias("pos"), "value")
+    return dom.extract_list(nodes(spark, sf), pages(spark, sf), "a[href]", "attribute").select("page_id", long("pos").alias("pos"), "value")
 
 
 @query("element_xpath", f"WITH {SQL_LINKS} SELECT page_id, '/html/body/nav/ul/li[' || pos || ']/a' AS xpath FROM links")

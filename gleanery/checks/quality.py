@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.checks.base import SQL_HOST, SQL_LINKS, long, nodes, pages, query, sql_encode, sql_squash, table
+from gleanery.checks.base import SQL_HOST, SQL_LINKS, heavy, long, nodes, pages, query, sql_encode, sql_squash, table
 from gleanery.checks.dom import SQL_LANG_DE, SQL_ORIGIN
 from gleanery.functions.scalars import is_http_url, squash
 from gleanery.operators import validate
@@ -68,7 +68,7 @@ def validate_shape(spark, sf):
 @query("clean_whitespace", f"SELECT doc_id, md5({sql_squash('text')}) AS text_md5, length({sql_squash('text')})::BIGINT AS n FROM documents")
 def clean_whitespace(spark, sf):
     c = squash(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(c).alias("text_md5"), long(F.length(c)).alias("n"))
+    return heavy(spark, sf, "documents").select("doc_id", F.md5(c).alias("text_md5"), long(F.length(c)).alias("n"))
 
 
 def coerce(rows, kind):
@@ -156,7 +156,7 @@ def coerce_date(spark, sf):
     value = F.when(m == 6, F.lit("garbage")).when(m == 5, F.unix_millis(d).cast("string"))
     for i, f in enumerate(layouts):
         value = value.when(m == i, F.date_format(d, f))
-    rows = table(spark, sf, "orders").select(
+    rows = heavy(spark, sf, "orders").select(
         "o_orderkey", value.alias("value"), F.when(m == 5, F.lit("number")).otherwise(F.lit("string")).alias("json_type"), F.lit(None).cast("string").alias("url")
     )
     return coerce(rows, "date").select("o_orderkey", F.when(F.col("code").isNull(), F.col("clean")).alias("iso"), "code")

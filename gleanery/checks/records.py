@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.checks.base import SQL_WS, card_nodes, long, nodes, pages, query, sql_encode, sql_trim, table
+from gleanery.checks.base import card_nodes, heavy, long, nodes, pages, query, sql_encode, sql_trim, table
 from gleanery.checks.dom import SQL_LANG_DE, SQL_ORIGIN
 from gleanery.checks.scans import CARD_FIELDS, card_records
 from gleanery.functions.scalars import js_trim, strict_number, url_host
@@ -114,7 +114,7 @@ def tx_boolean(spark, sf):
 @query("tx_trim", f"SELECT doc_id, md5({sql_trim('text')}) AS text_md5, length({sql_trim('text')})::BIGINT AS n FROM documents")
 def tx_trim(spark, sf):
     out = apply_transform(F.concat(F.lit(" \t\r\n﻿"), "text", F.lit("   \n")), "trim")
-    return table(spark, sf, "documents").select("doc_id", F.md5(out).alias("text_md5"), long(F.length(out)).alias("n"))
+    return heavy(spark, sf, "documents").select("doc_id", F.md5(out).alias("text_md5"), long(F.length(out)).alias("n"))
 
 
 @query("tx_case", "SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low FROM part")
@@ -209,7 +209,7 @@ def scalar_or_list(spark, sf):
     """SELECT unnest(['total', 'open', 'day', 'link', 'priority']) AS field, count(*) AS n_values, unnest(['number', 'boolean', 'date', 'url', 'string']) AS type FROM orders""",
 )
 def infer_column_types(spark, sf):
-    o = table(spark, sf, "orders")
+    o = heavy(spark, sf, "orders")
     cells = {
         "total": F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
         "open": F.when(F.col("o_orderstatus") == "O", F.lit("Yes")).otherwise(F.lit("no")),

@@ -10,7 +10,7 @@ from gleanery.checks.scans import LOG_SQL, change_log, event_logs
 from gleanery.operators import batch, extract, recover
 from gleanery.operators.extract import Field
 from gleanery.operators.selectors import select_css
-from gleanery.session import scratch
+from gleanery.session import scratch, written
 from gleanery.sources.nodes import parse_pages
 from gleanery.streaming import feeds
 
@@ -63,7 +63,7 @@ def recover_selectors(spark, sf):
         UNION ALL SELECT page_id, 'second', 'list', pos - 1, trim(txt) FROM links""",
 )
 def recover_reextract(spark, sf):
-    chosen = recover.chosen_alternative(working(spark, sf))
+    chosen = written(recover.chosen_alternative(working(spark, sf)), "chosen")
     plan = {"first_link": (False, "attribute", "href"), "second": (True, "text", ""), "ad": (False, "text", ""), "gone": (False, "text", "")}
     out = recover.reextract(chosen, nodes(spark, sf), pages(spark, sf), plan)
     return out.select("page_id", "dp_id", "raw_kind", long("pos").alias("pos"), "value")

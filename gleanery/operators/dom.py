@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import js_trim, nullif, ordered_text, squash, truncated
-from gleanery.operators.selectors import KEY
+from gleanery.operators.selectors import KEY, select_many
 from gleanery.sources.nodes import elements, text_nodes
 
 HTML_SPAN = ("o0", "i0", "i1", "o1")
@@ -17,42 +17,50 @@ NOISE_TAGS = ("script", "style", "noscript", "template", "nav", "footer", "heade
 NOISE_CLASSES = ("ad", "ads", "advert", "advertisement", "sponsored", "cookie", "popup")
 
 
-def _long_text(keys: DataFrame, nodes: DataFrame, source: str, sep: str) -> DataFrame:
-    """(page_id, pre, _long): text of elements too long to be kept on their own row.
+def _long_texts(keys: DataFrame, nodes: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """(page_id, pre, _text and/or _vtext) of elements too long to be kept on their own row.
 
     Text nodes find their selected ancestors by key alone; the text itself is
     moved only for pairs that are part of the answer.
     """
-    texts = text_nodes(nodes).filter(F.col(source).isNotNull())
+    texts = text_nodes(nodes)
     owned = texts.select("page_id", F.col("pre").alias("at"), F.explode("anc").alias("pre")).join(keys, list(KEY), "left_semi")
-    body = texts.select("page_id", F.col("pre").alias("at"), F.col(source).alias("text"))
-    parts = owned.join(body, ["page_id", "at"]).groupBy(*KEY)
-    return parts.agg(ordered_text(F.collect_list(F.struct("at", "text")), sep).alias("_long"))
+    body = texts.select("page_id", F.col("pre").alias("at"), *sources)
+    folded = [
+        ordered_text(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("text")))), sep).alias(f"_{c}")
+        for c, sep in sources.items()
+    ]
+    return owned.join(body, ["page_id", "at"]).groupBy(*KEY).agg(*folded)
 
 
-def _text_column(found: DataFrame, nodes: DataFrame, source: str, sep: str, name: str) -> DataFrame:
-    short = found.filter(F.col(source).isNotNull()).withColumnRenamed(source, name)
-    rest = found.filter(F.col(source).isNull()).drop(source)
-    whole = rest.join(_long_text(rest.select(*KEY).distinct(), nodes, source, sep), list(KEY), "left")
-    whole = whole.withColumn(name, F.coalesce("_long", F.lit(""))).drop("_long")
-    return short.unionByName(whole)
+# text source -> what goes between the parts
+_PLAIN, _SEEN = {"text": ""}, {"vtext": " "}
+
+
+def _texts(found: DataFrame, nodes: DataFrame, sources: dict[str, str], enough: Column, value: Column, name: str) -> DataFrame:
+    """Add ``name`` = ``value`` over the text columns; rows without ``enough`` text at hand get it from text nodes."""
+    rest = found.filter(~enough)
+    whole = rest.drop(*sources).join(_long_texts(rest.select(*KEY).distinct(), nodes, sources), list(KEY), "left")
+    whole = whole.withColumnsRenamed({f"_{c}": c for c in sources})
+    return found.filter(enough).unionByName(whole).withColumn(name, value).drop(*sources)
 
 
 def with_text(found: DataFrame, nodes: DataFrame, trim: bool = True) -> DataFrame:
     """Add ``value`` = text content (B10). ``found`` must carry ``text``."""
-    out = _text_column(found, nodes, "text", "", "value")
-    return out.withColumn("value", js_trim(F.col("value"))) if trim else out
+    text = F.coalesce("text", F.lit(""))
+    return _texts(found, nodes, _PLAIN, F.col("text").isNotNull(), js_trim(text) if trim else text, "value")
 
 
 def with_visible_text(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add ``visible`` = text without hidden elements and scripts (B11). ``found`` must carry ``vtext``."""
-    return _text_column(found, nodes, "vtext", " ", "visible").withColumn("visible", squash(F.col("visible")))
+    return _texts(found, nodes, _SEEN, F.col("vtext").isNotNull(), squash(F.coalesce("vtext", F.lit(""))), "visible")
 
 
 def with_best_text(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add ``value`` = visible text, else all text, else NULL."""
-    both = with_visible_text(with_text(found, nodes), nodes)
-    return both.withColumn("value", F.coalesce(nullif(F.col("visible")), nullif(F.col("value")))).drop("visible")
+    """Add ``value`` = visible text, else all text, else NULL (B12). ``found`` must carry both texts."""
+    enough = F.col("vtext").isNotNull() & ((F.col("vtext") != "") | F.col("text").isNotNull())
+    best = F.coalesce(nullif(squash(F.col("vtext"))), nullif(js_trim(F.col("text"))))
+    return _texts(found, nodes, {**_PLAIN, **_SEEN}, enough, best, "value")
 
 
 def attr(name: str) -> Column:
@@ -82,16 +90,34 @@ def with_html(found: DataFrame, pages: DataFrame, inner: bool = True) -> DataFra
     return spans.join(src, "page_id").select("page_id", F.explode(cut).alias("_e")).select("page_id", "_e.*")
 
 
-def extract_list(found: DataFrame, nodes: DataFrame, pages: DataFrame, kind: str = "text", name: str = "href") -> DataFrame:
-    """Every match as (page_id, pos, value), by text, html or attribute."""
-    if kind == "attribute":
-        out = found.withColumn("value", attr(name))
-    elif kind == "html":
-        out = with_html(found, pages)
-    else:
-        out = with_best_text(found, nodes)
-    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1
-    return out.select("page_id", "pre", pos.alias("pos"), "value")
+def extract_many(nodes: DataFrame, pages: DataFrame, wanted: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Every match of labelled selectors as (label, page_id, pos, value).
+
+    wanted: label -> (selector, kind text|html|attribute, attribute name).
+    Labels of one kind are read together, so plans grow with kinds, not labels.
+    """
+    by_kind: dict[str, dict[str, str]] = {}
+    for label, (selector, kind, _) in wanted.items():
+        by_kind.setdefault(kind, {})[label] = selector
+    parts = []
+    if group := by_kind.get("text"):
+        parts.append(with_best_text(select_many(nodes, group, "text", "vtext"), nodes))
+    if group := by_kind.get("html"):
+        parts.append(with_html(select_many(nodes, group, *HTML_SPAN), pages))
+    if group := by_kind.get("attribute"):
+        value = F.coalesce(*[F.when(F.col("label") == k, attr(wanted[k][2])) for k in group])
+        parts.append(select_many(nodes, group, "attrs").withColumn("value", value))
+    out = None
+    for p in parts:
+        p = p.select("label", *KEY, "value")
+        out = p if out is None else out.unionByName(p)
+    pos = F.row_number().over(Window.partitionBy("page_id", "label").orderBy("pre")) - 1
+    return out.select("label", "page_id", pos.alias("pos"), "value")
+
+
+def extract_list(nodes: DataFrame, pages: DataFrame, selector: str, kind: str = "text", name: str = "href") -> DataFrame:
+    """Every match of one selector as (page_id, pos, value), by text, html or attribute."""
+    return extract_many(nodes, pages, {"": (selector, kind, name)}).drop("label")
 
 
 def _chain(found: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFrame:

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.dom import extract_list
+from gleanery.operators.dom import extract_many
 from gleanery.operators.selectors import match_counts, select_or_empty
 from gleanery.sources.nodes import elements
 
 MAX_ATTEMPTS = 2  # fixed value
 MAX_PLAN_ROWS = 10_000
-CARRY = ("attrs", "text", "vtext", "o0", "i0", "i1", "o1")
 
 
 @dataclass(frozen=True)
@@ -100,8 +99,7 @@ def working_alternatives(failed: DataFrame, nodes: DataFrame, alternatives: Data
     schema = "dp_id string, selector string, strategy string, strategy_rank int, alt_rank int"
     tests = sorted({a["selector"] for a in alts})
     if not tests:
-        alts_df = spark.createDataFrame([], schema)
-        return failed.join(alts_df, "dp_id").withColumn("n", F.lit(0).cast("long"))
+        return spark.createDataFrame([], f"page_id long, {schema}, n long")
     alts_df = spark.createDataFrame([tuple(a) for a in alts], schema)
     counts = match_counts(failed.select("page_id").distinct(), nodes, tests).filter(F.col("n") > 0).drop("valid")
     hits = failed.select("page_id", "dp_id").distinct().join(alts_df, "dp_id").join(counts, ["page_id", "selector"])
@@ -124,23 +122,20 @@ def reextract(chosen: DataFrame, nodes: DataFrame, pages: DataFrame, plan: dict[
 
     plan: dp_id -> (is_list, kind, attribute).
     """
-    pairs = plan_rows(chosen.select("dp_id", "selector").distinct())
-    out = None
-    for dp_id, selector in sorted((r["dp_id"], r["selector"]) for r in pairs):
-        is_list, kind, attribute = plan[dp_id]
-        where = chosen.filter((F.col("dp_id") == dp_id) & (F.col("selector") == selector)).select("page_id")
-        got = extract_list(select_or_empty(nodes, selector, *CARRY).join(where, "page_id", "left_semi"), nodes, pages, kind, attribute)
-        if not is_list:
-            got = got.filter("pos = 0")
-        got = got.select(
-            "page_id", F.lit(dp_id).alias("dp_id"), F.lit("list" if is_list else "scalar").alias("raw_kind"), "pos", "value",
-            F.lit("string").alias("json_type"),
-        )
-        out = got if out is None else out.unionByName(got)
-    if out is None:
+    pairs = sorted((r["dp_id"], r["selector"]) for r in plan_rows(chosen.select("dp_id", "selector").distinct()))
+    if not pairs:
         schema = "page_id long, dp_id string, raw_kind string, pos int, value string, json_type string"
         return nodes.sparkSession.createDataFrame([], schema)
-    return out
+    wanted = {str(i): (selector, *plan[dp_id][1:]) for i, (dp_id, selector) in enumerate(pairs)}
+    names = nodes.sparkSession.createDataFrame(
+        [(str(i), dp_id, selector, plan[dp_id][0]) for i, (dp_id, selector) in enumerate(pairs)],
+        "label string, dp_id string, selector string, is_list boolean",
+    )
+    got = extract_many(nodes, pages, wanted).join(names, "label").join(chosen, ["page_id", "dp_id", "selector"], "left_semi")
+    return got.filter(F.col("is_list") | (F.col("pos") == 0)).select(
+        "page_id", "dp_id", F.when(F.col("is_list"), F.lit("list")).otherwise(F.lit("scalar")).alias("raw_kind"), "pos", "value",
+        F.lit("string").alias("json_type"),
+    )
 
 
 def errors_remaining(errors: DataFrame, recovered: DataFrame) -> DataFrame:

@@ -7,17 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.dom import extract_list
+from gleanery.operators.dom import extract_many
 from gleanery.operators.recover import (
     RULES, Strategy, attempts, chosen_alternative, errors_remaining, override_raw, proposals, reextract, working_alternatives,
 )
-from gleanery.operators.selectors import match_counts, select_or_empty
+from gleanery.operators.selectors import match_counts
 from gleanery.operators.validate import DataPoint, all_issues, run_summary, validate
 from gleanery.session import written
 from gleanery.sources.nodes import accepted, parse_pages, rejected
 
-CARRY = ("attrs", "text", "vtext", "o0", "i0", "i1", "o1")
-RAW_SCHEMA = "page_id long, dp_id string, raw_kind string, pos int, value string, json_type string"
 
 
 @dataclass(frozen=True)
@@ -40,17 +38,12 @@ class Result:
 
 def raw_values(nodes: DataFrame, pages: DataFrame, plan: list[PlannedField]) -> DataFrame:
     """Raw value rows of every planned field: lists keep all matches, scalars the first."""
-    out = None
-    for f in plan:
-        got = extract_list(select_or_empty(nodes, f.selector, *CARRY), nodes, pages, f.kind, f.attribute)
-        if not f.point.is_list:
-            got = got.filter("pos = 0")
-        got = got.select(
-            "page_id", F.lit(f.point.dp_id).alias("dp_id"), F.lit("list" if f.point.is_list else "scalar").alias("raw_kind"),
-            "pos", "value", F.lit("string").alias("json_type"),
-        )
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = extract_many(nodes, pages, {f.point.dp_id: (f.selector, f.kind, f.attribute) for f in plan})
+    lists = F.col("label").isin([f.point.dp_id for f in plan if f.point.is_list])
+    return got.filter(lists | (F.col("pos") == 0)).select(
+        "page_id", F.col("label").alias("dp_id"), F.when(lists, F.lit("list")).otherwise(F.lit("scalar")).alias("raw_kind"),
+        "pos", "value", F.lit("string").alias("json_type"),
+    )
 
 
 def extraction_errors(pages: DataFrame, nodes: DataFrame, plan: list[PlannedField]) -> DataFrame:

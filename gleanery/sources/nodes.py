@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ _ARROW = pa.schema(
     ]
 )
 _FLUSH_ROWS = 20_000
+MAX_DEPTH = 512  # fixed value: nesting browsers build
 SHORT_TEXT = 512  # characters kept on the element row itself
 
 # Element groups of the HTML standard.
@@ -75,6 +77,7 @@ AUTO_CLOSE = {
 _P_SCOPE = frozenset("button caption html table td th".split())
 _CLOSE_P = (frozenset(["p"]), _P_SCOPE)
 _SILENT = frozenset("script style".split())
+_HALF_TAG = re.compile(r"</?[a-zA-Z]")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _FADED = re.compile(r"opacity\s*:\s*0*\.?0+\s*(?:;|!|$)", re.I)
 
@@ -106,14 +109,32 @@ class _Tree(HTMLParser):
         self.line_at = [0, *(m.end() for m in re.finditer("\n", html))]
         self._open("document", None, 0, 0)
         self.feed(html)
-        self.close()
+        self._end()
         self._pop_to(0, len(html))
 
+    def _end(self) -> None:
+        """What is left open at the end: script text, a comment, or half a tag (dropped)."""
+        rest = self.rawdata
+        if self.cdata_elem and rest:
+            self.rawdata = ""
+            self.handle_data(rest)
+        elif rest.startswith("<!--"):
+            self.rawdata = ""
+            self.handle_comment(rest[4:])
+        elif _HALF_TAG.match(rest):
+            self.rawdata = ""
+        self.close()
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
     def _here(self) -> int:
         line, col = self.getpos()
         return self.line_at[line - 1] + col
 
     def _open(self, kind, tag, outer, inner) -> _Node:
+        if len(self.stack) > MAX_DEPTH:  # like browsers: deeper elements become siblings
+            self._pop_to(MAX_DEPTH, outer)
         up = self.stack[-1] if self.stack else None
         n = _Node(len(self.nodes), up, kind, tag)
         n.p0, n.l0, n.v0, n.w0 = len(self.parts), self.tlen, len(self.vparts), self.vlen
@@ -156,7 +177,7 @@ class _Tree(HTMLParser):
         return -1
 
     def _imply(self, tag: str | None, at: int) -> None:
-        """Supply html, head, body and tbody where the source leaves them out."""
+        """Supply html, head, body, tbody and tr where the source leaves them out."""
         if len(self.stack) == 1:
             if tag == "html":
                 return
@@ -168,8 +189,11 @@ class _Tree(HTMLParser):
         if top == "html" and tag not in ("head", "body", "frameset"):
             wanted = "head" if tag in HEAD_ONLY and not self.stack[-1].kids.get("body") else "body"
             self._open("element", wanted, at, at)
-        elif top == "table" and tag == "tr":
+        elif top == "table" and tag in ("tr", "td", "th"):
             self._open("element", "tbody", at, at)
+            top = "tbody"
+        if top in SECTIONS and tag in ("td", "th"):
+            self._open("element", "tr", at, at)
 
     def handle_starttag(self, tag, attrs):
         at, src = self._here(), self.get_starttag_text() or ""
@@ -242,21 +266,22 @@ def _byte_at(html: str):
     return lambda i: int(ends[i - 1]) if i else 0
 
 
-_COPIED = "pre last depth kind tag attrs sib_pos sib_cnt type_pos type_cnt anc path hidden faded text vtext".split()
+_COPIED = "pre last depth kind tag sib_pos sib_cnt type_pos type_cnt anc path hidden faded text vtext".split()
 
 
 def _rows(page_id: int, html: str, out: dict[str, list]) -> None:
-    at = _byte_at(html)
-    for n in _Tree(html).nodes:
-        attrs = dict(n.attrs)
-        out["page_id"].append(page_id)
-        out["parent"].append(n.parent.pre if n.parent else None)
-        out["id"].append(attrs.get("id") or None)
-        out["classes"].append(attrs["class"].split() if "class" in attrs else [])
-        for f in _COPIED:
-            out[f].append(getattr(n, f))
-        for f in ("o0", "i0", "i1", "o1"):
-            out[f].append(at(getattr(n, f)))
+    """Append the page's nodes to the output columns, column by column."""
+    at, nodes = _byte_at(html), _Tree(html).nodes
+    out["page_id"].extend([page_id] * len(nodes))
+    out["parent"].extend([n.parent.pre if n.parent else None for n in nodes])
+    found = [dict(n.attrs) for n in nodes]
+    out["attrs"].extend([n.attrs for n in nodes])
+    out["id"].extend([a.get("id") or None for a in found])
+    out["classes"].extend([a["class"].split() if "class" in a else [] for a in found])
+    for f in _COPIED:
+        out[f].extend(map(attrgetter(f), nodes))
+    for f in ("o0", "i0", "i1", "o1"):
+        out[f].extend(map(at, map(attrgetter(f), nodes)))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +293,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     out = fresh()
     for batch in batches:
-        for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _rows(page_id, html, out)
+        for page_id, html in zip(batch.column(0), batch.column(1)):
+            _rows(page_id.as_py(), html.as_py(), out)
             if len(out["pre"]) >= _FLUSH_ROWS:
                 yield flush(out)
                 out = fresh()
