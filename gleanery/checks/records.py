@@ -469,10 +469,8 @@ def refine_prompts(spark, sf):
     )
     rows = plans.join(feedback, "plan_id")
     summary = prompts.plan_summary(F.col("goal"), F.col("structure"), F.col("fields"), F.col("elements"))
-    out = prompts.prompt_rows(
-        rows, "PLAN_REFINE", ["plan_id"], currentPlan=summary, feedback=F.col("feedback"), htmlSample=prompts.bounded(F.col("html"), "refine")
-    )
-    return out.select("plan_id", "prompt")
+    ask = prompts.prompt_of("PLAN_REFINE", currentPlan=summary, feedback=F.col("feedback"), htmlSample=prompts.bounded(F.col("html"), "refine"))
+    return prompts.prompt_rows(rows, ["plan_id"], ask).select("plan_id", "prompt")
 
 
 @query(

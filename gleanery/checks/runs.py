@@ -157,8 +157,7 @@ def batch_extract(spark, sf):
 )
 def sample_per_group(spark, sf):
     first = batch.first_of_group(grouped(spark, sf))
-    mine = nodes(spark, sf).join(first, "page_id", "left_semi")
-    out = extract.dom_extract(mine, "nav li", None, [Field("txt", "a")], cap=extract.SAMPLE_CAP)
+    out = extract.dom_extract(nodes(spark, sf), "nav li", None, [Field("txt", "a")], cap=extract.SAMPLE_CAP, only=first)
     return out.select("page_id", long("rec_no").alias("rec_no"), "txt")
 
 

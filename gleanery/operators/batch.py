@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import first_match, resolve_url, url_host, url_path
-from gleanery.operators.extract import Field, dom_extract
+from gleanery.operators.extract import Field, containers, extract_records
 from gleanery.operators.selectors import select_css
 from gleanery.sources.nodes import elements
 
@@ -105,14 +105,15 @@ def batch_extract(
     """Run each group's own selectors on all of its pages (M6).
 
     page_groups(page_id, grp). Strategies are plan-level: group -> (css, xpath).
-    Each branch keeps only its group's pages before selecting, by a semi join.
+    Each group adds a container selection, cut to its pages once the rows are
+    narrow; the fields of all groups are then read in one pass.
     """
-    out = None
+    recs = None
     for grp, (css, xpath) in sorted(strategies.items()):
         mine = page_groups.filter(F.col("grp") == grp).select("page_id")
-        got = dom_extract(nodes.join(mine, "page_id", "left_semi"), css, xpath, fields, page_urls, cap).withColumn("grp", F.lit(grp))
-        out = got if out is None else out.unionByName(got)
-    return out
+        got = containers(nodes, css, xpath, cap).join(mine, "page_id", "left_semi")
+        recs = got if recs is None else recs.unionByName(got)
+    return extract_records(nodes, recs, fields, page_urls).join(page_groups.select("page_id", "grp"), "page_id")
 
 
 def first_of_group(page_groups: DataFrame) -> DataFrame:

@@ -72,10 +72,23 @@ def extract_records(nodes: DataFrame, recs: DataFrame, fields: list[Field], page
 
 
 def dom_extract(
-    nodes: DataFrame, css: str | None, xpath: str | None, fields: list[Field], page_urls: DataFrame | None = None, cap: int = RECORD_CAP
+    nodes: DataFrame,
+    css: str | None,
+    xpath: str | None,
+    fields: list[Field],
+    page_urls: DataFrame | None = None,
+    cap: int = RECORD_CAP,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Capped record extraction."""
-    return extract_records(nodes, containers(nodes, css, xpath, cap), fields, page_urls)
+    """Capped record extraction (D9), for all pages or the pages in ``only``.
+
+    ``only`` restricts the containers, which are few and narrow, rather than
+    the node table: the fields are joined to containers anyway.
+    """
+    recs = containers(nodes, css, xpath, cap)
+    if only is not None:
+        recs = recs.join(only.select("page_id"), "page_id", "left_semi")
+    return extract_records(nodes, recs, fields, page_urls)
 
 
 def extract_metadata(pages: DataFrame, nodes: DataFrame, css: str | None, xpath: str | None, cap: int = RECORD_CAP) -> DataFrame:

@@ -54,19 +54,27 @@ def _satisfied(steps: DataFrame) -> DataFrame:
     """(page_id, pre, parent, step) for every step text an element satisfies.
 
     A step asks for a tag, a class set and maybe a position. Elements are
-    keyed by each class and by position/no position, so that the candidates
-    for a step come from an equi join; only extra classes are left to check.
+    keyed by each of their classes and by position/no position; a step looks
+    itself up under the rarest of its classes. So candidates come from an equi
+    join on a short list, and only the remaining classes are left to check.
     """
-    asked = steps.select(
-        "page_id", "tag", "nth", "step", F.col("classes").alias("need"),
-        F.coalesce(F.try_element_at("classes", F.lit(1)), F.lit("")).alias("anchor"),
-    ).distinct()
+    asked = steps.select("page_id", "tag", "nth", "step", F.col("classes").alias("need")).distinct()
+    common = steps.select("page_id", "tag", F.explode("classes").alias("anchor")).groupBy("page_id", "tag", "anchor").agg(
+        F.count("*").alias("n")
+    )
+    rarest = (
+        asked.withColumn("anchor", F.explode("need"))
+        .join(common, ["page_id", "tag", "anchor"])
+        .groupBy("page_id", "tag", "nth", "step")
+        .agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"), F.first("need").alias("need"))
+    )
+    bare = asked.filter(F.size("need") == 0).select("page_id", "tag", "nth", "step", F.lit("").alias("anchor"), "need")
     offered = steps.select(
         "page_id", "pre", "parent", "tag", "classes",
         F.explode(F.array_union("classes", F.array(F.lit("")))).alias("anchor"), "type_pos",
     ).withColumn("nth", F.explode(F.array(F.lit(0), "type_pos")))
     return (
-        offered.join(asked, ["page_id", "tag", "nth", "anchor"])
+        offered.join(rarest.unionByName(bare), ["page_id", "tag", "nth", "anchor"])
         .filter(F.size(F.array_except("need", "classes")) == 0)
         .select("page_id", "pre", "parent", "step")
     )

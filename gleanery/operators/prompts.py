@@ -69,11 +69,10 @@ def with_system_prompt(rows: DataFrame, agent_col: str) -> DataFrame:
     )
 
 
-def prompt_rows(rows: DataFrame, kind: str, key: list[str], **cols: Column) -> DataFrame:
-    """rows -> (key, kind, system, prompt, temperature, max_tokens) for one prompt kind."""
+def prompt_of(kind: str, **cols: Column) -> Column:
+    """STRUCT<kind, system, prompt, temperature, max_tokens> of one prompt kind."""
     agent, temperature, max_tokens = SETTINGS[kind]
-    return rows.select(
-        *key,
+    return F.struct(
         F.lit(kind).alias("kind"),
         F.lit(SYSTEM_PROMPTS.get(agent)).cast("string").alias("system"),
         fill_template(F.lit(PROMPTS[kind]), value_map(**cols)).alias("prompt"),
@@ -82,15 +81,18 @@ def prompt_rows(rows: DataFrame, kind: str, key: list[str], **cols: Column) -> D
     )
 
 
+def prompt_rows(rows: DataFrame, key: list[str], *prompts: Column) -> DataFrame:
+    """One row per prompt; several prompts about a row still read that row once."""
+    return rows.select(*key, F.explode(F.array(*prompts)).alias("_p")).select(*key, "_p.*")
+
+
 def page_prompts(pages: DataFrame, goal: Column) -> DataFrame:
     """Plan, multi-page plan and robust-selector prompts for every page."""
-    html, url, key = F.col("html"), F.col("url"), ["page_id"]
-    plan = prompt_rows(pages, "PLANNER_CREATE_PLAN", key, targetUrl=url, extractionGoal=goal, htmlSample=bounded(html, "plan"))
-    many = prompt_rows(
-        pages, "MULTIPAGE_PLAN", key, mainPageUrl=url, dataToCollect=goal, paginationPattern=F.lit("unknown"), htmlSample=bounded(html, "plan")
-    )
-    robust = prompt_rows(pages, "SELECTOR_ROBUST", key, targetDescription=goal, htmlSample=bounded(html, "robust"))
-    return plan.unionByName(many).unionByName(robust)
+    html, url = F.col("html"), F.col("url")
+    plan = prompt_of("PLANNER_CREATE_PLAN", targetUrl=url, extractionGoal=goal, htmlSample=bounded(html, "plan"))
+    many = prompt_of("MULTIPAGE_PLAN", mainPageUrl=url, dataToCollect=goal, paginationPattern=F.lit("unknown"), htmlSample=bounded(html, "plan"))
+    robust = prompt_of("SELECTOR_ROBUST", targetDescription=goal, htmlSample=bounded(html, "robust"))
+    return prompt_rows(pages, ["page_id"], plan, many, robust)
 
 
 def selector_summary(selectors: DataFrame, *key: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from operator import attrgetter
 
@@ -76,6 +77,7 @@ AUTO_CLOSE = {
 }
 _P_SCOPE = frozenset("button caption html table td th".split())
 _CLOSE_P = (frozenset(["p"]), _P_SCOPE)
+_PLAIN_INSIDE = frozenset("textarea title".split())  # text with entities, but no tags
 _SILENT = frozenset("script style".split())
 _HALF_TAG = re.compile(r"</?[a-zA-Z]")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -216,6 +218,8 @@ class _Tree(HTMLParser):
         n.faded = n.faded or bool(_FADED.search(style))
         if tag in VOID:
             self._pop_to(len(self.stack) - 1, n.i0)
+        elif tag in _PLAIN_INSIDE:
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -234,6 +238,8 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         at, top = self._here(), self.stack[-1]
+        if self.cdata_elem in _PLAIN_INSIDE:
+            data = unescape(data)
         if len(self.stack) < 3 and not data.strip():
             return
         if top.tag in (None, "html", "head") and data.strip():
@@ -331,13 +337,14 @@ def rejected(pages: DataFrame) -> DataFrame:
 
 
 def save_nodes(nodes: DataFrame, name: str, path: str, buckets: int) -> None:
-    """Write nodes as a table bucketed on the page.
+    """Write nodes as a table partitioned by kind and bucketed on the page.
 
     One shuffle here removes the page shuffle from every later structural join.
     """
     (
         nodes.repartition(buckets, "page_id")
-        .write.bucketBy(buckets, "page_id")
+        .write.partitionBy("kind")
+        .bucketBy(buckets, "page_id")
         .sortBy("page_id", "pre")
         .option("path", path)
         .saveAsTable(name)

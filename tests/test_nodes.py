@@ -49,6 +49,7 @@ def test_loose_markup():
     assert body("a<p") == "a"
     assert body("a<!-- open") == "a<!-- open-->"
     assert body("<p>x<script>if(a<b){'</p>'}</script>y") == "p(xscript(if(a<b){'</p>'})y)"
+    assert shape("<title>a <b>&amp;c</title><textarea><i>&lt;") == "html(head(title(a <b>&c))body(textarea(<i><)))"
     assert shape("<script>open") == "html(head(script(open)))"
 
 
