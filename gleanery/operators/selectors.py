@@ -3,7 +3,9 @@
 A selector text becomes a short list of steps; each step is a Column
 predicate plus how it hangs off the step before it:
 
-* descendant steps: one window per step over ``(page_id, pre)``. Pre-order
+* steps whose ancestors are plain tags (``nav ul > li a.x``) are decided on the
+  row itself, by its tag path: a filter, no shuffle.
+* other descendant steps: one window per step over ``(page_id, pre)``. Pre-order
   intervals nest, so "some matched row before me ends after me" means "a
   matched ancestor". A run of such steps shares one scan, one shuffle and one
   sort, and never compares pairs of nodes.
@@ -33,6 +35,9 @@ class InvalidSelector(ValueError):
 class Step:
     link: str  # " " descendant, ">" child, "+" next sibling, "~" later sibling
     tests: list[Column] = field(default_factory=list)
+    tag: str = "*"
+    plain: bool = True  # nothing but a tag is asked for
+    root: bool = False  # must be the top element
 
     def test(self) -> Column:
         """Plain conjunction, so that a filter on it reaches the parquet scan."""
@@ -133,7 +138,9 @@ def _css_chain(text: str) -> list[Step]:
         elif g["tag"] is not None:
             raise InvalidSelector(text)
         fresh = False
+        steps[-1].plain &= g["tag"] is not None
         if g["tag"] is not None:
+            steps[-1].tag = _plain(g["tag"]).lower()
             test = F.lit(True) if g["tag"] == "*" else F.col("tag") == _plain(g["tag"]).lower()
         elif g["id"] is not None:
             test = F.col("id") == _plain(g["id"])
@@ -171,9 +178,10 @@ def xpath_steps(xpath: str) -> tuple[list[Step], str | None]:
             break
         step = Step(" " if m["axis"] == "//" else ">")
         if not steps and step.link == ">":
-            step = Step(" ", [F.col("depth") == 1])
+            step = Step(" ", [F.col("depth") == 1], root=True)
+        step.tag, step.plain = m["tag"].lower(), not m["preds"]
         if m["tag"] != "*":
-            step.tests.append(F.col("tag") == m["tag"].lower())
+            step.tests.append(F.col("tag") == step.tag)
         preds = re.findall(r"\[((?:\"[^\"]*\"|'[^']*'|[^\]\"'])*)\]", m["preds"])
         for i, pred in enumerate(preds):
             step.tests.append(_xpath_test(pred.strip(), m["tag"], i))
@@ -203,18 +211,55 @@ def selector_kind(selector: str) -> str:
     return "xpath" if selector.startswith("/") or selector.startswith("./") else "css"
 
 
+def _path_pattern(steps: list[Step]) -> str:
+    """Regex over tag paths. Blocks joined by ``>`` are matched at their earliest
+    place and never given back, so deep pages cannot make it backtrack."""
+    blocks: list[str] = []
+    for s in steps:
+        seg = "/" + ("[^/]+" if s.tag == "*" else rf"\Q{s.tag}\E")
+        if s.link == " ":
+            blocks.append(seg)
+        else:
+            blocks[-1] += seg
+    skips = ["" if s.root else "(?:/[^/]+)*" for s in steps if s.link == " "]
+    lead = "".join(f"(?>{skip and skip + '?'}{b})" for skip, b in zip(skips[:-1], blocks[:-1]))
+    return rf"\A{lead}{skips[-1]}{blocks[-1]}\z"
+
+
+def _row_test(steps: list[Step]) -> Column | None:
+    """A predicate that decides the whole chain on the element's own row, if there is one."""
+    last = steps[-1]
+    if len(steps) == 1:
+        return last.test()
+    tags = all(s.tag == "*" or re.fullmatch(r"[\w:-]+", s.tag) for s in steps)
+    if not tags or any(s.link not in (" ", ">") for s in steps) or not all(s.plain for s in steps[:-1]):
+        return None
+    return last.test() & F.col("path").rlike(_path_pattern(steps))
+
+
+def _row_tests(chains: list[list[Step]]) -> Column | None:
+    out = None
+    for chain in chains:
+        test = _row_test(chain)
+        if test is None:
+            return None
+        out = test if out is None else out | test
+    return out
+
+
 def _run(nodes: DataFrame, steps: list[Step], cols: tuple[str, ...]) -> DataFrame:
     els, cur, i = elements(nodes), None, 0
+    if (test := _row_test(steps)) is not None:
+        return els.filter(test).select(*_columns(cols))
     while i < len(steps):
         stop = i + 1
-        while stop < len(steps) and steps[stop].link == " ":
-            stop += 1
+        if steps[i].link == " ":
+            while stop < len(steps) and steps[stop].link == " ":
+                stop += 1
         wide = cols if stop == len(steps) else ()
         if steps[i].link == " ":
             cur = _descend(els, cur, steps[i:stop], wide)
         else:
-            stop = i + 1
-            wide = cols if stop == len(steps) else ()
             cur = _beside(els, cur, steps[i], wide)
         i = stop
     return cur
@@ -224,11 +269,18 @@ def _columns(wide: tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys((*_LINKS, *wide)))
 
 
+def _with_tags(els: DataFrame, steps: list[Step]) -> DataFrame:
+    """Keep only the tags the steps name; unlike the full tests this reaches the parquet scan."""
+    tags = sorted({s.tag for s in steps})
+    return els if "*" in tags else els.filter(F.col("tag").isin(tags))
+
+
 def _descend(els: DataFrame, cur: DataFrame | None, run: list[Step], wide: tuple[str, ...]) -> DataFrame:
     tests = [s.test() for s in run]
     any_test = tests[0]
     for t in tests[1:]:
         any_test = any_test | t
+    els = _with_tags(els, run)
     if cur is None and len(run) == 1:
         return els.filter(any_test).select(*_columns(wide))
     rows = els.filter(any_test).select(*_columns(wide), *[F.coalesce(t, F.lit(False)).alias(f"_f{k}") for k, t in enumerate(tests)])
@@ -264,7 +316,11 @@ def _beside(els: DataFrame, cur: DataFrame, step: Step, wide: tuple[str, ...]) -
 
 def select_css(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
     """Elements matching a CSS selector list, each once (S3)."""
-    chains = [_run(nodes, steps, cols) for steps in css_steps(selector)]
+    parsed = css_steps(selector)
+    if (test := _row_tests(parsed)) is not None:
+        last = _with_tags(elements(nodes), [c[-1] for c in parsed])
+        return last.filter(test).select(*dict.fromkeys((*KEY, *cols)))
+    chains = [_run(nodes, steps, cols) for steps in parsed]
     out = chains[0]
     for c in chains[1:]:
         out = out.unionByName(c)
@@ -311,19 +367,20 @@ def select_or_empty(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
 def select_many(nodes: DataFrame, selectors: dict[str, str], *cols: str) -> DataFrame:
     """Matches of several labelled selectors as (label, page_id, pre, cols).
 
-    All one-step selectors share a single scan; each longer one adds a branch.
+    All selectors decided on the row itself share a single scan; each other
+    one adds a branch.
     Unusable selectors match nothing.
     """
-    simple, out = {}, None
+    simple, lasts, out = {}, [], None
     for label, sel in selectors.items():
         if not is_valid(sel):
             continue
-        chains = [xpath_steps(sel)[0]] if selector_kind(sel) == "xpath" else css_steps(sel)
-        if all(len(c) == 1 for c in chains) and not (selector_kind(sel) == "xpath" and xpath_steps(sel)[1]):
-            test = chains[0][0].test()
-            for c in chains[1:]:
-                test = test | c[0].test()
+        steps, end = xpath_steps(sel) if selector_kind(sel) == "xpath" else (None, None)
+        chains = [steps] if steps else css_steps(sel)
+        test = _row_tests(chains)
+        if test is not None and not end:
             simple[label] = test
+            lasts += [c[-1] for c in chains]
         else:
             rows = select(nodes, sel, *cols).select(F.lit(label).alias("label"), *KEY, *cols)
             out = rows if out is None else out.unionByName(rows)
@@ -332,7 +389,8 @@ def select_many(nodes: DataFrame, selectors: dict[str, str], *cols: str) -> Data
         for t in simple.values():
             any_test = any_test | t
         labels = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in simple.items()])).cast("array<string>")
-        rows = elements(nodes).filter(any_test).select(F.explode(labels).alias("label"), *KEY, *cols)
+        els = _with_tags(elements(nodes), lasts) if lasts else elements(nodes)
+        rows = els.filter(any_test).select(F.explode(labels).alias("label"), *KEY, *cols)
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.dom import with_text
@@ -12,23 +12,26 @@ from gleanery.sources.nodes import elements
 _TABLE = ["page_id", "table_pre"]
 
 
-def _items(nodes: DataFrame) -> DataFrame:
-    """Rows and cells with the tables and rows around them.
+def _around(tag: str) -> Column:
+    """``pre`` numbers of the ancestors with a tag: the tag path runs beside the ancestor list."""
+    up, tags = F.slice("anc", 2, F.greatest(F.size("anc") - 1, F.lit(0))), F.split("path", "/")
+    return F.filter(up, lambda _, i: F.get(tags, i + 1) == tag)
 
-    One equi join on the ancestor list answers every containment question.
-    A cell of a nested table belongs to the outer table and row as well.
-    """
-    items = with_text(elements(nodes).filter(F.col("tag").isin("tr", "th", "td")).select("page_id", "pre", "tag", "anc", "text"), nodes)
-    marks = elements(nodes).filter(F.col("tag").isin("table", "thead", "tr")).select(
-        "page_id", F.col("pre").alias("up"), F.col("tag").alias("up_tag"), F.col("sib_pos").alias("up_pos")
+
+def _items(nodes: DataFrame) -> DataFrame:
+    """Rows and cells with the table and rows around them; nested tables count for the outer one too."""
+    items = elements(nodes).filter(F.col("tag").isin("tr", "th", "td")).select(
+        "page_id", "pre", "tag", "text", _around("table").alias("tables"), _around("tr").alias("rows"),
+        F.col("path").contains("/thead/").alias("in_thead"),
     )
-    around = items.select("page_id", "pre", "tag", "value", F.explode("anc").alias("up")).join(marks, ["page_id", "up"])
-    facts = around.groupBy("page_id", "pre", "tag", "value").agg(
-        F.collect_list(F.when(F.col("up_tag") == "table", F.col("up"))).alias("tables"),
-        F.collect_list(F.when(F.col("up_tag") == "tr", F.col("up"))).alias("rows"),
-        F.bool_or(F.col("up_tag") == "thead").alias("in_thead"),
-        F.bool_or((F.col("up_tag") == "tr") & (F.col("up_pos") == 1)).alias("in_first"),
+    items = with_text(items, nodes)
+    first = elements(nodes).filter((F.col("tag") == "tr") & (F.col("sib_pos") == 1)).select("page_id", F.col("pre").alias("row_pre"))
+    in_first = (
+        items.select("page_id", "pre", F.explode("rows").alias("row_pre"))
+        .join(first, ["page_id", "row_pre"], "left_semi")
+        .select("page_id", "pre").distinct().withColumn("in_first", F.lit(True))
     )
+    facts = items.join(in_first, ["page_id", "pre"], "left").withColumn("in_first", F.coalesce("in_first", F.lit(False)))
     return facts.withColumn("table_pre", F.explode("tables")).drop("tables")
 
 

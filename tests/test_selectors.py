@@ -157,7 +157,21 @@ def test_generated_selectors_are_unique_where_they_say_so(page):
                 assert len(brute.find(" > ".join(parts[k:]))) > 1, r
 
 
-def test_plan_is_one_scan_and_one_shuffle(page):
-    plan = sel.select_css(page, "div ul li a")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "EqualTo(tag,div)" in plan.split("PushedFilters")[1]
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(page):
+    by_path = plan_of(sel.select_css(page, "div ul > li a.x, nav b"))
+    assert by_path.count("FileScan") == 1 and "Exchange" not in by_path
+    by_window = plan_of(sel.select_css(page, "div.a ul li a"))
+    assert by_window.count("FileScan") == 1 and by_window.count("Exchange") == 1
+    assert "Cartesian" not in by_window and "NestedLoop" not in by_window
+    assert "In(tag, [a,div,li,ul])" in by_window.split("PushedFilters")[1]
+
+
+def test_path_pattern_does_not_backtrack(parse):
+    deep = "<div>" * 500 + "<b>x</b>"
+    _, n = parse(deep)
+    assert sel.select_css(n, "div div div div div div ul div b").count() == 0
+    assert sel.select_css(n, "div div > div div > div > div b").count() == 1
