@@ -14,8 +14,9 @@ _TABLE = ["page_id", "table_pre"]
 
 def _around(tag: str) -> Column:
     """``pre`` numbers of the ancestors with a tag: the tag path runs beside the ancestor list."""
-    up, tags = F.slice("anc", 2, F.greatest(F.size("anc") - 1, F.lit(0))), F.split("path", "/")
-    return F.filter(up, lambda _, i: F.get(tags, i + 1) == tag)
+    n = F.greatest(F.size("anc") - 1, F.lit(0))
+    up, tags = F.slice("anc", 2, n), F.slice(F.split("path", "/"), 2, n)
+    return F.array_compact(F.zip_with(up, tags, lambda pre, t: F.when(t == tag, pre)))
 
 
 def _items(nodes: DataFrame) -> DataFrame:
