@@ -12,8 +12,8 @@ Three machines are compiled from the model file and composed with each text:
   depends on the piece before it: it costs nothing if merging the two pieces'
   joined symbols from scratch gives the two pieces again, and infinity if not. A
   sequence in which every neighbouring pair passes is what merging the whole text
-  gives, so exactly one path of finite cost ends at each state, and the search
-  may stop at the first arc that gets there.
+  gives, so at most one path of finite cost leads to each state: the search goes
+  depth first, long arcs first, and never enters a state twice.
 
 No piece holds a symbol followed by a space mark, so shortest paths are found
 word by word and remembered, within a fixed number of words.
@@ -75,13 +75,15 @@ class Transducer:
         self.model = model
         self.ids = {p: i for p, (i, _) in model.pieces.items()}
         self.score = {p: s for p, (_, s) in model.pieces.items()}
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}  # states of the trie
+        # states of the trie, and whether a piece ends there
+        self.states = {p[:k]: p[:k] in self.ids for p in self.ids for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.ids), default=1)
         # where no piece goes on, paths of the parts are independent
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = None if inner else re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.paths: dict[str, bytes] = {}
         self.out: list[bytes | int] = [b""] * model.size
         for p, i in self.ids.items():
@@ -111,40 +113,57 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, left: str, right: str) -> bool:
+    def _open(self, left: str, right: str) -> bool:
         """Whether the arc of ``right`` is open after that of ``left``."""
-        key = (left, right)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(left + right) == [left, right]
+        if len(self.pairs) > 50_000:
+            self.pairs.clear()
+        after = self.pairs.setdefault(left, {})
+        got = after[right] = self.merged(left + right) == [left, right]
         return got
 
     def _arcs(self, s: str, i: int) -> list[str]:
-        """Input labels of the arcs that leave position i."""
-        out, starts, ids = [], self.starts, self.ids
+        """Input labels of the arcs that leave position i, from short to long."""
+        out, get = [], self.states.get
         for j in range(i + 1, min(len(s), i + self.longest) + 1):
             t = s[i:j]
-            if t not in starts:
+            ends = get(t)
+            if ends is None:
                 break
-            if t in ids:
+            if ends:
                 out.append(t)
         return out or [s[i]]
 
     def _merge_path(self, s: str) -> list[str]:
-        n = len(s)
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        for i in range(n):
-            before = last[i]
-            if before is None:
-                continue
-            for t in self._arcs(s, i):
-                j = i + len(t)
-                if last[j] is None and (not before or self.stands(before, t)):
-                    last[j] = t
-        return self._back(s, last)
+        n, i, before = len(s), 0, ""
+        out: list[str] = []
+        options = [self._arcs(s, 0)]
+        dead: set[int] = set()
+        pairs = self.pairs
+        while i < n:
+            arcs = options[-1]
+            after = pairs.get(before) or {}
+            while arcs:
+                t = arcs.pop()
+                if dead and i + len(t) in dead:
+                    continue
+                if before:
+                    is_open = after.get(t)
+                    if is_open is None:
+                        is_open = self._open(before, t)
+                    if not is_open:
+                        continue
+                out.append(t)
+                i += len(t)
+                before = t
+                if i < n:
+                    options.append(self._arcs(s, i))
+                break
+            else:
+                dead.add(i)
+                options.pop()
+                i -= len(out.pop())
+                before = out[-1] if out else ""
+        return out
 
     def _unigram_path(self, s: str) -> list[str]:
         n = len(s)
@@ -168,14 +187,14 @@ class Transducer:
 
     def path(self, s: str) -> bytes:
         """Output ids of the shortest path, as little-endian 32-bit numbers."""
-        out: list[int] = []
+        codes = self.codes
+        out = []
         for t in self._merge_path(s) if self.model.merges else self._unigram_path(s):
-            i = self.ids.get(t)
-            if i is None:
-                out.extend(self.model.bytes[b] for b in t.encode())
-            else:
-                out.append(i)
-        return np.array(out, "<i4").tobytes()
+            code = codes.get(t)
+            if code is None:
+                code = codes[t] = b"".join(self.model.bytes[b].to_bytes(4, "little") for b in t.encode())
+            out.append(code)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         symbols = self.normalise(text)
