@@ -33,7 +33,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``id, n_words, n_removed, kept_sha256`` and, if asked for, ``kept_text``."""
     plan = repeats.Plan(words=True, window=window, gram=min(gram, window), earlier=True)
     rows = repeats.marked(docs, plan, "debruijn", id_col, text_col, keep_text)
-    out = rows.select(repeats.with_id(rows, id_col), F.col("_size").alias("n_words"), F.col("_gone").alias("n_removed"), F.col("_sha").alias("kept_sha256"), F.col("_kept").alias("kept_text"))
+    out = rows.select(F.col("_row.rest")[id_col].alias(id_col), F.col("_size").alias("n_words"), F.col("_gone").alias("n_removed"), F.col("_sha").alias("kept_sha256"), F.col("_kept").alias("kept_text"))
     return out if keep_text else out.drop("kept_text")
 
 
@@ -57,4 +57,4 @@ FROM words LEFT JOIN kept USING (rn)
 """,
 )
 def op9_debruijn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_words(table(spark, sf_dir, "documents"), keep_text=False)
+    return remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.llm import arrays as A
 from gleanery.session import written
@@ -57,9 +58,14 @@ class Plan:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_key`` orders documents (a null id comes last); with ``_th`` it names a row, up to equal rows."""
+    """``_key`` orders documents (a null id comes last); with ``_th`` it names a row, up to equal rows.
+
+    ``_row`` carries the other columns, whatever their names, and whether the text is null.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_key"), F.hash(text).alias("_th"), text.alias("_text"))
+    rest = F.struct(*[c for c in docs.columns if c != text_col])
+    row = F.struct(rest.alias("rest"), F.col(text_col).isNull().alias("empty"))
+    return docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_key"), F.hash(text).alias("_th"), text.alias("_text"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -191,6 +197,7 @@ def decide_windows(single: DataFrame, plan: Plan, name: str) -> DataFrame:
 
 
 _MARKED = "_key long, _th int, _size long, _gone long, _spans long, _sha string, _kept string"
+_MARKED_NAMES = ["_row", "_key", "_th", "_size", "_gone", "_spans", "_sha", "_kept"]
 
 
 def _mark(text: bytes, intervals: tuple[np.ndarray, np.ndarray], plan: Plan, keep_text: bool) -> tuple:
@@ -208,7 +215,7 @@ def _mark(text: bytes, intervals: tuple[np.ndarray, np.ndarray], plan: Plan, kee
 
 
 def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per document: ``_key, _th, _size, _gone, _spans, _sha, _kept``.
+    """One row per document: ``_row, _key, _th, _size, _gone, _spans, _sha, _kept``.
 
     ``_kept`` is the text that is left, if asked for; bytes of a character that
     lost some of its bytes are dropped from it, while ``_sha`` digests all bytes.
@@ -222,7 +229,7 @@ def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_
         """Documents without such pieces are done; the others keep their texts."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            keys, ths, text, lists = (b.column(k) for k in range(4))
+            keys, ths, text, lists, row = (b.column(k) for k in range(5))
             free = lists.is_null().to_pylist()
             # a few megabytes of text at a time
             rows, held = [], 0
@@ -236,13 +243,16 @@ def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_
                 if held > 8 * A.SEGMENT or i + 1 == len(b):
                     at = i + 1 - len(rows)
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), lists.type))]
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, len(rows)), ths.slice(at, len(rows)), *cols], ["_key", "_th", "_size", "_gone", "_spans", "_sha", "_kept", "_text", "_list"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(rows)) for c in (row, keys, ths)), *cols], [*_MARKED_NAMES, "_text", "_list"])
                     rows, held = [], 0
 
-    joined = named.join(todo, ["_key", "_th"], "left").select("_key", "_th", "_text", "_list")
-    parted = written(joined.mapInArrow(split, f"{_MARKED}, _text string, _list array<struct<_lo: int, _n: int>>"), f"{name}-texts")
+    def schema(kinds: str) -> T.StructType:
+        return T.StructType([named.schema["_row"], *T._parse_datatype_string(kinds).fields])
+
+    joined = named.join(todo, ["_key", "_th"], "left").select("_key", "_th", "_text", "_list", "_row")
+    parted = written(joined.mapInArrow(split, schema(f"{_MARKED}, _text string, _list array<struct<_lo: int, _n: int>>")), f"{name}-texts")
     done = parted.where("_text IS NULL").drop("_text", "_list")
-    texts = parted.where("_text IS NOT NULL").select("_key", "_th", "_text", "_list")
+    texts = parted.where("_text IS NOT NULL").select("_key", "_th", "_text", "_list", "_row")
     if plan.block:
         opened = decide(written(blocks(texts, plan), f"{name}-blocks"), plan, f"{name}-block")
         whole.append(opened.where("_whole").select("_key", "_th", "_lo", "_n"))
@@ -256,7 +266,7 @@ def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            keys, ths, text, lists = (b.column(k) for k in range(4))
+            keys, ths, text, lists, row = (b.column(k) for k in range(5))
             bare = lists.is_null().to_pylist()
             rows, held = [], 0
             for i in range(len(b)):
@@ -266,12 +276,8 @@ def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_
                 if held > 8 * A.SEGMENT or i + 1 == len(b):
                     at = i + 1 - len(rows)
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, len(rows)), ths.slice(at, len(rows)), *cols], ["_key", "_th", "_size", "_gone", "_spans", "_sha", "_kept"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(rows)) for c in (row, keys, ths)), *cols], _MARKED_NAMES)
                     rows, held = [], 0
 
-    gone = texts.drop("_list").join(listed(hits, "_list"), ["_key", "_th"], "left").select("_key", "_th", "_text", "_list")
-    return done.unionByName(gone.mapInArrow(finish, _MARKED))
-
-
-def with_id(rows: DataFrame, id_col: str = "doc_id") -> Column:
-    return F.when(F.col("_key") != _LAST, F.col("_key")).alias(id_col)
+    gone = texts.drop("_list").join(listed(hits, "_list"), ["_key", "_th"], "left").select("_key", "_th", "_text", "_list", "_row")
+    return done.unionByName(gone.mapInArrow(finish, schema(_MARKED)))

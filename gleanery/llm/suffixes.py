@@ -43,12 +43,20 @@ def remove_repeated_bytes(
     plan = repeats.Plan(words=False, window=window, gram=min(gram, window), earlier=False, block=min(block, window))
     rows = repeats.marked(docs, plan, "suffixes", id_col, text_col, keep_text)
     out = rows.select(
-        repeats.with_id(rows, id_col), F.col("_size").alias("n_bytes"), F.col("_gone").alias("n_removed"), F.col("_spans").alias("n_spans"),
+        F.col("_row.rest")[id_col].alias(id_col), F.col("_size").alias("n_bytes"), F.col("_gone").alias("n_removed"), F.col("_spans").alias("n_spans"),
         F.col("_sha").alias("kept_sha256"), F.col("_kept").alias("kept_text"),
     )
     return out if keep_text else out.drop("kept_text")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with what is left of each text, and its length in ``n_chars`` if there is such a column; a null text stays null."""
+    rows = repeats.marked(docs, repeats.Plan(words=False, window=WINDOW, gram=GRAM, earlier=False, block=BLOCK), "suffixes", id_col, text_col, True)
+    text = F.when(~F.col("_row.empty"), F.col("_kept"))
+    new = {text_col: text, n_chars: F.when(~F.col("_row.empty"), F.length("_kept").cast("long"))}
+    return rows.select(*[(new[c] if c in new else F.col("_row.rest")[c]).alias(c) for c in docs.columns])
+
+
 @query("op10_radix_suffixes")
 def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(table(spark, sf_dir, "documents"), keep_text=False)
+    return remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.llm.base import query, table
 from gleanery.session import written
@@ -248,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return mined, train(votes, q, weight)
 
 
-def score(docs: DataFrame, mined: list[str], coefficients: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; other columns stay."""
+def score(docs: DataFrame, mined: list[str], coefficients: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``row`` (all columns of ``docs`` as a struct, whatever their names) and ``score``."""
     coefs = coefficients.tolist()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,16 +261,19 @@ def score(docs: DataFrame, mined: list[str], coefficients: np.ndarray, id_col: s
                 fired = voters.fired(t.as_py() or "")
                 z = coefs[-1] + (coefs[-3] * np.log1p(len(fired)) + coefs[-2] if fired else 0.0) + sum(coefs[i] for i in fired)
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["_id", "_text", "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["row", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(rate, f"_id {kind}, _text string, _score double")
+    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text"))
+    return packed.mapInArrow(rate, T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more."""
+    return score(docs, *fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
 
 
 @query("op1_toxicity_scores")
 def op1_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rated = score(docs, *fit(docs, table(spark, sf_dir, "labels")))
-    return rated.select(
-        F.col("_id").alias("doc_id"), held_out("_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    rated = score(docs.select("doc_id", "text"), *fit(docs, table(spark, sf_dir, "labels")))
+    return rated.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -44,14 +44,14 @@ def brute_components(rows, radius=4):
 def test_given_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, fingerprint(r.text)) for r in docs.collect()]
-    got = sorted([(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()], key=str)
+    got = sorted([(r.id, r.fps[0] % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()], key=str)
     assert got == brute_components(rows)
 
 
 def test_edges(spark):
     rows = [(5, None), (2, ""), (9, " \t"), (1, "One"), (7, "one"), (8, "a b c"), (8, "a b c"), (None, "a b c"), (None, "zz"), (4, "x " * 70000), (3, "ÄÖ  x\x1fy")]
     docs = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, fp int, rep int")
-    got = sorted([(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()], key=str)
+    got = sorted([(r.id, r.fps[0] % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()], key=str)
     assert got == brute_components([(a, fingerprint(b)) for a, b in rows])
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -71,8 +71,28 @@ def test_cells_lose_no_link(spark):
         at ^= 0b111 << i
         fps.add(at)
     rows = list(enumerate(sorted(fps)))
-    prints = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "rep long, fp long")
+    prints = spark.createDataFrame([(i, [f - (1 << 64) if f >> 63 else f]) for i, f in rows], "rep long, fps array<long>")
     from gleanery.llm.components import components
 
     root = {x.node: x.root for x in components(simhash.links(prints, cell=16)).collect()}
     assert [(i, f, root.get(i, i)) for i, f in rows] == sorted(brute_components(rows))
+
+
+def test_keep_one(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(r.choice(words) for _ in range(120)) for _ in range(12)]
+    rows, want = [], set()
+    for g, text in enumerate(base):
+        want.add(10 * g)
+        rows.append((10 * g, text))
+        for k in range(1, 4):  # one word changed: similar by over 0.9
+            ws = text.split()
+            ws[r.randrange(120)] = "new"
+            rows.append((10 * g + k, " ".join(ws)))
+    rows += [(0, base[0]), (200, None), (201, ""), (202, " "), (None, base[1]), (None, base[1]), (203, "short one"), (204, "Short One")]
+    docs = spark.createDataFrame([(a, b, 7) for a, b in rows], "doc_id long, text string, id int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [x.doc_id for x in kept.collect()]
+    assert sorted(x for x in got if x is not None) == sorted(want | {200, 203}) and got.count(None) == 2
