@@ -8,7 +8,7 @@ from gleanery.checks.base import SQL_LINKS, long, nodes, order_nodes, pages, que
 from gleanery.functions.scalars import resolve_url
 from gleanery.operators import batch, dom, paths, recover, tables
 from gleanery.operators import selectors as sel
-from gleanery.operators.prompts import bounded
+from gleanery.operators.prompts import CUT, bounded
 from gleanery.sources.nodes import elements
 
 SQL_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
@@ -189,8 +189,7 @@ def attr_map(spark, sf):
 )
 def inner_html(spark, sf):
     pg, found = pages(spark, sf), sel.select_css(nodes(spark, sf), "nav", *dom.HTML_SPAN)
-    inner = dom.with_html(found, pg).select("page_id", F.col("value").alias("inner_html"))
-    return inner.join(dom.with_html(found, pg, inner=False).select("page_id", F.col("value").alias("outer_html")), "page_id")
+    return dom.with_html(found, pg, both=True).select("page_id", "inner_html", "outer_html")
 
 
 @query("extract_links", f"WITH {SQL_LINKS} SELECT page_id, (pos - 1)::BIGINT AS pos, href AS value FROM links")
@@ -269,7 +268,7 @@ def main_content_text(spark, sf):
         FROM a LEFT JOIN s USING (page_id)""",
 )
 def dom_context(spark, sf):
-    return dom.dom_context(nodes(spark, sf))
+    return dom.dom_context(nodes(spark, sf), max_depth=3, max_elements=100)
 
 
 @query(
@@ -280,7 +279,7 @@ def dom_context(spark, sf):
 def truncate_html(spark, sf):
     h = F.col("html")
     return pages(spark, sf).select(
-        "page_id", F.md5(bounded(h, "plan")).alias("plan_md5"), bounded(h, "recover").alias("recover_html"), bounded(h, "feedback").alias("feedback")
+        "page_id", F.md5(bounded(h, 30_000, CUT)).alias("plan_md5"), bounded(h, 10_000, "...").alias("recover_html"), bounded(h, 100).alias("feedback")
     )
 
 
@@ -293,7 +292,7 @@ def truncate_html(spark, sf):
 def relevant_html(spark, sf):
     ns = nodes(spark, sf)
     hits = sel.select_css(ns, "html[lang='de'] nav li", "parent")
-    return dom.relevant_html(pages(spark, sf), ns, hits, sel.select_css(ns, "article"), limit=5000)
+    return dom.relevant_html(pages(spark, sf), ns, hits, sel.select_css(ns, "article"), 100, 5000)
 
 
 @query(

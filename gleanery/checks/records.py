@@ -45,6 +45,12 @@ def dom_extract_capped(spark, sf):
     return card_records(spark, sf, cap=100, per_page=150).select(*CARD_COLS, long("rec_no").alias("rec_no"))
 
 
+@query("dom_extract_uncapped", f"SELECT {CARD_SQL}, 1 + p_partkey % 150 AS rec_no FROM part")
+def dom_extract_uncapped(spark, sf):
+    """More than a hundred records on a page, all of them read."""
+    return card_records(spark, sf, cap=None, per_page=150).select(*CARD_COLS, long("rec_no").alias("rec_no"))
+
+
 @query("multi_page_union", f"SELECT p_partkey // 20 AS page_id, p_partkey::VARCHAR AS key, p_name AS name FROM part UNION ALL SELECT p_partkey // 150, p_partkey::VARCHAR, p_name FROM part")
 def multi_page_union(spark, sf):
     """Records of two crawls under one another."""
@@ -56,12 +62,13 @@ def multi_page_union(spark, sf):
     "extract_metadata",
     f"""SELECT page_id, CASE WHEN {SQL_LANG_DE} THEN len(regexp_extract_all(html, '<p>')) ELSE 0 END::BIGINT AS found,
           CASE WHEN {SQL_LANG_DE} THEN least(len(regexp_extract_all(html, '<p>')), 5) ELSE 0 END::BIGINT AS extracted,
-          CASE WHEN {SQL_LANG_DE} THEN 'xpath' END AS selector_type, {SQL_LANG_DE} AS success,
+          CASE WHEN {SQL_LANG_DE} THEN greatest(len(regexp_extract_all(html, '<p>')) - 5, 0) ELSE 0 END::BIGINT AS cut, 'table.grid' AS css_selector,
+          '//html[@lang=''de'']//article/p' AS xpath_selector, CASE WHEN {SQL_LANG_DE} THEN 'xpath' END AS selector_type, {SQL_LANG_DE} AS success,
           CASE WHEN NOT {SQL_LANG_DE} THEN 'No elements found using the provided selectors' END AS error FROM pages""",
 )
 def extract_metadata(spark, sf):
     out = extract.extract_metadata(pages(spark, sf), nodes(spark, sf), "table.grid", "//html[@lang='de']//article/p", 5)
-    return out.withColumns({"found": long("found"), "extracted": long("extracted")})
+    return out.drop("run_ts").withColumns({c: long(c) for c in ("found", "extracted", "cut")})
 
 
 def url_answers(spark, sf):
@@ -87,12 +94,12 @@ def _with_fallback(spark, sf, cap):
 
 @query("sample_extract", _link_texts(5))
 def sample_extract(spark, sf):
-    return _with_fallback(spark, sf, extract.SAMPLE_CAP)
+    return _with_fallback(spark, sf, 5)
 
 
 @query("extract_with_fallback", _link_texts(100))
 def extract_with_fallback(spark, sf):
-    return _with_fallback(spark, sf, extract.RECORD_CAP)
+    return _with_fallback(spark, sf, 100)
 
 
 @query("tx_number", "SELECT c_custkey, c_acctbal AS n, CASE c_custkey % 3 WHEN 0 THEN c_custkey::DOUBLE WHEN 1 THEN 0.0 END AS odd FROM customer")
@@ -200,8 +207,7 @@ def scalar_or_list(spark, sf):
     raw = table(spark, sf, "events").select(
         F.col("user_id").alias("page_id"), F.col("event_type").alias("dp_id"), F.col("event_id").alias("pos"), F.col("props").alias("value")
     )
-    plan = spark.createDataFrame([(t, t in ("click", "view")) for t in ("click", "view", "error", "purchase", "signup")], "dp_id string, is_list boolean")
-    return extract.scalar_or_list(raw, plan).select("page_id", "dp_id", "pos", "value")
+    return extract.scalar_or_list(raw, ["click", "view"]).select("page_id", "dp_id", "pos", "value")
 
 
 @query(
@@ -323,12 +329,13 @@ def pagination_strategy(spark, sf):
 
 @query(
     "multi_page_plan",
-    f"""SELECT p.plan_id, 'parts of ' || q.p_brand AS goal, p.type, p.max_pages, true AS is_multi_page FROM ({PAGING_SQL}) p JOIN part q ON q.p_partkey = p.plan_id""",
+    f"""SELECT p.plan_id, 'parts of ' || q.p_brand AS goal, p.type, p.max_pages, 3::BIGINT AS n_fields, true AS is_multi_page FROM ({PAGING_SQL}) p JOIN part q ON q.p_partkey = p.plan_id""",
 )
 def multi_page_plan(spark, sf):
-    content = responses.parse_plans(plan_texts(spark, sf)).select("plan_id", "goal")
-    paging = paging_texts(spark, sf).select("plan_id", responses.pagination(F.col("text")).alias("p"))
-    return content.join(paging, "plan_id").select("plan_id", "goal", "p.type", long("p.max_pages").alias("max_pages"), F.lit(True).alias("is_multi_page"))
+    texts = plan_texts(spark, sf).select("plan_id", F.col("text").alias("plan")).join(paging_texts(spark, sf).select("plan_id", F.col("text").alias("paging")), "plan_id")
+    both = texts.select("plan_id", F.concat_ws("\n", "plan", "paging").alias("text"), F.col("paging"))
+    out = responses.multi_page_plans(both.select("plan_id", "text"))
+    return out.select("plan_id", "goal", F.col("paging.type").alias("type"), long("paging.max_pages").alias("max_pages"), F.size("fields").cast("long").alias("n_fields"), "is_multi_page")
 
 
 @query(
@@ -446,7 +453,7 @@ def _prompt_sql() -> str:
 
 @query("build_prompts", _prompt_sql())
 def build_prompts(spark, sf):
-    return prompts.page_prompts(pages(spark, sf), F.lit("all links")).withColumn("max_tokens", long("max_tokens"))
+    return prompts.page_prompts(pages(spark, sf), F.lit("all links"), 30_000, prompts.CUT).withColumn("max_tokens", long("max_tokens"))
 
 
 @query(
@@ -467,10 +474,8 @@ def refine_prompts(spark, sf):
     feedback = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(
         F.col("p_partkey").alias("plan_id"), F.concat(F.lit("add "), "p_type").alias("feedback"), F.concat(F.lit("<p>"), "p_name", F.lit("</p>")).alias("html")
     )
-    rows = plans.join(feedback, "plan_id")
-    summary = prompts.plan_summary(F.col("goal"), F.col("structure"), F.col("fields"), F.col("elements"))
-    ask = prompts.prompt_of("PLAN_REFINE", currentPlan=summary, feedback=F.col("feedback"), htmlSample=prompts.bounded(F.col("html"), "refine"))
-    return prompts.prompt_rows(rows, ["plan_id"], ask).select("plan_id", "prompt")
+    new, old = plans.withColumns({"ts": F.lit(2), "version_id": F.lit(2)}), plans.withColumns({"goal": F.lit("an older goal"), "ts": F.lit(1), "version_id": F.lit(1)})
+    return prompts.refine_prompts(new.unionByName(old), feedback, "plan_id", 15_000, prompts.CUT).select("plan_id", "prompt")
 
 
 @query(
@@ -548,12 +553,12 @@ def token_usage(spark, sf):
 
 @query(
     "prompt_dedup",
-    """WITH p AS (SELECT conv_id * 1000 + turn AS prompt_id, left(text, 12) AS prompt, role FROM conversations)
+    """WITH p AS (SELECT conv_id * 1000 + turn AS prompt_id, text AS prompt, role FROM conversations)
        SELECT min(prompt_id) AS prompt_id, count(*) AS n_copies FROM p GROUP BY prompt, role HAVING role <> 'system'""",
 )
 def prompt_dedup(spark, sf):
     c = table(spark, sf, "conversations")
-    asks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.substring("text", 1, 12).alias("prompt"), F.lit("m").alias("model"), F.col("role").alias("system"))
+    asks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt"), F.lit("m").alias("model"), F.col("role").alias("system"))
     done = asks.filter("system = 'system'").select(responses.prompt_key(F.col("prompt"), F.col("model"), F.col("system")).alias("cache_key")).distinct()
     return responses.distinct_prompts(asks, "prompt_id", done).select("prompt_id", "n_copies")
 

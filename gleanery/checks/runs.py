@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.checks.base import SQL_HOST, SQL_LINKS, long, nodes, pages, query, table
+from gleanery.checks.base import SQL_HOST, SQL_LINKS, long, nodes, pages, query, sql_plain, table
 from gleanery.checks.dom import SQL_LANG_DE
 from gleanery.checks.scans import LOG_SQL, change_log, event_logs
 from gleanery.operators import batch, extract, recover
 from gleanery.operators.extract import Field
+from gleanery.operators.selector_table import matches_on
 from gleanery.operators.selectors import select_css
 from gleanery.session import scratch, written
 from gleanery.sources.nodes import parse_pages
@@ -18,18 +19,18 @@ TRIED = [("first_link", "nav > ul.menu > li:nth-child(1) a"), ("second", "ul > l
 RULES_SQL = """(VALUES ('first_link', 'generalise', 'nav > ul.menu > li a'), ('first_link', 'parent_child', 'li:nth-child(1) a'), ('second', 'generalise', 'ul > li'))"""
 
 
-def tried(spark):
-    return spark.createDataFrame(TRIED, "dp_id string, selector string")
-
-
 def page_errors(spark, sf):
-    """Every planned field failed on every page."""
+    """Every planned field failed on every page; one field is not in the plan."""
     return pages(spark, sf).select("page_id", F.explode(F.array(*[F.lit(d) for d, _ in TRIED], F.lit("unplanned"))).alias("dp_id"))
 
 
+def failed(spark, sf):
+    return recover.failed_fields(page_errors(spark, sf), dict(TRIED))
+
+
 @query("failed_fields", "SELECT page_id, d.dp_id, d.selector FROM pages, (VALUES " + ", ".join(f"('{d}', '{s}')" for d, s in TRIED) + ") d(dp_id, selector)")
 def failed_fields(spark, sf):
-    return recover.failed_fields(page_errors(spark, sf), tried(spark)).select("page_id", "dp_id", "selector")
+    return failed(spark, sf).select("page_id", "dp_id", "selector")
 
 
 @query(
@@ -39,12 +40,11 @@ def failed_fields(spark, sf):
 )
 def recovery_attempts(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("dp_id"), "event_id", "ts")
-    return recover.attempts(e, "ts", "event_id").select("page_id", "dp_id", "event_id", long("attempt").alias("attempt"))
+    return recover.attempts(e, "ts", "event_id", limit=2).select("page_id", "dp_id", "event_id", long("attempt").alias("attempt"))
 
 
 def working(spark, sf):
-    errors = page_errors(spark, sf)
-    return recover.working_alternatives(errors, nodes(spark, sf), recover.proposals(tried(spark)))
+    return recover.working_alternatives(nodes(spark, sf), recover.proposals(failed(spark, sf)))
 
 
 RECOVERED_SQL = """
@@ -90,8 +90,8 @@ def generalize_selector(spark, sf):
     f"SELECT {SQL_HOST} AS host, 4 * count(*) AS n_failed, 2 * count(*) AS n_recovered, 0.5::DOUBLE AS rate FROM pages GROUP BY 1",
 )
 def recovery_rate(spark, sf):
-    failed = recover.failed_fields(page_errors(spark, sf), tried(spark)).join(batch.with_group(pages(spark, sf)).select("page_id", "host"), "page_id")
-    return recover.recovery_rate(failed, recover.chosen_alternative(working(spark, sf)), "host")
+    lost = failed(spark, sf).join(batch.with_group(pages(spark, sf)).select("page_id", "host"), "page_id")
+    return recover.recovery_rate(lost, recover.chosen_alternative(working(spark, sf)), "host")
 
 
 @query(
@@ -128,7 +128,7 @@ def host_profile(spark, sf):
        SELECT page_id, base_url, no::BIGINT AS page_no, row_number() OVER (PARTITION BY base_url ORDER BY no::BIGINT, page_id) AS place FROM s WHERE no <> '' QUALIFY place <= 10""",
 )
 def pagination_series(spark, sf):
-    out = batch.pagination_series(pages(spark, sf))
+    out = batch.pagination_series(pages(spark, sf), 10)
     return out.select("page_id", "base_url", long("page_no").alias("page_no"), long("place").alias("place"))
 
 
@@ -136,6 +136,7 @@ def grouped(spark, sf):
     return pages(spark, sf).select("page_id", F.regexp_extract("url", r"//[^/]*/([a-z]{2})/", 1).alias("grp"))
 
 
+GROUP_PLANS = (("en", "nav li", None), ("fr", ".none", "//nav/ul/li[2]"), ("es", "video", "//video"), ("xx", "p", None))
 SQL_GRP = "regexp_extract(url, '//[^/]*/([a-z]{2})/', 1)"
 
 
@@ -144,12 +145,67 @@ SQL_GRP = "regexp_extract(url, '//[^/]*/([a-z]{2})/', 1)"
     f"""WITH {SQL_LINKS} SELECT page_id, {SQL_GRP} AS grp, pos AS rec_no, txt FROM links WHERE {SQL_GRP} = 'en' OR ({SQL_GRP} = 'fr' AND pos = 2)""",
 )
 def batch_extract(spark, sf):
-    plans = {"en": ("nav li", None), "fr": (".none", "//nav/ul/li[2]"), "xx": ("p", None)}
-    out = batch.batch_extract(nodes(spark, sf), grouped(spark, sf), plans, [Field("txt", "a")], pages(spark, sf))
+    out, _ = batched(spark, sf)
     rec = F.when(F.col("grp") == "fr", F.lit(2)).otherwise(F.col("rec_no"))
     return out.select("page_id", "grp", long(rec).alias("rec_no"), "txt")
 
 
+def batched(spark, sf):
+    rows = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(c).cast("string").alias("css"), F.lit(x).cast("string").alias("xpath")) for g, c, x in GROUP_PLANS])
+    plans = spark.range(1).select(F.explode(rows).alias("_p")).select("_p.*")
+    return batch.batch_extract(nodes(spark, sf), grouped(spark, sf), plans, [Field("txt", "a")], pages(spark, sf))
+
+
+@query(
+    "batch_issues",
+    f"""SELECT page_id, {SQL_GRP} AS grp, CASE {SQL_GRP} WHEN 'es' THEN 'no_match' ELSE 'no_plan' END AS code FROM pages WHERE {SQL_GRP} NOT IN ('en', 'fr')""",
+)
+def batch_issues(spark, sf):
+    """Pages without records: their group has no plan, or its selectors find nothing."""
+    return batched(spark, sf)[1].select("page_id", "grp", "code")
+
+
+@query(
+    "selectors_by_table",
+    f"""WITH {SQL_LINKS} SELECT page_id, 'li:nth-of-type(' || (1 + page_id % 7) || ') > a' AS selector, txt FROM links WHERE pos = 1 + page_id % 7
+        UNION ALL SELECT page_id, '//a[@href="' || href || '"]', txt FROM links WHERE pos = 1""",
+)
+def selectors_by_table(spark, sf):
+    """Two selectors of its own for every page, as many as there are pages."""
+    ns = nodes(spark, sf)
+    first = batch.next_page_links(pages(spark, sf), ns, "li:first-child > a").select("page_id", F.concat(F.lit('//a[@href="'), "href", F.lit('"]')).alias("selector"))
+    place = pages(spark, sf).select("page_id", F.format_string("li:nth-of-type(%d) > a", F.col("page_id") % 7 + 1).alias("selector"))
+    found = matches_on(ns, place.unionByName(first))
+    return found.join(ns.filter("kind = 'element'").select("page_id", "pre", F.col("text").alias("txt")), ["page_id", "pre"]).select("page_id", "selector", "txt")
+
+
+@query(
+    "recover_from_responses",
+    f"""WITH {SQL_LINKS} SELECT page_id, 'second' AS dp_id, 'answers' AS strategy, 'li:nth-of-type(' || (1 + page_id % 4) || ')' AS selector, txt AS value FROM links WHERE pos = 1 + page_id % 4
+        UNION ALL SELECT page_id, 'ad', 'answers', 'div.ad', {sql_plain("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} FROM pages""",
+)
+def recover_from_responses(spark, sf):
+    """Alternatives of each page from answers about it; the answers come from a stand-in for a model."""
+    ns, pg = nodes(spark, sf), pages(spark, sf)
+    lost = failed(spark, sf).filter("dp_id IN ('second', 'ad', 'gone')")
+    strategies = (recover.from_answers(pg, stand_in), *recover.RULES)
+    chosen = written(recover.chosen_alternative(recover.working_alternatives(ns, recover.proposals(lost, strategies))), "chosen")
+    plan = {k: (False, "text", "") for k in ("second", "ad", "gone")}
+    again = recover.reextract(chosen, ns, pg, plan)
+    return again.join(chosen, ["page_id", "dp_id"]).select("page_id", "dp_id", "strategy", "selector", "value")
+
+
+def stand_in(prompts):
+    """Answers that depend on the page and the field; one field gets no usable proposal."""
+    import json
+
+    said = []
+    for page, field in zip(prompts["page_id"], prompts["dp_id"]):
+        good = [".none", f"li:nth-of-type({1 + page % 4})"] if field == "second" else ["div.ad"] if field == "ad" else ["video.y"]
+        said.append(json.dumps(good))
+    return prompts[["page_id", "dp_id"]].assign(text=said)
+
+
 @query(
     "sample_per_group",
     f"""WITH {SQL_LINKS}, f AS (SELECT min(page_id) AS page_id FROM pages GROUP BY {SQL_GRP})
@@ -157,7 +213,7 @@ def batch_extract(spark, sf):
 )
 def sample_per_group(spark, sf):
     first = batch.first_of_group(grouped(spark, sf))
-    out = extract.dom_extract(nodes(spark, sf), "nav li", None, [Field("txt", "a")], cap=extract.SAMPLE_CAP, only=first)
+    out = extract.dom_extract(nodes(spark, sf), "nav li", None, [Field("txt", "a")], cap=5, only=first)
     return out.select("page_id", long("rec_no").alias("rec_no"), "txt")
 
 

@@ -22,7 +22,7 @@ CARD_FIELDS = [
 ]
 
 
-def card_records(spark, sf, cap=100, per_page=20):
+def card_records(spark, sf, cap=None, per_page=20):
     return dom_extract(card_nodes(spark, sf, per_page), "ul.grid > li.card", None, CARD_FIELDS, cards(spark, sf, per_page), cap)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters the page language counts as white space.
-WS = r"\t\n\x0B\f\r    -     　﻿"
+WS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Words accepted as booleans.
 TRUE_WORDS = ("true", "yes", "1", "on")

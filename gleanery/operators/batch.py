@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import first_match, resolve_url, url_host, url_path
-from gleanery.operators.extract import Field, containers, extract_records
-from gleanery.operators.selectors import select_css
+from gleanery.operators.dom import with_text
+from gleanery.operators.extract import NO_MATCH, Field, extract_records
+from gleanery.operators.selector_table import matches_on
+from gleanery.operators.selectors import select_css, select_or_empty
+from gleanery.session import written
 from gleanery.sources.nodes import elements
 
-PAGE_LIMIT = 10  # fixed value: pages followed per series
-
 
 def url_shape(url: Column) -> Column:
     """Path with digit runs as ``{n}`` and without a trailing slash."""
@@ -51,12 +52,13 @@ def structure_groups(nodes: DataFrame) -> DataFrame:
     )
 
 
-def near_structure_groups(nodes: DataFrame, bands: int = 8, rows: int = 3) -> DataFrame:
+def near_structure_groups(nodes: DataFrame, bands: int = 8, rows: int = 3, overlap: float = 0.7) -> DataFrame:
     """(page_id, leader): pages whose tag-path sets are alike share a leader page (M2).
 
     MinHash by plain ``min`` aggregates over distinct structures. Each band
-    bucket points at its smallest structure and each structure takes the
-    smallest one it is pointed at: no bucket is expanded into pairs.
+    bucket points at its smallest structure: no bucket is expanded into pairs. A
+    pointer counts if the two path sets really overlap by ``overlap`` (shared
+    paths over all paths), and groups are closed under the pointers that count.
     """
     sig = page_structure(nodes)
     reps = sig.groupBy("signature").agg(F.min("page_id").alias("page_id"))
@@ -69,51 +71,90 @@ def near_structure_groups(nodes: DataFrame, bands: int = 8, rows: int = 3) -> Da
     )
     banded = mins.select("signature", F.posexplode(keys).alias("band", "bucket")).join(reps, "signature")
     lead = banded.groupBy("band", "bucket").agg(F.min("page_id").alias("leader"))
-    best = banded.join(lead, ["band", "bucket"]).groupBy("signature").agg(F.min("leader").alias("leader"))
+    links = banded.join(lead, ["band", "bucket"]).select(F.col("page_id").alias("a"), F.col("leader").alias("b")).where("a != b").distinct()
+    sets = paths.select("page_id", "path")
+    sizes = sets.groupBy("page_id").agg(F.count("*").alias("n"))
+    shared = links.join(sets.withColumnRenamed("page_id", "a"), "a").join(sets.withColumnRenamed("page_id", "b"), ["b", "path"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+    for side in ("a", "b"):
+        shared = shared.join(sizes.select(F.col("page_id").alias(side), F.col("n").alias(f"n_{side}")), side)
+    real = shared.where(F.col("both") >= overlap * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    leader = _closed(reps.select("page_id"), written(real, "alike"))
+    best = reps.join(leader, "page_id").select("signature", "leader")
     return sig.select("page_id", "signature").join(best, "signature").select("page_id", "leader")
 
 
-def pagination_series(pages: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
-    """Pages of ``?page=N`` series, at most ``limit`` per base URL in page order (M4)."""
+def _closed(points: DataFrame, links: DataFrame) -> DataFrame:
+    """(page_id, leader): the smallest page that links reach; every round lets each page take the smallest leader around it and that one's leader."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now, before = written(points.select("page_id", F.col("page_id").alias("leader")), "leaders"), None
+    while True:
+        around = both.join(now.select(F.col("page_id").alias("b"), "leader"), "b").groupBy(F.col("a").alias("page_id")).agg(F.min("leader").alias("_near"))
+        near = now.join(around, "page_id", "left").select("page_id", F.least("leader", "_near").alias("leader"))
+        jump = now.select(F.col("page_id").alias("leader"), F.col("leader").alias("_far"))
+        now = written(near.join(jump, "leader").select("page_id", F.least("leader", "_far").alias("leader")), "leaders")
+        total = now.agg(F.sum("leader")).first()[0]
+        if total == before:
+            return now
+        before = total
+
+
+def pagination_series(pages: DataFrame, limit: int | Column | None = None) -> DataFrame:
+    """Pages of ``?page=N`` series in page order (M4).
+
+    ``limit``: pages kept per base URL, a number or a column of ``pages`` (as a
+    plan's ``max_pages``); without it a series is whole.
+    """
     number = first_match(F.col("url"), r"[?&]page=(\d+)").try_cast("int")
     base = F.regexp_replace(F.col("url"), r"([?&])page=\d+&?", "$1")
     base = F.regexp_replace(F.regexp_replace(base, r"#.*\z", ""), r"[?&]\z", "")
-    series = pages.select("page_id", base.alias("base_url"), number.alias("page_no")).filter(F.col("page_no").isNotNull())
+    most = limit if isinstance(limit, Column) else F.lit(limit).cast("int")
+    series = pages.select("page_id", base.alias("base_url"), number.alias("page_no"), most.alias("_most")).filter(F.col("page_no").isNotNull())
     rank = F.row_number().over(Window.partitionBy("base_url").orderBy("page_no", "page_id"))
-    return series.withColumn("place", rank).filter(F.col("place") <= limit)
+    placed = series.withColumn("place", rank)
+    if isinstance(limit, int):  # a plain number reaches below the shuffle
+        placed = placed.filter(F.col("place") <= limit)
+    elif limit is not None:
+        placed = placed.filter(F.col("_most").isNull() | (F.col("place") <= F.col("_most")))
+    return placed.drop("_most")
 
 
 def next_page_links(pages: DataFrame, nodes: DataFrame, selector: str | None = None) -> DataFrame:
-    """The first next-page link of each page, absolute (M5): by selector, else by link text."""
-    links = select_css(nodes, "a[href]", "attrs", "text")
+    """The first next-page link of each page, absolute (M5): by CSS or XPath selector, else by link text.
+
+    An unusable selector finds nothing (B2).
+    """
     if selector:
-        chosen = select_css(nodes, selector, "attrs", "text")
+        chosen = select_or_empty(nodes, selector, "attrs")
     else:
-        from gleanery.operators.dom import with_text
-
-        chosen = with_text(links, nodes).filter(F.col("value").rlike(r"(?i)^(next|next page|older|›|»|→)\s*[›»→]?\z")).drop("value")
+        chosen = with_text(select_css(nodes, "a[href]", "attrs", "text"), nodes).filter(F.col("value").rlike(r"(?i)^(next|next page|older|›|»|→)\s*[›»→]?\z")).drop("value")
     first = chosen.groupBy("page_id").agg(F.min_by(F.try_element_at("attrs", F.lit("href")), "pre").alias("href"))
     return first.join(pages.select("page_id", "url"), "page_id").select(
         "page_id", "href", resolve_url(F.col("href"), F.col("url")).alias("next_url")
     )
 
 
-def batch_extract(
-    nodes: DataFrame, page_groups: DataFrame, strategies: dict[str, tuple[str, str | None]], fields: list[Field], page_urls: DataFrame,
-    cap: int = 100,
-) -> DataFrame:
-    """Run each group's own selectors on all of its pages (M6).
+def batch_extract(nodes: DataFrame, page_groups: DataFrame, plans: DataFrame, fields: list[Field], page_urls: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, issues): each group's own selectors on all of its pages (M6).
 
-    page_groups(page_id, grp). Strategies are plan-level: group -> (css, xpath).
-    Each group adds a container selection, cut to its pages once the rows are
-    narrow; the fields of all groups are then read in one pass.
+    page_groups(page_id, grp); plans(grp, css, xpath), any number of groups. A
+    page takes its group's CSS selector, and the XPath where that finds nothing.
+    Pages whose group has no plan, or whose selectors find nothing, give an issue.
     """
-    recs = None
-    for grp, (css, xpath) in sorted(strategies.items()):
-        mine = page_groups.filter(F.col("grp") == grp).select("page_id")
-        got = containers(nodes, css, xpath, cap).join(mine, "page_id", "left_semi")
-        recs = got if recs is None else recs.unionByName(got)
-    return extract_records(nodes, recs, fields, page_urls).join(page_groups.select("page_id", "grp"), "page_id")
+    asked = page_groups.join(plans, "grp", "left").select("page_id", "grp", "css", "xpath", (F.col("css").isNotNull() | F.col("xpath").isNotNull()).alias("planned"))
+    both = asked.select("page_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("css").alias("selector")), F.struct(F.lit(1).alias("side"), F.col("xpath").alias("selector")))).alias("_s"))
+    wanted = written(both.select("page_id", "_s.*").filter(F.col("selector").isNotNull()), "batch-selectors")
+    found = written(matches_on(nodes, wanted).join(wanted, ["page_id", "selector"]).select("page_id", "side", "pre"), "batch-matches")
+    first = found.groupBy("page_id").agg(F.min("side").alias("side"))
+    recs = found.join(first, ["page_id", "side"]).join(elements(nodes).select("page_id", "pre", "text", "attrs"), ["page_id", "pre"])
+    recs = recs.withColumn("rec_no", F.row_number().over(Window.partitionBy("page_id").orderBy("pre")))
+    if cap is not None:
+        recs = recs.filter(F.col("rec_no") <= cap)
+    records = extract_records(nodes, recs.withColumnRenamed("pre", "rec_pre"), fields, page_urls).join(page_groups.select("page_id", "grp"), "page_id")
+    missed = asked.join(first, "page_id", "left_anti").select(
+        "page_id", "grp", F.when(F.col("planned"), F.lit("no_match")).otherwise(F.lit("no_plan")).alias("code"),
+        F.when(F.col("planned"), F.lit(NO_MATCH)).otherwise(F.lit("No plan for this group of pages")).alias("issue"),
+    )
+    return records, missed
 
 
 def first_of_group(page_groups: DataFrame) -> DataFrame:

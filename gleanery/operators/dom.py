@@ -76,17 +76,20 @@ def _cut(source: str, a: Column, b: Column) -> Column:
     return F.decode(F.substring(F.col(source), a + 1, b - a), "UTF-8")
 
 
-def with_html(found: DataFrame, pages: DataFrame, inner: bool = True) -> DataFrame:
-    """Add ``value`` = source text of the element (B15). ``found`` must carry the o/i offsets.
+def with_html(found: DataFrame, pages: DataFrame, inner: bool = True, both: bool = False) -> DataFrame:
+    """Add ``value`` = source text of the element (B15); with ``both``, ``inner_html`` and ``outer_html``.
+
+    ``found`` must carry the o/i offsets.
 
     Elements are gathered per page, so the page source is moved once per page
     and cut by byte offsets, whatever the number of elements.
     """
-    a, b = ("i0", "i1") if inner else ("o0", "o1")
+    cuts = {"inner_html": ("i0", "i1"), "outer_html": ("o0", "o1")} if both else {"value": ("i0", "i1") if inner else ("o0", "o1")}
     rest = [c for c in found.columns if c != "page_id" and c not in HTML_SPAN]
-    spans = found.groupBy("page_id").agg(F.collect_list(F.struct(*rest, F.col(a).alias("_a"), F.col(b).alias("_b"))).alias("_s"))
+    held = sorted({c for ab in cuts.values() for c in ab})
+    spans = found.groupBy("page_id").agg(F.collect_list(F.struct(*rest, *held)).alias("_s"))
     src = pages.select("page_id", F.col("html").cast("binary").alias("_src"))
-    cut = F.transform("_s", lambda e: F.struct(*[e[c].alias(c) for c in rest], _cut("_src", e["_a"], e["_b"]).alias("value")))
+    cut = F.transform("_s", lambda e: F.struct(*[e[c].alias(c) for c in rest], *[_cut("_src", e[a], e[b]).alias(k) for k, (a, b) in cuts.items()]))
     return spans.join(src, "page_id").select("page_id", F.explode(cut).alias("_e")).select("page_id", "_e.*")
 
 
@@ -151,9 +154,9 @@ def sibling_position(nodes: DataFrame) -> DataFrame:
 
 
 def dom_context(
-    nodes: DataFrame, root_tag: str = "body", max_depth: int = 3, max_elements: int = 100, text: bool = True, attrs: bool = True
+    nodes: DataFrame, root_tag: str = "body", max_depth: int | None = None, max_elements: int | None = None, text: bool = True, attrs: bool = True
 ) -> DataFrame:
-    """Compact markup of each page.
+    """Compact markup of each page (C1), down to ``max_depth`` and up to ``max_elements`` if given.
 
     Hidden elements are left out and not counted; script-like ones are left
     out but counted. After the element that reaches the cap, later text goes too.
@@ -168,7 +171,7 @@ def dom_context(
         .filter(
             (F.col("pre") >= F.col("_root.pre"))
             & (F.col("pre") <= F.col("_root.last"))
-            & (F.col("depth") - F.col("_root.depth") <= max_depth)
+            & (F.lit(True) if max_depth is None else F.col("depth") - F.col("_root.depth") <= max_depth)
             & ~F.col("hidden")
         )
     )
@@ -179,7 +182,7 @@ def dom_context(
     counted = (F.col("kind") == "element").cast("int")
     near = near.withColumn("_skip", skipped).withColumn("_under", inside_skipped).filter(~F.col("_under"))
     near = near.withColumn("_seen", F.coalesce(F.sum(counted).over(before), F.lit(0)))
-    kept = near.filter((F.col("_seen") < max_elements) & ~F.col("_skip"))
+    kept = near.filter(~F.col("_skip") if max_elements is None else (F.col("_seen") < max_elements) & ~F.col("_skip"))
     shown = F.filter(F.map_entries("attrs"), lambda e: e["key"].isin(*CONTEXT_ATTRS))
     attr_text = F.array_join(F.transform(shown, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), e["value"], F.lit('"'))), "")
     opening = F.concat(F.lit("<"), "tag", attr_text if attrs else F.lit(""), F.lit(">"))
@@ -236,17 +239,19 @@ def main_content_text(nodes: DataFrame) -> DataFrame:
 
 
 def relevant_html(
-    pages: DataFrame, nodes: DataFrame, found: DataFrame, container: DataFrame | None = None, cap: int = 100, limit: int = 50_000
+    pages: DataFrame, nodes: DataFrame, found: DataFrame, container: DataFrame | None = None, cap: int | None = None, limit: int | None = None
 ) -> DataFrame:
     """HTML around the matches for a prompt.
 
-    Parents' outer HTML of the first ``cap`` matches, repeated when shared;
+    Parents' outer HTML of the matches (the first ``cap``, and cut to ``limit``
+    characters, if given), repeated when shared;
     pages without a match use the container element, else the body.
     ``found`` must carry ``parent``.
     """
     spans = elements(nodes).select("page_id", "pre", *HTML_SPAN, "tag")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
-    first = found.select("page_id", "pre", "parent").withColumn("rank", rank).filter(F.col("rank") <= cap)
+    first = found.select("page_id", "pre", "parent").withColumn("rank", rank)
+    first = first if cap is None else first.filter(F.col("rank") <= cap)
     parents = first.select("page_id", "rank", F.col("parent").alias("pre")).join(spans, list(KEY)).select("page_id", "rank", "o0", "o1")
     bodies = spans.filter(F.col("tag") == "body").select("page_id", "pre", "o0", "o1")
     boxes = bodies
@@ -257,5 +262,5 @@ def relevant_html(
     pieces = parents.unionByName(boxes).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "o0", "o1"))).alias("_s"))
     text = F.array_join(F.transform("_s", lambda s: _cut("_src", s["o0"], s["o1"])), "\n")
     return pieces.join(pages.select("page_id", F.col("html").cast("binary").alias("_src")), "page_id").select(
-        "page_id", truncated(text, limit, "<!-- HTML truncated for size limits -->").alias("html")
+        "page_id", (text if limit is None else truncated(text, limit, "<!-- HTML truncated for size limits -->")).alias("html")
     )

@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.transforms import apply_transform
 from gleanery.operators.dom import attr, with_text
 from gleanery.operators.selectors import css_then_xpath, select_many, within
-from gleanery.sources.nodes import elements
 
-RECORD_CAP = 100  # fixed values: records per page, in full and sample runs
-SAMPLE_CAP = 5
 NO_MATCH = "No elements found using the provided selectors"
 REC = ["page_id", "rec_pre"]
 
@@ -29,8 +26,8 @@ class Field:
     transform: str | Callable[[Column], Column] | None = None
 
 
-def containers(nodes: DataFrame, css: str | None, xpath: str | None = None, cap: int | None = RECORD_CAP) -> DataFrame:
-    """The first ``cap`` record containers of each page, with the total found."""
+def containers(nodes: DataFrame, css: str | None, xpath: str | None = None, cap: int | None = None) -> DataFrame:
+    """Record containers of each page, the first ``cap`` if given."""
     found = css_then_xpath(nodes, css, xpath, "text", "attrs")
     page = Window.partitionBy("page_id")
     ranked = found.withColumn("rec_no", F.row_number().over(page.orderBy("pre")))
@@ -77,10 +74,10 @@ def dom_extract(
     xpath: str | None,
     fields: list[Field],
     page_urls: DataFrame | None = None,
-    cap: int = RECORD_CAP,
+    cap: int | None = None,
     only: DataFrame | None = None,
 ) -> DataFrame:
-    """Capped record extraction (D9), for all pages or the pages in ``only``.
+    """Record extraction, of the first ``cap`` containers if given (D9), for all pages or the pages in ``only``.
 
     ``only`` restricts the containers, which are few and narrow, rather than
     the node table: the fields are joined to containers anyway.
@@ -91,8 +88,8 @@ def dom_extract(
     return extract_records(nodes, recs, fields, page_urls)
 
 
-def extract_metadata(pages: DataFrame, nodes: DataFrame, css: str | None, xpath: str | None, cap: int = RECORD_CAP) -> DataFrame:
-    """Per page: found, extracted, selector that matched, success, error."""
+def extract_metadata(pages: DataFrame, nodes: DataFrame, css: str | None, xpath: str | None, cap: int | None = None) -> DataFrame:
+    """Per page: found, extracted, what a cap cut, selectors, the one that matched, time, success, error."""
     found = css_then_xpath(nodes, css, xpath).groupBy("page_id").agg(
         F.count("*").alias("found"), F.first("selector_type").alias("selector_type")
     )
@@ -100,7 +97,11 @@ def extract_metadata(pages: DataFrame, nodes: DataFrame, css: str | None, xpath:
     return pages.select("page_id").join(found, "page_id", "left").select(
         "page_id",
         n.alias("found"),
-        F.least(n, F.lit(cap)).alias("extracted"),
+        (n if cap is None else F.least(n, F.lit(cap))).alias("extracted"),
+        (F.lit(0) if cap is None else F.greatest(n - cap, F.lit(0))).alias("cut"),
+        F.lit(css).cast("string").alias("css_selector"),
+        F.lit(xpath).cast("string").alias("xpath_selector"),
+        F.current_timestamp().alias("run_ts"),
         "selector_type",
         (n > 0).alias("success"),
         F.when(n == 0, F.lit(NO_MATCH)).alias("error"),
@@ -114,16 +115,13 @@ def dom_then_responses(dom: DataFrame, answered: DataFrame) -> DataFrame:
     return cheap.unionByName(costly)
 
 
-def scalar_or_list(raw: DataFrame, plan: DataFrame) -> DataFrame:
-    """List fields keep all values, scalar fields the first."""
-    joined = raw.join(plan.select("dp_id", "is_list"), "dp_id")
-    first = joined.groupBy("page_id", "dp_id").agg(F.min("pos").alias("_first"))
-    return (
-        joined.join(first, ["page_id", "dp_id"])
-        .filter(F.col("is_list") | (F.col("pos") == F.col("_first")))
-        .select("page_id", "dp_id", "pos", "value")
-    )
-
+def scalar_or_list(raw: DataFrame, lists: list[str], fields: list[str] | None = None) -> DataFrame:
+    """List fields keep all values, scalar fields the first.
 
-def page_elements(nodes: DataFrame, tag: str) -> DataFrame:
-    return elements(nodes).filter(F.col("tag") == tag)
+    The plan is a short list of names, so it is a test on the row; fields
+    outside ``fields`` drop out.
+    """
+    rows = raw if fields is None else raw.filter(F.col("dp_id").isin(fields))
+    is_list = F.col("dp_id").isin(lists) if lists else F.lit(False)
+    first = rows.filter(~is_list).groupBy("page_id", "dp_id").agg(F.min_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
+    return rows.filter(is_list).select("page_id", "dp_id", "pos", "value").unionByName(first.select("page_id", "dp_id", "pos", "value"))

@@ -15,8 +15,6 @@ from gleanery.functions.scalars import css_escape
 from gleanery.session import written
 from gleanery.sources.nodes import elements
 
-MAX_PARTS = 5  # fixed value: longest generated path
-
 
 def step_text() -> Column:
     """Tag, classes, and the position where same-tag siblings exist.
@@ -41,9 +39,10 @@ def _steps(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _paths(found: DataFrame, steps: DataFrame) -> DataFrame:
+def _paths(found: DataFrame, steps: DataFrame, most: int | None) -> DataFrame:
     """found -> (page_id, pre, path ARRAY of step texts from the element upward)."""
-    line = F.slice(F.reverse(F.concat("anc", F.array("pre"))), 1, MAX_PARTS)
+    line = F.reverse(F.concat("anc", F.array("pre")))
+    line = line if most is None else F.slice(line, 1, most)
     up = found.select("page_id", "pre", F.posexplode(line).alias("level", "up_pre"))
     named = up.join(steps.select("page_id", F.col("pre").alias("up_pre"), "step"), ["page_id", "up_pre"])
     rows = F.array_sort(F.collect_list(F.struct("level", "step")))
@@ -84,9 +83,11 @@ def _text_upto(level: int) -> Column:
     return F.array_join(F.reverse(F.slice("path", 1, level)), " > ")
 
 
-def element_selectors(found: DataFrame, nodes: DataFrame) -> DataFrame:
+def element_selectors(found: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
     """(page_id, pre, selector, n_matches) for elements carrying ``id`` and ``anc``.
 
+    Paths grow until they are unique, to the root if need be, or to ``most`` steps.
+
     Works level by level and stops as soon as no path is open. Each level is
     written out, so its plan stays small and a lost executor costs one level.
     """
@@ -95,15 +96,17 @@ def element_selectors(found: DataFrame, nodes: DataFrame) -> DataFrame:
     out = found.filter(F.col("id").isNotNull()).select(
         "page_id", "pre", F.concat(F.lit("#"), css_escape(F.col("id"))).alias("selector"), F.lit(None).cast("long").alias("n_matches")
     )
-    paths = _paths(found.filter(F.col("id").isNull()), steps)
+    paths = _paths(found.filter(F.col("id").isNull()), steps, most)
     reach = sat.select("page_id", F.col("step").alias("chain"), F.col("parent").alias("cur"))
-    for level in range(1, MAX_PARTS + 1):
+    level = 0
+    while True:
+        level += 1
         counts = reach.groupBy("page_id", "chain").agg(F.count("*").alias("n_matches"))
         scored = written(paths.withColumn("chain", _text_upto(level)).join(counts, ["page_id", "chain"]), "paths")
-        done = (F.col("n_matches") == 1) | (F.size("path") == level) | F.lit(level == MAX_PARTS)
+        done = (F.col("n_matches") == 1) | (F.size("path") == level) | F.lit(level == most)
         out = out.unionByName(scored.filter(done).select("page_id", "pre", F.col("chain").alias("selector"), "n_matches"))
         paths = scored.filter(~done).select("page_id", "pre", "path")
-        if level == MAX_PARTS or paths.isEmpty():
+        if level == most or paths.isEmpty():
             break
         wanted = paths.select(
             "page_id", _text_upto(level).alias("chain"), F.col("path")[level].alias("step"), _text_upto(level + 1).alias("longer")

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import truncated
 from gleanery.plans.templates import PROMPTS, SETTINGS, SYSTEM_PROMPTS
 
 CUT = "\n<!-- HTML truncated for size limits -->"
-# Prompt use -> (characters kept, text put where it was cut).
-LIMITS = {
-    "plan": (30_000, CUT),
-    "refine": (15_000, CUT),
-    "extract": (50_000, "<!-- HTML truncated for size limits -->"),
-    "recover": (10_000, "..."),
-    "robust": (30_000, ""),
-    "feedback": (100, ""),
-}
 
 
-def bounded(c: Column, use: str) -> Column:
-    return truncated(c, *LIMITS[use])
+def bounded(c: Column, limit: int | None = None, mark: str = "") -> Column:
+    """The first ``limit`` characters with a mark where it was cut; whole without a limit."""
+    return c if limit is None else truncated(c, limit, mark)
 
 
 def fill_template(template: Column, values: Column) -> Column:
@@ -52,18 +44,10 @@ def value_map(**cols: Column) -> Column:
     return F.create_map(*[x for k, c in cols.items() for x in (F.lit(k), c.cast("string"))])
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(PROMPTS.items()), "template_id string, template string")
-
-
-def system_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(SYSTEM_PROMPTS.items()), "agent string, system string")
-
-
 def with_system_prompt(rows: DataFrame, agent_col: str) -> DataFrame:
     """Add ``system`` by agent type, any case; unknown types get NULL and an ``error``."""
-    dim = system_table(rows.sparkSession).withColumnRenamed("agent", "_agent")
-    out = rows.join(dim, F.upper(F.col(agent_col)) == F.col("_agent"), "left").drop("_agent")
+    known = F.create_map(*[F.lit(x) for pair in sorted(SYSTEM_PROMPTS.items()) for x in pair])  # a few texts, so no join
+    out = rows.withColumn("system", F.try_element_at(known, F.upper(F.col(agent_col))))
     return out.withColumn(
         "error", F.when(F.col("system").isNull(), F.concat(F.lit("No system prompt found for agent type: "), F.col(agent_col)))
     )
@@ -86,15 +70,49 @@ def prompt_rows(rows: DataFrame, key: list[str], *prompts: Column) -> DataFrame:
     return rows.select(*key, F.explode(F.array(*prompts)).alias("_p")).select(*key, "_p.*")
 
 
-def page_prompts(pages: DataFrame, goal: Column) -> DataFrame:
-    """Plan, multi-page plan and robust-selector prompts for every page."""
+def page_prompts(pages: DataFrame, goal: Column, limit: int | None = None, mark: str = "") -> DataFrame:
+    """Plan, multi-page plan and robust-selector prompts for every page; ``limit`` cuts the page source."""
     html, url = F.col("html"), F.col("url")
-    plan = prompt_of("PLANNER_CREATE_PLAN", targetUrl=url, extractionGoal=goal, htmlSample=bounded(html, "plan"))
-    many = prompt_of("MULTIPAGE_PLAN", mainPageUrl=url, dataToCollect=goal, paginationPattern=F.lit("unknown"), htmlSample=bounded(html, "plan"))
-    robust = prompt_of("SELECTOR_ROBUST", targetDescription=goal, htmlSample=bounded(html, "robust"))
+    plan = prompt_of("PLANNER_CREATE_PLAN", targetUrl=url, extractionGoal=goal, htmlSample=bounded(html, limit, mark))
+    many = prompt_of("MULTIPAGE_PLAN", mainPageUrl=url, dataToCollect=goal, paginationPattern=F.lit("unknown"), htmlSample=bounded(html, limit, mark))
+    robust = prompt_of("SELECTOR_ROBUST", targetDescription=goal, htmlSample=bounded(html, limit))
     return prompt_rows(pages, ["page_id"], plan, many, robust)
 
 
+def selector_prompts(rows: DataFrame, key: list[str], limit: int | None = None, mark: str = "") -> DataFrame:
+    """The prompts about single selectors (C7): generate, improve, convert and recover.
+
+    rows(key, target, page_html, css, xpath, feedback, error). A prompt whose
+    inputs are NULL is not made.
+    """
+    source = bounded(F.col("page_html"), limit, mark)
+    now = F.concat_ws("\n", F.when(F.col("css").isNotNull(), F.concat(F.lit("CSS: "), "css")), F.when(F.col("xpath").isNotNull(), F.concat(F.lit("XPath: "), "xpath")))
+    made = [
+        (F.col("target").isNotNull(), prompt_of("SELECTOR_GENERATE", targetDescription=F.col("target"), htmlContext=source, htmlSample=source)),
+        ((now != "") & F.col("feedback").isNotNull(), prompt_of("SELECTOR_IMPROVE", currentSelectors=now, feedback=F.col("feedback"), htmlContext=source)),
+        (F.col("css").isNotNull() & F.col("xpath").isNull(), prompt_of("SELECTOR_CONVERT", fromType=F.lit("CSS"), toType=F.lit("XPath"), selector=F.col("css"))),
+        (F.col("xpath").isNotNull() & F.col("css").isNull(), prompt_of("SELECTOR_CONVERT", fromType=F.lit("XPath"), toType=F.lit("CSS"), selector=F.col("xpath"))),
+        (
+            F.col("error").isNotNull() & F.col("css").isNotNull(),
+            prompt_of("RECOVERY_ALTERNATIVES", description=F.col("target"), type=F.lit("string"), failedSelector=F.col("css"), errorMessage=F.col("error"), notes=F.lit(""), htmlSample=source),
+        ),
+    ]
+    asked = F.array_compact(F.array(*[F.when(wanted, prompt) for wanted, prompt in made]))
+    return rows.select(*key, F.explode(asked).alias("_p")).select(*key, "_p.*")
+
+
+def refine_prompts(plans: DataFrame, feedback: DataFrame, key: str, limit: int | None = None, mark: str = "") -> DataFrame:
+    """Feedback on the latest version of each plan gives the next planning prompt (M8).
+
+    plans(key, ts, version_id, goal, structure, fields, elements); feedback(key, feedback, html).
+    """
+    newest = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("version_id"))
+    latest = plans.withColumn("_no", F.row_number().over(newest)).filter(F.col("_no") == 1).drop("_no")
+    summary = plan_summary(F.col("goal"), F.col("structure"), F.col("fields"), F.col("elements"))
+    ask = prompt_of("PLAN_REFINE", currentPlan=summary, feedback=F.col("feedback"), htmlSample=bounded(F.col("html"), limit, mark))
+    return prompt_rows(latest.join(feedback, key), [key], ask)
+
+
 def selector_summary(selectors: DataFrame, *key: str) -> DataFrame:
     """``CSS: ...`` lines, then ``XPath: ...`` lines, per key.
 

@@ -1,4 +1,11 @@
-"""Failed selectors -> working alternatives -> re-extraction."""
+"""Failed selectors -> working alternatives -> re-extraction.
+
+Alternatives are rows (page_id, dp_id, strategy, strategy_rank, alt_rank,
+selector): rules derive them from the failed selector on the error's own row, and
+other strategies make a table from all errors (for example from model answers).
+All of them are tested at once, each on its own page; nothing is brought to the
+driver.
+"""
 
 from __future__ import annotations
 
@@ -8,20 +15,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.dom import extract_many
-from gleanery.operators.selectors import match_counts, select_or_empty
+from gleanery.functions.scalars import truncated
+from gleanery.operators.dom import HTML_SPAN, with_best_text, with_html
+from gleanery.operators.prompts import prompt_of, prompt_rows
+from gleanery.operators.responses import alternatives, ask
+from gleanery.operators.selector_table import matches_on
+from gleanery.operators.selectors import KEY, select_or_empty
 from gleanery.sources.nodes import elements
 
-MAX_ATTEMPTS = 2  # fixed value
-MAX_PLAN_ROWS = 10_000
+ALTERNATIVE = ["page_id", "dp_id", "failed", "strategy", "strategy_rank", "alt_rank", "selector"]
 
 
 @dataclass(frozen=True)
 class Strategy:
-    """A ranked way to propose selectors: a Column giving an array of alternatives."""
+    """A ranked way to propose selectors.
+
+    ``propose`` gives an array of alternatives from the failed selector.
+    ``from_errors`` sees all errors(page_id, dp_id, selector, ...) and gives
+    rows (page_id, dp_id, alt_rank, selector).
+    """
 
     name: str
-    propose: Callable[[Column], Column]
+    propose: Callable[[Column], Column] | None = None
+    from_errors: Callable[[DataFrame], DataFrame] | None = None
 
 
 def generalised(selector: Column) -> Column:
@@ -40,11 +56,6 @@ def by_attribute(selector: Column) -> Column:
     return F.regexp_replace(ids, r"\.([A-Za-z_][\w-]*)", '[class*="$1"]')
 
 
-def last_tag(selector: Column) -> Column:
-    """Only the tag of the last step."""
-    return F.regexp_extract(selector, r"([A-Za-z][\w]*)[^\s>+~]*\s*\z", 1)
-
-
 RULES = (
     Strategy("generalise", lambda s: F.array(generalised(s))),
     Strategy("parent_child", lambda s: F.array(without_lead(s), without_lead(without_lead(s)))),
@@ -52,57 +63,79 @@ RULES = (
 )
 
 
-def failed_fields(errors: DataFrame, plan: DataFrame) -> DataFrame:
-    """Errors with their planned field; ids outside the plan are skipped."""
-    return errors.join(plan, "dp_id")
+def failed_fields(errors: DataFrame, plan: dict[str, str]) -> DataFrame:
+    """Errors with the selector that was planned for their field; ids outside the plan are skipped.
+
+    The plan is a short list, so it is a map on the row: nothing is shuffled by field.
+    """
+    if not plan:
+        return errors.withColumn("selector", F.lit(None).cast("string")).filter(F.lit(False))
+    planned = F.create_map(*[F.lit(x) for pair in plan.items() for x in pair])
+    return errors.filter(F.map_contains_key(planned, F.col("dp_id"))).withColumn("selector", F.element_at(planned, F.col("dp_id")))
 
 
-def attempts(errors: DataFrame, *order: str) -> DataFrame:
-    """At most two recovery attempts per page and field, in order (R2).
+def attempts(errors: DataFrame, *order: str, limit: int) -> DataFrame:
+    """At most ``limit`` recovery attempts per page and field, in order (R2).
 
     The rank limit is applied before the shuffle as well (WindowGroupLimit),
     so one field failing everywhere does not gather in one task.
     """
     w = Window.partitionBy("page_id", "dp_id").orderBy(*order)
-    return errors.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= MAX_ATTEMPTS)
+    return errors.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= limit)
 
 
-def plan_rows(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> list:
-    """Bring a plan-level table to the driver, refusing one that is not small."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} plan rows; split the plan")
-    return rows
+def _ranked(s: Strategy, rank: int) -> Column:
+    name, place = F.lit(s.name).alias("strategy"), F.lit(rank).alias("strategy_rank")
+    return F.transform(s.propose(F.col("selector")), lambda alt, i: F.struct(name, place, i.alias("alt_rank"), alt.alias("alt")))
 
 
-def proposals(selectors: DataFrame, strategies: tuple[Strategy, ...] = RULES) -> DataFrame:
-    """selectors(dp_id, selector) -> (dp_id, failed, strategy, strategy_rank, alt_rank, selector)."""
-    shape = "dp_id string, failed string, alt_rank int, selector string, strategy string, strategy_rank int"
-    out = selectors.sparkSession.createDataFrame([], shape)
+def proposals(failed: DataFrame, strategies: tuple[Strategy, ...] = RULES) -> DataFrame:
+    """failed(page_id, dp_id, selector) -> alternatives, in the order of the strategies."""
+    out = None
+    rules = [_ranked(s, rank) for rank, s in enumerate(strategies) if s.propose]
+    base = failed.select("page_id", "dp_id", F.col("selector").alias("failed")).distinct()
+    if rules:
+        got = base.withColumn("selector", F.col("failed")).select("page_id", "dp_id", "failed", F.explode(F.concat(*rules)).alias("_a"))
+        out = got.select("page_id", "dp_id", "failed", "_a.strategy", "_a.strategy_rank", "_a.alt_rank", F.col("_a.alt").alias("selector"))
     for rank, s in enumerate(strategies):
-        got = selectors.select("dp_id", F.col("selector").alias("failed"), F.posexplode(s.propose(F.col("selector"))).alias("alt_rank", "selector"))
-        got = got.filter((F.col("selector") != "") & (F.col("selector") != F.col("failed")))
-        got = got.withColumns({"strategy": F.lit(s.name), "strategy_rank": F.lit(rank)})
-        out = out.unionByName(got)
-    return out
+        if s.from_errors:
+            got = s.from_errors(failed).select("page_id", "dp_id", F.lit(s.name).alias("strategy"), F.lit(rank).alias("strategy_rank"), F.col("alt_rank").cast("int"), "selector")
+            got = got.join(base, ["page_id", "dp_id"]).select(*ALTERNATIVE)
+            out = got if out is None else out.unionByName(got)
+    if out is None:
+        out = base.select("page_id", "dp_id", "failed", *[F.lit(None).cast(t).alias(c) for c, t in zip(ALTERNATIVE[3:], ("string", "int", "int", "string"))])
+    return out.filter((F.col("selector") != "") & ~F.col("selector").eqNullSafe(F.col("failed")))
+
 
+def from_answers(pages: DataFrame, answer_batch: Callable, kind: str = "RECOVERY_ALTERNATIVES", limit: int | None = None) -> Strategy:
+    """Alternatives from model answers: failed fields become prompts, answers become selectors.
 
-def working_alternatives(failed: DataFrame, nodes: DataFrame, alternatives: DataFrame) -> DataFrame:
+    ``answer_batch`` takes a batch of prompts(page_id, dp_id, kind, system,
+    prompt, temperature, max_tokens) and returns page_id, dp_id and text.
+    ``limit`` cuts the page source in the prompt; without it the source is whole.
+    """
+
+    def rows(errors: DataFrame) -> DataFrame:
+        source = F.col("html") if limit is None else truncated(F.col("html"), limit, "...")
+        held = errors.select("page_id", "dp_id", "selector").distinct().join(pages.select("page_id", "html"), "page_id")
+        prompt = prompt_of(
+            kind, description=F.col("dp_id"), type=F.lit("string"), failedSelector=F.col("selector"), notes=F.lit(""), htmlSample=source,
+            errorMessage=F.lit("No elements found using the provided selectors"),
+        )
+        answers = ask(prompt_rows(held, ["page_id", "dp_id"], prompt), answer_batch, "page_id long, dp_id string, text string")
+        return answers.select("page_id", "dp_id", F.posexplode(alternatives(F.col("text"))).alias("alt_rank", "selector"))
+
+    return Strategy("answers", from_errors=rows)
+
+
+def working_alternatives(nodes: DataFrame, alts: DataFrame) -> DataFrame:
     """Alternatives that match something, from the first strategy with a hit.
 
-    failed(page_id, dp_id); alternatives(dp_id, selector, strategy_rank,
-    alt_rank) is plan-level. Every distinct selector is tested once over all
-    failing pages in one pass; nothing is tried page by page.
+    Every selector is tested once on each page it is proposed for, in one pass
+    over the nodes of these pages.
     """
-    alts = plan_rows(alternatives.select("dp_id", "selector", "strategy", "strategy_rank", "alt_rank").distinct())
-    spark = failed.sparkSession
-    schema = "dp_id string, selector string, strategy string, strategy_rank int, alt_rank int"
-    tests = sorted({a["selector"] for a in alts})
-    if not tests:
-        return spark.createDataFrame([], f"page_id long, {schema}, n long")
-    alts_df = spark.createDataFrame([tuple(a) for a in alts], schema)
-    counts = match_counts(failed.select("page_id").distinct(), nodes, tests).filter(F.col("n") > 0).drop("valid")
-    hits = failed.select("page_id", "dp_id").distinct().join(alts_df, "dp_id").join(counts, ["page_id", "selector"])
+    counts = matches_on(nodes, alts).groupBy("page_id", "selector").agg(F.count("*").alias("n"))
+    hits = alts.join(counts, ["page_id", "selector"])
     best = hits.groupBy("page_id", "dp_id").agg(F.min("strategy_rank").alias("strategy_rank"))
     kept = hits.join(best, ["page_id", "dp_id", "strategy_rank"])
     # the same selector proposed twice counts once, at its first place
@@ -113,26 +146,38 @@ def working_alternatives(failed: DataFrame, nodes: DataFrame, alternatives: Data
 
 def chosen_alternative(working: DataFrame) -> DataFrame:
     """The first working alternative of each page and field."""
-    best = F.min_by(F.struct("selector", "strategy"), F.struct("strategy_rank", "alt_rank"))
-    return working.groupBy("page_id", "dp_id").agg(best.alias("_b")).select("page_id", "dp_id", "_b.*")
+    first = Window.partitionBy("page_id", "dp_id").orderBy("strategy_rank", "alt_rank")
+    ranked = working.withColumn("_no", F.row_number().over(first)).filter(F.col("_no") == 1)
+    return ranked.select("page_id", "dp_id", "selector", "strategy")
 
 
 def reextract(chosen: DataFrame, nodes: DataFrame, pages: DataFrame, plan: dict[str, tuple[bool, str, str]]) -> DataFrame:
     """Raw values of recovered fields through their new selector.
 
-    plan: dp_id -> (is_list, kind, attribute).
+    plan: dp_id -> (is_list, kind text|html|attribute, attribute); a map on the
+    row, so nothing is shuffled by field.
     """
-    pairs = sorted((r["dp_id"], r["selector"]) for r in plan_rows(chosen.select("dp_id", "selector").distinct()))
-    if not pairs:
-        schema = "page_id long, dp_id string, raw_kind string, pos int, value string, json_type string"
-        return nodes.sparkSession.createDataFrame([], schema)
-    wanted = {str(i): (selector, *plan[dp_id][1:]) for i, (dp_id, selector) in enumerate(pairs)}
-    names = nodes.sparkSession.createDataFrame(
-        [(str(i), dp_id, selector, plan[dp_id][0]) for i, (dp_id, selector) in enumerate(pairs)],
-        "label string, dp_id string, selector string, is_list boolean",
-    )
-    got = extract_many(nodes, pages, wanted).join(names, "label").join(chosen, ["page_id", "dp_id", "selector"], "left_semi")
-    return got.filter(F.col("is_list") | (F.col("pos") == 0)).select(
+    if not plan:
+        return nodes.select("page_id", *[F.lit(None).cast(t).alias(c) for c, t in (("dp_id", "string"), ("raw_kind", "string"), ("pos", "int"), ("value", "string"), ("json_type", "string"))]).limit(0)
+    fact = F.create_map(*[x for k, (is_list, kind, name) in plan.items() for x in (F.lit(k), F.struct(F.lit(is_list).alias("is_list"), F.lit(kind).alias("kind"), F.lit(name).alias("name")))])
+    found = matches_on(nodes, chosen).join(chosen.select("page_id", "dp_id", "selector"), ["page_id", "selector"])
+    found = found.withColumn("_f", F.element_at(fact, F.col("dp_id"))).select("page_id", "pre", "dp_id", "_f.*")
+    used = {kind for _, kind, _ in plan.values()}
+    held = elements(nodes).select(*KEY, "text", "vtext", "attrs", *HTML_SPAN)
+    rows = found.join(held, list(KEY))
+    parts = []
+    if "text" in used:
+        parts.append(with_best_text(rows.filter("kind = 'text'").select(*KEY, "dp_id", "is_list", "text", "vtext"), nodes))
+    if "html" in used:
+        parts.append(with_html(rows.filter("kind = 'html'").select(*KEY, "dp_id", "is_list", *HTML_SPAN), pages))
+    if "attribute" in used:
+        parts.append(rows.filter("kind = 'attribute'").withColumn("value", F.try_element_at("attrs", F.lower("name"))))
+    out = None
+    for p in parts:
+        p = p.select(*KEY, "dp_id", "is_list", "value")
+        out = p if out is None else out.unionByName(p)
+    pos = F.row_number().over(Window.partitionBy("page_id", "dp_id").orderBy("pre")) - 1
+    return out.withColumn("pos", pos).filter(F.col("is_list") | (F.col("pos") == 0)).select(
         "page_id", "dp_id", F.when(F.col("is_list"), F.lit("list")).otherwise(F.lit("scalar")).alias("raw_kind"), "pos", "value",
         F.lit("string").alias("json_type"),
     )
@@ -160,7 +205,3 @@ def recovery_rate(failed: DataFrame, recovered: DataFrame, *by: str) -> DataFram
 def pages_with_match(pages: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
     """Pages where the selector finds something."""
     return pages.join(select_or_empty(nodes, selector).select("page_id"), "page_id", "left_semi")
-
-
-def element_pages(nodes: DataFrame) -> DataFrame:
-    return elements(nodes).select("page_id").distinct()

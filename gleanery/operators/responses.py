@@ -304,3 +304,9 @@ def distinct_prompts(prompts: DataFrame, key: str, cache: DataFrame | None = Non
 def ask(prompts: DataFrame, answer_batch, schema: str) -> DataFrame:
     """Prompt table -> response table through a caller's batch function."""
     return prompts.mapInPandas(lambda batches: (answer_batch(b) for b in batches), schema)
+
+
+def multi_page_plans(responses: DataFrame) -> DataFrame:
+    """All columns of each parsed plan with its pagination facts as ``paging`` (M3)."""
+    paging = responses.select("plan_id", pagination(F.col("text")).alias("paging"))
+    return parse_plans(responses).join(paging, "plan_id").withColumn("is_multi_page", F.lit(True))

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.scalars import squash
 from gleanery.sources.nodes import elements
 
 KEY = ("page_id", "pre")
@@ -34,15 +35,16 @@ class InvalidSelector(ValueError):
 @dataclass
 class Step:
     link: str  # " " descendant, ">" child, "+" next sibling, "~" later sibling
-    tests: list[Column] = field(default_factory=list)
+    tests: list[tuple] = field(default_factory=list)  # plain data, so that a parsed selector can also be rows of a table
     tag: str = "*"
     plain: bool = True  # nothing but a tag is asked for
     root: bool = False  # must be the top element
 
     def test(self) -> Column:
         """Plain conjunction, so that a filter on it reaches the parquet scan."""
-        out = self.tests[0]
-        for t in self.tests[1:]:
+        tests = [as_column(t) for t in self.tests] or [F.lit(True)]
+        out = tests[0]
+        for t in tests[1:]:
             out = out & t
         return out
 
@@ -50,8 +52,8 @@ class Step:
 _IDENT = r"(?:\\[0-9a-fA-F]{1,6}\s?|\\.|[\w-]|[^\x00-\x7f])+"
 _CSS_TOKEN = re.compile(
     rf"""(?P<link>\s*[>+~]\s*|\s+)|(?P<tag>\*|{_IDENT})|\#(?P<id>{_IDENT})|\.(?P<cls>{_IDENT})
-    |\[\s*(?P<attr>{_IDENT})\s*(?:(?P<op>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>{_IDENT}))\s*)?\]
-    |:(?P<pseudo>[a-z-]+)(?:\(\s*(?P<arg>[^()]*?)\s*\))?""",
+    |\[\s*(?P<attr>{_IDENT})\s*(?:(?P<op>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>{_IDENT}))\s*(?P<case>[iI]\s*)?)?\]
+    |:(?P<pseudo>[a-z-]+)(?:\(\s*(?P<arg>(?:[^()]|\([^()]*\))*?)\s*\))?""",
     re.X,
 )
 
@@ -65,52 +67,98 @@ def _plain(ident: str) -> str:
     return re.sub(r"\\(.)", r"\1", hexed)
 
 
-def _attr_test(name: str, op: str | None, value: str | None) -> Column:
+def _attr_test(name: str, op: str | None, value: str | None, any_case: bool) -> Column:
     a = _attr(name)
     if op is None:
         return a.isNotNull()
+    if any_case:
+        a, value = F.lower(a), value.lower()
     if op == "=":
         return a == value
     if op == "~=":
         return F.array_contains(F.split(a, r"\s+"), value) if value and not re.search(r"\s", value) else F.lit(False)
     if op == "|=":
         return (a == value) | a.startswith(value + "-")
+    if op == "==":  # white space trimmed and squeezed
+        return squash(a) == value
     if not value:
         return F.lit(False)
     return {"^=": a.startswith, "$=": a.endswith, "*=": a.contains}[op](value)
 
 
-def _nth(pos: str, arg: str | None) -> Column:
+def as_column(test: tuple) -> Column:
+    """A test over one element row. Tests are tuples: a kind, then its arguments.
+
+    ``nth`` compares ``a * n + b`` with a position counted from the first or, if
+    ``back``, from the last sibling.
+    """
+    kind, *args = test
+    if kind == "tag":
+        return F.lit(True) if args[0] == "*" else F.col("tag") == args[0]
+    if kind == "id":
+        return F.col("id") == args[0]
+    if kind == "class":
+        return F.array_contains("classes", args[0])
+    if kind == "attr":
+        return _attr_test(*args)
+    if kind == "top":
+        return F.col("depth") == 1
+    if kind == "alone":
+        return F.col(f"{args[0]}_cnt") == 1
+    if kind == "empty":
+        return (F.col("last") == F.col("pre")) & (F.coalesce("text", F.lit("")) == "")
+    if kind == "not":
+        return ~F.coalesce(as_column(args[0]), F.lit(False))
+    if kind in ("and", "or"):
+        out = as_column(args[0])
+        for t in args[1:]:
+            out = out & as_column(t) if kind == "and" else out | as_column(t)
+        return out
+    if kind == "nth":
+        which, back, a, b = args
+        pos = F.col(f"{which}_pos")
+        off = (F.col(f"{which}_cnt") - pos + 1 if back else pos) - b
+        return (off == 0) if a == 0 else ((off * (1 if a > 0 else -1) >= 0) & (off % abs(a) == 0))
+    raise InvalidSelector(kind)
+
+
+def _nth(which: str, back: bool, arg: str | None) -> tuple:
     arg = {"odd": "2n+1", "even": "2n"}.get(arg or "", arg or "").replace(" ", "")
     if re.fullmatch(r"\+?\d+", arg):
-        return F.col(pos) == int(arg)
+        return ("nth", which, back, 0, int(arg))
     m = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?", arg)
     if not m:
         raise InvalidSelector(arg)
     a = int(m.group(1) + "1") if m.group(1) in ("", "+", "-") else int(m.group(1))
-    off = F.col(pos) - int(m.group(2) or 0)
-    return (off == 0) if a == 0 else ((off * (1 if a > 0 else -1) >= 0) & (off % abs(a) == 0))
-
-
-def _pseudo_test(name: str, arg: str | None) -> Column:
-    if name == "nth-child":
-        return _nth("sib_pos", arg)
-    if name == "nth-of-type":
-        return _nth("type_pos", arg)
-    fixed = {
-        "first-child": F.col("sib_pos") == 1,
-        "last-child": F.col("sib_pos") == F.col("sib_cnt"),
-        "first-of-type": F.col("type_pos") == 1,
-        "last-of-type": F.col("type_pos") == F.col("type_cnt"),
-    }
-    if name not in fixed or arg is not None:
+    return ("nth", which, back, a, int(m.group(2) or 0))
+
+
+# Pseudo-classes with an argument, and those without.
+_NTH = {"nth-child": ("sib", False), "nth-of-type": ("type", False), "nth-last-child": ("sib", True), "nth-last-of-type": ("type", True)}
+_FIXED = {
+    "first-child": ("nth", "sib", False, 0, 1), "last-child": ("nth", "sib", True, 0, 1), "first-of-type": ("nth", "type", False, 0, 1),
+    "last-of-type": ("nth", "type", True, 0, 1), "only-child": ("alone", "sib"), "only-of-type": ("alone", "type"), "empty": ("empty",), "root": ("top",),
+}
+
+
+def _pseudo_test(name: str, arg: str | None) -> tuple:
+    if name in _NTH:
+        return _nth(*_NTH[name], arg)
+    if name == "not" and arg:
+        # a list of simple selectors without steps
+        chains = [_css_chain(part.strip()) for part in _css_parts(arg)]
+        if any(len(c) > 1 for c in chains):
+            raise InvalidSelector(arg)
+        each = [("and", *c[0].tests) for c in chains]
+        return ("not", ("or", *each))
+    if name not in _FIXED or arg is not None:
         raise InvalidSelector(name)
-    return fixed[name]
+    return _FIXED[name]
 
 
 def _css_parts(selector: str) -> list[str]:
     """Split a selector list at commas outside brackets and quotes."""
-    parts = re.findall(r"(?:\[[^\]]*\]|\([^)]*\)|\\.|[^,\[(\\]|[\[(\\])+|,", selector)
+    parts = re.findall(r"(?:\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)|\\.|[^,\[(\\]|[\[(\\])+|,", selector)
     out = [""]
     for p in parts:
         out.append("") if p == "," else out.__setitem__(-1, out[-1] + p)
@@ -141,14 +189,14 @@ def _css_chain(text: str) -> list[Step]:
         steps[-1].plain &= g["tag"] is not None
         if g["tag"] is not None:
             steps[-1].tag = _plain(g["tag"]).lower()
-            test = F.lit(True) if g["tag"] == "*" else F.col("tag") == _plain(g["tag"]).lower()
+            test = ("tag", steps[-1].tag)
         elif g["id"] is not None:
-            test = F.col("id") == _plain(g["id"])
+            test = ("id", _plain(g["id"]))
         elif g["cls"] is not None:
-            test = F.array_contains("classes", _plain(g["cls"]))
+            test = ("class", _plain(g["cls"]))
         elif g["attr"] is not None:
             value = next((g[k] for k in ("dq", "sq") if g[k] is not None), g["bare"] and _plain(g["bare"]))
-            test = _attr_test(g["attr"].lower(), g["op"], value)
+            test = ("attr", g["attr"].lower(), g["op"], value, g["case"] is not None)
         else:
             test = _pseudo_test(g["pseudo"], g["arg"])
         steps[-1].tests.append(test)
@@ -157,11 +205,32 @@ def _css_chain(text: str) -> list[Step]:
     return steps
 
 
-_XPATH_STEP = re.compile(
-    r"(?P<axis>//|/)(?:(?P<out>text\(\)|@[\w:-]+)\Z|(?P<tag>\*|[\w-]+)(?P<preds>(?:\[(?:\"[^\"]*\"|'[^']*'|[^\]\"'])*\])*))"
-)
-_XPATH_ATTR = re.compile(r"@([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'))?\Z")
-_XPATH_CALL = re.compile(r"(contains|starts-with)\(\s*@([\w:-]+)\s*,\s*(?:\"([^\"]*)\"|'([^']*)')\s*\)\Z")
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+_XPATH_STEP = re.compile(rf"(?P<axis>//|/)(?:(?P<out>text\(\)|@[\w:-]+)\Z|(?P<tag>\*|[\w-]+)(?P<preds>(?:\[(?:{_QUOTED}|[^\]\"'])*\])*))")
+_XPATH_ATTR = re.compile(rf"@([\w:-]+)\s*(?:(!?=)\s*({_QUOTED}))?\Z")
+_XPATH_CALL = re.compile(rf"(contains|starts-with)\(\s*@([\w:-]+)\s*,\s*({_QUOTED})\s*\)\Z")
+_XPATH_TRIM = re.compile(rf"normalize-space\(\s*@([\w:-]+)\s*\)\s*=\s*({_QUOTED})\Z")
+_XPATH_POS = re.compile(r"position\(\)\s*(!=|<=|>=|=|<|>)\s*(\d+|last\(\))\Z")
+_XPATH_LAST = re.compile(r"last\(\)(?:\s*-\s*(\d+))?\Z")
+
+
+def _split_top(text: str, words: str) -> list[str]:
+    """Parts of ``text`` between ``words`` that stand outside quotes and brackets."""
+    out, depth, at = [""], 0, 0
+    for m in re.finditer(rf"{_QUOTED}|[\[(]|[\])]|{words}|.", text, re.S):
+        t = m[0]
+        depth += t in "[(" if len(t) == 1 else 0
+        depth -= t in "])" if len(t) == 1 else 0
+        if depth == 0 and re.fullmatch(words, t) and m.start() >= at:
+            out.append("")
+        else:
+            out[-1] += t
+    return [p.strip() for p in out]
+
+
+def xpath_parts(xpath: str) -> list[tuple[list[Step], str | None]]:
+    """The paths of a union ``a | b``."""
+    return [xpath_steps(p) for p in _split_top(xpath.strip(), r"\|")]
 
 
 def xpath_steps(xpath: str) -> tuple[list[Step], str | None]:
@@ -178,32 +247,54 @@ def xpath_steps(xpath: str) -> tuple[list[Step], str | None]:
             break
         step = Step(" " if m["axis"] == "//" else ">")
         if not steps and step.link == ">":
-            step = Step(" ", [F.col("depth") == 1], root=True)
+            step = Step(" ", [("top",)], root=True)
         step.tag, step.plain = m["tag"].lower(), not m["preds"]
         if m["tag"] != "*":
-            step.tests.append(F.col("tag") == step.tag)
-        preds = re.findall(r"\[((?:\"[^\"]*\"|'[^']*'|[^\]\"'])*)\]", m["preds"])
+            step.tests.append(("tag", step.tag))
+        preds = re.findall(rf"\[((?:{_QUOTED}|[^\]\"'])*)\]", m["preds"])
         for i, pred in enumerate(preds):
-            step.tests.append(_xpath_test(pred.strip(), m["tag"], i))
+            step.tests.append(_xpath_test(pred.strip(), "sib" if m["tag"] == "*" else "type", i > 0))
         steps.append(step)
     if not steps:
         raise InvalidSelector(xpath)
     return steps, out
 
 
-def _xpath_test(pred: str, tag: str, index: int) -> Column:
-    pos, cnt = ("sib_pos", "sib_cnt") if tag == "*" else ("type_pos", "type_cnt")
-    if pred.isdigit() or pred == "last()":
-        if index:  # a position among already filtered rows is not a stored position
-            raise InvalidSelector(pred)
-        return F.col(pos) == (F.col(cnt) if pred == "last()" else int(pred))
+def _xpath_test(pred: str, which: str, later: bool) -> tuple:
+    """``later``: after another predicate, where a position is not a stored one."""
+    for word in ("or", "and"):
+        parts = _split_top(pred, rf"\s{word}\s")
+        if len(parts) > 1:
+            return (word, *[_xpath_test(p, which, later) for p in parts])
+    if pred.startswith("(") and pred.endswith(")") and len(_split_top(pred[1:-1], r"\)")) == 1:
+        return _xpath_test(pred[1:-1].strip(), which, later)
+    if m := re.match(r"not\((.*)\)\Z", pred, re.S):
+        return ("not", _xpath_test(m[1].strip(), which, later))
     if m := _XPATH_ATTR.match(pred):
-        value = m[2] if m[2] is not None else m[3]
-        return _attr_test(m[1].lower(), None if value is None else "=", value)
+        value = None if m[3] is None else m[3][1:-1]
+        test = ("attr", m[1].lower(), None if value is None else "=", value, False)
+        # an absent attribute equals nothing and differs from nothing
+        return ("and", ("attr", m[1].lower(), None, None, False), ("not", test)) if m[2] == "!=" else test
     if m := _XPATH_CALL.match(pred):
-        value = m[3] if m[3] is not None else m[4]
-        a = _attr(m[2].lower())
-        return a.contains(value) if m[1] == "contains" else a.startswith(value)
+        return ("attr", m[2].lower(), "*=" if m[1] == "contains" else "^=", m[3][1:-1], False)
+    if m := _XPATH_TRIM.match(pred):
+        return ("attr", m[1].lower(), "==", m[2][1:-1], False)
+    if later:
+        raise InvalidSelector(pred)
+    if pred.isdigit():
+        return ("nth", which, False, 0, int(pred))
+    if m := _XPATH_LAST.match(pred):
+        return ("nth", which, True, 0, int(m[1] or 0) + 1)
+    if m := _XPATH_POS.match(pred):
+        op, back, n = m[1], m[2] == "last()", 1 if m[2] == "last()" else int(m[2])
+        equal = ("nth", which, back, 0, n)
+        if op in ("=", "!="):
+            return equal if op == "=" else ("not", equal)
+        # positions up to the last one are all but those beyond it
+        if back:
+            every = ("nth", which, False, 1, 1)
+            return {"<=": every, ">=": equal, "<": ("not", equal), ">": ("not", every)}[op]
+        return {"<=": ("nth", which, False, -1, n), "<": ("nth", which, False, -1, n - 1), ">=": ("nth", which, False, 1, n), ">": ("nth", which, False, 1, n + 1)}[op]
     raise InvalidSelector(pred)
 
 
@@ -330,7 +421,16 @@ def select_css(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
 
 
 def select_xpath(nodes: DataFrame, xpath: str, *cols: str) -> DataFrame:
-    """Elements an XPath leads to; a trailing text() or @name step adds ``value``."""
+    """Elements an XPath leads to, each once; a trailing text() or @name step adds ``value``."""
+    parts = _split_top(xpath.strip(), r"\|")
+    if len(parts) > 1:
+        found = [select_xpath(nodes, p, *cols) for p in parts]
+        if len({tuple(f.columns) for f in found}) > 1:
+            raise InvalidSelector(xpath)
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out.dropDuplicates(list(KEY) + (["value"] if "value" in out.columns else []))
     steps, out = xpath_steps(xpath)
     found = _run(nodes, steps, (*cols, "attrs") if out and out[0] == "@" else cols)
     if out is None:
@@ -351,7 +451,7 @@ def select(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
 
 def is_valid(selector: str) -> bool:
     try:
-        xpath_steps(selector) if selector_kind(selector) == "xpath" else css_steps(selector)
+        xpath_parts(selector) if selector_kind(selector) == "xpath" else css_steps(selector)
     except InvalidSelector:
         return False
     return True
@@ -375,10 +475,10 @@ def select_many(nodes: DataFrame, selectors: dict[str, str], *cols: str) -> Data
     for label, sel in selectors.items():
         if not is_valid(sel):
             continue
-        steps, end = xpath_steps(sel) if selector_kind(sel) == "xpath" else (None, None)
-        chains = [steps] if steps else css_steps(sel)
+        paths = xpath_parts(sel) if selector_kind(sel) == "xpath" else [(c, None) for c in css_steps(sel)]
+        chains = [c for c, _ in paths]
         test = _row_tests(chains)
-        if test is not None and not end:
+        if test is not None and not any(end for _, end in paths):
             simple[label] = test
             lasts += [c[-1] for c in chains]
         else:

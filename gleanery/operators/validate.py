@@ -109,6 +109,7 @@ def clean_items(rows: DataFrame) -> DataFrame:
     clean = F.when(missing, F.lit(None)).otherwise(
         F.coalesce(
             F.col("bool").cast("string"),
+            F.regexp_replace(F.col("num").cast("string"), r"\.0\z", ""),
             F.when(F.col("_ok"), F.coalesce(resolved, text)),
             iso_utc(F.col("ts")),
             text,
@@ -221,13 +222,19 @@ def quality_report(values: DataFrame, pages: DataFrame, planned: DataFrame, issu
     )
 
 
+SMALL_GROUPS = 10_000
+
+
 def outliers(values: DataFrame, group: str, value: str, limit: float = 3.0) -> DataFrame:
     """Rows with their z-score inside the group and an outlier flag.
 
-    Group statistics are tiny after partial aggregation; joining them back
-    keeps a hot group spread over all its scan splits.
+    Statistics fold before they are shuffled. They are broadcast back only if
+    they are counted to be at most SMALL_GROUPS rows, so a hot group stays on its
+    scan splits; more groups than that are joined by shuffle.
     """
-    stats = values.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    stats = written(values.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd")), "group-stats")
+    if stats.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS:
+        stats = F.broadcast(stats)
     z = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))
     scored = values.join(stats, group).withColumn("z", z).drop("_mean", "_sd")
     return scored.withColumn("is_outlier", F.abs(F.col("z")) > limit)

@@ -14,7 +14,7 @@ def one(df, col):
 
 def test_context_text(parse):
     _, n = parse('<div id="m" data-x="1" onclick="f()"><p>hi <b>x</b></p><script>1</script></div>', "<body>" + "<i>a</i>" * 150 + "tail", "<p>a<p style='display:none'>b<i>c</i></p>d")
-    got = one(dom.dom_context(n), "context")
+    got = one(dom.dom_context(n, max_depth=3, max_elements=100), "context")
     assert got[0] == '<body><div id="m"><p>hi<b></b></p></div></body>'
     assert got[1] == "<body>" + "<i>a</i>" * 98 + "<i></i></body>"
     assert got[2] == "<body><p>a</p>d</body>"

@@ -59,7 +59,11 @@ def test_next_links(parse):
 def test_batch_plans(parse, spark):
     pages, n = parse("<b>1</b><i>2</i>", "<b>3</b><i>4</i>", "<b>5</b>")
     groups = spark.createDataFrame([(0, "g"), (1, "h"), (2, "h")], "page_id long, grp string")
-    out = B.batch_extract(n, groups, {"g": ("b", None), "h": ("i", "//b")}, [E.Field("v")], pages).collect()
+    plans = spark.createDataFrame([("g", "b", None), ("h", "i", "//b")], "grp string, css string, xpath string")
+    groups3 = groups.unionByName(spark.createDataFrame([(9, "z")], "page_id long, grp string"))
+    out, issues = B.batch_extract(n, groups3, plans, [E.Field("v")], pages)
+    assert [(r["page_id"], r["code"]) for r in issues.collect()] == [(9, "no_plan")]
+    out = out.collect()
     assert sorted((r["page_id"], r["grp"], r["v"]) for r in out) == [(0, "g", "1"), (1, "h", "4"), (2, "h", "5")]
     assert {r["grp"]: r["page_id"] for r in B.first_of_group(groups).collect()} == {"g": 0, "h": 1}
 

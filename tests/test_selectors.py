@@ -122,7 +122,7 @@ def test_xpath(page):
     assert [r["value"] for r in sel.select_xpath(page, "//em/text()").collect()] == ["z"]
 
 
-@pytest.mark.parametrize("bad", ["", "##x", "p >", "> p", "p[", "p:hover", "p::before", "li:nth-child(x)", "a,,b", "p )", "//", "//p[position()=2]", "//p[@a][2]", "/"])
+@pytest.mark.parametrize("bad", ["", "##x", "p >", "> p", "p[", "p:hover", "p::before", "li:nth-child(x)", "a,,b", "p )", "//", "//p[@a][2]", "/", "//p[position()=x]", "p:not(a b)", "//p[or]"])
 def test_unusable_selectors_match_nothing(page, bad):
     assert not sel.is_valid(bad)
     assert sel.select_or_empty(page, bad).count() == 0
@@ -175,3 +175,38 @@ def test_path_pattern_does_not_backtrack(parse):
     _, n = parse(deep)
     assert sel.select_css(n, "div div div div div div ul div b").count() == 0
     assert sel.select_css(n, "div div > div div > div > div b").count() == 1
+
+MORE = {
+    "p:not(.x)": lambda n, b: n.tag == "p" and not b.simple(n, ".x"), "li:not(.on, :first-child)": lambda n, b: n.tag == "li" and not b.simple(n, ".on") and n.sib_pos > 1,
+    "li:nth-last-child(2)": lambda n, b: n.tag == "li" and n.sib_cnt - n.sib_pos == 1, "p:nth-last-of-type(1)": lambda n, b: n.tag == "p" and n.type_pos == n.type_cnt,
+    "a:only-of-type, em:only-child": lambda n, b: n.tag == "em", "p:not(:nth-child(2))": lambda n, b: n.tag == "p" and n.sib_pos != 2, "[data-k='V W' i]": lambda n, b: "data-k" in dict(n.attrs),
+    "//p[@class and position()=2]": lambda n, b: n.tag == "p" and "class" in dict(n.attrs) and n.type_pos == 2, "//li[not(@class)]": lambda n, b: n.tag == "li" and "class" not in dict(n.attrs),
+    "//li[position()<3]": lambda n, b: n.tag == "li" and n.type_pos < 3, "//li[position()>=2]": lambda n, b: n.tag == "li" and n.type_pos >= 2, "//li[last()-1]": lambda n, b: n.tag == "li" and n.type_cnt - n.type_pos == 1,
+    "//li[position()!=last()]": lambda n, b: n.tag == "li" and n.type_pos < n.type_cnt, "//h1 | //em": lambda n, b: n.tag in ("h1", "em"), "//p[@class='x' or @class='y']": lambda n, b: n.tag == "p" and dict(n.attrs).get("class") in ("x", "y"),
+    "//p[@class!='x']": lambda n, b: n.tag == "p" and dict(n.attrs).get("class", "x") != "x", "//li[normalize-space(@data-k)='v w']": lambda n, b: "data-k" in dict(n.attrs), "//*[contains(@class,'a or b') or @id='main']": lambda n, b: dict(n.attrs).get("id") == "main",
+}
+
+
+def test_more_grammar_against_brute_force(page):
+    b = Brute(HTML)
+    for text, want in MORE.items():
+        expect = sorted(n.pre for n in b.els if want(n, b))
+        assert expect and found(sel.select(page, text)) == expect, text
+
+
+def test_selectors_from_a_table(page, spark):
+    """The same matches from rows of a table, and a plan that does not grow with the rows."""
+    from gleanery.operators import selector_table as st
+
+    texts = [*CSS, *MORE, "//ul/li[2]", "//div[@class='a']//li", ".//p/b", "!!", "", "nav | a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "selector string")
+    got = {}
+    for r in st.matches(page, rows).collect():
+        if r["page_id"] == 1:
+            got.setdefault(r["selector"], set()).add(r["pre"])
+    for t in texts:
+        assert sorted(got.get(t, ())) == found(sel.select_or_empty(page, t)), t
+    asked = spark.createDataFrame([(1, "p"), (2, "p"), (2, "li")], "page_id long, selector string")
+    assert {(r["page_id"], r["selector"]) for r in st.matches_on(page, asked).collect()} == {(1, "p"), (2, "p")}
+    scans = lambda n: st.matches(page, spark.createDataFrame([(f".c{i} > p",) for i in range(n)], "selector string"))._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert scans(5) == scans(500)
