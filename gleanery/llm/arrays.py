@@ -17,7 +17,7 @@ U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Bytes handled at once; bounds the arrays of a task, whatever the length of a text.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.base import query, table
+from gleanery.llm.base import query, small_batches, table
 
 MAX_LINKS = 0.33
 SHORT, LONG = 70, 200
@@ -216,6 +216,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, pa.string()), pa.array([len(r) for r in rows], pa.int64())], [*keep, "text", "n_chars"])
                     done, rows, held = i + 1, [], 0
 
+    small_batches(pages.sparkSession)
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return pages.select(*keep, F.col(html_col)).mapInArrow(run, f"{kinds}, text string, n_chars long")
 

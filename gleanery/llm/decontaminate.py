@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm import arrays as A
-from gleanery.llm.base import query, table
+from gleanery.llm.base import packed, query, small_batches, table, unpacked
 
 N = 10
 #: Largest set that is broadcast: about 100 bytes a window in each Python worker.
@@ -96,11 +96,12 @@ _OUT = f"n_words long, n_hit long, n_items long, items_sha256 string, contaminat
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Hits of each document: ``row`` (all its columns as a struct, whatever their names), ``n_words, n_hit, n_items, items_sha256, contaminated, spans`` (word offsets and lengths)."""
+    """Hits of each document: ``rest`` and ``text`` (see ``packed``), ``n_words, n_hit, n_items, items_sha256, contaminated, spans`` (word offsets and lengths)."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = items.select(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long"))).first()[0] or 0
-    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    small_batches(spark)
+    named = packed(docs, text_col)
     if total > max_windows:
         return _scan_by_join(named, items, n, id_col)
     rows = [(r.item, r.text.encode()) for r in items.collect()]  # at most max_windows words
@@ -130,13 +131,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 counts = np.diff(before).tolist()
                 out = [_summary(counts[t], spans.get(t, []), items_hit.get(t, set())) for t in range(j - i)]
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), text.slice(i, j - i), *cols], ["rest", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     return named.mapInArrow(look, _schema(named))
 
 
 def _schema(named: DataFrame) -> T.StructType:
-    return T.StructType([named.schema["row"], *T._parse_datatype_string(_OUT).fields])
+    return T.StructType([named.schema["rest"], named.schema["text"], *T._parse_datatype_string(_OUT).fields])
 
 
 def _all_windows(rows: DataFrame, n: int, sizes: list[int] | None) -> DataFrame:
@@ -168,8 +169,8 @@ def _scan_by_join(named: DataFrame, items: DataFrame, n: int, id_col: str) -> Da
     """The way for test tables of any size."""
     tests = _all_windows(items.select("item", "text"), n, None).select(F.col("name").alias("item"), "n", "d1", "d2").distinct()
     sizes = sorted(r.n for r in tests.select("n").distinct().collect())  # at most n numbers
-    keyed = named.withColumn("_row", F.struct(F.coalesce(F.col("row")[id_col].cast("string"), F.lit("")).alias("id"), F.xxhash64("_text").alias("t")).cast("string"))
-    seen = _all_windows(keyed.select("_row", "_text"), n, sizes).withColumnRenamed("name", "_row") if sizes else None
+    keyed = named.withColumn("_row", F.struct(F.coalesce(F.col("rest")[id_col].cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("t")).cast("string"))
+    seen = _all_windows(keyed.select("_row", "text"), n, sizes).withColumnRenamed("name", "_row") if sizes else None
     if seen is None:
         hits = keyed.select("_row").where("false").select("_row", F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     else:
@@ -180,17 +181,17 @@ def _scan_by_join(named: DataFrame, items: DataFrame, n: int, id_col: str) -> Da
         for b in batches:
             out = []
             for text, spans, names in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                out.append(_summary(len(words_of(text.encode())), [(s["start"], s["n"]) for s in spans or []], set(names or [])))
+                out.append(_summary(len(words_of((text or "").encode())), [(s["start"], s["n"]) for s in spans or []], set(names or [])))
             cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))))]
             if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["rest", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-    return keyed.join(hits, "_row", "left").select("row", "_text", "spans", "items").mapInArrow(finish, _schema(named))
+    return keyed.join(hits, "_row", "left").select("rest", "text", "spans", "items").mapInArrow(finish, _schema(named))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that hold a test window."""
-    return scan(docs, benchmark, id_col, text_col, **how).where("NOT contaminated").select("row.*")
+    return scan(docs, benchmark, id_col, text_col, **how).where("NOT contaminated").select(*unpacked(docs.columns, text_col))
 
 
 def clean_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -212,11 +213,10 @@ def clean_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                         keep.append(raw[at : m.start()])
                         at = m.end()
                 out.append(b" ".join(b"".join([*keep, raw[at:]]).split()).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rest", "text"])
 
-    packed = found.select("row", F.col("row")[text_col].alias("_text"), "spans")
-    done = packed.mapInArrow(cut, T.StructType([packed.schema["row"], packed.schema["_text"]]))
-    return done.select(*[F.col("_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    done = found.select("rest", "text", "spans").mapInArrow(cut, packed(docs, text_col).schema)
+    return done.select(*unpacked(docs.columns, text_col))
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -245,4 +245,4 @@ FROM docs LEFT JOIN named USING (rn) LEFT JOIN struck USING (rn)
 )
 def op2_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return scan(docs.select("doc_id", "text"), tests).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return scan(docs.select("doc_id", "text"), tests).select("rest.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

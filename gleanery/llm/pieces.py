@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.base import query, table
+from gleanery.llm.base import query, small_batches, table
 
 MARK = "▁"
 #: Words whose paths a Python worker remembers, and the longest such word.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -234,6 +234,7 @@ def _kept_in_worker(key: str, make: Callable[[], Transducer]) -> Transducer:
 
 def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, decode: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and, if asked for, ``decoded``."""
+    small_batches(docs.sparkSession)
     model = Model(model_path)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary of one model
     with open(model_path, "rb") as f:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm import arrays as A
+from gleanery.llm.base import small_batches
 from gleanery.session import written
 
 _LAST = (1 << 63) - 1
@@ -220,6 +221,7 @@ def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_
     ``_kept`` is the text that is left, if asked for; bytes of a character that
     lost some of its bytes are dropped from it, while ``_sha`` digests all bytes.
     """
+    small_batches(docs.sparkSession)
     named = keyed(docs, id_col, text_col)
     decided = decide(written(runs(named, plan), f"{name}-runs"), plan, f"{name}-run")
     whole = [decided.where("_whole").select("_key", "_th", "_lo", "_n")]

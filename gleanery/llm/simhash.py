@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gleanery.llm import arrays as A
-from gleanery.llm.base import query, table
+from gleanery.llm.base import query, small_batches, table
 from gleanery.llm.components import components
 from gleanery.session import written
 
@@ -102,6 +102,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * count), pa.array(got.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["id", "fps"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, "id long, fps array<long>")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.base import query, table
+from gleanery.llm.base import packed, query, small_batches, table, unpacked
 from gleanery.session import written
 
 #: Most labelled rows of each class in the training sample.
@@ -229,6 +229,7 @@ def _votes(rows: list[list[int]], size: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", size: int = SAMPLE, most: int = MINED) -> tuple[list[str], np.ndarray]:
     """Mined terms and coefficients."""
+    small_batches(docs.sparkSession)
     sample = written(training_rows(docs, labels, id_col, text_col, label, size), "toxicity-sample")
     mined = mine(sample, most)
 
@@ -250,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, mined: list[str], coefficients: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``row`` (all columns of ``docs`` as a struct, whatever their names) and ``score``."""
+    """``rest`` and ``text`` (see ``packed``) with ``score``."""
     coefs = coefficients.tolist()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,19 +262,19 @@ def score(docs: DataFrame, mined: list[str], coefficients: np.ndarray, text_col:
                 fired = voters.fired(t.as_py() or "")
                 z = coefs[-1] + (coefs[-3] * np.log1p(len(fired)) + coefs[-2] if fired else 0.0) + sum(coefs[i] for i in fired)
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], ["rest", "text", "score"])
 
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text"))
-    return packed.mapInArrow(rate, T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
+    rows = packed(docs, text_col)
+    return rows.mapInArrow(rate, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
-    return score(docs, *fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
+    return score(docs, *fit(docs, labels), text_col).where(F.col("score") < threshold).select(*unpacked(docs.columns, text_col))
 
 
 @query("op1_toxicity_scores")
 def op1_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated = score(docs.select("doc_id", "text"), *fit(docs, table(spark, sf_dir, "labels")))
-    return rated.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rated.select("rest.doc_id", held_out("rest.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

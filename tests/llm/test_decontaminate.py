@@ -44,7 +44,7 @@ def test_against_brute_force(spark, limit):
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, n_words int")
     tests = spark.createDataFrame(items, "item_id long, text string")
     got = scan(docs, tests, n=4, max_windows=limit)
-    flat = got.select("row.doc_id", got.n_words, "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    flat = got.select("rest.doc_id", got.n_words, "n_hit", "n_items", "items_sha256", "contaminated").collect()
     want = brute(rows, items, 4)
     assert sorted(map(tuple, flat), key=str) == want
     kept = clean_documents(docs, tests, n=4, max_windows=limit)
