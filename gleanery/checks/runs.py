@@ -11,6 +11,8 @@ from gleanery.operators import batch, extract, recover
 from gleanery.operators.extract import Field
 from gleanery.operators.selector_table import matches_on
 from gleanery.operators.selectors import select_css
+from gleanery.operators.validate import DataPoint
+from gleanery.plans.extraction import PlannedField
 from gleanery.session import scratch, written
 from gleanery.sources.nodes import parse_pages
 from gleanery.streaming import feeds
@@ -268,6 +270,23 @@ def stream_page_extract(spark, sf):
     return spark.read.schema("page_id long, href string, batch int").parquet(out).drop("batch")
 
 
+@query(
+    "stream_page_records",
+    f"""WITH {SQL_LINKS} SELECT page_id, 'links' AS dp_id, pos - 1 AS pos, href AS value FROM links
+        UNION ALL SELECT page_id, 'gone', NULL, 'no_match' FROM pages UNION ALL SELECT page_id, 'gone', NULL, 'required_item' FROM pages""",
+)
+def stream_page_records(spark, sf):
+    """The whole job on arriving pages: values and, with their code as value, issues."""
+    out, ck = scratch(spark, "job-out"), scratch(spark, "job-ck")
+    plan = [PlannedField(DataPoint("links", is_list=True), "nav a", "attribute"), PlannedField(DataPoint("gone", notes="needed"), "video")]
+    _finish(feeds.job_feed(_feed(spark, sf, "pages"), out, ck, plan))
+    values = spark.read.schema("page_id long, dp_id string, pos int, clean string, batch int").parquet(f"{out}/values").filter("clean IS NOT NULL")
+    issues = spark.read.schema("page_id long, dp_id string, pos int, code string, batch int").parquet(f"{out}/issues")
+    return values.select("page_id", "dp_id", long("pos").alias("pos"), F.col("clean").alias("value")).unionByName(
+        issues.select("page_id", "dp_id", long("pos").alias("pos"), F.col("code").alias("value"))
+    )
+
+
 @query(
     "stream_log_windows",
     """SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type AS level, count(*) AS n FROM events GROUP BY 1, 2""",
@@ -286,7 +305,7 @@ def stream_store(spark, sf):
     events = _feed(spark, sf, "events")
     log = change_log_of(events)
     _finish(feeds.latest_feed(log, out, ck))
-    rows = spark.read.schema("area string, key string, op string, value string, ts timestamp, seq long, batch int").parquet(out)
+    rows = spark.read.schema("area string, key string, op string, value string, ts timestamp, seq long, bucket int").parquet(out)
     return feeds.live_entries(rows).select("area", "key", "value")
 
 
@@ -302,19 +321,22 @@ def change_log_of(events):
 @query(
     "stream_page_changes",
     """SELECT url, 'added' AS change FROM (SELECT DISTINCT url FROM pages WHERE page_id % 3 > 0) UNION ALL
-       SELECT url, CASE WHEN page_id % 3 = 0 THEN 'added' ELSE 'changed' END FROM (SELECT url, arg_max(page_id, page_id) AS page_id FROM pages GROUP BY url) WHERE page_id % 3 < 2""",
+       SELECT url, CASE WHEN page_id % 3 = 0 THEN 'added' ELSE 'changed' END FROM (SELECT url, arg_max(page_id, page_id) AS page_id FROM pages GROUP BY url) WHERE page_id % 3 < 2
+       UNION ALL SELECT url, 'changed' FROM (SELECT url, max(page_id) AS page_id FROM pages GROUP BY url) WHERE page_id % 3 = 2""",
 )
 def stream_page_changes(spark, sf):
-    """Two crawls of the page table: the second adds a third of the pages and edits another third."""
-    feed, out, state, ck = (scratch(spark, f"crawl-{n}") for n in ("in", "out", "state", "ck"))
+    """Three crawls of the page table: the second adds a third of the pages and edits another third, the third edits the rest."""
+    feed, out, ck = (scratch(spark, f"crawl-{n}") for n in ("in", "out", "ck"))
     pg = pages(spark, sf)
     third = F.col("page_id") % 3
     first = pg.filter(third > 0).select("url", F.timestamp_seconds(F.col("page_id")).alias("ts"), "html")
     html = F.when(third == 1, F.concat("html", F.lit("<!-- edited -->"))).otherwise(F.col("html"))
     second = pg.select("url", F.timestamp_seconds(F.col("page_id") + (1 << 20)).alias("ts"), html.alias("html"))
-    for crawl in (first, second):
+    late = F.when(third == 1, F.concat("html", F.lit("<!-- edited -->"))).when(third == 2, F.concat("html", F.lit("<!-- too -->"))).otherwise(F.col("html"))
+    last = pg.select("url", F.timestamp_seconds(F.col("page_id") + (1 << 21)).alias("ts"), late.alias("html"))
+    for crawl in (first, second, last):
         crawl.write.mode("append").parquet(feed)
-        _finish(feeds.change_feed(feeds.file_feed(spark, feed, first.schema), out, state, ck))
+        _finish(feeds.change_feed(feeds.file_feed(spark, feed, first.schema), out, ck))
     return spark.read.schema("url string, change string, batch int").parquet(out).drop("batch")
 
 

@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_root:
@@ -63,10 +63,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_root[app]
 
 
+def app_folder(spark: SparkSession) -> str:
+    """All that one application writes besides its results lies in this folder."""
+    return os.path.join(shared_dir(spark), "gleanery", spark.sparkContext.applicationId)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one; never reused, never cleared."""
-    app = spark.sparkContext.applicationId
-    return os.path.join(shared_dir(spark), "gleanery", app, f"{name}-{os.urandom(6).hex()}")
+    """A fresh folder in the application's; never reused."""
+    return os.path.join(app_folder(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's folder.
+
+    Call it when all results are written: DataFrames that were returned before
+    may still read from there. A cluster that expires ``spark.checkpoint.dir``
+    by age does the same without a call.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(app_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _staged if k[0] == spark.sparkContext.applicationId]:
+        del _staged[key]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -8,13 +8,17 @@ batch that is replayed replaces its own output.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanery.operators.logs import window_counts
+from gleanery.plans.extraction import run
+from gleanery.session import written
 
 
 def file_feed(spark: SparkSession, path: str, schema, **options) -> DataFrame:
@@ -44,6 +48,17 @@ def page_feed(pages: DataFrame, out: str, checkpoint: str, extract: Callable[[Da
     return to_batches(pages, out, checkpoint, extract)
 
 
+def job_feed(pages: DataFrame, out: str, checkpoint: str, plan: list, **how) -> StreamingQuery:
+    """Pages as they arrive through the whole job (T1): values under ``out/values``, issues under ``out/issues``."""
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        result = run(written(df, "arrived"), plan, **how)
+        result.values.write.mode("overwrite").parquet(batch_folder(os.path.join(out, "values"), batch_id))
+        result.issues.write.mode("overwrite").parquet(batch_folder(os.path.join(out, "issues"), batch_id))
+
+    return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+
+
 def log_window_feed(logs: DataFrame, out: str, checkpoint: str, size: str, slide: str | None, late: str) -> StreamingQuery:
     """Windowed counts per level; rows later than ``late`` are dropped.
 
@@ -58,49 +73,79 @@ def newest(out: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     return out.groupBy(*key).agg(best.alias("_v")).select(*key, "_v.*")
 
 
-def latest_feed(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Latest operation per (area, key), tombstones included.
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def upsert(rows: DataFrame, out: str, key: list[str], order: list[str], buckets: int = 64) -> None:
+    """Merge rows into a table that holds the newest row of each key.
+
+    The table is partitioned by key bucket and only buckets with new rows are
+    read and written, so it grows with keys, not with batches. Merging the same
+    rows again changes nothing, so a replayed batch is harmless.
+    """
+    spark = rows.sparkSession
+    rest = [c for c in rows.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.struct(*order))
+
+    def newest_of(df: DataFrame) -> DataFrame:
+        return df.groupBy("bucket", *key).agg(best.alias("_l")).select("bucket", *key, "_l.*")
+
+    new = written(newest_of(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))), "upsert-new")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if touched and _exists(spark, out):
+        old = spark.read.schema(new.schema).parquet(out).filter(F.col("bucket").isin(touched))
+        new = written(newest_of(new.unionByName(old)), "upsert-merged")
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+
+
+def latest_feed(changes: DataFrame, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Latest operation per (area, key), tombstones included, as a table that each batch updates.
 
-    A streaming ``max_by`` keeps one row of state per key; partial aggregation
-    runs before the shuffle, so a hot key sends one row per task.
-    changes(area, key, value, op, ts, seq).
+    Rows of a batch fold before they are shuffled, so a hot key sends one row per
+    task. changes(area, key, value, op, ts, seq).
     """
-    best = F.max_by(F.struct("op", "value", "ts", "seq"), F.struct("ts", "seq"))
-    state = changes.groupBy("area", "key").agg(best.alias("_l"))
-    return to_batches(state, out, checkpoint, lambda df: df.select("area", "key", "_l.*"), "update")
 
+    def sink(df: DataFrame, batch_id: int) -> None:
+        upsert(df.select("area", "key", "op", "value", "ts", "seq"), out, ["area", "key"], ["ts", "seq"], buckets)
+
+    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
 
-def live_entries(out: DataFrame) -> DataFrame:
-    """Live entries of a ``latest_feed`` output; a clear is an operation on key ``*``."""
-    last = newest(out, ["area", "key"], ["op", "value", "ts", "seq"])
+
+def live_entries(last: DataFrame) -> DataFrame:
+    """Live entries of a ``latest_feed`` table; a clear is an operation on key ``*``."""
     wiped = last.filter(F.col("op") == "clear").select("area", F.struct("ts", "seq").alias("cleared_at"))
     kept = last.filter(F.col("op") == "set").join(wiped, "area", "left")
     newer = F.col("cleared_at").isNull() | (F.struct("ts", "seq") > F.col("cleared_at"))
     return kept.filter(newer).select("area", "key", "value", "ts")
 
 
-def change_feed(crawl: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
+def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Compare the newest hash of one URL in this batch with the one kept for it."""
+    newest = None
+    for rows in batches:
+        row = rows.loc[rows["ts"].idxmax()]
+        if newest is None or row["ts"] > newest["ts"]:
+            newest = row
+    ts = newest["ts"].value // 1000
+    old = state.get if state.exists else None
+    if old is None or ts > old[1]:
+        state.update((newest["hash"], ts))
+        if old is None or old[0] != newest["hash"]:
+            yield pd.DataFrame({"url": [key[0]], "change": ["added" if old is None else "changed"]})
+
+
+def change_feed(crawl: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Pages that are new or changed since the last crawl (T4).
 
-    crawl(url, ts, html). Only a hash per URL is kept. Each batch joins its
-    newest hash per URL with the state table and writes the next version of
-    that table, so a replayed batch starts from the same version.
+    crawl(url, ts, html). The state is one hash and time for each URL, kept by
+    key, so a batch touches only the URLs in it; pages are hashed before the
+    shuffle. A page older than the one known is no news.
     """
-
-    def sink(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        now = df.groupBy("url").agg(F.max_by(F.sha2("html", 256), "ts").alias("hash"))
-        if batch_id:
-            old = spark.read.schema("url string, hash string").parquet(batch_folder(state, batch_id - 1))
-        else:
-            old = spark.createDataFrame([], "url string, hash string")
-        both = now.join(old.withColumnRenamed("hash", "old_hash"), "url", "full")
-        tag = F.when(F.col("old_hash").isNull(), F.lit("added")).otherwise(F.lit("changed"))
-        both.select("url", F.coalesce("hash", "old_hash").alias("hash")).write.mode("overwrite").parquet(batch_folder(state, batch_id))
-        news = both.filter(F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(F.col("old_hash")))
-        news.select("url", tag.alias("change")).write.mode("overwrite").parquet(batch_folder(out, batch_id))
-
-    return crawl.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    hashed = crawl.filter(F.col("url").isNotNull() & F.col("ts").isNotNull()).select("url", "ts", F.sha2(F.coalesce("html", F.lit("")), 256).alias("hash"))
+    news = hashed.groupBy("url").applyInPandasWithState(_changes, "url string, change string", "hash string, ts long", "append", GroupStateTimeout.NoTimeout)
+    return to_batches(news, out, checkpoint, lambda df: df)
 
 
 def first_seen_feed(rows: DataFrame, key: list[str], out: str, checkpoint: str, within: str) -> StreamingQuery:
