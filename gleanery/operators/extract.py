@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.transforms import apply_transform
 from gleanery.operators.dom import attr, with_text
 from gleanery.operators.selectors import css_then_xpath, select_many, within
+from gleanery.session import written
 
 NO_MATCH = "No elements found using the provided selectors"
 REC = ["page_id", "rec_pre"]
@@ -44,6 +45,7 @@ def extract_records(nodes: DataFrame, recs: DataFrame, fields: list[Field], page
     there are. Containment joins on the ancestor list, so it is linear.
     """
     read = ("attrs", "text")
+    recs = written(recs, "containers")  # read three times below
     hits = select_many(nodes, {f.name: f.selector for f in fields if f.selector}, "anc", *read)
     pairs = within(hits, recs.select("page_id", F.col("rec_pre").alias("pre"))).withColumnRenamed("ctx_pre", "rec_pre")
     first = F.min_by(F.struct("pre", *read), "pre")
@@ -52,7 +54,7 @@ def extract_records(nodes: DataFrame, recs: DataFrame, fields: list[Field], page
     if own:
         here = recs.select(*REC, F.explode(F.array(*[F.lit(n) for n in own])).alias("label"), F.col("rec_pre").alias("pre"), *read)
         longs = longs.unionByName(here)
-    longs = with_text(longs, nodes)
+    longs = with_text(written(longs, "fields"), nodes)
     wide = longs.groupBy(*REC).agg(
         *[
             F.max(F.when(F.col("label") == f.name, attr(f.attribute) if f.attribute else F.col("value"))).alias(f.name)
