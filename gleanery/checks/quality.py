@@ -262,7 +262,7 @@ def run_summary(spark, sf):
     f"""WITH g AS (SELECT {SQL_HOST} AS host, d.dp_id, CASE d.dp_id WHEN 'price' THEN false WHEN 'de_only' THEN {SQL_LANG_DE} ELSE true END AS done
            FROM pages, (VALUES ('title'), ('links'), ('de_only'), ('price')) d(dp_id)),
         r AS (SELECT host, dp_id, grouping_id(host, dp_id)::BIGINT AS level, count(*) AS n_fields, sum(done::INT)::BIGINT AS n_complete,
-           sum(done::INT)::BIGINT AS n_compliant FROM g GROUP BY ROLLUP (host, dp_id))
+           sum(done::INT)::BIGINT AS n_compliant, sum(CASE WHEN done THEN 0 WHEN dp_id = 'price' THEN 1 ELSE 2 END)::BIGINT AS n_issues FROM g GROUP BY ROLLUP (host, dp_id))
         SELECT *, round(100.0 * n_complete / n_fields, 2)::DOUBLE AS completeness, round(100.0 * n_compliant / n_fields, 2)::DOUBLE AS compliance,
           CASE WHEN n_complete = n_fields THEN 'PASSED' WHEN n_complete = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS status FROM r""",
 )

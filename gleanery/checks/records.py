@@ -365,17 +365,17 @@ def parse_selectors(spark, sf):
 
 @query(
     "parse_multi_selectors",
-    """SELECT p_partkey, 'name' AS field, 'h2.n' || p_partkey AS css, '//h2[' || p_size || ']' AS xpath FROM part
-       UNION ALL SELECT p_partkey, 'unit price', '.price', '' FROM part UNION ALL SELECT p_partkey, 'a.b', '.ab', '//x' FROM part WHERE p_partkey % 2 = 0""",
+    """SELECT p_partkey, 'name' AS field, 'h2.n' || p_partkey AS css, '//h2[' || p_size || ']' AS xpath, NULL AS explanation FROM part
+       UNION ALL SELECT p_partkey, 'unit price', '.price', '', 'marked as ' || p_size FROM part UNION ALL SELECT p_partkey, 'a.b', '.ab', '//x', NULL FROM part WHERE p_partkey % 2 = 0""",
 )
 def parse_multi_selectors(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_partkey").cast("string")
     text = F.concat(
-        F.lit("Name: CSS: `h2.n"), s, F.lit("`  XPath: `//h2["), F.col("p_size").cast("string"), F.lit("]`\nUnit Price: css selector: .price\n"),
+        F.lit("Name: CSS: `h2.n"), s, F.lit("`  XPath: `//h2["), F.col("p_size").cast("string"), F.lit("]`\nUnit Price: css selector: .price\nExplanation: marked as "), F.col("p_size").cast("string"), F.lit("\n\n"),
         F.when(k % 2 == 0, F.lit("a.b: css `.ab` xpath `//x`\n")).otherwise(F.lit("")),
     )
     rows = responses.multi_field_selectors(table(spark, sf, "part").select("p_partkey", text.alias("text")), "p_partkey", ["Name", "Unit Price", "a.b"])
-    return rows.select("p_partkey", "field", F.array_join("css", "|").alias("css"), F.array_join("xpath", "|").alias("xpath"))
+    return rows.select("p_partkey", "field", F.array_join("css", "|").alias("css"), F.array_join("xpath", "|").alias("xpath"), "explanation")
 
 
 @query("clean_converted_selector", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '//li[' || p_partkey || ']' ELSE 'li.c' || p_partkey END AS selector FROM part")

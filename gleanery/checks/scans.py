@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.checks.base import SQL_HOST, card_nodes, cards, long, pages, query, table
+from gleanery.checks.base import SQL_HOST, SQL_LINKS, card_nodes, cards, long, nodes, pages, query, table
 from gleanery.functions.scalars import url_host
 from gleanery.operators import batch, logs, store
 from gleanery.operators.extract import Field, dom_extract
@@ -171,6 +171,29 @@ def plan_latest_version(spark, sf):
     return batch.latest_versions(versions, "plan_id").select("plan_id", "body", "n_versions", "refined")
 
 
+@query("plan_lineage", "SELECT p_partkey AS version_id, 1 + (p_partkey - 1) % 25 AS original, (p_partkey - 1) // 25 AS depth FROM part")
+def plan_lineage(spark, sf):
+    """Every version refines the one 25 keys before it."""
+    k = F.col("p_partkey")
+    return batch.lineage(table(spark, sf, "part").select(k.alias("version_id"), F.when(k > 25, k - 25).alias("parent_id")))
+
+
+@query(
+    "template_extract",
+    f"""WITH {SQL_LINKS} SELECT page_id, {SQL_HOST} AS grp, pos AS rec_no, trim(txt) AS txt, NULL AS code FROM links WHERE {SQL_HOST} LIKE '%.org'
+        UNION ALL SELECT page_id, {SQL_HOST}, NULL, NULL, 'no_plan' FROM pages WHERE {SQL_HOST} NOT LIKE '%.org'""",
+)
+def template_extract(spark, sf):
+    """Selectors saved for some hosts, applied to all pages; pages of other hosts are reported."""
+    pg = pages(spark, sf)
+    hosts = pg.select(url_host(F.col("url")).alias("host")).filter("host LIKE '%.org'").distinct()
+    saved = hosts.select(F.lit("menu").alias("name"), "host", F.lit("nav li").alias("css"), F.lit(None).cast("string").alias("xpath"))
+    out, missed = batch.template_extract(pg, nodes(spark, sf), saved, "menu", [Field("txt", "a")])
+    return out.select("page_id", "grp", long("rec_no").alias("rec_no"), F.trim("txt").alias("txt"), F.lit(None).cast("string").alias("code")).unionByName(
+        missed.select("page_id", "grp", "code"), allowMissingColumns=True
+    )
+
+
 LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' WHEN 'signup' THEN 'info' WHEN 'click' THEN 'log' ELSE 'debug' END"
 
 

@@ -171,6 +171,37 @@ def apply_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
     return pages.withColumn("host", url_host(F.col("url"))).join(templates, "host")
 
 
+def template_extract(pages: DataFrame, nodes: DataFrame, templates: DataFrame, name: str, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
+    """Apply the selectors that were saved under a name to new pages of the same hosts (A11): (records, issues).
+
+    templates(name, host, css, xpath).
+    """
+    saved = templates.filter(F.col("name") == name).select(F.col("host").alias("grp"), "css", "xpath")
+    return batch_extract(nodes, pages.select("page_id", url_host(F.col("url")).alias("grp")), saved, fields, pages)
+
+
+def lineage(versions: DataFrame) -> DataFrame:
+    """versions(version_id, parent_id) -> (version_id, original, depth): the chain of refinements behind each version.
+
+    Every round doubles how far each version looks back, so a chain of n
+    versions takes log2(n) rounds.
+    """
+    now = written(
+        versions.select(
+            "version_id", F.coalesce("parent_id", "version_id").alias("original"), F.when(F.col("parent_id").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth")
+        ),
+        "lineage",
+    )
+    before = None
+    while True:
+        up = now.select(F.col("version_id").alias("original"), F.col("original").alias("_far"), F.col("depth").alias("_more"))
+        now = written(now.join(up, "original", "left").select("version_id", F.coalesce("_far", "original").alias("original"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), "lineage")
+        total = now.agg(F.sum("depth")).first()[0]
+        if total == before:
+            return now
+        before = total
+
+
 def run_diff(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
     """Records added, removed, changed or kept between two runs."""
     a = old.select(*key, F.col(value).alias("old_value"), F.lit(True).alias("_a"))

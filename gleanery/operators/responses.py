@@ -187,7 +187,7 @@ def explanation(text: Column, words: str = "explanation") -> Column:
 
 
 def multi_field_selectors(responses: DataFrame, key: str, targets: list[str]) -> DataFrame:
-    """(key, field, css, xpath) per target named in the response.
+    """(key, field, css, xpath, explanation) per target named in the response.
 
     A field's section runs to the next line that starts with a target name
     and a colon. Names are matched literally.
@@ -205,7 +205,7 @@ def multi_field_selectors(responses: DataFrame, key: str, targets: list[str]) ->
         ]
     )
     rows = responses.select(key, F.explode(sections).alias("s")).filter(F.col("s.body").isNotNull())
-    return rows.select(key, "s.field", css_selectors(F.col("s.body")).alias("css"), xpath_selectors(F.col("s.body")).alias("xpath"))
+    return rows.select(key, "s.field", css_selectors(F.col("s.body")).alias("css"), xpath_selectors(F.col("s.body")).alias("xpath"), explanation(F.col("s.body")).alias("explanation"))
 
 
 def clean_converted(text: Column) -> Column:

@@ -200,11 +200,11 @@ def run_summary(pages: DataFrame, values: DataFrame, issues: DataFrame, rejects:
 
 
 def quality_report(values: DataFrame, pages: DataFrame, planned: DataFrame, issues: DataFrame) -> DataFrame:
-    """Compliance and completeness per host and field, with subtotals.
+    """Compliance, completeness and number of issues per host and field, with subtotals.
 
     Status: PASSED when both are 100 %, FAILED when nothing is complete, else PARTIAL.
     """
-    bad = issues.select(*KEY).distinct().withColumn("_bad", F.lit(1))
+    bad = issues.filter(F.col("dp_id").isNotNull()).groupBy(*KEY).agg(F.count("*").alias("_bad"))
     full = values.filter(F.col("clean").isNotNull()).select(*KEY).distinct().withColumn("_full", F.lit(1))
     base = (
         planned.select(*KEY).join(full, KEY, "left").join(bad, KEY, "left")
@@ -212,12 +212,13 @@ def quality_report(values: DataFrame, pages: DataFrame, planned: DataFrame, issu
     )
     n = F.count("*")
     rolled = base.rollup("host", "dp_id").agg(
-        F.grouping_id().alias("level"), n.alias("n_fields"), F.count("_full").alias("n_complete"), (n - F.count("_bad")).alias("n_compliant")
+        F.grouping_id().alias("level"), n.alias("n_fields"), F.count("_full").alias("n_complete"), (n - F.count("_bad")).alias("n_compliant"),
+        F.coalesce(F.sum("_bad"), F.lit(0)).alias("n_issues"),
     )
     whole, ok = F.col("n_complete") / F.col("n_fields"), F.col("n_compliant") / F.col("n_fields")
     status = F.when((whole == 1) & (ok == 1), F.lit("PASSED")).when(whole == 0, F.lit("FAILED")).otherwise(F.lit("PARTIAL"))
     return rolled.select(
-        "host", "dp_id", "level", "n_fields", "n_complete", "n_compliant",
+        "host", "dp_id", "level", "n_fields", "n_complete", "n_compliant", "n_issues",
         F.round(100 * whole, 2).alias("completeness"), F.round(100 * ok, 2).alias("compliance"), status.alias("status"),
     )
 

@@ -183,3 +183,28 @@ def test_scratch_is_cleared(spark):
     assert os.path.isdir(app_folder(spark).removeprefix("file:"))
     clear_scratch(spark)
     assert not os.path.exists(app_folder(spark).removeprefix("file:"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_facts_are_looked_up_on_the_row(spark, sf):
+    """Nothing is shuffled by a handful of agents, fields or flags."""
+    from gleanery.operators import prompts, recover, validate
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert "Exchange" not in plan_of(prompts.with_system_prompt(events, "event_type"))
+    errors = events.select(F.col("user_id").alias("page_id"), F.col("event_type").alias("dp_id"))
+    lost = recover.failed_fields(errors, {"click": "a > b:first-child", "view": "p"})
+    assert "Exchange" not in plan_of(lost)
+    assert "dp_id" not in plan_of(recover.proposals(lost)).split("hashpartitioning(")[1].split(")")[0].split(",")[0]
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    plan = plan_of(validate.outliers(items.select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice"))
+    assert "BuildRight" in plan and "hashpartitioning" not in plan
+
+
+def test_lineage_of_a_broken_chain(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 3), (9, 8), (10, 9)]
+    got = {r["version_id"]: (r["original"], r["depth"]) for r in B.lineage(spark.createDataFrame(rows, "version_id long, parent_id long")).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 9: (8, 1), 10: (8, 2)}
