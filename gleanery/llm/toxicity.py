@@ -238,13 +238,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([voters.fired(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1), b.column(2)], ["fired", "y", "w"])
 
-    rows = sample.select("_text", "_y", "_w").mapInArrow(vote, "fired array<int>, y int, w double").orderBy("fired", "y", "w").toArrow()  # at most 2 x SAMPLE rows
+    rows = sample.select("_text", "_y", "_w").mapInArrow(vote, "fired array<int>, y int, w double").toArrow()  # at most 2 x SAMPLE rows
     voters = Voters(mined)
-    fired, gold, weight = rows.column("fired").to_pylist(), np.array(rows.column("y").to_pylist(), int), np.array(rows.column("w").to_pylist(), float)
+    ordered = sorted(zip(*(rows.column(c).to_pylist() for c in ("fired", "y", "w"))))  # sums do not depend on the order of arrival
+    fired, gold, weight = [r[0] for r in ordered], np.array([r[1] for r in ordered], int), np.array([r[2] for r in ordered], float)
     if len(set(gold.tolist())) < 2:
-        # no labels to learn from: one row for each voter alone and many silent ones stand for what the lists say
-        fired, gold = [[i] for i in range(voters.size)] + [[]] * (4 * voters.size), np.full(5 * voters.size, -1)
-        weight = np.ones(len(gold))
+        # nothing to learn from: ten rows for each lexicon alone and as many silent ones say what the lists mean
+        n = 10 * len(LEXICONS)
+        votes = _votes([[i % len(LEXICONS)] for i in range(n)] + [[]] * n, voters.size)
+        return mined, train(votes, np.repeat([0.95, 0.02], n), np.ones(2 * n))
     votes = _votes(fired, voters.size)
     q, _ = label_model(votes, gold, weight)
     return mined, train(votes, q, weight)
