@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _brute(a: np.ndarray, b: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    step = max(1, (1 << 20) // max(1, len(b)))
+    step = max(1, (1 << 17) // max(1, len(b)))
     for at in range(0, len(a), step):
         part = a[at : at + step]
         i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[b][None, :]) <= radius)
@@ -160,18 +160,17 @@ def _linked(cells: Iterator[pa.RecordBatch], radius: int, total: int, segments:
             left, right = np.flatnonzero(kind <= 0), np.flatnonzero(kind != 0)
             if not len(right):  # one part against itself
                 right = left
-            pairs = []
+            root = np.arange(e - s)
             for p in near(left, right, own, radius):
-                p = p[p[:, 0] != p[:, 1]]
+                # pairs that are linked already add nothing, so a tight group costs little
+                p = p[root[p[:, 0]] != root[p[:, 1]]]
                 if len(p) and total < 64 * fps.shape[1]:
                     p = p[np.bitwise_count(all_bits[p[:, 0]] ^ all_bits[p[:, 1]]).sum(1, dtype=np.int32) <= total]
                 if len(p):
-                    pairs.append(p)
-            if not pairs:
-                continue
-            root = _roots(e - s, np.concatenate(pairs))
+                    root = _roots(e - s, root[p])[root]
             moved = np.flatnonzero(root != np.arange(e - s))
-            edges.append(np.stack([rep[s:e][moved], rep[s:e][root[moved]]]))
+            if len(moved):
+                edges.append(np.stack([rep[s:e][moved], rep[s:e][root[moved]]]))
         if edges:
             both = np.concatenate(edges, 1)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
