@@ -68,6 +68,8 @@ MARKS = frozenset(
     ).split()
 )
 
+TOP_MARKS = frozenset("header masthead topbar banner".split())
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -88,11 +90,19 @@ def _bad_element(tag: str, attrs: str, in_article: bool) -> bool:
         if name.lower() == "role":
             if value.strip().lower() in ROLES:
                 return True
-        elif any(m.lower() in MARKS for m in _MARK.findall(value)):
-            return True
+        else:
+            marks = {m.lower() for m in _MARK.findall(value)} & MARKS
+            if marks - TOP_MARKS if in_article else marks:  # an article has a header of its own, with its title
+                return True
     return False
 
 
+def _is_article(tag: str, attrs: str) -> bool:
+    if tag in ("article", "main"):
+        return True
+    return any(n.lower() == "role" and (a or b or c).strip().lower() in ("article", "main") for n, a, b, c in _ATTR.findall(attrs)) if attrs else False
+
+
 def blocks_of(page: str) -> list[tuple[str, str, bool, bool, int]]:
     """``(text, tag, bad, in article, link characters)`` of each block with text."""
     out: list[tuple[str, str, bool, bool, int]] = []
@@ -143,7 +153,7 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, bool, int]]:
                     if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
                         stack.pop()
                         _, bad, art = stack[-1] if stack else ("", False, False)
-                    stack.append((tag, bad or _bad_element(tag, attrs, art), art or tag in ("article", "main")))
+                    stack.append((tag, bad or _bad_element(tag, attrs, art), art or _is_article(tag, attrs)))
                 elif tag == "p" and _bad_element(tag, attrs, True):
                     state["tag"] = "-"  # a paragraph that calls itself a notice or the like
     if at < len(page):

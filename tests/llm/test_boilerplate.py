@@ -12,6 +12,12 @@ def test_marked_article():
     assert main_text(page) == "A <b> title\nOne two éé x\nThree four.\nshort"
 
 
+def test_headers_and_roles():
+    page = """<div class="page-header"><h1>Shop</h1></div><div role="main"><div class="post-header"><h1>Title</h1></div><p>Body</p><div class=relatedPosts>More</div>
+      <div class="shadow download">kept</div></div><div role=contentinfo>imprint</div>"""
+    assert main_text(page) == "Title\nBody\nkept"
+
+
 def test_decided_by_text():
     menu = "<div>" + "".join(f"<a href='/{i}'>entry number {i} of it</a> " for i in range(9)) + "</div>"
     page = f"<body>{menu}<h2>Heading</h2><p>{PROSE}</p><p>Brief.</p><p>{PROSE}</p><p>Tail.</p>{menu}<p>Imprint</p></body>"
