@@ -224,6 +224,23 @@ def pages_with_match(spark, sf):
     return recover.pages_with_match(pages(spark, sf), nodes(spark, sf), "html[lang=de] li").select("page_id")
 
 
+@query("css_not", f"WITH {SQL_LINKS} SELECT page_id, href FROM links WHERE pos > 1 AND pos < n_links")
+def css_not(spark, sf):
+    out = sel.select_css(nodes(spark, sf), "li:not(:first-child, :nth-last-child(1)) > a", "attrs")
+    return out.select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
+
+
+@query(
+    "xpath_predicates",
+    f"""WITH {SQL_LINKS} SELECT page_id, href FROM links WHERE contains(href, 'a') AND NOT contains({sql_unescape('txt')}, 'e')
+        UNION SELECT page_id, href FROM links WHERE pos <= 2 AND NOT starts_with({sql_unescape('txt')}, 'e')""",
+)
+def xpath_predicates(spark, sf):
+    path = "//a[contains(@href, 'a') and not(contains(., 'e'))] | //li[position() < 3]/a[not(starts-with(text(), 'e'))]"
+    out = sel.select_xpath(nodes(spark, sf), path, "attrs")
+    return out.select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href")).distinct()
+
+
 SQL_ORDER_ROWS = """
 o AS (SELECT o_orderkey // 25 AS page_id, row_number() OVER (PARTITION BY o_orderkey // 25 ORDER BY o_orderkey) AS row_no, o_orderkey::VARCHAR AS key,
   o_orderpriority AS priority, format('{:,.2f}', o_totalprice) AS total, strftime(o_orderdate, '%m/%d/%Y') AS date FROM orders)"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import js_trim, nullif, ordered_text, squash, truncated
 from gleanery.operators.selectors import KEY, select_many
-from gleanery.sources.nodes import elements, text_nodes
+from gleanery.operators.texts import PLAIN, SEEN, texts_at_hand, with_text
+from gleanery.sources.nodes import elements
 
 HTML_SPAN = ("o0", "i0", "i1", "o1")
 # Attributes kept in the compact page text, and elements left out of it.
@@ -17,50 +18,16 @@ NOISE_TAGS = ("script", "style", "noscript", "template", "nav", "footer", "heade
 NOISE_CLASSES = ("ad", "ads", "advert", "advertisement", "sponsored", "cookie", "popup")
 
 
-def _long_texts(keys: DataFrame, nodes: DataFrame, sources: dict[str, str]) -> DataFrame:
-    """(page_id, pre, _text and/or _vtext) of elements too long to be kept on their own row.
-
-    Text nodes find their selected ancestors by key alone; the text itself is
-    moved only for pairs that are part of the answer.
-    """
-    texts = text_nodes(nodes)
-    owned = texts.select("page_id", F.col("pre").alias("at"), F.explode("anc").alias("pre")).join(keys, list(KEY), "left_semi")
-    body = texts.select("page_id", F.col("pre").alias("at"), *sources)
-    folded = [
-        ordered_text(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("text")))), sep).alias(f"_{c}")
-        for c, sep in sources.items()
-    ]
-    return owned.join(body, ["page_id", "at"]).groupBy(*KEY).agg(*folded)
-
-
-# text source -> what goes between the parts
-_PLAIN, _SEEN = {"text": ""}, {"vtext": " "}
-
-
-def _texts(found: DataFrame, nodes: DataFrame, sources: dict[str, str], enough: Column, value: Column, name: str) -> DataFrame:
-    """Add ``name`` = ``value`` over the text columns; rows without ``enough`` text at hand get it from text nodes."""
-    rest = found.filter(~enough)
-    whole = rest.drop(*sources).join(_long_texts(rest.select(*KEY).distinct(), nodes, sources), list(KEY), "left")
-    whole = whole.withColumnsRenamed({f"_{c}": c for c in sources})
-    return found.filter(enough).unionByName(whole).withColumn(name, value).drop(*sources)
-
-
-def with_text(found: DataFrame, nodes: DataFrame, trim: bool = True) -> DataFrame:
-    """Add ``value`` = text content (B10). ``found`` must carry ``text``."""
-    text = F.coalesce("text", F.lit(""))
-    return _texts(found, nodes, _PLAIN, F.col("text").isNotNull(), js_trim(text) if trim else text, "value")
-
-
 def with_visible_text(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add ``visible`` = text without hidden elements and scripts (B11). ``found`` must carry ``vtext``."""
-    return _texts(found, nodes, _SEEN, F.col("vtext").isNotNull(), squash(F.coalesce("vtext", F.lit(""))), "visible")
+    return texts_at_hand(found, nodes, SEEN, F.col("vtext").isNotNull(), squash(F.coalesce("vtext", F.lit(""))), "visible")
 
 
 def with_best_text(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add ``value`` = visible text, else all text, else NULL (B12). ``found`` must carry both texts."""
     enough = F.col("vtext").isNotNull() & ((F.col("vtext") != "") | F.col("text").isNotNull())
     best = F.coalesce(nullif(squash(F.col("vtext"))), nullif(js_trim(F.col("text"))))
-    return _texts(found, nodes, {**_PLAIN, **_SEEN}, enough, best, "value")
+    return texts_at_hand(found, nodes, {**PLAIN, **SEEN}, enough, best, "value")
 
 
 def attr(name: str) -> Column:

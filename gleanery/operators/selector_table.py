@@ -57,7 +57,7 @@ def _clauses(test: tuple, neg: bool = False) -> list[list[dict]]:
 
 
 def step_rows(selector: str) -> list[tuple]:
-    """Rows of one selector; none if it is unusable or ends in text() or an attribute."""
+    """Rows of one selector; none if it is unusable, tests text, or ends in text() or an attribute."""
     try:
         if sel.selector_kind(selector) == "xpath":
             parts = sel.xpath_parts(selector)
@@ -66,6 +66,8 @@ def step_rows(selector: str) -> list[tuple]:
             chains = [c for c, _ in parts]
         else:
             chains = sel.css_steps(selector)
+        if any(sel._text_tests(t) for chain in chains for s in chain for t in s.tests):
+            return []
         rows = []
         for c, chain in enumerate(chains):
             for i, s in enumerate(chain):

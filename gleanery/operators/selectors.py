@@ -15,6 +15,7 @@ predicate plus how it hangs off the step before it:
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import squash
+from gleanery.operators.texts import elements_with
 from gleanery.sources.nodes import elements
 
 KEY = ("page_id", "pre")
@@ -86,6 +88,26 @@ def _attr_test(name: str, op: str | None, value: str | None, any_case: bool) ->
     return {"^=": a.startswith, "$=": a.endswith, "*=": a.contains}[op](value)
 
 
+def _flag(test: tuple) -> str:
+    return "_t" + hashlib.md5(repr(test).encode()).hexdigest()[:12]
+
+
+def _text_tests(test: tuple) -> list[tuple]:
+    if test[0] == "text":
+        return [test]
+    return [t for a in test[1:] if isinstance(a, tuple) for t in _text_tests(a)]
+
+
+def _flagged(nodes: DataFrame, steps: list[Step]) -> DataFrame:
+    """Elements, with a flag for each text test of the steps: text is read once for each, and only keys are joined."""
+    els = elements(nodes)
+    wanted = {t: s.tag for s in steps for test in s.tests for t in _text_tests(test)}
+    for test, tag in wanted.items():
+        found = elements_with(nodes, *test[1:], tag=tag).withColumn(_flag(test), F.lit(True))
+        els = els.join(found, list(KEY), "left").withColumn(_flag(test), F.coalesce(_flag(test), F.lit(False)))
+    return els
+
+
 def as_column(test: tuple) -> Column:
     """A test over one element row. Tests are tuples: a kind, then its arguments.
 
@@ -101,6 +123,8 @@ def as_column(test: tuple) -> Column:
         return F.array_contains("classes", args[0])
     if kind == "attr":
         return _attr_test(*args)
+    if kind == "text":
+        return F.col(_flag(test))
     if kind == "top":
         return F.col("depth") == 1
     if kind == "alone":
@@ -211,6 +235,9 @@ _XPATH_ATTR = re.compile(rf"@([\w:-]+)\s*(?:(!?=)\s*({_QUOTED}))?\Z")
 _XPATH_CALL = re.compile(rf"(contains|starts-with)\(\s*@([\w:-]+)\s*,\s*({_QUOTED})\s*\)\Z")
 _XPATH_TRIM = re.compile(rf"normalize-space\(\s*@([\w:-]+)\s*\)\s*=\s*({_QUOTED})\Z")
 _XPATH_POS = re.compile(r"position\(\)\s*(!=|<=|>=|=|<|>)\s*(\d+|last\(\))\Z")
+_OPERAND = r"(text\(\)|\.|normalize-space\(\s*(?:text\(\)|\.)?\s*\))"
+_XPATH_TEXT_CALL = re.compile(rf"(contains|starts-with)\(\s*{_OPERAND}\s*,\s*({_QUOTED})\s*\)\Z")
+_XPATH_TEXT_EQ = re.compile(rf"{_OPERAND}\s*(!?=)\s*({_QUOTED})\Z")
 _XPATH_LAST = re.compile(r"last\(\)(?:\s*-\s*(\d+))?\Z")
 
 
@@ -260,6 +287,10 @@ def xpath_steps(xpath: str) -> tuple[list[Step], str | None]:
     return steps, out
 
 
+def _text_test(operand: str, op: str, value: str) -> tuple:
+    return ("text", "text()" not in operand, op, value, operand.startswith("normalize"))
+
+
 def _xpath_test(pred: str, which: str, later: bool) -> tuple:
     """``later``: after another predicate, where a position is not a stored one."""
     for word in ("or", "and"):
@@ -279,6 +310,11 @@ def _xpath_test(pred: str, which: str, later: bool) -> tuple:
         return ("attr", m[2].lower(), "*=" if m[1] == "contains" else "^=", m[3][1:-1], False)
     if m := _XPATH_TRIM.match(pred):
         return ("attr", m[1].lower(), "==", m[2][1:-1], False)
+    if m := _XPATH_TEXT_CALL.match(pred):
+        return _text_test(m[2], "*=" if m[1] == "contains" else "^=", m[3][1:-1])
+    if m := _XPATH_TEXT_EQ.match(pred):
+        test = _text_test(m[1], "=", m[3][1:-1])
+        return ("not", test) if m[2] == "!=" else test
     if later:
         raise InvalidSelector(pred)
     if pred.isdigit():
@@ -339,7 +375,7 @@ def _row_tests(chains: list[list[Step]]) -> Column | None:
 
 
 def _run(nodes: DataFrame, steps: list[Step], cols: tuple[str, ...]) -> DataFrame:
-    els, cur, i = elements(nodes), None, 0
+    els, cur, i = _flagged(nodes, steps), None, 0
     if (test := _row_test(steps)) is not None:
         return els.filter(test).select(*_columns(cols))
     while i < len(steps):
@@ -478,7 +514,7 @@ def select_many(nodes: DataFrame, selectors: dict[str, str], *cols: str) -> Data
         paths = xpath_parts(sel) if selector_kind(sel) == "xpath" else [(c, None) for c in css_steps(sel)]
         chains = [c for c, _ in paths]
         test = _row_tests(chains)
-        if test is not None and not any(end for _, end in paths):
+        if test is not None and not any(end for _, end in paths) and not any(_text_tests(t) for c in chains for s in c for t in s.tests):
             simple[label] = test
             lasts += [c[-1] for c in chains]
         else:

@@ -210,3 +210,36 @@ def test_selectors_from_a_table(page, spark):
     assert {(r["page_id"], r["selector"]) for r in st.matches_on(page, asked).collect()} == {(1, "p"), (2, "p")}
     scans = lambda n: st.matches(page, spark.createDataFrame([(f".c{i} > p",) for i in range(n)], "selector string"))._jdf.queryExecution().optimizedPlan().toString().count("Relation")
     assert scans(5) == scans(500)
+
+
+def text_of(n):
+    return "".join(k.text or "" if k.kind == "text" else text_of(k) for k in ALL if k.parent is n and k.kind in ("text", "element"))
+
+
+ALL = []
+
+
+def test_text_predicates(page, spark):
+    ALL[:] = _Tree(HTML).nodes
+    els = [n for n in ALL if n.kind == "element"]
+    first = lambda n: next((k.text for k in ALL if k.parent is n and k.kind == "text"), "")
+    want = {
+        "//p[contains(., 'q')]": lambda n: n.tag == "p" and "q" in text_of(n), "//p[contains(text(), '1')]": lambda n: n.tag == "p" and "1" in first(n), "//li[.='l']": lambda n: n.tag == "li" and text_of(n) == "l",
+        "//*[normalize-space()='T']": lambda n: text_of(n).split() == ["T"], "//li[text()='i']/../nothing": None, "//a[text()='n']": lambda n: n.tag == "a" and first(n) == "n",
+        "//div[contains(., 'z')]//em": lambda n: n.tag == "em", "//p[starts-with(text(), '4') and @class]": lambda n: n.tag == "p" and first(n).startswith("4"), "//li[not(contains(., 'k'))]": lambda n: n.tag == "li" and "k" not in text_of(n),
+    }
+    for text, test in want.items():
+        if test is None:
+            assert not sel.is_valid(text)
+            continue
+        expect = sorted(n.pre for n in els if test(n))
+        assert expect and found(sel.select(page, text)) == expect, text
+    got = {r["label"]: r["pre"] for r in sel.select_many(page, {"a": "//a[text()='n']", "b": "//h1"}).collect() if r["page_id"] == 1}
+    assert set(got) == {"a", "b"}
+
+
+def test_text_predicates_on_long_text(parse):
+    _, n = parse("<div><p>" + "word " * 300 + "<b>needle</b> tail</p></div><p>" + "x" * 700 + "</p>")
+    assert sel.select(n, "//p[contains(., 'needle tail')]").count() == 1
+    assert sel.select(n, "//div[contains(., 'needle')]/p").count() == 1
+    assert sel.select(n, "//p[contains(text(), 'needle')]").count() == 0
