@@ -232,7 +232,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
 
 # The given pages mark their article with one element and hold few kinds of references.
-_SQL_TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '</?(p|h1)>', chr(30), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
+_SQL_TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)(?:</article>|$)', 1, 's'), '</?(p|h1)>', chr(30), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
 _SQL_PLAIN = """regexp_replace(replace(replace(replace(b, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"""
 
 
