@@ -22,6 +22,7 @@ decided on 128-bit digests.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ from gleanery.llm.base import small_batches
 from gleanery.session import written
 
 _LAST = (1 << 63) - 1
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _PIECE = "_key long, _th int, _lo int, _n int, _core long, _f1 long, _f2 long"
 
 
@@ -212,7 +214,21 @@ def _mark(text: bytes, intervals: tuple[np.ndarray, np.ndarray], plan: Plan, kee
     else:
         left = units[~gone].tobytes() if len(lo) else text
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(size > 0 and bool(gone[0])) if len(lo) else 0
-    return size, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None
+    kept = None
+    if keep_text:
+        # white space around kept words stays as it was
+        kept = text if not spans else _without_words(text, gone) if plan.words else left
+    return size, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None
+
+
+def _without_words(text: bytes, gone: np.ndarray) -> bytes:
+    out, at = [], 0
+    for i, m in enumerate(_WORDS.finditer(text)):
+        if gone[i] and (i == 0 or not gone[i - 1]):
+            out.append(text[at : m.start()])
+        elif not gone[i] and i and gone[i - 1]:
+            at = m.start()
+    return b"".join(out if gone[-1] else [*out, text[at:]])
 
 
 def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:

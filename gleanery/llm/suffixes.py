@@ -32,6 +32,8 @@ from gleanery.llm import repeats
 from gleanery.llm.base import query, table
 
 WINDOW = 400
+#: Threshold in words, where texts are cut by words.
+WORDS = 50
 GRAM = 64
 BLOCK = 16
 
@@ -49,9 +51,14 @@ def remove_repeated_bytes(
     return out if keep_text else out.drop("kept_text")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """``docs`` with what is left of each text, and its length in ``n_chars`` if there is such a column; a null text stays null."""
-    rows = repeats.marked(docs, repeats.Plan(words=False, window=WINDOW, gram=GRAM, earlier=False, block=BLOCK), "suffixes", id_col, text_col, True)
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars", words: bool = True, window: int = WORDS, gram: int = 16, block: int = 0
+) -> DataFrame:
+    """``docs`` with what is left of each text, and its length in ``n_chars`` if there is such a column; a null text stays null.
+
+    Tokens are words between ASCII white space, or bytes. What is not removed stays as it was, white space included.
+    """
+    rows = repeats.marked(docs, repeats.Plan(words=words, window=window, gram=gram, earlier=False, block=block), "suffixes", id_col, text_col, True)
     text = F.when(~F.col("_row.empty"), F.col("_kept"))
     new = {text_col: text, n_chars: F.when(~F.col("_row.empty"), F.length("_kept").cast("long"))}
     return rows.select(*[(new[c] if c in new else F.col("_row.rest")[c]).alias(c) for c in docs.columns])

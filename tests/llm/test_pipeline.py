@@ -28,7 +28,7 @@ def corpus(tmp_path_factory, spark):
         kinds[i] = kind
         labels.append((i, 1, int(kind == "toxic")))
     base = [row for row in rows if kinds[row[0]] == "clean" and len(row[1].split()) > 60]
-    passage = text(90)
+    passage = text(54)
     items = [(k, text(30)) for k in range(5)]
     for n, row in enumerate(base[:10]):
         rows.append((300 + n, row[1], "en", "s", row[4]))

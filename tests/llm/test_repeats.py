@@ -98,3 +98,12 @@ def test_long_text(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeated_bytes(docs).collect() == [] and remove_repeated_words(docs).collect() == []
+
+
+def test_what_is_left_keeps_its_white_space(spark):
+    from gleanery.llm.suffixes import without_repeats
+
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "\n one\ttwo  " + shared + "\n\nthree ", 0), (2, shared.replace(" ", "\n"), 5), (3, "  left\n as  it was\t", 0), (4, None, None), (5, "é x " + shared + " end", 1)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert got == {1: ("\n one\ttwo  three ", 17), 2: ("", 0), 3: ("  left\n as  it was\t", 19), 4: (None, None), 5: ("é x end", 7)}
