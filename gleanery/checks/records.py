@@ -11,7 +11,7 @@ from gleanery.functions.scalars import js_trim, strict_number, url_host
 from gleanery.functions.transforms import apply_transform, type_setting
 from gleanery.operators import batch, extract, prompts, responses, validate
 from gleanery.operators import selectors as sel
-from gleanery.plans.templates import PROMPTS, SYSTEM_PROMPTS
+from gleanery.plans.templates import PROMPTS, SETTINGS, SYSTEM_PROMPTS
 
 CARD_COLS = [f.name for f in CARD_FIELDS]
 
@@ -456,6 +456,40 @@ def build_prompts(spark, sf):
     return prompts.page_prompts(pages(spark, sf), F.lit("all links"), 30_000, prompts.CUT).withColumn("max_tokens", long("max_tokens"))
 
 
+def _selector_prompt_sql() -> str:
+    css, xpath = "CASE WHEN k % 4 IN (0, 2) THEN '.c' || k END", "CASE WHEN k % 4 IN (1, 2) THEN '//x' || k END"
+    html, fb, err = "'<p>' || p_name || '</p>'", "CASE WHEN k % 3 = 0 THEN 'shorter' END", "CASE WHEN k % 5 = 0 THEN 'gone' END"
+    now = f"concat_ws(chr(10), 'CSS: ' || {css}, 'XPath: ' || {xpath})"
+    rows = [
+        ("SELECTOR_GENERATE", "k % 4 = 3", dict(targetData="p_name", extractionGoal="'parts'", htmlSample=html)),
+        ("SELECTOR_GENERATE_MULTI", "k % 7 = 0", dict(targetsDescription="p_type", htmlContext=html, preferredType="'css'")),
+        ("EXTRACTOR_EXTRACT_DATA", "k % 6 = 0", dict(schema="'{\"name\": \"string\"}'", cssSelector=f"coalesce({css}, '')", xpathSelector=f"coalesce({xpath}, '')", htmlContent=html)),
+        ("SELECTOR_IMPROVE", f"k % 4 < 3 AND {fb} IS NOT NULL", dict(currentSelectors=now, feedback=fb, htmlContext=html)),
+        ("SELECTOR_CONVERT", "k % 4 = 0", dict(fromType="'CSS'", toType="'XPath'", selector=css)),
+        ("SELECTOR_CONVERT", "k % 4 = 1", dict(fromType="'XPath'", toType="'CSS'", selector=xpath)),
+        ("RECOVERY_ALTERNATIVES", f"{css} IS NOT NULL AND {err} IS NOT NULL", dict(description="p_name", type="'string'", failedSelector=css, errorMessage=err, notes="''", htmlSample=html)),
+    ]
+    parts = []
+    for kind, where, values in rows:
+        agent, heat, size = SETTINGS[kind]
+        system = "NULL" if agent is None else lit_sql(SYSTEM_PROMPTS[agent])
+        parts.append(f"SELECT k AS plan_id, '{kind}' AS kind, {system} AS system, {fill_sql(PROMPTS[kind], **values)} AS prompt, {heat}::DOUBLE AS temperature, {'NULL' if size is None else size}::BIGINT AS max_tokens FROM p WHERE {where}")
+    return "WITH p AS (SELECT p_partkey AS k, * FROM part) " + " UNION ALL ".join(parts)
+
+
+@query("selector_prompts", _selector_prompt_sql())
+def selector_prompts(spark, sf):
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    rows = table(spark, sf, "part").select(
+        k.alias("plan_id"), F.concat(F.lit("<p>"), "p_name", F.lit("</p>")).alias("page_html"), F.lit("parts").alias("goal"), F.col("p_name").alias("target"),
+        F.when(k % 7 == 0, F.col("p_type")).alias("targets"), F.when(k % 6 == 0, F.lit('{"name": "string"}')).alias("schema"),
+        F.when((k % 4).isin(0, 2), F.concat(F.lit(".c"), text)).alias("css"), F.when((k % 4).isin(1, 2), F.concat(F.lit("//x"), text)).alias("xpath"),
+        F.when(k % 3 == 0, F.lit("shorter")).alias("feedback"), F.when(k % 5 == 0, F.lit("gone")).alias("error"),
+    )
+    return prompts.selector_prompts(rows, ["plan_id"]).withColumn("max_tokens", long("max_tokens"))
+
+
 @query(
     "refine_prompts",
     "SELECT p_partkey AS plan_id, "

@@ -80,21 +80,25 @@ def page_prompts(pages: DataFrame, goal: Column, limit: int | None = None, mark:
 
 
 def selector_prompts(rows: DataFrame, key: list[str], limit: int | None = None, mark: str = "") -> DataFrame:
-    """The prompts about single selectors (C7): generate, improve, convert and recover.
+    """The prompts about selectors and records (C7): generate, several fields, extract, improve, convert and recover.
 
-    rows(key, target, page_html, css, xpath, feedback, error). A prompt whose
-    inputs are NULL is not made.
+    rows(key, page_html, goal, target, targets, schema, css, xpath, feedback,
+    error). A prompt whose own inputs are NULL is not made.
     """
-    source = bounded(F.col("page_html"), limit, mark)
-    now = F.concat_ws("\n", F.when(F.col("css").isNotNull(), F.concat(F.lit("CSS: "), "css")), F.when(F.col("xpath").isNotNull(), F.concat(F.lit("XPath: "), "xpath")))
+    html, c = bounded(F.col("page_html"), limit, mark), F.col
+    css, xpath = c("css").isNotNull(), c("xpath").isNotNull()
+    now = F.concat_ws("\n", F.when(css, F.concat(F.lit("CSS: "), "css")), F.when(xpath, F.concat(F.lit("XPath: "), "xpath")))
+    text = F.lit("string")
     made = [
-        (F.col("target").isNotNull(), prompt_of("SELECTOR_GENERATE", targetDescription=F.col("target"), htmlContext=source, htmlSample=source)),
-        ((now != "") & F.col("feedback").isNotNull(), prompt_of("SELECTOR_IMPROVE", currentSelectors=now, feedback=F.col("feedback"), htmlContext=source)),
-        (F.col("css").isNotNull() & F.col("xpath").isNull(), prompt_of("SELECTOR_CONVERT", fromType=F.lit("CSS"), toType=F.lit("XPath"), selector=F.col("css"))),
-        (F.col("xpath").isNotNull() & F.col("css").isNull(), prompt_of("SELECTOR_CONVERT", fromType=F.lit("XPath"), toType=F.lit("CSS"), selector=F.col("xpath"))),
+        (c("target").isNotNull() & ~css & ~xpath, prompt_of("SELECTOR_GENERATE", targetData=c("target"), extractionGoal=c("goal"), htmlSample=html)),
+        (c("targets").isNotNull(), prompt_of("SELECTOR_GENERATE_MULTI", targetsDescription=c("targets"), htmlContext=html, preferredType=F.lit("css"))),
+        (c("schema").isNotNull(), prompt_of("EXTRACTOR_EXTRACT_DATA", schema=c("schema"), cssSelector=c("css"), xpathSelector=c("xpath"), htmlContent=html)),
+        ((css | xpath) & c("feedback").isNotNull(), prompt_of("SELECTOR_IMPROVE", currentSelectors=now, feedback=c("feedback"), htmlContext=html)),
+        (css & ~xpath, prompt_of("SELECTOR_CONVERT", fromType=F.lit("CSS"), toType=F.lit("XPath"), selector=c("css"))),
+        (xpath & ~css, prompt_of("SELECTOR_CONVERT", fromType=F.lit("XPath"), toType=F.lit("CSS"), selector=c("xpath"))),
         (
-            F.col("error").isNotNull() & F.col("css").isNotNull(),
-            prompt_of("RECOVERY_ALTERNATIVES", description=F.col("target"), type=F.lit("string"), failedSelector=F.col("css"), errorMessage=F.col("error"), notes=F.lit(""), htmlSample=source),
+            c("error").isNotNull() & css,
+            prompt_of("RECOVERY_ALTERNATIVES", description=c("target"), type=text, failedSelector=c("css"), errorMessage=c("error"), notes=F.lit(""), htmlSample=html),
         ),
     ]
     asked = F.array_compact(F.array(*[F.when(wanted, prompt) for wanted, prompt in made]))
