@@ -16,7 +16,8 @@ Three machines are compiled from the model file and composed with each text:
   depth first, long arcs first, and never enters a state twice.
 
 No piece holds a symbol followed by a space mark, so shortest paths are found
-word by word and remembered, within a fixed number of words.
+word by word (and apart from punctuation, where no piece leads into it) and
+remembered, within a fixed number of words.
 
 Decoding runs the same transducer backwards: ids to symbols or bytes, bytes to
 characters, marks to spaces, the first mark dropped.
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -44,7 +46,7 @@ from gleanery.llm.base import query, small_batches, table
 
 MARK = "▁"
 #: Words whose paths a Python worker remembers, and the longest such word.
-REMEMBERED, LONGEST = 150_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -82,6 +84,11 @@ class Transducer:
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = None if inner else re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
+        # few pieces go on from another character into punctuation: texts without those characters split there too
+        marks = string.punctuation
+        self.sticky = {a for p in self.ids for a, b in zip(p, p[1:]) if b in marks and a not in marks and a != MARK}
+        p, rest = f"[{re.escape(marks)}]", f"[^{re.escape(marks)}{MARK}{alone}]"
+        self.parts = None if inner else re.compile(f"{MARK}+{p}*{rest}*|{p}+{rest}*|{rest}+" + ("|\n" if alone else ""))
         self.pairs: dict[str, dict[str, bool]] = {}
         self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.paths: dict[str, bytes] = {}
@@ -135,17 +142,26 @@ class Transducer:
 
     def _merge_path(self, s: str) -> list[str]:
         n, i, before = len(s), 0, ""
+        states, pairs, longest = self.states.get, self.pairs, self.longest
         out: list[str] = []
-        options = [self._arcs(s, 0)]
         dead: set[int] = set()
-        pairs = self.pairs
+        shorter = n + 1  # arcs from i must be shorter than this
         while i < n:
-            arcs = options[-1]
+            # the piece ends that are reached from i, from short to long
+            ends = []
+            for j in range(i + 1, min(n, i + longest, i + shorter - 1) + 1):
+                ending = states(s[i:j])
+                if ending is None:
+                    break
+                if ending:
+                    ends.append(j)
+            if not ends and shorter > n:
+                ends = [i + 1]  # a symbol that is no piece
             after = pairs.get(before) or {}
-            while arcs:
-                t = arcs.pop()
-                if dead and i + len(t) in dead:
+            for j in reversed(ends):
+                if j in dead:
                     continue
+                t = s[i:j]
                 if before:
                     is_open = after.get(t)
                     if is_open is None:
@@ -153,16 +169,15 @@ class Transducer:
                     if not is_open:
                         continue
                 out.append(t)
-                i += len(t)
-                before = t
-                if i < n:
-                    options.append(self._arcs(s, i))
+                i, before, shorter = j, t, n + 1
                 break
             else:
+                # no way on: back over the last arc, and look for a shorter one
                 dead.add(i)
-                options.pop()
-                i -= len(out.pop())
+                t = out.pop()
+                i -= len(t)
                 before = out[-1] if out else ""
+                shorter = len(t)
         return out
 
     def _unigram_path(self, s: str) -> list[str]:
@@ -203,7 +218,7 @@ class Transducer:
         if self.words is None:
             return self.path(symbols)
         paths = self.paths
-        parts = self.words.findall(symbols)
+        parts = (self.parts if self.sticky.isdisjoint(symbols) else self.words).findall(symbols)
         got = [paths.get(w) for w in parts]
         if None in got:
             for k, w in enumerate(parts):
