@@ -160,8 +160,9 @@ def word_values(data: np.ndarray, offsets: np.ndarray, wordy: np.ndarray, lower:
     values: list[np.ndarray] = []
     before = [0]
     fold = lower_table() if lower else None
+    raw = wordy if fold is None else wordy[fold]  # what is a word before folding
     for i, j in groups_of(offsets):
-        at = cuts(data, int(offsets[i]), int(offsets[j]), wordy) if j == i + 1 else [int(offsets[i]), int(offsets[j])]
+        at = cuts(data, int(offsets[i]), int(offsets[j]), raw) if j == i + 1 else [int(offsets[i]), int(offsets[j])]
         if j > i + 1:
             own = offsets[i : j + 1] - offsets[i]
         total = 0

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from gleanery.llm.arrays import SEGMENT
 from gleanery.llm.decontaminate import clean_documents, clean_spans, scan
 
 
@@ -53,6 +54,25 @@ def test_against_brute_force(spark, limit):
     assert sorted(len(words(x.text)) for x in left) == sorted(w[1] - w[2] for w in want)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_long_mixed_case(spark, limit):
+    """Several segments of words in capitals and mixed case, with items behind the cuts."""
+    r = random.Random(6)
+    pool = ["MIDDLE", "iPhone", "XMLHttpRequest", "Q2FtZWxDYXNl", "PLAIN"]
+    items = [(i, " ".join("Zz" + r.choice(pool) + str(i) for _ in range(6))) for i in range(4)]
+    text = ""
+    for _, item in items:
+        text += " ".join(r.choice(pool) for _ in range(300_000 // 8)) + " " + item + " "
+    assert len(text) > 3 * SEGMENT
+    rows = [(1, text), (2, text.upper()), (3, text.lower())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = scan(docs, spark.createDataFrame(items, "item_id long, text string"), n=4, max_windows=limit)
+    flat = got.select("rest.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    want = brute(rows, items, 4)
+    assert [w[2:4] for w in want] == [(24, 4)] * 3
+    assert sorted(map(tuple, flat), key=str) == want
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_empty_tables(spark, limit):
     none = spark.createDataFrame([], "item_id long, text string")
