@@ -3,16 +3,24 @@
 A page is cut into blocks at block-level tags. The first pass classifies each one:
 
 * inside a menu, header, footer, sidebar, notice, advert, form or comment element
-  (by tag, role, class or id) a block is bad; inside an article or main element
-  it is otherwise good, and what lies outside of them on such a page is bad;
-* on pages without these elements text decides: a share of link characters above
-  MAX_LINKS is bad; few stop words are bad; many are good in long blocks and
-  nearly good in others (good, if no block of the page is); headings and blocks
-  under SHORT characters stay open.
+  (by tag, role, class or id) a block is bad;
+* elsewhere text decides: a share of link characters above MAX_LINKS is bad; few
+  stop words are bad; many are good in long blocks and nearly good in others
+  (good, if no block of the page is: those in articles with a prior, else those
+  outside of articles, else all); headings and blocks under SHORT characters
+  stay open;
+* an article or main element is a prior for its own blocks: without many links
+  they are nearly good at least, whatever their length and stop words, and so
+  are headings. An element without a good block of its own and with less text
+  than the good blocks (nearly good, if there are none) outside of it is a
+  teaser and no prior.
 
 In the second pass open and nearly good blocks take the label of their nearest
 decided neighbours: of both if they agree, else good for nearly good blocks and
-for headings before a good block, bad for the rest.
+for headings before a good block, bad for the rest. The ends of a page count as
+bad. With a prior the neighbours are those of the same element, its ends count as
+good, bad elements inside it are passed over, and headings go with the block that
+follows.
 
 References are decoded, white space (line breaks too) becomes one space, and kept
 blocks are joined by line ends in page order. Nothing else is dropped or cut.
@@ -26,6 +34,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,10 +112,11 @@ def _is_article(tag: str, attrs: str) -> bool:
     return any(n.lower() == "role" and (a or b or c).strip().lower() in ("article", "main") for n, a, b, c in _ATTR.findall(attrs)) if attrs else False
 
 
-def blocks_of(page: str) -> list[tuple[str, str, bool, bool, int]]:
-    """``(text, tag, bad, in article, link characters)`` of each block with text."""
-    out: list[tuple[str, str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, in article
+def blocks_of(page: str) -> list[tuple[str, str, bool, int, int]]:
+    """``(text, tag, bad, article, link characters)`` of each block with text; ``article`` numbers the innermost one, 0 for none."""
+    out: list[tuple[str, str, bool, int, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, bad, article
+    articles = 0
     parts: list[str] = []
     state = {"tag": "", "links": 0}
     link = 0
@@ -115,7 +125,7 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, bool, int]]:
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                _, bad, art = stack[-1] if stack else ("", False, False)
+                _, bad, art = stack[-1] if stack else ("", False, 0)
                 out.append((text, state["tag"], bad, art, state["links"]))
             parts.clear()
         state["links"] = 0
@@ -149,11 +159,15 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, bool, int]]:
             else:
                 state["tag"] = tag
                 if tag not in VOID and tag not in ("p", "html", "body") and not _HEADING.match(tag) and not attrs.endswith("/"):
-                    _, bad, art = stack[-1] if stack else ("", False, False)
+                    _, bad, art = stack[-1] if stack else ("", False, 0)
                     if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
                         stack.pop()
-                        _, bad, art = stack[-1] if stack else ("", False, False)
-                    stack.append((tag, bad or _bad_element(tag, attrs, art), art or _is_article(tag, attrs)))
+                        _, bad, art = stack[-1] if stack else ("", False, 0)
+                    bad = bad or _bad_element(tag, attrs, art > 0)
+                    if _is_article(tag, attrs):
+                        articles += 1
+                        art = articles
+                    stack.append((tag, bad, art))
                 elif tag == "p" and _bad_element(tag, attrs, True):
                     state["tag"] = "-"  # a paragraph that calls itself a notice or the like
     if at < len(page):
@@ -162,35 +176,41 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, bool, int]]:
     return [(t, tag, bad or tag == "-", art, links) for t, tag, bad, art, links in out]
 
 
-def labels_of(blocks: list[tuple[str, str, bool, bool, int]]) -> list[bool]:
-    """Whether each block belongs to the main text."""
-    marked = any(art and not bad for _, _, bad, art, _ in blocks)
-    first: list[str] = []
-    for text, tag, bad, art, links in blocks:
-        if bad:
-            first.append("bad")
-        elif marked:
-            first.append("good" if art else "bad")
-        elif links > MAX_LINKS * len(text):
-            first.append("bad")
-        elif _HEADING.match(tag):
-            first.append("heading")
-        elif len(text) < SHORT:
-            first.append("bad" if links else "short")
-        else:
-            words = text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            first.append(("good" if len(text) > LONG else "near") if stops >= MANY_STOPS else "near" if stops >= FEW_STOPS else "bad")
-    if "good" not in first:  # a page of middling paragraphs only
-        first = ["good" if x == "near" else x for x in first]
-    # nearest decided labels on both sides; the ends of a page count as bad
+def _by_text(text: str, tag: str, links: int) -> str:
+    """First-pass label of a block by its text alone."""
+    if links > MAX_LINKS * len(text):
+        return "bad"
+    if _HEADING.match(tag):
+        return "heading"
+    if len(text) < SHORT:
+        return "bad" if links else "short"
+    words = text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    return ("good" if len(text) > LONG else "near") if stops >= MANY_STOPS else "near" if stops >= FEW_STOPS else "bad"
+
+
+def _priors(blocks: list[tuple[str, str, bool, int, int]], first: list[str]) -> set[int]:
+    """Articles that hold main text, as far as their text tells."""
+    best = "good" if "good" in first else "near"
+    size: Counter[int] = Counter()
+    strong: Counter[int] = Counter()
+    for (text, _, bad, art, links), x in zip(blocks, first):
+        if not bad:
+            size[art] += max(0, len(text) - links)
+            strong[art] += len(text) if x == best else 0
+    total = sum(strong.values())
+    return {art for art in size if art and (best == "good" and strong[art] or size[art] >= total - strong[art])}
+
+
+def _second_pass(first: list[str], end: str) -> list[bool]:
+    """Open labels by their nearest decided ones on both sides; ``end`` is what counts beyond the ends."""
     n = len(first)
-    before, after = ["bad"] * n, ["bad"] * n
-    last = "bad"
+    before, after = [end] * n, [end] * n
+    last = end
     for i, x in enumerate(first):
         before[i] = last
         last = x if x in ("good", "bad") else last
-    last = "bad"
+    last = end
     for i in range(n - 1, -1, -1):
         after[i] = last
         last = first[i] if first[i] in ("good", "bad") else last
@@ -207,6 +227,34 @@ def labels_of(blocks: list[tuple[str, str, bool, bool, int]]) -> list[bool]:
     return out
 
 
+def labels_of(blocks: list[tuple[str, str, bool, int, int]]) -> list[bool]:
+    """Whether each block belongs to the main text."""
+    first = ["bad" if bad else _by_text(text, tag, links) for text, tag, bad, _, links in blocks]
+    priors = _priors(blocks, first)
+    inside: dict[int, list[int]] = {art: [] for art in priors}
+    for i, (text, tag, bad, art, links) in enumerate(blocks):
+        if art in priors and not bad:
+            inside[art].append(i)
+            if first[i] != "good" and links <= MAX_LINKS * len(text):
+                first[i] = "heading" if _HEADING.match(tag) else "near"
+    if "good" not in first:  # a page of middling paragraphs only
+        near = [i for i, x in enumerate(first) if x == "near"]
+        held = [i for i in near if blocks[i][3] in priors] or [i for i in near if not blocks[i][3]]
+        for i in held or near:
+            first[i] = "good"
+    # blocks of articles are decided among themselves, the rest of the page beside what they came to
+    for own in inside.values():
+        rest = [i for i in own if first[i] != "heading"]
+        for i, keep in zip(rest, _second_pass([first[i] for i in rest], "good")):
+            first[i] = "good" if keep else "bad"
+        follows = "good"
+        for i in reversed(own):
+            if first[i] == "heading":
+                first[i] = follows
+            follows = first[i]
+    return _second_pass(first, "bad")
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     return "\n".join(b[0] for b, keep in zip(blocks, labels_of(blocks)) if keep)

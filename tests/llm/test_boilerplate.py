@@ -24,6 +24,32 @@ def test_decided_by_text():
     assert main_text(page) == f"Heading\n{PROSE}\nBrief.\n{PROSE}"
 
 
+TEASER = "<article><h3><a href=/{0}>Another story with number {0}</a></h3><p>What is in the story and who has it.</p><p><a href=/{0}>Read more</a></p></article>"
+
+
+def test_articles_that_are_teasers():
+    cards = "".join(TEASER.format(i) for i in range(3))
+    for prose in (PROSE, PROSE * 2):  # middling and long paragraphs
+        want = f"Heading\n{prose}\nBrief.\n{prose}"
+        body = f"<div><h1>Heading</h1><p>{prose}</p><p>Brief.</p><p>{prose}</p></div>"
+        check_teasers(body, cards, want)
+
+
+def check_teasers(body, cards, want):
+    assert main_text(f"<body>{body}<section>{cards}</section></body>") == want
+    assert main_text(f"<body>{cards}{body}{cards}</body>") == want
+    assert main_text(f"<body><main>{body}{cards}</main></body>") == want
+
+
+def test_article_is_a_prior():
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>entry number {i} of it</a></li>" for i in range(9)) + "</ul>"
+    odd = "Quux blorf zint, " * 10
+    page = f"<article><h1>Title</h1><p>Brief.</p>{menu}<p>{PROSE}</p><p>{odd}</p><h2>Links</h2>{menu}</article><p>{odd}</p><p>Imprint</p>"
+    assert main_text(page) == f"Title\nBrief.\n{PROSE}\n{odd.strip()}"
+    assert main_text(f"<p>Site</p><article><h1>Title</h1><p>{odd}</p></article><p>Imprint</p>") == f"Title\n{odd.strip()}"
+    assert main_text(f"<article><p>{PROSE}</p></article><div><p>{PROSE} Again.</p></div>") == f"{PROSE}\n{PROSE} Again."
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p>") == main_text("<!-- <article>x") == main_text("<script>x") == ""
     assert main_text("<article>a<b>c</p>d<p>e") == "ac\nd\ne"
