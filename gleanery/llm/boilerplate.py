@@ -58,7 +58,7 @@ STOP_WORDS = frozenset(
 )
 # Elements whose text is never part of an article.
 DROPPED = frozenset("nav footer aside form button select option dialog menu iframe object svg canvas map audio video label textarea datalist".split())
-SILENT = "script|style|noscript|template|title|head"
+SILENT = "script|style|noscript|template|title"
 BLOCK = frozenset(
     (
         "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "

@@ -50,6 +50,13 @@ def test_article_is_a_prior():
     assert main_text(f"<article><p>{PROSE}</p></article><div><p>{PROSE} Again.</p></div>") == f"{PROSE}\n{PROSE} Again."
 
 
+def test_head_without_end_tag():
+    for head in ("<head><title>x</title>", "<HEAD lang=en><meta charset=utf-8><style>p{}</style><script>var a='<p>no</p>'</script><title>x</title><link href=y>"):
+        for end in ("<body>", "</head><body>", ""):
+            assert main_text(f"<html>{head}{end}<article><p>{PROSE}</p></article></body></html>") == PROSE
+    assert main_text(f"<head><title>x</title><p>{PROSE}") == PROSE
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p>") == main_text("<!-- <article>x") == main_text("<script>x") == ""
     assert main_text("<article>a<b>c</p>d<p>e") == "ac\nd\ne"
