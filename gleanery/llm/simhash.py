@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -47,14 +47,16 @@ RADIUS = 4
 SEED = 42
 #: Most fingerprints of one part of a shard.
 CELL = 1000
-#: Where one row of each group is kept: fingerprints of a text, those that shards are cut from, radius in one of them and in all together.
-COUNT, SHARDED, WIDE, TOTAL = 8, 4, 20, 84
+#: Where one row of each group is kept: fingerprints of a text, radius in one of them and in all together.
+COUNT, WIDE, TOTAL = 8, 20, 120
+#: The similarity of near copies there, as a fraction.
+SIMILAR = (4, 5)
+#: Most shingles of a text that is compared by its least shingles; most shingles of one part of a group.
+SHORT, VOLUME = 20, 1_000_000
 
 
-def _prints(data: np.ndarray, offsets: np.ndarray, shingle: int, count: int = 1) -> np.ndarray:
-    """Fingerprints of each text; those after the first have the digests mixed with a seed each."""
-    out = np.zeros((len(offsets) - 1, count), A.U)
-    seeds = [A.U(x) for x in A.mix(np.arange(1, count, dtype=A.U))]
+def _shingles(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first text, last text, shingles of each, their digests)`` by groups of texts; groups without words are left out."""
     wordy, fold = A.unspaced_table(), A.lower_table()
     for i, j in A.groups_of(offsets):
         # the words of each text, lower-cased, with one space between them: a shingle is a range of these bytes
@@ -76,23 +78,48 @@ def _prints(data: np.ndarray, offsets: np.ndarray, shingle: int, count: int = 1)
         last = first + lengths[owner] - 1
         text, digest = flat.tobytes(), xxhash.xxh64_digest
         s, e = to[first].tolist(), (to[last] + sizes[last]).tolist()
-        heads = np.concatenate([[0], np.cumsum(n)])
-        ones = np.zeros((len(counts), count, 64), np.int32)
         step = 1 << 16
-        for at in range(0, len(s), step):
-            h = np.frombuffer(b"".join([digest(text[a:b], SEED) for a, b in zip(s[at : at + step], e[at : at + step])]), ">u8")
-            lo, hi = owner[at], owner[min(at + step, len(s)) - 1]
-            cut = np.clip(heads[lo : hi + 1] - at, 0, None)
-            full = np.flatnonzero(n[lo : hi + 1])
-            for c in range(count):
-                own = h if c == 0 else A.mix(h.astype(A.U) ^ seeds[c - 1]).astype(">u8")
-                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
-                ones[lo + full, c] += np.add.reduceat(bits, cut[full], axis=0, dtype=np.int32)
-        over = ones * 2 > n[:, None, None]
-        out[i:j] = np.packbits(over, axis=2).view(">u8")[:, :, 0]
+        parts = [np.frombuffer(b"".join([digest(text[a:b], SEED) for a, b in zip(s[at : at + step], e[at : at + step])]), ">u8") for at in range(0, len(s), step)]
+        yield i, j, n, np.concatenate(parts).astype(A.U)
+
+
+def _prints(data: np.ndarray, offsets: np.ndarray, shingle: int, count: int = 1) -> np.ndarray:
+    """Fingerprints of each text; those after the first have the digests mixed with a seed each."""
+    out = np.zeros((len(offsets) - 1, count), A.U)
+    for i, j, n, digests in _shingles(data, offsets, shingle):
+        out[i:j] = _print_bits(n, digests, count)
     return out
 
 
+def _print_bits(n: np.ndarray, digests: np.ndarray, count: int) -> np.ndarray:
+    seeds = [A.U(x) for x in A.mix(np.arange(1, count, dtype=A.U))]
+    owner = np.repeat(np.arange(len(n)), n)
+    heads = np.concatenate([[0], np.cumsum(n)])
+    ones = np.zeros((len(n), count, 64), np.int32)
+    step = 1 << 16
+    for at in range(0, len(digests), step):
+        h = digests[at : at + step]
+        lo, hi = owner[at], owner[min(at + step, len(digests)) - 1]
+        cut = np.clip(heads[lo : hi + 1] - at, 0, None)
+        full = np.flatnonzero(n[lo : hi + 1])
+        for c in range(count):
+            own = (h if c == 0 else A.mix(h ^ seeds[c - 1])).astype(">u8")
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
+            ones[lo + full, c] += np.add.reduceat(bits, cut[full], axis=0, dtype=np.int32)
+    over = ones * 2 > n[:, None, None]
+    return np.packbits(over, axis=2).view(">u8")[:, :, 0]
+
+
+def _sets(n: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles of each text, and these in ascending order, text by text."""
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((digests, owner))
+    owner, h = owner[order], digests[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return np.bincount(owner[new], minlength=len(n)), h[new]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
     """``id, fps``: ``count`` fingerprints, each with its bits in a signed long."""
 
@@ -196,6 +223,17 @@ def _linked(cells: Iterator[pa.RecordBatch], radius: int, total: int, segments:
             yield out
 
 
+def _meets() -> Column:
+    """Part p meets every part q in the cell of (p, q); side 0: the lower part, or both if p = q; 1: the higher one."""
+    return F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda q: F.struct(
+            (F.least("part", q).cast("long") * (1 << 31) + F.greatest("part", q)).alias("pair"),
+            F.when(F.col("part") <= q, 0).otherwise(1).alias("side"),
+        ),
+    )
+
+
 def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: int = RADIUS + 1, sharded: int = 1, total: int = 1 << 30) -> DataFrame:
     """Links ``a, b`` between the nodes of ``prints (rep, fps)``: a spanning forest of each shard cell.
 
@@ -215,15 +253,7 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: i
     if segments >= 5 and sharded <= 8:
         sizes = F.broadcast(sizes)
     dealt = sent.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("fps"), F.col("parts")).cast("int"))
-    # part p meets every part q in the cell of (p, q); side 0: the lower part, or both if p = q; 1: the higher one
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda q: F.struct(
-            (F.least("part", q).cast("long") * (1 << 31) + F.greatest("part", q)).alias("pair"),
-            F.when(F.col("part") <= q, 0).otherwise(1).alias("side"),
-        ),
-    )
-    cells = dealt.select("shard", "rep", "fps", F.explode(meets).alias("m")).select("shard", "m.pair", F.col("m.side").cast("long").alias("side"), "rep", "fps")
+    cells = dealt.select("shard", "rep", "fps", F.explode(_meets()).alias("m")).select("shard", "m.pair", F.col("m.side").cast("long").alias("side"), "rep", "fps")
     ordered = cells.repartition("shard", "pair").sortWithinPartitions("shard", "pair")
     return ordered.mapInArrow(lambda it: _linked(it, radius, total, segments), "a long, b long")
 
@@ -237,19 +267,146 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fps").select("id", "fps", "component_id")
 
 
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """``id, fps, d1, d2, n`` of ``docs (id, text)``: fingerprints, a digest of the shingle set and its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = A.buffers(b.column(1))
+            fps = np.zeros((len(b), COUNT), A.U)
+            marks = np.zeros((2, len(b)), A.U)
+            size = np.zeros(len(b), np.int64)
+            for i, j, n, digests in _shingles(data, offsets, shingle):
+                fps[i:j] = _print_bits(n, digests, COUNT)
+                size[i:j], h = _sets(n, digests)
+                ends = np.concatenate([[0], np.cumsum(size[i:j])])
+                for k, x in enumerate((A.mix(h), A.second(h))):
+                    total = np.concatenate([np.zeros(1, A.U), np.cumsum(x, dtype=A.U)])
+                    marks[k, i:j] = total[ends[1:]] - total[ends[:-1]]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * COUNT), pa.array(fps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, *[pa.array(m.view(np.int64)) for m in marks], pa.array(size)], ["id", "fps", "d1", "d2", "n"])
+
+    return docs.mapInArrow(run, "id long, fps array<long>, d1 long, d2 long, n long")
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``rep, n, set`` of ``docs (rep, text)``: distinct shingle digests in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = A.buffers(b.column(1))
+            for i, j, n, digests in _shingles(data, offsets, shingle):
+                size, h = _sets(n, digests)
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["rep", "n", "set"])
+
+    return docs.mapInArrow(run, "rep long, n long, set array<long>")
+
+
+def _alike(rep: np.ndarray, side: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Links of one cell, as root and member rows: a spanning forest of all pairs with a similarity of SIMILAR at least."""
+    n = len(rep)
+    _, number = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(number, kind="stable")
+    holders = owner[order]
+    heads = np.concatenate([[0], np.cumsum(np.bincount(number))])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    root = np.arange(n)
+    for i in np.flatnonzero(side == 0):
+        apart = root != root[i]
+        if not apart.any():
+            continue
+        own = number[ends[i] : ends[i + 1]]
+        lo, wide = heads[own], heads[own + 1] - heads[own]
+        at = np.arange(int(wide.sum())) + np.repeat(lo - (np.cumsum(wide) - wide), wide)
+        both = np.bincount(holders[at], minlength=n)
+        near = apart & (both * SIMILAR[1] >= SIMILAR[0] * (size + size[i] - both))
+        if near.any():
+            joined = np.unique(np.append(root[near], root[i]))
+            root[np.isin(root, joined)] = joined[0]
+    moved = np.flatnonzero(root != np.arange(n))
+    return np.stack([rep[root[moved]], rep[moved]])
+
+
+def _confirmed(cells: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``a, b`` inside each cell; rows ``kind, key, pair, side, rep, n, set`` come sorted by cell."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def solve() -> pa.RecordBatch | None:
+        rows = np.concatenate([r for r, _ in held], 1)
+        if rows.shape[1] < 2:
+            return None
+        a, b = _alike(rows[4], rows[3], rows[5], np.concatenate([x for _, x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
+
+    for batch in cells:
+        if not len(batch):
+            continue
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:6]])
+        flat = batch.column(6).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(rows[5])])
+        bounds = np.flatnonzero((np.diff(rows[:3]) != 0).any(0)) + 1
+        for s, e in zip([0, *bounds.tolist()], [*bounds.tolist(), len(batch)]):
+            if held and (held[0][0][:3, 0] != rows[:3, s]).any():
+                out = solve()
+                if out is not None:
+                    yield out
+                held = []
+            held.append((rows[:, s:e], flat[ends[s] : ends[e]]))
+    if held:
+        out = solve()
+        if out is not None:
+            yield out
+
+
+def similar_links(docs: DataFrame, near: DataFrame, short: DataFrame, shingle: int) -> DataFrame:
+    """Links ``a, b`` with exact shingle similarity SIMILAR at least.
+
+    ``docs (rep, text)``. Compared are the members of each group of ``near (node,
+    root)``, and all of ``short (rep)`` that share one of the least shingles of
+    which similar sets have one in common (prefix filter). A group of more than
+    CELL texts or VOLUME shingles is dealt over cells, one for each pair of its
+    parts, so no task holds a large group and every pair of it meets.
+    """
+    few = short.select("rep").distinct().withColumn("_short", F.lit(True))
+    wanted = docs.join(near.select(F.col("node").alias("rep"), "root"), "rep", "left").join(few, "rep", "left").where("root IS NOT NULL OR _short")
+    sets = written(_shingle_sets(wanted.select("rep", "text"), shingle), "shingle-sets")
+    grouped = sets.join(near.select(F.col("node").alias("rep"), F.col("root").alias("key")), "rep").select(F.lit(0).cast("long").alias("kind"), "key", "rep", "n", "set")
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1
+    least = sets.where(F.col("n") <= SHORT).select(F.lit(1).cast("long").alias("kind"), F.explode(F.slice("set", F.lit(1), prefix.cast("int"))).alias("key"), "rep", "n", "set")
+    sent = grouped.unionByName(least)
+    most = F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") / VOLUME)
+    sizes = sent.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_rows"), F.ceil(most).cast("int").alias("parts")).where("_rows > 1")
+    dealt = sent.join(sizes, ["kind", "key"]).withColumn("part", F.pmod(F.xxhash64("rep", "set"), F.col("parts")).cast("int"))
+    cells = dealt.select("kind", "key", F.explode(_meets()).alias("m"), "rep", "n", "set").select("kind", "key", "m.pair", F.col("m.side").cast("long").alias("side"), "rep", "n", "set")
+    ordered = cells.repartition("kind", "key", "pair").sortWithinPartitions("kind", "key", "pair")
+    return ordered.mapInArrow(_confirmed, "a long, b long")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest id.
 
-    Texts whose word shingles are similar by 0.8 differ in about a seventh of the
-    bits of a fingerprint, too many for a radius of 4 in one. Here COUNT
-    fingerprints are taken and two texts link if at most TOTAL of all their bits
-    differ. They meet where they agree in one of the segments of the first
-    SHARDED fingerprints, as 93 in 100 pairs at similarity 0.8 do and nearly all
-    closer ones. Rows without an id stay.
+    Near copies have word-shingle sets with a similarity (shared over all) of
+    SIMILAR at least, and groups are closed under that. SimHash finds candidates:
+    texts whose COUNT fingerprints differ in at most TOTAL of all their bits, of
+    which pairs at similarity 0.8 differ in about 76; they meet where they agree in
+    one of the segments of the fingerprints, as over 99 in 100 such pairs do. Texts
+    of at most SHORT shingles, whose fingerprints tell little, meet by their least
+    shingles. No candidate counts before its shingle sets are compared
+    (``similar_links``). Equal sets are folded first. Rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, count=COUNT, sharded=SHARDED, radius=WIDE, total=TOTAL)
-    first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_first")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
+    own = written(_marked(texts, shingle), "marked")
+    nodes = written(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "nodes")
+    groups = components(links(nodes.select("rep", "fps"), WIDE, sharded=COUNT, total=TOTAL))
+    near = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct(), "candidates")
+    reps = texts.withColumnRenamed("id", "rep").join(nodes.select("rep").distinct(), "rep", "left_semi")
+    short = nodes.where(F.col("n").between(1, SHORT))
+    found = components(similar_links(reps, near, short, shingle))
+    first = nodes.join(found, F.col("rep") == F.col("node"), "left").where("root IS NULL OR root = rep").select(F.col("rep").alias("_first")).distinct()
     kept = rows.join(first, F.col("_id") == F.col("_first"), "left_semi")
     kept = kept.withColumn("_no", F.row_number().over(W.partitionBy("_id").orderBy("_id"))).where("_no = 1")
     return kept.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

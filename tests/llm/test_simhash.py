@@ -96,3 +96,56 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     got = [x.doc_id for x in kept.collect()]
     assert sorted(x for x in got if x is not None) == sorted(want | {200, 203}) and got.count(None) == 2
+
+
+def shingles(text, k=5):
+    ws = (text or "").lower().split()
+    return {" ".join(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+
+
+def brute_keep(rows, bound=0.8):
+    """Smallest ids of the groups closed under shingle similarity."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a == b or len(a & b) >= bound * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted({find(i) for i, _ in rows})
+
+
+def test_keep_one_is_exact(spark, monkeypatch):
+    """Pairs on both sides of 0.8, of texts of all lengths, some groups larger than a cell."""
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for size in (8, 9, 12, 20, 24, 30, 60, 150, 400):
+        for share in (0.02, 0.05, 0.09, 0.1, 0.11, 0.13, 0.18, 0.25):
+            base = [word() for _ in range(size)]
+            rows.append(base)
+            rows.append(base + [word() for _ in range(max(1, round(size * share)))])  # longer
+            copy = list(base)
+            at = r.randrange(size)
+            copy[at : at + max(1, round(size * share))] = [word() for _ in range(max(1, round(size * share)))]
+            rows.append(copy)
+    base = [word() for _ in range(100)]
+    for _ in range(40):  # a group around 0.8
+        copy = list(base)
+        for _ in range(r.randrange(1, 5)):
+            copy[r.randrange(100)] = word()
+        rows.append(copy)
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(rows)]
+    want = brute_keep(rows)
+    assert 0.4 * len(rows) < len(want) < 0.95 * len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == want
+    monkeypatch.setattr(simhash, "CELL", 7)
+    monkeypatch.setattr(simhash, "VOLUME", 500)
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == want
