@@ -55,32 +55,50 @@ def structure_groups(nodes: DataFrame) -> DataFrame:
 def near_structure_groups(nodes: DataFrame, bands: int = 8, rows: int = 3, overlap: float = 0.7) -> DataFrame:
     """(page_id, leader): pages whose tag-path sets are alike share a leader page (M2).
 
-    MinHash by plain ``min`` aggregates over distinct structures. Each band
-    bucket points at its smallest structure: no bucket is expanded into pairs. A
-    pointer counts if the two path sets really overlap by ``overlap`` (shared
-    paths over all paths), and groups are closed under the pointers that count.
+    Two path sets are alike if they overlap by ``overlap`` (shared paths over all
+    paths), and groups are closed under that. First MinHash by plain ``min``
+    aggregates over distinct structures: each band bucket points at its smallest
+    structure, and pointers that hold form groups. Then what they missed: alike sets
+    share one of their rarest paths (prefix filter), so structures of different
+    groups that meet there are compared. Groups that MinHash found whole are not
+    expanded into pairs, as buckets of one group are left out.
     """
     sig = page_structure(nodes)
-    reps = sig.groupBy("signature").agg(F.min("page_id").alias("page_id"))
-    paths = elements(nodes).select("page_id", "path").distinct().join(reps, "page_id")
-    mins = paths.groupBy("signature").agg(
+    reps = written(sig.groupBy("signature").agg(F.min("page_id").alias("page_id")), "structures")
+    sets = written(elements(nodes).select("page_id", "path").distinct().join(reps.select("page_id"), "page_id"), "structure-paths")
+    sizes = sets.groupBy("page_id").agg(F.count("*").alias("n"))
+    mins = sets.groupBy("page_id").agg(
         *[F.min(F.xxhash64(F.lit(i), "path")).alias(f"h{i}") for i in range(bands * rows)]
     )
     keys = F.array(
         *[F.xxhash64(F.lit(b), *[F.col(f"h{b * rows + r}") for r in range(rows)]) for b in range(bands)]
     )
-    banded = mins.select("signature", F.posexplode(keys).alias("band", "bucket")).join(reps, "signature")
+    banded = mins.select("page_id", F.posexplode(keys).alias("band", "bucket"))
     lead = banded.groupBy("band", "bucket").agg(F.min("page_id").alias("leader"))
     links = banded.join(lead, ["band", "bucket"]).select(F.col("page_id").alias("a"), F.col("leader").alias("b")).where("a != b").distinct()
-    sets = paths.select("page_id", "path")
-    sizes = sets.groupBy("page_id").agg(F.count("*").alias("n"))
+    real = written(_alike(links, sets, sizes, overlap), "alike")
+    found = _closed(reps.select("page_id"), real)
+    # a set of n paths shares at least overlap * n of them with each alike set, so one of its other n - overlap * n + 1
+    rarest = Window.partitionBy("page_id").orderBy("used", "path")
+    ranked = sets.join(sets.groupBy("path").agg(F.count("*").alias("used")), "path").withColumn("_rank", F.row_number().over(rarest))
+    prefix = ranked.join(sizes, "page_id").where(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * overlap - 1e-6) + 1)
+    meeting = written(prefix.join(found, "page_id").select("page_id", "path", "n", "leader"), "prefixes")
+    mixed = meeting.groupBy("path").agg(F.min("leader").alias("_low"), F.max("leader").alias("_high")).where("_low != _high").select("path")
+    left = meeting.join(mixed, "path").select("path", F.col("page_id").alias("a"), F.col("n").alias("n_a"), F.col("leader").alias("l_a"))
+    right = meeting.select("path", F.col("page_id").alias("b"), F.col("n").alias("n_b"), F.col("leader").alias("l_b"))
+    fits = (F.col("n_a") >= F.col("n_b") * overlap - 1e-6) & (F.col("n_b") >= F.col("n_a") * overlap - 1e-6)
+    missed = left.join(right, "path").where((F.col("l_a") != F.col("l_b")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    leader = _closed(reps.select("page_id"), real.unionByName(written(_alike(missed, sets, sizes, overlap), "alike")))
+    best = reps.join(leader, "page_id").select("signature", "leader")
+    return sig.select("page_id", "signature").join(best, "signature").select("page_id", "leader")
+
+
+def _alike(links: DataFrame, sets: DataFrame, sizes: DataFrame, overlap: float) -> DataFrame:
+    """The ``links (a, b)`` whose path sets overlap enough."""
     shared = links.join(sets.withColumnRenamed("page_id", "a"), "a").join(sets.withColumnRenamed("page_id", "b"), ["b", "path"]).groupBy("a", "b").agg(F.count("*").alias("both"))
     for side in ("a", "b"):
         shared = shared.join(sizes.select(F.col("page_id").alias(side), F.col("n").alias(f"n_{side}")), side)
-    real = shared.where(F.col("both") >= overlap * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-    leader = _closed(reps.select("page_id"), written(real, "alike"))
-    best = reps.join(leader, "page_id").select("signature", "leader")
-    return sig.select("page_id", "signature").join(best, "signature").select("page_id", "leader")
+    return shared.where(F.col("both") >= overlap * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def _closed(points: DataFrame, links: DataFrame) -> DataFrame:

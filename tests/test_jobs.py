@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from gleanery.operators import logs, store
 from gleanery.operators import extract as E
 from gleanery.session import scratch
 from gleanery.sources import export
+from gleanery.sources.nodes import elements
 from gleanery.streaming import feeds
 
 
@@ -50,6 +52,29 @@ def test_structure_groups(parse):
     assert lead[1] == 0 and lead[2] == 2 and lead[3] == 3 and lead[4] == 3
 
 
+def test_near_structures_against_brute_force(parse):
+    """Many structures around the bound, and pages whose buckets are led by a smaller foreign one."""
+    r = random.Random(2)
+    sets = []
+    for g in range(4):
+        base = [f"g{g}x{i}" for i in range(24)]
+        for _ in range(15):
+            sets.append(sorted(set(r.sample(base, r.randint(15, 24)) + [f"o{r.randrange(40)}" for _ in range(r.randint(0, 4))])))
+    pages, n = parse(*["".join(f"<{t}></{t}>" for t in s) for s in sets])
+    paths = {}
+    for x in elements(n).select("page_id", "path").collect():
+        paths.setdefault(x["page_id"], set()).add(x["path"])
+    root = {i: i for i in paths}
+    for _ in paths:  # the smallest page along links
+        for a in paths:
+            for b in paths:
+                if len(paths[a] & paths[b]) >= 0.7 * len(paths[a] | paths[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert 4 < len(set(root.values())) < len(sets)
+    for bands in (8, 1):
+        assert {x["page_id"]: x["leader"] for x in B.near_structure_groups(n, bands=bands).collect()} == root
+
+
 def test_next_links(parse):
     pages, n = parse("<a href=x>back</a><a href='/p2'> Next &raquo; </a><a href=/p3>next</a>", "<a class=n href='?page=3'>3</a>", "<a>next</a>")
     assert {r["page_id"]: r["next_url"] for r in B.next_page_links(pages, n).collect()} == {0: "http://h0.example.com/p2"}
