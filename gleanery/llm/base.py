@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,3 +43,11 @@ def unpacked(names: list[str], text_col: str) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept_in_worker(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker builds once and uses in many tasks, such as a vocabulary."""
+    kept = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
