@@ -38,7 +38,7 @@ from gleanery.session import written
 
 _LAST = (1 << 63) - 1
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-_PIECE = "_key long, _th int, _lo int, _n int, _core long, _f1 long, _f2 long"
+_PIECE = "_key long, _th long, _lo int, _n int, _core long, _f1 long, _f2 long"
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = F.struct(*[c for c in docs.columns if c != text_col])
     row = F.struct(rest.alias("rest"), F.col(text_col).isNull().alias("empty"))
-    return docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_key"), F.hash(text).alias("_th"), text.alias("_text"))
+    return docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_key"), F.xxhash64(text, F.octet_length(text)).alias("_th"), text.alias("_text"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -114,7 +114,7 @@ def decide(pieces: DataFrame, plan: Plan, name: str) -> DataFrame:
 
 
 def listed(pieces: DataFrame, name: str) -> DataFrame:
-    """Pieces of one document as a list; a document's own length bounds it."""
+    """Pieces of one document as a list; equal rows are one document here, so its own length bounds the list."""
     return pieces.groupBy("_key", "_th").agg(F.collect_list(F.struct("_lo", "_n")).alias(name))
 
 
@@ -141,7 +141,7 @@ def _open_texts(batches: Iterator[pa.RecordBatch], plan: Plan, emit: Callable) -
                 got = emit(plan.values(units[s:e]), lo[at:stop] - s, n[at:stop])
                 rows = len(got[0])
                 if rows:
-                    yield _pieces(np.full(rows, keys[i].as_py()), np.full(rows, ths[i].as_py(), np.int32), got[0] + s, *got[1:])
+                    yield _pieces(np.full(rows, keys[i].as_py()), np.full(rows, ths[i].as_py()), got[0] + s, *got[1:])
                 at = stop
 
 
@@ -199,7 +199,7 @@ def decide_windows(single: DataFrame, plan: Plan, name: str) -> DataFrame:
     return (hit.where(F.col("_key") > F.col("_min")) if plan.earlier else hit).select("_key", "_th", "_lo", "_n")
 
 
-_MARKED = "_key long, _th int, _size long, _gone long, _spans long, _sha string, _kept string"
+_MARKED = "_key long, _th long, _size long, _gone long, _spans long, _sha string, _kept string"
 _MARKED_NAMES = ["_row", "_key", "_th", "_size", "_gone", "_spans", "_sha", "_kept"]
 
 
@@ -239,7 +239,17 @@ def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_
     """
     small_batches(docs.sparkSession)
     named = keyed(docs, id_col, text_col)
-    decided = decide(written(runs(named, plan), f"{name}-runs"), plan, f"{name}-run")
+    # equal rows (one id, or none, and one text) are worked on once
+    several = written(named.groupBy("_key", "_th").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").select("_key", "_th"), f"{name}-copies")
+    copies = None if several.isEmpty() else written(named.join(several, ["_key", "_th"]), f"{name}-equal-rows")
+    read = named
+    if copies is not None:
+        one = copies.groupBy("_key", "_th").agg(F.first("_text").alias("_text"))
+        one = written(one.select(F.lit(None).cast(named.schema["_row"].dataType).alias("_row"), "_key", "_th", "_text"), f"{name}-folded")
+        named = named.join(several, ["_key", "_th"], "left_anti").select("_row", "_key", "_th", "_text").unionByName(one)
+        # where any other place counts, a second copy stands for all others
+        read = named if plan.earlier else named.unionByName(one)
+    decided = decide(written(runs(read, plan), f"{name}-runs"), plan, f"{name}-run")
     whole = [decided.where("_whole").select("_key", "_th", "_lo", "_n")]
     todo = decided.groupBy("_key", "_th").agg(F.collect_list(F.when(F.col("_open"), F.struct("_lo", "_n"))).alias("_list"))
 
@@ -298,4 +308,9 @@ def marked(docs: DataFrame, plan: Plan, name: str, id_col: str = "doc_id", text_
                     rows, held = [], 0
 
     gone = texts.drop("_list").join(listed(hits, "_list"), ["_key", "_th"], "left").select("_key", "_th", "_text", "_list", "_row")
-    return done.unionByName(gone.mapInArrow(finish, schema(_MARKED)))
+    out = done.unionByName(gone.mapInArrow(finish, schema(_MARKED)))
+    if copies is None:
+        return out
+    out = written(out, f"{name}-marked")
+    again = copies.select("_key", "_th", "_row").join(out.where("_row IS NULL").drop("_row"), ["_key", "_th"])
+    return out.where("_row IS NOT NULL").unionByName(again.select(*out.columns))

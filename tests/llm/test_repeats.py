@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm.debruijn import remove_repeated_words
 from gleanery.llm.suffixes import remove_repeated_bytes
@@ -107,3 +108,24 @@ def test_what_is_left_keeps_its_white_space(spark):
     rows = [(1, "\n one\ttwo  " + shared + "\n\nthree ", 0), (2, shared.replace(" ", "\n"), 5), (3, "  left\n as  it was\t", 0), (4, None, None), (5, "é x " + shared + " end", 1)]
     got = {r.doc_id: (r.text, r.n_chars) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
     assert got == {1: ("\n one\ttwo  three ", 17), 2: ("", 0), 3: ("  left\n as  it was\t", 19), 4: (None, None), 5: ("é x end", 7)}
+
+
+def test_equal_rows(spark):
+    """Many rows of one id, or of none, with one text: worked on once, counted as often as they occur."""
+    r = random.Random(9)
+    base = " ".join(f"w{r.randrange(40)}" for _ in range(30))
+    rows = [(5, base)] * 150 + [(None, base + " tail of it")] * 150 + [(5, "x " + base)] * 2 + [(7, base[10:]), (3, "q r s t u v w"), (9, None), (9, None)]
+    docs = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, _copies int")
+    got = remove_repeated_bytes(docs, window=12, gram=4, block=4, keep_text=False).collect()
+    assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 12)
+    got = remove_repeated_words(docs, window=5, gram=2, keep_text=False).collect()
+    assert sorted(map(tuple, got), key=str) == brute_words(rows, 5)
+
+
+def test_very_many_equal_rows(spark):
+    text = " ".join(f"w{i * i % 977}" for i in range(900))
+    docs = spark.range(20000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(2, text[:2500])], "doc_id long, text string"))
+    got = remove_repeated_bytes(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, len(text), len(text), 20000), (2, 2500, 2500, 1)]
+    got = remove_repeated_words(docs, keep_text=False).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 20000), (2, len(text[:2500].split()) - 1, 1)]
