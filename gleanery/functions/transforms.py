@@ -55,6 +55,15 @@ def apply_transform(c: Column, transform: str | Callable[[Column], Column] | Non
     return F.when(truthy(c), done[transform]).otherwise(c)
 
 
+def transformed_by(name: Column, value: Column, page_url: Column) -> list[Column]:
+    """``value``, ``num`` and ``flag`` of a transform that is named on the row; unknown names change nothing."""
+    texts = value
+    for known in ("trim", "lowercase", "uppercase", "url"):
+        texts = F.when(name == known, apply_transform(value, known, page_url)).otherwise(texts)
+    typed = [F.when(name == known, apply_transform(value, known)) for known in ("number", "boolean")]
+    return [texts.alias("value"), typed[0].alias("num"), typed[1].alias("flag")]
+
+
 def type_setting(field_type: Column, which: int) -> Column:
     """Attribute (0) or transform (1) for a declared field type."""
     table = {k: v[which] for k, v in TYPE_SETTINGS.items() if v[which]}

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import first_match, resolve_url, url_host, url_path
+from gleanery.functions.transforms import transformed_by
 from gleanery.operators.dom import with_text
-from gleanery.operators.extract import NO_MATCH, Field, extract_records
+from gleanery.operators.extract import NO_MATCH, REC, Field, extract_records
 from gleanery.operators.selector_table import matches_on
-from gleanery.operators.selectors import select_css, select_or_empty
+from gleanery.operators.selectors import select_css, select_or_empty, within
 from gleanery.session import written
 from gleanery.sources.nodes import elements
 
@@ -110,7 +111,8 @@ def _closed(points: DataFrame, links: DataFrame) -> DataFrame:
         near = now.join(around, "page_id", "left").select("page_id", F.least("leader", "_near").alias("leader"))
         jump = now.select(F.col("page_id").alias("leader"), F.col("leader").alias("_far"))
         now = written(near.join(jump, "leader").select("page_id", F.least("leader", "_far").alias("leader")), "leaders")
-        total = now.agg(F.sum("leader")).first()[0]
+        # leaders only get smaller; hashes are summed, since page ids may be as large as their type
+        total = now.agg(F.sum(F.xxhash64("page_id", "leader").cast("decimal(38,0)"))).first()[0]
         if total == before:
             return now
         before = total
@@ -151,8 +153,8 @@ def next_page_links(pages: DataFrame, nodes: DataFrame, selector: str | None = N
     )
 
 
-def batch_extract(nodes: DataFrame, page_groups: DataFrame, plans: DataFrame, fields: list[Field], page_urls: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, issues): each group's own selectors on all of its pages (M6).
+def group_containers(nodes: DataFrame, page_groups: DataFrame, plans: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(containers, issues): record containers of each page by its group's selectors (M6).
 
     page_groups(page_id, grp); plans(grp, css, xpath), any number of groups. A
     page takes its group's CSS selector, and the XPath where that finds nothing.
@@ -167,14 +169,47 @@ def batch_extract(nodes: DataFrame, page_groups: DataFrame, plans: DataFrame, fi
     recs = recs.withColumn("rec_no", F.row_number().over(Window.partitionBy("page_id").orderBy("pre")))
     if cap is not None:
         recs = recs.filter(F.col("rec_no") <= cap)
-    records = extract_records(nodes, recs.withColumnRenamed("pre", "rec_pre"), fields, page_urls).join(page_groups.select("page_id", "grp"), "page_id")
     missed = asked.join(first, "page_id", "left_anti").select(
         "page_id", "grp", F.when(F.col("planned"), F.lit("no_match")).otherwise(F.lit("no_plan")).alias("code"),
         F.when(F.col("planned"), F.lit(NO_MATCH)).otherwise(F.lit("No plan for this group of pages")).alias("issue"),
     )
+    return recs.withColumnRenamed("pre", "rec_pre"), missed
+
+
+def batch_extract(nodes: DataFrame, page_groups: DataFrame, plans: DataFrame, fields: list[Field], page_urls: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, issues): each group's own selectors on all of its pages, the same fields for all (M6)."""
+    recs, missed = group_containers(nodes, page_groups, plans, cap)
+    records = extract_records(nodes, recs, fields, page_urls).join(page_groups.select("page_id", "grp"), "page_id")
     return records, missed
 
 
+def batch_records(nodes: DataFrame, page_groups: DataFrame, plans: DataFrame, plan_fields: DataFrame, page_urls: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, issues): each group's own containers and its own fields.
+
+    plan_fields(grp, field, selector, attribute, transform): a field is looked up inside the
+    container, or is the container itself where it has no selector. Records
+    are long, (page_id, grp, rec_pre, rec_no, field, value, num, flag), one row for each
+    field of the group and record; a miss is NULL. ``num`` and ``flag`` hold what number and
+    boolean transforms give. Fields are rows, so plans do not grow with groups or fields.
+    """
+    recs, missed = group_containers(nodes, page_groups, plans, cap)
+    # read for own fields, for containment and for the rows of the result
+    recs = written(recs.join(page_groups.select("page_id", "grp"), "page_id"), "group-containers")
+    used = recs.select("page_id", "grp").distinct().join(plan_fields, "grp")
+    asked = written(used.filter(F.col("selector").isNotNull()).select("page_id", "field", "selector").distinct(), "group-fields")
+    els = elements(nodes).select("page_id", "pre", "anc", "attrs", "text")
+    hits = matches_on(nodes, asked).join(asked, ["page_id", "selector"]).join(els, ["page_id", "pre"])
+    inside = within(hits, recs.select("page_id", F.col("rec_pre").alias("pre"))).withColumnRenamed("ctx_pre", "rec_pre")
+    first = inside.groupBy(*REC, "field").agg(F.min_by(F.struct("pre", "attrs", "text"), "pre").alias("_e")).select(*REC, "field", "_e.*")
+    grid = recs.select(*REC, "rec_no", "grp").join(plan_fields, "grp")
+    own = recs.join(plan_fields.filter(F.col("selector").isNull()).select("grp", "field"), "grp").select(*REC, "field", F.col("rec_pre").alias("pre"), "attrs", "text")
+    longs = grid.join(written(first.unionByName(own), "group-values"), [*REC, "field"], "left").join(page_urls.select("page_id", "url"), "page_id", "left")
+    # only fields that read text need it put together
+    by_text = F.col("attribute").isNull() & F.col("pre").isNotNull()
+    read = with_text(longs.filter(by_text), nodes).unionByName(longs.filter(~by_text).withColumn("value", F.try_element_at("attrs", F.lower("attribute"))).drop("text"))
+    return read.select(*REC, "rec_no", "grp", "field", *transformed_by(F.col("transform"), F.col("value"), F.col("url"))), missed
+
+
 def first_of_group(page_groups: DataFrame) -> DataFrame:
     """The first page of each group (M7); a plain min, so a hot group is pre-aggregated."""
     return page_groups.groupBy("grp").agg(F.min("page_id").alias("page_id"))

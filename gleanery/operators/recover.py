@@ -151,26 +151,20 @@ def chosen_alternative(working: DataFrame) -> DataFrame:
     return ranked.select("page_id", "dp_id", "selector", "strategy")
 
 
-def reextract(chosen: DataFrame, nodes: DataFrame, pages: DataFrame, plan: dict[str, tuple[bool, str, str]]) -> DataFrame:
-    """Raw values of recovered fields through their new selector.
+def read_values(found: DataFrame, nodes: DataFrame, pages: DataFrame, kinds: tuple[str, ...] = ("text", "html", "attribute")) -> DataFrame:
+    """Raw values of found(page_id, pre, dp_id, is_list, kind, name): each row is read the way it says.
 
-    plan: dp_id -> (is_list, kind text|html|attribute, attribute); a map on the
-    row, so nothing is shuffled by field.
+    Lists keep all matches, scalars the first. Rows of one kind are read
+    together, so plans grow with ``kinds`` and not with fields.
     """
-    if not plan:
-        return nodes.select("page_id", *[F.lit(None).cast(t).alias(c) for c, t in (("dp_id", "string"), ("raw_kind", "string"), ("pos", "int"), ("value", "string"), ("json_type", "string"))]).limit(0)
-    fact = F.create_map(*[x for k, (is_list, kind, name) in plan.items() for x in (F.lit(k), F.struct(F.lit(is_list).alias("is_list"), F.lit(kind).alias("kind"), F.lit(name).alias("name")))])
-    found = matches_on(nodes, chosen).join(chosen.select("page_id", "dp_id", "selector"), ["page_id", "selector"])
-    found = found.withColumn("_f", F.element_at(fact, F.col("dp_id"))).select("page_id", "pre", "dp_id", "_f.*")
-    used = {kind for _, kind, _ in plan.values()}
     held = elements(nodes).select(*KEY, "text", "vtext", "attrs", *HTML_SPAN)
-    rows = found.join(held, list(KEY))
+    rows = found.select(*KEY, "dp_id", "is_list", "kind", "name").join(held, list(KEY))
     parts = []
-    if "text" in used:
+    if "text" in kinds:
         parts.append(with_best_text(rows.filter("kind = 'text'").select(*KEY, "dp_id", "is_list", "text", "vtext"), nodes))
-    if "html" in used:
+    if "html" in kinds:
         parts.append(with_html(rows.filter("kind = 'html'").select(*KEY, "dp_id", "is_list", *HTML_SPAN), pages))
-    if "attribute" in used:
+    if "attribute" in kinds:
         parts.append(rows.filter("kind = 'attribute'").withColumn("value", F.try_element_at("attrs", F.lower("name"))))
     out = None
     for p in parts:
@@ -183,6 +177,24 @@ def reextract(chosen: DataFrame, nodes: DataFrame, pages: DataFrame, plan: dict[
     )
 
 
+def reextract(chosen: DataFrame, nodes: DataFrame, pages: DataFrame, plan: dict[str, tuple[bool, str, str]] | DataFrame) -> DataFrame:
+    """Raw values of recovered fields through their new selector.
+
+    plan: dp_id -> (is_list, kind text|html|attribute, attribute); a map on the
+    row, so nothing is shuffled by field. Or a table (page_id, dp_id, is_list, kind, name),
+    where pages have plans of their own.
+    """
+    if isinstance(plan, dict) and not plan:
+        return nodes.select("page_id", *[F.lit(None).cast(t).alias(c) for c, t in (("dp_id", "string"), ("raw_kind", "string"), ("pos", "int"), ("value", "string"), ("json_type", "string"))]).limit(0)
+    found = matches_on(nodes, chosen).join(chosen.select("page_id", "dp_id", "selector"), ["page_id", "selector"])
+    if not isinstance(plan, dict):
+        return read_values(found.join(plan, ["page_id", "dp_id"]), nodes, pages)
+    fact = F.create_map(*[x for k, (is_list, kind, name) in plan.items() for x in (F.lit(k), F.struct(F.lit(is_list).alias("is_list"), F.lit(kind).alias("kind"), F.lit(name).alias("name")))])
+    found = found.withColumn("_f", F.element_at(fact, F.col("dp_id"))).select("page_id", "pre", "dp_id", "_f.*")
+    used = {kind for _, kind, _ in plan.values()}
+    return read_values(found, nodes, pages, tuple(k for k in ("text", "html", "attribute") if k in used))
+
+
 def errors_remaining(errors: DataFrame, recovered: DataFrame) -> DataFrame:
     """Errors whose field was not recovered."""
     return errors.join(recovered, ["page_id", "dp_id"], "left_anti")

@@ -118,14 +118,15 @@ def clean_items(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"code": code, "clean": clean}).drop("_text", "_kept", "_resolved", "_ok")
 
 
-def shaped(raw: DataFrame, pages: DataFrame, plan: list[DataPoint]) -> DataFrame:
+def shaped(raw: DataFrame, grid: DataFrame) -> DataFrame:
     """Planned fields left-joined to raw values, with list/scalar shape settled (V1-V3).
 
+    grid(page_id, url, dp_id, type, is_list, notes): what is planned for each page.
+
     raw(page_id, dp_id, raw_kind null|scalar|list, pos, value, json_type).
     Raw fields outside the plan drop out; planned fields without a raw row stay
     with ``raw_kind`` absent. A scalar field keeps only the first list item.
     """
-    grid = plan_grid(pages, plan, "url")
     rows = grid.join(raw, KEY, "left").withColumn("raw_kind", F.coalesce("raw_kind", F.lit("absent")))
     wrong_list = F.col("is_list") & F.col("raw_kind").isin("scalar", "null")
     wrong_item = ~F.col("is_list") & (F.col("raw_kind") == "list")
@@ -134,7 +135,12 @@ def shaped(raw: DataFrame, pages: DataFrame, plan: list[DataPoint]) -> DataFrame
 
 
 def validate(raw: DataFrame, pages: DataFrame, plan: list[DataPoint]) -> tuple[DataFrame, DataFrame]:
-    """(clean values, issues).
+    """(clean values, issues) of one plan for all pages."""
+    return validate_grid(raw, plan_grid(pages, plan, "url"))
+
+
+def validate_grid(raw: DataFrame, grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clean values, issues) where each page has the fields of its rows in ``grid``.
 
     Values: one row per kept item; a scalar field without a value keeps a NULL
     row, an empty list has none. Group facts are counts, so a very long list
@@ -142,7 +148,7 @@ def validate(raw: DataFrame, pages: DataFrame, plan: list[DataPoint]) -> tuple[D
     """
     n_raw = raw.filter(F.col("raw_kind") == "list").groupBy(*KEY).agg(F.count("pos").alias("n_raw"))
     # read three times below: coerce once
-    items = written(clean_items(shaped(raw, pages, plan)), "items")
+    items = written(clean_items(shaped(raw, grid)), "items")
     values = items.filter(~F.col("is_list") | F.col("clean").isNotNull()).select(
         *KEY, "type", "is_list", F.coalesce("pos", F.lit(0)).alias("pos"), "clean", "num", "bool", "ts", "code"
     )

@@ -57,6 +57,15 @@ def extraction_errors(pages: DataFrame, raw: DataFrame, plan: list[PlannedField]
     )
 
 
+def recovered(nodes: DataFrame, pages: DataFrame, raw: DataFrame, errors: DataFrame, how, strategies: tuple[Strategy, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(raw, errors, chosen): failed fields read again through the first working alternative. ``how`` is for ``reextract``."""
+    errors = written(errors, "errors")
+    alts = written(proposals(errors, strategies), "alternatives")
+    chosen = written(chosen_alternative(working_alternatives(nodes, alts)), "chosen")
+    again = written(reextract(chosen, nodes, pages, how), "again")
+    return override_raw(raw, again), errors_remaining(errors, again), chosen
+
+
 def run(
     pages: DataFrame, plan: list[PlannedField], strategies: tuple[Strategy, ...] = RULES, nodes: DataFrame | None = None, max_attempts: int = ATTEMPTS
 ) -> Result:
@@ -74,12 +83,8 @@ def run(
     errors = attempts(extraction_errors(good, raw, plan), "selector", limit=max_attempts)
     used = good.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(f.point.dp_id).alias("dp_id"), F.lit(f.selector).alias("selector")) for f in plan])).alias("_f")).select("_f.*")
     if strategies:
-        errors = written(errors, "errors")
-        alts = written(proposals(errors, strategies), "alternatives")
-        chosen = written(chosen_alternative(working_alternatives(nodes, alts)), "chosen")
         how = {f.point.dp_id: (f.point.is_list, f.kind, f.attribute) for f in plan}
-        again = written(reextract(chosen, nodes, good, how), "again")
-        raw, errors = override_raw(raw, again), errors_remaining(errors, again)
+        raw, errors, chosen = recovered(nodes, good, raw, errors, how, strategies)
         # which selector stood in for the planned one, and on how many pages
         stood = chosen.groupBy("dp_id", "selector", "strategy").agg(F.count("*").alias("n_pages"))
         used = used.join(stood.withColumnsRenamed({"selector": "recovered"}), "dp_id", "left").select("dp_id", "selector", "recovered", "strategy", "n_pages")
