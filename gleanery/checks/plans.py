@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.checks.base import card_nodes, cards, long, query, table
 from gleanery.operators import batch
+from gleanery.operators.dom import with_text
+from gleanery.operators.selector_table import matches_on
+from gleanery.operators.selectors import select_many
 from gleanery.plans import tables
 
 # one plan for each group of card pages; group d has none
@@ -120,3 +124,52 @@ def batch_plan_records(spark, sf):
     out, _ = batch.batch_records(card_nodes(spark, sf), card_groups(pg), plans, fields, pg)
     # the text of a price is not compared, only its number
     return out.select("page_id", "grp", long("rec_no").alias("rec_no"), "field", F.when(F.col("num").isNull(), F.col("value")).alias("value"), "num", "flag")
+
+
+AXES = {
+    "up": "//a[contains(@href, '/part/')]/../h2",
+    "third": "(//li)[3]/h2",
+    "second": "//li[@data-key][2]/span/preceding-sibling::h2",
+    "two_on": "//li[position()<=4]/following-sibling::li[2]//h2",
+    "before_last": "(//li[last()])[1]/preceding-sibling::li[1]/h2",
+    "holder": "//h2/ancestor::ul[1]/preceding-sibling::h1",
+    "kept": "//li[p/img][not(.//video)]/h2[1]",
+    "after": "//ul/following::a[@class='next']",
+}
+
+
+@query(
+    "xpath_axes",
+    f"""WITH {SQL_PARTS}, s AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM p)
+        SELECT page_id, 'up' AS label, trim(p_name) AS value FROM s UNION ALL SELECT page_id, 'third', trim(p_name) FROM s WHERE pos = 2
+        UNION ALL SELECT page_id, 'second', trim(p_name) FROM s WHERE pos = 1 UNION ALL SELECT page_id, 'two_on', trim(p_name) FROM s WHERE pos BETWEEN 2 AND 5
+        UNION ALL SELECT page_id, 'before_last', trim(p_name) FROM s WHERE pos = n - 2 UNION ALL SELECT DISTINCT page_id, 'holder', 'Grid' FROM s
+        UNION ALL SELECT page_id, 'kept', trim(p_name) FROM s UNION ALL SELECT DISTINCT page_id, 'after', 'Next' FROM s""",
+)
+def xpath_axes(spark, sf):
+    """Steps backwards and sideways, and positions inside a whole result."""
+    ns = card_nodes(spark, sf)
+    return with_text(select_many(ns, AXES, "text"), ns).select("page_id", "label", "value")
+
+
+@query(
+    "selectors_by_table_text",
+    f"""WITH {SQL_PARTS}, s AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM p), f AS (SELECT page_id, trim(p_name) AS name, p_partkey FROM s WHERE pos = 1)
+        SELECT s.page_id, 'same' AS label, s.p_partkey FROM s JOIN f ON s.page_id = f.page_id AND trim(s.p_name) = f.name
+        UNION ALL SELECT page_id, 'long', p_partkey FROM s WHERE pos = 0 UNION ALL SELECT page_id, 'apart', p_partkey FROM s WHERE pos = 1
+        UNION ALL SELECT page_id, 'priced', p_partkey FROM s WHERE p_partkey % 7 = 3""",
+)
+def selectors_by_table_text(spark, sf):
+    """Selectors of single pages that test text, short and long."""
+    ns, pg = card_nodes(spark, sf), cards(spark, sf)
+    p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).cast("long").alias("page_id"), "p_partkey", F.trim("p_name").alias("name"), F.format_number("p_retailprice", 2).alias("price"))
+    say = lambda label, text, *cols: (F.lit(label).alias("label"), F.format_string(text, *cols).alias("selector"))
+    second = p.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("p_partkey"))).filter("pos = 2")
+    asked = second.select("page_id", *say("same", '//h2[normalize-space()="%s"]', "name"))
+    asked = asked.unionByName(p.groupBy("page_id").agg(F.max_by("name", "p_partkey").alias("name")).select("page_id", *say("long", '//ul[contains(., "%s")]/li[1]/h2', "name")))
+    asked = asked.unionByName(pg.select("page_id", *say("apart", '//ul[not(contains(., "no such text %s"))]/li[2]/h2', F.col("page_id").cast("string"))))
+    asked = asked.unionByName(p.filter("p_partkey % 7 = 3").select("page_id", *say("priced", '//li[@data-key="%s"]/span[starts-with(text(), "$%s")]', F.col("p_partkey").cast("string"), "price")))
+    found = matches_on(ns, asked).join(asked, ["page_id", "selector"])
+    held = ns.filter("tag = 'li'").select("page_id", F.col("pre").alias("parent"), F.try_element_at("attrs", F.lit("data-key")).cast("long").alias("p_partkey"))
+    place = ns.filter("kind = 'element'").select("page_id", "pre", "parent")
+    return found.join(place, ["page_id", "pre"]).join(held, ["page_id", "parent"]).select("page_id", "label", "p_partkey")

@@ -5,6 +5,9 @@ the step hangs off the one before, a key that an element must have (its id, one
 class, or its tag), and the remaining tests. Elements meet steps in an equi join
 on the key, and steps are chained by equi joins on ancestors, parents or sibling
 places. Plans grow with the longest selector, not with the number of selectors.
+
+Tests of text are left open in that join. Elements that passed all their other tests
+get their texts, long ones put together once for all selectors, and are then tested again.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators import selectors as sel
+from gleanery.operators.texts import with_text
 from gleanery.session import written
-from gleanery.sources.nodes import elements
+from gleanery.sources.nodes import elements, text_nodes
 
-_TESTS = "array<array<struct<neg: boolean, kind: string, name: string, op: string, value: string, fold: boolean, which: string, back: boolean, a: int, b: int>>>"
-_STEPS = f"selector string, chain int, step int, steps int, link string, key string, tests {_TESTS}"
+_TESTS = "array<array<array<struct<neg: boolean, kind: string, name: string, op: string, value: string, fold: boolean, which: string, back: boolean, a: int, b: int>>>>"
+_STEPS = f"selector string, chain int, step int, steps int, link string, key string, texts boolean, tests {_TESTS}"
+#: Products of alternatives inside alternatives; a selector beyond it is reported as unusable.
 MAX_CLAUSES = 64
 
 
@@ -31,6 +36,9 @@ def _atom(test: tuple, neg: bool) -> dict:
         out["value"] = args[0]
     elif kind == "attr":
         out.update(name=args[0], op=args[1], value=args[2], fold=bool(args[3]))
+    elif kind == "text":
+        whole, op, value, squeezed = args
+        out.update(kind="text" if whole else "own", op=op, value=value, fold=squeezed)
     elif kind == "nth":
         out.update(which=args[0], back=args[1], a=args[2], b=args[3])
     elif kind == "alone":
@@ -38,26 +46,29 @@ def _atom(test: tuple, neg: bool) -> dict:
     return out
 
 
-def _clauses(test: tuple, neg: bool = False) -> list[list[dict]]:
-    """All of these must have one true part (conjunctive form)."""
+def _clauses(test: tuple, neg: bool = False) -> list[list[list[dict]]]:
+    """All clauses must hold; a clause holds if all tests of one of its parts do."""
     kind, *args = test
     if kind == "not":
         return _clauses(args[0], not neg)
-    if kind in ("and", "or"):
-        parts = [_clauses(a, neg) for a in args]
-        if (kind == "and") != neg:
-            return [c for p in parts for c in p]
-        out: list[list[dict]] = [[]]
-        for p in parts:
-            out = [a + b for a in out for b in p]
-            if len(out) > MAX_CLAUSES:
-                raise sel.InvalidSelector("too many alternatives in one step")
-        return out
-    return [[_atom(test, neg)]]
+    if kind not in ("and", "or"):
+        return [[[_atom(test, neg)]]]
+    parts = [_clauses(a, neg) for a in args]
+    if (kind == "and") != neg:
+        return [c for p in parts for c in p]
+    if all(len(c) == 1 for p in parts for c in p):
+        # alternatives that are plain conjunctions stay as they are, however many
+        return [[[a for c in p for a in c[0]] for p in parts]]
+    out: list[list[list[dict]]] = [[]]
+    for p in parts:
+        out = [a + b for a in out for b in p]
+        if len(out) > MAX_CLAUSES:
+            raise sel.InvalidSelector("alternatives nested too deep")
+    return out
 
 
 def step_rows(selector: str) -> list[tuple]:
-    """Rows of one selector; none if it is unusable, tests text, or ends in text() or an attribute."""
+    """Rows of one selector; none if it is unusable, needs other axes, or ends in text() or an attribute."""
     try:
         if sel.selector_kind(selector) == "xpath":
             parts = sel.xpath_parts(selector)
@@ -66,8 +77,6 @@ def step_rows(selector: str) -> list[tuple]:
             chains = [c for c, _ in parts]
         else:
             chains = sel.css_steps(selector)
-        if any(sel._text_tests(t) for chain in chains for s in chain for t in s.tests):
-            return []
         rows = []
         for c, chain in enumerate(chains):
             for i, s in enumerate(chain):
@@ -75,7 +84,7 @@ def step_rows(selector: str) -> list[tuple]:
                 keys = {t[0]: t[1] for t in s.tests if t[0] in ("tag", "class", "id") and t[1] != "*"}
                 key = next((f"{k}:{keys[k]}" for k in ("id", "class", "tag") if k in keys), "*")
                 rest = [c for t in s.tests if t != ("tag", "*") for c in _clauses(t)]
-                rows.append((selector, c, i, len(chain), s.link, key, rest))
+                rows.append((selector, c, i, len(chain), s.link, key, any(a["kind"] in ("text", "own") for clause in rest for part in clause for a in part), rest))
         return rows
     except sel.InvalidSelector:
         return []
@@ -85,13 +94,30 @@ def steps(selectors: DataFrame) -> DataFrame:
     """selectors(selector) -> one row for each step of each distinct selector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["selector", "chain", "step", "steps", "link", "key", "tests"]
+        names = ["selector", "chain", "step", "steps", "link", "key", "texts", "tests"]
         for b in batches:
             yield pd.DataFrame([r for text in b["selector"] for r in step_rows(text)], columns=names)
 
     return selectors.where("selector IS NOT NULL").select("selector").distinct().mapInPandas(run, _STEPS)
 
 
+def _may_hold(t: Column) -> Column:
+    """One test of a clause, over an element row; tests of text stay open."""
+    return t["kind"].isin("text", "own") | _holds(t)
+
+
+def _reads(t: Column) -> Column:
+    """One test of a text, over a row with ``_whole`` (all text inside) and ``_own`` (its own text nodes)."""
+    op, value = t["op"], t["value"]
+    first = F.try_element_at("_own", F.lit(1))
+    text = F.when(t["kind"] == "text", F.col("_whole")).otherwise(first)
+    text = F.when(t["fold"], sel.squash(text)).otherwise(text)
+    one = F.when(op == "*=", F.contains(text, value)).when(op == "^=", F.startswith(text, value)).otherwise(text == value)
+    # an own text equals a value if any of the text nodes does
+    any_own = (t["kind"] == "own") & (op == "=") & ~t["fold"]
+    return F.coalesce(F.when(any_own, F.array_contains("_own", value)).otherwise(one), F.lit(False)) != t["neg"]
+
+
 def _holds(t: Column) -> Column:
     """One test of a clause, over an element row."""
     kind, name, op, value = t["kind"], t["name"], t["op"], t["value"]
@@ -126,7 +152,11 @@ def _holds(t: Column) -> Column:
     return F.coalesce(ok, F.lit(False)) != t["neg"]
 
 
-def _candidates(nodes: DataFrame, asked: DataFrame | None, step_table: DataFrame) -> DataFrame:
+def _all(tests: str, holds) -> Column:
+    return F.forall(tests, lambda clause: F.exists(clause, lambda part: F.forall(part, holds)))
+
+
+def _candidates(nodes: DataFrame, asked: DataFrame | None, step_table: DataFrame, texts: bool) -> DataFrame:
     """(page_id, pre, anc, parent, sib_pos, selector, chain, step, steps, link): elements that pass a single step's tests."""
     keys = F.array_union(
         F.array_union(F.array(F.lit("*"), F.concat(F.lit("tag:"), "tag")), F.array_compact(F.array(F.concat(F.lit("id:"), "id")))),
@@ -138,14 +168,28 @@ def _candidates(nodes: DataFrame, asked: DataFrame | None, step_table: DataFrame
     if asked is not None:
         # selectors of single pages: every step goes to its page only
         wanted, on = asked.select("page_id", "selector").distinct().join(step_table, "selector"), ["page_id", "key"]
-    passed = F.forall("tests", lambda clause: F.exists(clause, _holds))
-    return els.join(wanted, on).where(passed).select("page_id", "pre", "anc", "parent", "sib_pos", "selector", "chain", "step", "steps", "link")
+    rows = els.join(wanted, on).where(_all("tests", _may_hold))
+    out = ["page_id", "pre", "anc", "parent", "sib_pos", "selector", "chain", "step", "steps", "link"]
+    if not texts:
+        return rows.select(*out)
+    rows = written(rows, "selector-open")
+    to_read = rows.where("texts")
+    places = to_read.select("page_id", "pre", "text").distinct()
+    whole = with_text(places, nodes, trim=False).withColumnRenamed("value", "_whole")
+    own = text_nodes(nodes).select("page_id", F.col("parent").alias("pre"), F.struct(F.col("pre").alias("at"), "text").alias("_t"))
+    own = own.join(places.select("page_id", "pre"), ["page_id", "pre"], "left_semi").groupBy("page_id", "pre").agg(F.transform(F.sort_array(F.collect_list("_t")), lambda x: x["text"]).alias("_own"))
+    read = to_read.join(whole, ["page_id", "pre"]).join(own, ["page_id", "pre"], "left")
+    text_test = lambda t: F.when(t["kind"].isin("text", "own"), _reads(t)).otherwise(_holds(t))
+    read = read.where(_all("tests", text_test))
+    return rows.where("NOT texts").select(*out).unionByName(read.select(*out))
 
 
 def _chained(nodes: DataFrame, asked: DataFrame | None, selectors: DataFrame) -> DataFrame:
     table = written(steps(selectors), "selector-steps")
-    deepest = table.agg(F.max("steps")).first()[0] or 1
-    rows = written(_candidates(nodes, asked, table), "selector-candidates") if deepest > 1 else _candidates(nodes, asked, table)
+    deepest, texts = table.agg(F.max("steps"), F.bool_or("texts")).first()
+    deepest = deepest or 1
+    rows = _candidates(nodes, asked, table, bool(texts))
+    rows = written(rows, "selector-candidates") if deepest > 1 else rows
     own = ["page_id", "selector", "chain"]
     now = rows.where("step = 0")
     done = now.where("steps = 1").select("page_id", "selector", "pre")
@@ -185,3 +229,12 @@ def usable(selectors: DataFrame) -> DataFrame:
             yield b.assign(valid=[bool(step_rows(t)) for t in b["selector"]])
 
     return selectors.where("selector IS NOT NULL").select("selector").distinct().mapInPandas(run, "selector string, valid boolean")
+
+
+def counts_on(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(page_id, selector) -> (page_id, selector, n, valid), zeros included (B7): one row for each distinct pair."""
+    pairs = asked.select("page_id", "selector").distinct()
+    counts = matches_on(nodes, pairs).groupBy("page_id", "selector").agg(F.count("*").alias("n"))
+    valid = usable(pairs)
+    out = pairs.join(counts, ["page_id", "selector"], "left").join(valid, "selector", "left")
+    return out.select("page_id", "selector", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("valid", F.lit(False)).alias("valid"))

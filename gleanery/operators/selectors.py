@@ -99,9 +99,12 @@ def _text_tests(test: tuple) -> list[tuple]:
 
 
 def _flagged(nodes: DataFrame, steps: list[Step]) -> DataFrame:
-    """Elements, with a flag for each text test of the steps: text is read once for each, and only keys are joined."""
-    els = elements(nodes)
-    wanted = {t: s.tag for s in steps for test in s.tests for t in _text_tests(test)}
+    """Elements, with a flag for each text test of the steps."""
+    return with_text_flags(elements(nodes), nodes, {t: s.tag for s in steps for test in s.tests for t in _text_tests(test)})
+
+
+def with_text_flags(els: DataFrame, nodes: DataFrame, wanted: dict[tuple, str]) -> DataFrame:
+    """Elements with a flag for each text test, asked of a tag: text is read once for each, and only keys are joined."""
     for test, tag in wanted.items():
         found = elements_with(nodes, *test[1:], tag=tag).withColumn(_flag(test), F.lit(True))
         els = els.join(found, list(KEY), "left").withColumn(_flag(test), F.coalesce(_flag(test), F.lit(False)))
@@ -168,13 +171,13 @@ _FIXED = {
 def _pseudo_test(name: str, arg: str | None) -> tuple:
     if name in _NTH:
         return _nth(*_NTH[name], arg)
-    if name == "not" and arg:
+    if name in ("not", "is", "where") and arg:
         # a list of simple selectors without steps
         chains = [_css_chain(part.strip()) for part in _css_parts(arg)]
         if any(len(c) > 1 for c in chains):
             raise InvalidSelector(arg)
-        each = [("and", *c[0].tests) for c in chains]
-        return ("not", ("or", *each))
+        each = ("or", *[("and", *c[0].tests) for c in chains])
+        return ("not", each) if name == "not" else each
     if name not in _FIXED or arg is not None:
         raise InvalidSelector(name)
     return _FIXED[name]
@@ -335,7 +338,7 @@ def _xpath_test(pred: str, which: str, later: bool) -> tuple:
 
 
 def selector_kind(selector: str) -> str:
-    return "xpath" if selector.startswith("/") or selector.startswith("./") else "css"
+    return "xpath" if re.match(r"\(*\s*\.{0,2}/", selector) else "css"
 
 
 def _path_pattern(steps: list[Step]) -> str:
@@ -458,6 +461,8 @@ def select_css(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
 
 def select_xpath(nodes: DataFrame, xpath: str, *cols: str) -> DataFrame:
     """Elements an XPath leads to, each once; a trailing text() or @name step adds ``value``."""
+    if not _is_plain(xpath):
+        return _axes().select_axes(nodes, xpath, *cols)
     parts = _split_top(xpath.strip(), r"\|")
     if len(parts) > 1:
         found = [select_xpath(nodes, p, *cols) for p in parts]
@@ -480,6 +485,21 @@ def select_xpath(nodes: DataFrame, xpath: str, *cols: str) -> DataFrame:
     return found.select(*dict.fromkeys((*KEY, *cols))).join(texts, list(KEY))
 
 
+def _axes():
+    from gleanery.operators import xpath_axes  # it builds on the tests of this module
+
+    return xpath_axes
+
+
+def _is_plain(xpath: str) -> bool:
+    """Whether steps down with stored positions say it all."""
+    try:
+        xpath_parts(xpath)
+    except InvalidSelector:
+        return False
+    return True
+
+
 def select(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
     pick = select_xpath if selector_kind(selector) == "xpath" else select_css
     return pick(nodes, selector, *cols)
@@ -487,7 +507,10 @@ def select(nodes: DataFrame, selector: str, *cols: str) -> DataFrame:
 
 def is_valid(selector: str) -> bool:
     try:
-        xpath_parts(selector) if selector_kind(selector) == "xpath" else css_steps(selector)
+        if selector_kind(selector) == "css":
+            css_steps(selector)
+        elif not _is_plain(selector):
+            _axes().parse(selector)
     except InvalidSelector:
         return False
     return True
@@ -511,7 +534,8 @@ def select_many(nodes: DataFrame, selectors: dict[str, str], *cols: str) -> Data
     for label, sel in selectors.items():
         if not is_valid(sel):
             continue
-        paths = xpath_parts(sel) if selector_kind(sel) == "xpath" else [(c, None) for c in css_steps(sel)]
+        xpath = selector_kind(sel) == "xpath"
+        paths = [(c, None) for c in css_steps(sel)] if not xpath else xpath_parts(sel) if _is_plain(sel) else []
         chains = [c for c, _ in paths]
         test = _row_tests(chains)
         if test is not None and not any(end for _, end in paths) and not any(_text_tests(t) for c in chains for s in c for t in s.tests):

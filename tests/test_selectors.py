@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.operators import selectors as sel
 from gleanery.operators.paths import element_selectors
@@ -122,7 +123,7 @@ def test_xpath(page):
     assert [r["value"] for r in sel.select_xpath(page, "//em/text()").collect()] == ["z"]
 
 
-@pytest.mark.parametrize("bad", ["", "##x", "p >", "> p", "p[", "p:hover", "p::before", "li:nth-child(x)", "a,,b", "p )", "//", "//p[@a][2]", "/", "//p[position()=x]", "p:not(a b)", "//p[or]"])
+@pytest.mark.parametrize("bad", ["", "##x", "p >", "> p", "p[", "p:hover", "p::before", "li:nth-child(x)", "a,,b", "p )", "//", "/", "//p[position()=x]", "p:not(a b)", "//p[@a][", "//p[f()]"])
 def test_unusable_selectors_match_nothing(page, bad):
     assert not sel.is_valid(bad)
     assert sel.select_or_empty(page, bad).count() == 0
@@ -230,7 +231,7 @@ def test_text_predicates(page, spark):
     }
     for text, test in want.items():
         if test is None:
-            assert not sel.is_valid(text)
+            assert found(sel.select(page, text)) == []
             continue
         expect = sorted(n.pre for n in els if test(n))
         assert expect and found(sel.select(page, text)) == expect, text
@@ -243,3 +244,62 @@ def test_text_predicates_on_long_text(parse):
     assert sel.select(n, "//p[contains(., 'needle tail')]").count() == 1
     assert sel.select(n, "//div[contains(., 'needle')]/p").count() == 1
     assert sel.select(n, "//p[contains(text(), 'needle')]").count() == 0
+
+
+def test_text_tests_in_table_selectors(page, spark, parse):
+    """The same as for a single selector, whatever the length of the text."""
+    from gleanery.operators import selector_table as st
+
+    long = "x" * 600
+    _, nodes = parse(f"<div><p>one<b>two</b>tail</p><p class=a> one </p><p>{long}<i>end</i></p><ul><li>a<li>b<li class=a>{long}</ul></div>", "<p>one")
+    texts = [
+        "//p[contains(., 'two')]", "//p[text()='tail']", "//p[text()!='tail']", "//p[starts-with(text(), 'one')]", "//p[normalize-space()='one']", "//*[contains(text(), 'end')]", "//p[contains(., 'xend')]",
+        "//p[not(contains(., 'x'))]", "//div[contains(., 'end')]/ul/li[2]", "//li[.='a' or .='b']", "//li[@class='a' and contains(., 'xx')]", "//ul[contains(., 'nothing')]/li", "//b[.='']", "//p[contains(., 'one')][@class] | //li[text()='b']",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "selector string")
+    got = {}
+    for r in st.matches(nodes, rows).collect():
+        got.setdefault(r["selector"], set()).add((r["page_id"], r["pre"]))
+    for t in texts:
+        want = {(r["page_id"], r["pre"]) for r in sel.select(nodes, t).collect()}
+        assert got.get(t, set()) == want, t
+    assert sum(map(bool, got.values())) >= 11
+
+
+@pytest.mark.parametrize("n", [511, 512, 513])
+def test_text_tests_about_the_stored_length(spark, parse, n):
+    from gleanery.operators import selector_table as st
+
+    _, nodes = parse(f"<p>{'y' * (n - 1)}z")
+    rows = spark.createDataFrame([("//p[contains(., 'yz')]",), (f"//p[.='{'y' * (n - 1)}z']",), ("//p[contains(., 'zz')]",)], "selector string")
+    assert st.matches(nodes, rows).count() == 2
+
+
+def test_many_alternatives_in_a_table(page, spark):
+    """Long lists of compound alternatives are no product."""
+    from gleanery.operators import selector_table as st
+
+    many = ":is(" + ", ".join(f"li.k{i}[title=t{i}]" for i in range(40)) + ", p.a) , :not(:is(" + ", ".join(f"b.k{i}" for i in range(40)) + ", p, li, ul, div))"
+    assert st.usable(spark.createDataFrame([(many,)], "selector string")).first().valid
+    got = sorted(r["pre"] for r in st.matches(page, spark.createDataFrame([(many,)], "selector string")).collect() if r["page_id"] == 1)
+    assert got == found(sel.select(page, many)) and got
+
+
+def test_counts_of_asked_pairs_keep_zeros(page, spark):
+    from gleanery.operators import selector_table as st
+
+    asked = spark.createDataFrame([(1, "p"), (1, "p"), (1, "video"), (2, "li["), (9, "p"), (1, None)], "page_id long, selector string")
+    got = {(r.page_id, r.selector): (r.n, r.valid) for r in st.counts_on(page, asked).collect()}
+    n = len(found(sel.select(page, "p")))
+    assert got == {(1, "p"): (n, True), (1, "video"): (0, True), (2, "li["): (0, False), (9, "p"): (0, True), (1, None): (0, False)}
+
+
+def test_a_model_answer_with_text_recovers_a_field(spark, parse):
+    from gleanery.operators import recover
+
+    pages, nodes = parse("<ul><li>Name: A<li>Price: 5</ul>", "<ul><li>Price: 7<li>x</ul>")
+    lost = spark.createDataFrame([(0, "price", ".gone"), (1, "price", ".gone")], "page_id long, dp_id string, selector string")
+    answer = recover.Strategy("answers", from_errors=lambda e: e.select("page_id", "dp_id", F.lit(0).alias("alt_rank"), F.lit("//li[contains(., 'Price')]").alias("selector")))
+    chosen = recover.chosen_alternative(recover.working_alternatives(nodes, recover.proposals(lost, (answer,))))
+    again = recover.reextract(chosen, nodes, pages, {"price": (False, "text", "")})
+    assert {(r.page_id, r.value) for r in again.collect()} == {(0, "Price: 5"), (1, "Price: 7")}
