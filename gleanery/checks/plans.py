@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gleanery.checks.base import card_nodes, cards, long, query, table
-from gleanery.operators import batch
+from gleanery.checks.base import SQL_HOST, SQL_LINKS, card_nodes, cards, long, nodes, pages, query, table
+from gleanery.functions.scalars import url_host
+from gleanery.operators import batch, templates
 from gleanery.operators.dom import with_text
 from gleanery.operators.selector_table import matches_on
 from gleanery.operators.selectors import select_many
 from gleanery.plans import tables
+from gleanery.session import scratch
 
 # one plan for each group of card pages; group d has none
 FIELDS = (
@@ -173,3 +175,31 @@ def selectors_by_table_text(spark, sf):
     held = ns.filter("tag = 'li'").select("page_id", F.col("pre").alias("parent"), F.try_element_at("attrs", F.lit("data-key")).cast("long").alias("p_partkey"))
     place = ns.filter("kind = 'element'").select("page_id", "pre", "parent")
     return found.join(place, ["page_id", "pre"]).join(held, ["page_id", "parent"]).select("page_id", "label", "p_partkey")
+
+
+SQL_EVEN = f"length({SQL_HOST}) % 2 = 0"
+
+
+@query(
+    "template_store",
+    f"""WITH {SQL_LINKS} SELECT 1::BIGINT AS version, page_id, pos AS rec_no, 'txt' AS field, trim(txt) AS value FROM links
+        UNION ALL SELECT 2, page_id, pos, 'txt', trim(txt) FROM links WHERE NOT ({SQL_EVEN}) UNION ALL SELECT 2, page_id, pos, 'to', href FROM links WHERE {SQL_EVEN}
+        UNION ALL SELECT 2, page_id, pos, 'text', lower(trim(txt)) FROM links WHERE {SQL_EVEN}
+        UNION ALL SELECT 3, page_id, pos, 'to', href FROM links WHERE {SQL_EVEN} UNION ALL SELECT 3, page_id, pos, 'text', lower(trim(txt)) FROM links WHERE {SQL_EVEN}""",
+)
+def template_store(spark, sf):
+    """Templates saved for every host, replaced for some and removed for others, each state read back from the folder and applied."""
+    path, pg, ns = scratch(spark, "templates"), pages(spark, sf), nodes(spark, sf)
+    hosts = pg.select(F.lit("menu").alias("name"), url_host(F.col("url")).alias("host")).distinct()
+    even = F.length("host") % 2 == 0
+    field = lambda *x: F.struct(*[F.lit(v).cast("string").alias(c) for v, c in zip(x, ("field", "selector", "attribute", "transform"))])
+    body = {"css": F.lit("nav li"), "xpath": F.lit(None).cast("string")}
+    templates.save(hosts.withColumns({**body, "fields": F.array(field("txt", "a", None, "trim"))}), path, 1)
+    templates.save(hosts.filter(even).withColumns({"css": F.lit(".none"), "xpath": F.lit("//nav//li"), "fields": F.array(field("to", "a", "href", None), field("text", "a", None, "lowercase"))}), path, 2)
+    templates.remove(hosts.filter(~even), path, 3)
+    log, out = templates.versions(spark, path), None  # from the folder alone, as another application would
+    for v in (1, 2, 3):
+        got, _ = templates.apply(pg, ns, templates.as_of(log, v), "menu")
+        got = got.select(F.lit(v).cast("long").alias("version"), "page_id", long("rec_no").alias("rec_no"), "field", "value")
+        out = got if out is None else out.unionByName(got)
+    return out
