@@ -301,12 +301,14 @@ def stream_log_windows(spark, sf):
 
 @query("stream_store", f"WITH {LOG_SQL} SELECT area, key, value FROM live")
 def stream_store(spark, sf):
-    out, ck = scratch(spark, "store-out"), scratch(spark, "store-ck")
-    events = _feed(spark, sf, "events")
-    log = change_log_of(events)
-    _finish(feeds.latest_feed(log, out, ck))
-    rows = spark.read.schema("area string, key string, op string, value string, ts timestamp, seq long, bucket int").parquet(out)
-    return feeds.live_entries(rows).select("area", "key", "value")
+    """The change log in three batches that overlap in time; each writes the keys it changed."""
+    feed, out, ck = (scratch(spark, f"store-{n}") for n in ("in", "out", "ck"))
+    log = change_log_of(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    for third in range(3):
+        log.filter(F.col("seq") % 3 == third).write.mode("append").parquet(feed)
+        _finish(feeds.state_feed(feeds.file_feed(spark, feed, log.schema), out, ck))
+    rows = spark.read.schema("area string, key string, op string, value string, ts timestamp, seq long, batch int").parquet(out)
+    return feeds.live_entries(feeds.current_of(rows)).select("area", "key", "value")
 
 
 def change_log_of(events):
@@ -320,26 +322,32 @@ def change_log_of(events):
 
 @query(
     "stream_page_changes",
-    """SELECT url, 'added' AS change FROM (SELECT DISTINCT url FROM pages WHERE page_id % 3 > 0) UNION ALL
-       SELECT url, CASE WHEN page_id % 3 = 0 THEN 'added' ELSE 'changed' END FROM (SELECT url, arg_max(page_id, page_id) AS page_id FROM pages GROUP BY url) WHERE page_id % 3 < 2
-       UNION ALL SELECT url, 'changed' FROM (SELECT url, max(page_id) AS page_id FROM pages GROUP BY url) WHERE page_id % 3 = 2""",
+    """WITH u AS (SELECT url, max(page_id) AS last, max(CASE WHEN page_id % 3 > 0 THEN page_id END) AS first, max(CASE WHEN page_id % 5 > 0 THEN page_id END) AS middle FROM pages GROUP BY url),
+       c(crawl, url, body) AS (SELECT 1, url, first::VARCHAR FROM u WHERE first IS NOT NULL UNION ALL SELECT 2, url, middle || CASE WHEN middle % 3 = 1 THEN 'e' ELSE '' END FROM u WHERE middle IS NOT NULL
+         UNION ALL SELECT 3, url, last || CASE last % 3 WHEN 1 THEN 'e' WHEN 2 THEN 't' ELSE '' END FROM u)
+       SELECT coalesce(b.url, a.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' ELSE 'changed' END AS change
+       FROM c b FULL JOIN (SELECT crawl + 1 AS crawl, url, body FROM c WHERE crawl < 3) a ON a.crawl = b.crawl AND a.url = b.url
+       WHERE a.body IS DISTINCT FROM b.body""",
 )
 def stream_page_changes(spark, sf):
-    """Three crawls of the page table: the second adds a third of the pages and edits another third, the third edits the rest."""
+    """Three crawls of the page table: a third of the pages comes with the second, which edits another third and lacks a fifth; the third has all and edits the rest."""
     feed, out, ck = (scratch(spark, f"crawl-{n}") for n in ("in", "out", "ck"))
-    pg = pages(spark, sf)
-    third = F.col("page_id") % 3
-    first = pg.filter(third > 0).select("url", F.timestamp_seconds(F.col("page_id")).alias("ts"), "html")
-    html = F.when(third == 1, F.concat("html", F.lit("<!-- edited -->"))).otherwise(F.col("html"))
-    second = pg.select("url", F.timestamp_seconds(F.col("page_id") + (1 << 20)).alias("ts"), html.alias("html"))
-    late = F.when(third == 1, F.concat("html", F.lit("<!-- edited -->"))).when(third == 2, F.concat("html", F.lit("<!-- too -->"))).otherwise(F.col("html"))
-    last = pg.select("url", F.timestamp_seconds(F.col("page_id") + (1 << 21)).alias("ts"), late.alias("html"))
-    for crawl in (first, second, last):
+    crawls = page_crawls(pages(spark, sf))
+    for crawl in crawls:
         crawl.write.mode("append").parquet(feed)
-        _finish(feeds.change_feed(feeds.file_feed(spark, feed, first.schema), out, ck))
+        _finish(feeds.change_feed(feeds.file_feed(spark, feed, crawl.schema), out, ck, gone_after_s=1 << 29))
     return spark.read.schema("url string, change string, batch int").parquet(out).drop("batch")
 
 
+def page_crawls(pg):
+    """Crawls lie a number of seconds apart that no page id reaches."""
+    third = F.col("page_id") % 3
+    edited = F.when(third == 1, F.concat("html", F.lit("<!-- edited -->"))).otherwise(F.col("html"))
+    late = F.when(third == 1, F.concat("html", F.lit("<!-- edited -->"))).when(third == 2, F.concat("html", F.lit("<!-- too -->"))).otherwise(F.col("html"))
+    at = lambda n: F.timestamp_seconds(F.col("page_id") + n * (1 << 30)).alias("ts")
+    return [pg.filter(third > 0).select("url", at(0), "html"), pg.filter("page_id % 5 > 0").select("url", at(1), edited.alias("html")), pg.select("url", at(2), late.alias("html"))]
+
+
 @query("stream_dedup", "SELECT DISTINCT event_type, props FROM events")
 def stream_dedup(spark, sf):
     out, ck = scratch(spark, "dedup-out"), scratch(spark, "dedup-ck")
