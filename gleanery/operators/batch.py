@@ -31,6 +31,39 @@ def url_groups(pages: DataFrame) -> DataFrame:
     )
 
 
+# What a place of a path that varies is called, by what all its values look like.
+PLACES = (("{date}", r"^\d{4}-\d{2}-\d{2}\z"), ("{n}", r"^\d+\z"))
+
+
+def url_templates(pages: DataFrame, fixed: int = 20, share: float = 0.5, least: int = 5) -> DataFrame:
+    """(host, path, template): URL templates that are learned from the paths of each host (M1).
+
+    Paths form a tree, walked from the top: a place below one template varies if it has more than
+    ``fixed`` different values, or at least ``least`` that are new in at least ``share`` of its
+    pages. A place that varies becomes ``{date}``, ``{n}`` or ``{text}``, and what lies
+    below its values is one subtree from then on; so language codes and sections stay, dates, numbers and
+    slugs go. Each level folds distinct paths to counts; nothing of a host is gathered.
+    """
+    parts = F.filter(F.split(url_path(F.col("url")), "/"), lambda x: x != "")
+    now = written(
+        pages.filter(F.col("url").isNotNull()).groupBy(url_host(F.col("url")).alias("host"), parts.alias("parts")).agg(F.count("*").alias("n_pages")).withColumn("template", F.lit("")), "url-tree"
+    )
+    deepest = now.agg(F.max(F.size("parts"))).first()[0] or 0
+    for level in range(1, deepest + 1):
+        part = F.try_element_at("parts", F.lit(level))
+        values = now.filter(F.size("parts") >= level).groupBy("host", "template", part.alias("part")).agg(F.sum("n_pages").alias("n"))
+        looks = [F.bool_and(F.col("part").rlike(pattern)).alias(name) for name, pattern in PLACES]
+        places = values.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("n"), *looks)
+        varies = (F.col("k") > fixed) | ((F.col("k") >= least) & (F.col("k") >= share * F.col("n")))
+        kind = F.lit("{text}")
+        for name, _ in reversed(PLACES):
+            kind = F.when(F.col(name), F.lit(name)).otherwise(kind)
+        known = places.filter(varies).select("host", "template", kind.alias("kind"))
+        step = F.when(F.size("parts") >= level, F.concat(F.lit("/"), F.coalesce("kind", part))).otherwise(F.lit(""))
+        now = written(now.join(known, ["host", "template"], "left").select("host", "parts", "n_pages", F.concat("template", step).alias("template")), "url-tree")
+    return now.select("host", F.concat(F.lit("/"), F.array_join("parts", "/")).alias("path"), "template", "n_pages")
+
+
 def host_profile(pages: DataFrame) -> DataFrame:
     """Approximate distinct URLs per host (G7); sketches merge, so a hot host is cheap."""
     return pages.groupBy(url_host(F.col("url")).alias("host")).agg(

@@ -214,6 +214,21 @@ def recovery_rate(failed: DataFrame, recovered: DataFrame, *by: str) -> DataFram
     )
 
 
+def selector_precision(found: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
+    """Share of matched elements that were meant, and of meant elements that were matched.
+
+    found and wanted hold (page_id, pre) and the columns ``by``, as the selector or the field.
+    """
+    key = list(dict.fromkeys([*KEY, *by]))
+    a = found.select(*key).distinct().withColumn("_f", F.lit(1))
+    b = wanted.select(*key).distinct().withColumn("_w", F.lit(1))
+    hits = F.count_if(F.col("_f").isNotNull() & F.col("_w").isNotNull())
+    return a.join(b, key, "full").groupBy(*by).agg(
+        F.count("_f").alias("n_found"), F.count("_w").alias("n_wanted"), hits.alias("n_right"),
+        F.round(hits / F.nullif(F.count("_f"), F.lit(0)), 4).alias("precision"), F.round(hits / F.nullif(F.count("_w"), F.lit(0)), 4).alias("recall"),
+    )
+
+
 def pages_with_match(pages: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
     """Pages where the selector finds something."""
     return pages.join(select_or_empty(nodes, selector).select("page_id"), "page_id", "left_semi")

@@ -233,3 +233,65 @@ def test_lineage_of_a_broken_chain(spark):
     rows = [(1, None), (2, 1), (3, 2), (4, 3), (9, 8), (10, 9)]
     got = {r["version_id"]: (r["original"], r["depth"]) for r in B.lineage(spark.createDataFrame(rows, "version_id long, parent_id long")).collect()}
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 9: (8, 1), 10: (8, 2)}
+
+
+def test_state_feed_writes_what_changed(spark):
+    src, out, ck = (scratch(spark, f"keyed-{n}") for n in ("in", "out", "ck"))
+    schema = "area string, key string, value string, op string, ts timestamp, seq long"
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    batches = [
+        [("l", "a", "1", "set", t(1), 1), ("l", "a", "2", "set", t(1), 2), ("l", "b", "1", "set", t(1), 2), ("s", "c", "1", "set", t(1), 3), ("s", None, "1", "set", t(1), 3)],
+        [("l", "a", "0", "set", t(0), 4), ("l", "b", None, "remove", t(2), 5), ("s", "*", None, "clear", t(3), 6), ("s", "d", "1", "set", t(4), 7)],
+        [("l", "a", "2", "set", t(1), 2), ("l", "b", "9", "set", t(1), 9)],
+    ]
+    for rows in batches:
+        drop_in(spark, rows, schema, src)
+        feeds.state_feed(feeds.file_feed(spark, src, spark.createDataFrame([], schema).schema), out, ck).awaitTermination()
+    got = spark.read.schema("area string, key string, op string, value string, ts timestamp, seq long, batch int").parquet(out)
+    assert sorted((r["batch"], r["key"], r["op"]) for r in got.collect()) == [(0, "a", "set"), (0, "b", "set"), (0, "c", "set"), (1, "*", "clear"), (1, "b", "remove"), (1, "d", "set")]
+    assert sorted((r["area"], r["key"], r["value"]) for r in feeds.live_entries(feeds.current_of(got)).collect()) == [("l", "a", "2"), ("s", "d", "1")]
+
+
+def test_state_feed_forgets_removed_keys(spark):
+    src, out, ck = (scratch(spark, f"forget-{n}") for n in ("in", "out", "ck"))
+    schema = "area string, key string, value string, op string, ts timestamp, seq long"
+    day = lambda d: dt.datetime(2024, 1, d)
+    batches = [[("l", "a", None, "remove", day(1), 1), ("l", "b", "1", "set", day(1), 2)], [("l", "c", "1", "set", day(9), 3)], [("l", "a", "old", "set", day(1), 0), ("l", "a", "new", "set", day(9), 4)]]
+    for rows in batches:
+        drop_in(spark, rows, schema, src)
+        feeds.state_feed(feeds.file_feed(spark, src, spark.createDataFrame([], schema).schema), out, ck, "1 hour", 2).awaitTermination()
+    got = spark.read.schema("area string, key string, op string, value string, ts timestamp, seq long, batch int").parquet(out)
+    assert sorted((r["area"], r["key"], r["value"]) for r in feeds.live_entries(feeds.current_of(got)).collect()) == [("l", "a", "new"), ("l", "b", "1"), ("l", "c", "1")]
+
+
+def test_change_feed_reports_removed_pages(spark):
+    src, out, ck = (scratch(spark, f"gone-{n}") for n in ("in", "out", "ck"))
+    schema = "url string, ts timestamp, html string"
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    crawls = [[("a", t(0), "1"), ("b", t(0), "1"), (None, t(0), "1")], [("a", t(6), "1")], [("a", t(12), "2"), ("b", t(12), "1")], [("a", t(18), "2"), ("b", t(18), None)]]
+    for rows in crawls:
+        drop_in(spark, rows, schema, src)
+        feeds.change_feed(feeds.file_feed(spark, src, spark.createDataFrame([], schema).schema), out, ck, gone_after_s=5 * 3600).awaitTermination()
+    got = spark.read.schema("url string, change string, batch int").parquet(out).orderBy("batch", "url").collect()
+    assert [(r["url"], r["change"]) for r in got] == [("a", "added"), ("b", "added"), ("b", "removed"), ("a", "changed"), ("b", "added"), ("b", "changed")]
+
+
+def test_combiner_keeps_the_newest(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "k string, n int, v string").coalesce(1)
+    assert sorted(map(tuple, feeds.newest_in_task(rows, ["k"], ["n"]).collect())) == [("a", 3, "z"), ("b", 1, "q")]
+
+
+def test_plan_feed(spark):
+    from gleanery.plans import tables
+
+    src, out, ck = (scratch(spark, f"plan-{n}") for n in ("in", "out", "ck"))
+    schema = "page_id long, url string, html string"
+    plan = spark.createDataFrame([("even", "title", 0, "h1", "text", None, "string", False, "needed"), ("odd", "n", 0, "b", "text", None, "number", True, None)], tables.PLAN_SCHEMA)
+    groups = lambda p: p.select("page_id", F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("grp"))
+    for rows in ([(0, "http://x.example.com/", "<h1>T</h1>"), (1, "http://x.example.com/", "<b>1</b><b>2</b>")], [(2, "http://x.example.com/", "<p>")]):
+        drop_in(spark, rows, schema, src)
+        feeds.plan_feed(feeds.file_feed(spark, src, spark.createDataFrame([], schema).schema), out, ck, groups, plan).awaitTermination()
+    values = spark.read.schema("page_id long, dp_id string, clean string, batch int").parquet(f"{out}/values").filter("clean IS NOT NULL")
+    assert sorted(map(tuple, values.select("batch", "page_id", "dp_id", "clean").collect())) == [(0, 0, "title", "T"), (0, 1, "n", "1"), (0, 1, "n", "2")]
+    issues = spark.read.schema("page_id long, dp_id string, code string, batch int").parquet(f"{out}/issues")
+    assert sorted(map(tuple, issues.select("batch", "page_id", "code").collect())) == [(1, 2, "no_match"), (1, 2, "required_item")]
