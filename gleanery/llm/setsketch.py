@@ -20,14 +20,14 @@ least value of its set; long texts take few points an element.
    similarity is e**DOUBT times less likely than the best one (again about 1 in
    10**9 of true links). The rest is verified on the full sets; links are what is verified.
 3. Buckets whose sets are not all linked by now are searched again: sets outside the
-   bucket's largest component meet all its sets, in cells of bounded size. Cells
-   with few candidates hand on all of them. Where there are many, the set that
-   agrees most with the others is tried first against all (copies of one text link
-   to it), and only what is still apart then is compared pair by pair.
+   bucket's largest component (left) meet all its sets, in cells of bounded size and
+   volume. On registers first: a cell names the sets that may link at all. Then on
+   the full sets of those, which are compared inside the cell; it hands on which components
+   its links connect.
 
-No bucket is held by one task, no pair is left out, and no group of near copies is
-expanded into all pairs unless its members are neither linked nor clearly apart:
-then each pair has to be looked at.
+No bucket is held by one task, no pair is left out, and no pairs are written but
+those with one set of a bucket and links of a forest. Work inside cells grows with the
+square of a bucket only as far as its sets are alike but not linked.
 
 Defined results: without words or text the set is empty and links with nothing;
 texts of fewer words than a shingle are one shingle; rows without an id get no
@@ -39,7 +39,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import arrays as A
 from gleanery.llm.base import query, small_batches, table
 from gleanery.llm.components import components
-from gleanery.llm.simhash import _sets, _shingles
+from gleanery.llm.simhash import _roots, _sets, _shingles
 from gleanery.session import written
 
 SHINGLE, SIMILAR = 5, (85, 100)
@@ -57,8 +57,8 @@ BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 #: Base of the registers, rate of the values, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-#: Log likelihood ratio from which on a pair is surely apart; sets of one part of a cell; candidates a set of a cell that are handed on at once.
-DOUBT, CELL, FEW = 18.0, 1000, 4
+#: Log likelihood ratio from which on a pair is surely apart; most sets, and most shingles, of one part of a bucket.
+DOUBT, CELL, VOLUME = 18.0, 1000, 1_000_000
 
 
 def registers(sizes: np.ndarray, elements: np.ndarray) -> np.ndarray:
@@ -155,15 +155,16 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """``key, node`` for each band of ``nodes (node, regs)``."""
+    """``key, node, n`` for each band of ``nodes (node, n, regs)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = A.mix(np.arange(1, BANDS + 1, dtype=A.U))
         for b in batches:
-            keys = A.mix(_matrix(b.column(1)).view("<u8") ^ salts[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["key", "node"])
+            keys = A.mix(_matrix(b.column(2)).view("<u8") ^ salts[None, :])
+            own = [pa.array(np.repeat(b.column(k).to_numpy(), BANDS)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *own], ["key", "node", "n"])
 
-    return nodes.select("node", "regs").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "n", "regs").mapInArrow(run, "key long, node long, n long")
 
 
 def _matrix(regs: pa.Array) -> np.ndarray:
@@ -196,92 +197,142 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return pairs.join(sides[1], "b").join(sides[0], "a").where(both * similar[1] >= (F.col("na") + F.col("nb") - both) * similar[0]).select("a", "b")
 
 
-class _Cell:
-    """Sets of one cell: those outside the bucket's largest component (left) meet all of the cell."""
-
-    def __init__(self, node, root, left, n, regs):
-        self.node, self.root, self.left, self.n, self.regs = node, root, left, n, regs
-
-    def candidates(self, similar: tuple[int, int], whole: bool) -> tuple[np.ndarray, bool]:
-        """Node pairs to verify, and whether they are all of the cell's."""
-        right = np.flatnonzero(~self.left)
-        found: list[np.ndarray] = []
-        held = 0
-        for i in np.flatnonzero(self.left).tolist():
-            j = right[self.root[right] != self.root[i]]
-            if len(j):
-                j = j[self._may(i, j, similar)]
-                found.append(np.stack([np.full(len(j), self.node[i]), self.node[j]]))
-                held += len(j)
-                if held > FEW * len(self.node) and not whole:
-                    return self._star(similar), False
-        return (np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)), True
-
-    def _may(self, i: int, j: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
-        return may_link(np.full(len(j), self.n[i]), self.n[j], (self.regs[i] > self.regs[j]).sum(1), (self.regs[i] < self.regs[j]).sum(1), similar)
-
-    def _star(self, similar: tuple[int, int]) -> np.ndarray:
-        """Pairs with the set that holds the commonest value of most registers."""
-        agree = np.zeros(len(self.node), np.int64)
-        for k in range(REGISTERS):
-            values, where, counts = np.unique(self.regs[:, k], return_inverse=True, return_counts=True)
-            agree += where == counts.argmax()
-        hub = int(agree.argmax())
-        j = np.flatnonzero(self.node != self.node[hub])
-        j = j[self._may(hub, j, similar)]
-        return np.stack([np.full(len(j), self.node[hub]), self.node[j]])
-
-
-def _searched(cells: Iterator[pa.RecordBatch], similar: tuple[int, int], whole: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs ``a, b`` of each cell; rows ``key, pair, left, node, root, n, regs`` come sorted by cell. ``a = b`` marks a cell with more."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def solve() -> pa.RecordBatch | None:
-        rows = np.concatenate([r for r, _ in held], 1)
-        cell = _Cell(rows[3], rows[4], rows[2].astype(bool), rows[5], np.concatenate([x for _, x in held]))
-        pairs, done = cell.candidates(similar, whole)
-        if not done:
-            pairs = np.concatenate([pairs, np.repeat(cell.node[:1, None], 2, 0)], 1)
-        if not pairs.shape[1]:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
-
-    for batch in cells:
+def _by_cell(batches: Iterator[pa.RecordBatch], solve: Callable) -> Iterator[pa.RecordBatch]:
+    """Call ``solve(rows, last column)`` for each cell; rows ``key, pair, left, node, root, n, ...`` come sorted by cell, and only the cell at hand is held."""
+    held: list[tuple[np.ndarray, pa.Array]] = []
+
+    def one() -> Iterator[pa.RecordBatch]:
+        out = solve(np.concatenate([r for r, _ in held], 1), pa.concat_arrays([x for _, x in held]))
+        if out is not None:
+            yield out
+
+    for batch in batches:
         if not len(batch):
             continue
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]])
-        regs = _matrix(batch.column(6))
         bounds = np.flatnonzero((np.diff(rows[:2]) != 0).any(0)) + 1
         for s, e in zip([0, *bounds.tolist()], [*bounds.tolist(), len(batch)]):
             if held and (held[0][0][:2, 0] != rows[:2, s]).any():
-                out = solve()
-                if out is not None:
-                    yield out
+                yield from one()
                 held = []
-            held.append((rows[:, s:e], regs[s:e]))
+            held.append((rows[:, s:e], batch.column(6).slice(s, e - s)))
     if held:
-        out = solve()
-        if out is not None:
-            yield out
-
-
-def _apart(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, similar: tuple[int, int], whole: bool) -> DataFrame:
-    """Candidate pairs in buckets whose sets are not all linked yet."""
-    rooted = written(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    per = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    stats = per.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k"))
+        yield from one()
+
+
+def _hopeful(rows: np.ndarray, regs: pa.Array, similar: tuple[int, int]) -> pa.RecordBatch | None:
+    """The rows of a cell that may link to a set of another component by their registers."""
+    r, left, root, n = _matrix(regs), np.flatnonzero(rows[2]), rows[4], rows[5]
+    right = np.flatnonzero(rows[2] == 0)
+    some = np.zeros(rows.shape[1], bool)
+
+    def may(i: int, j: np.ndarray) -> np.ndarray:
+        j = j[root[j] != root[i]]
+        j = j[np.minimum(n[j], n[i]) * similar[1] >= np.maximum(n[j], n[i]) * similar[0]]
+        return j[may_link(np.full(len(j), n[i]), n[j], (r[i] > r[j]).sum(1), (r[i] < r[j]).sum(1), similar)] if len(j) else j
+
+    for i in left.tolist():
+        # what is not named yet is tried in full; of the rest one partner is enough
+        found = may(i, right[~some[right]])
+        some[found] = True
+        named, at = right[some[right]], 0
+        while not some[i] and not len(found) and at < len(named):
+            found, at = may(i, named[at : at + 64]), at + 64
+        some[i] |= len(found) > 0
+    if not some.any():
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:5, some]], ["key", "pair", "left", "node", "root"])
+
+
+def _shared(number: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each left set shares with each right one; ``number`` lists the elements of all sets one after the other."""
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.full(len(n), -1)
+    sides = []
+    width = int(number.max(initial=-1)) + 1
+    for own in (left, right):
+        place[:] = -1
+        place[own] = np.arange(len(own))
+        held = place[owner] >= 0
+        order = np.argsort(number[held], kind="stable")
+        heads = np.concatenate([[0], np.cumsum(np.bincount(number[held], minlength=width))])
+        sides.append((place[owner][held][order], heads))
+    (a, a_heads), (b, b_heads) = sides
+    a_wide, b_wide = np.diff(a_heads), np.diff(b_heads)
+    both = np.zeros((len(left), len(right)), np.float32)
+    pairs = a_wide * b_wide
+    common = pairs * 64 >= len(left) * len(right)
+    # elements that many sets hold: columns of a matrix product
+    many = np.flatnonzero(common)
+    for s in range(0, len(many), 1024):
+        own = many[s : s + 1024]
+        grids = []
+        for rows, heads, wide, size in ((a, a_heads, a_wide, len(left)), (b, b_heads, b_wide, len(right))):
+            grid = np.zeros((size, len(own)), np.float32)
+            column = np.repeat(np.arange(len(own)), wide[own])
+            at = np.arange(len(column)) + np.repeat(heads[own] - (np.cumsum(wide[own]) - wide[own]), wide[own])
+            grid[rows[at], column] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    # the others: pair by pair, some millions at a time
+    few = np.flatnonzero(~common & (pairs > 0))
+    ends = np.cumsum(pairs[few])
+    s = 0
+    while s < len(few):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + (1 << 22))))
+        own = few[s:e]
+        column = np.repeat(own, pairs[own])
+        nth = np.arange(len(column)) - np.repeat(np.cumsum(pairs[own]) - pairs[own], pairs[own])
+        i, j = a[a_heads[column] + nth // b_wide[column]], b[b_heads[column] + nth % b_wide[column]]
+        both += np.bincount(i * len(right) + j, minlength=both.size).reshape(both.shape)
+        s = e
+    return both
+
+
+def _forest(rows: np.ndarray, sets: pa.Array, similar: tuple[int, int]) -> pa.RecordBatch | None:
+    """Links between the components of a cell by its full sets, as many as connect them."""
+    left, right, n = np.flatnonzero(rows[2]), np.flatnonzero(rows[2] == 0), rows[5]
+    if not len(left) or not len(right):
+        return None
+    _, number = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    both = _shared(number, n, left, right).astype(np.int64)
+    names, component = np.unique(rows[4], return_inverse=True)
+    near = both * similar[1] >= similar[0] * (n[left][:, None] + n[right][None, :] - both)
+    i, j = np.nonzero(near & (component[left][:, None] != component[right][None, :]))
+    if not len(i):
+        return None
+    root = _roots(len(names), np.stack([component[left[i]], component[right[j]]], 1))
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["a", "b"])
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
+    """Links inside buckets whose sets are not all linked yet. ``roots (node, root)``."""
+    rooted = written(buckets.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    per = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("v"))
+    stats = per.groupBy("key").agg(F.max(F.struct("c", "root", "v")).alias("main"), F.sum("c").alias("c"), F.sum("v").alias("v"), F.count(F.lit(1)).alias("k"))
+    parts = lambda c, v: F.ceil(F.greatest(c / CELL, v / VOLUME)).cast("int")
     # two sets have met already
-    parts = lambda x: F.ceil(x / CELL).cast("int")
-    stats = stats.where("k > 1 AND all > 2").select("key", "main", parts(F.col("all")).alias("rights"), parts(F.col("all") - F.col("most")).alias("lefts"))
+    stats = stats.where("k > 1 AND c > 2").select(
+        "key", F.col("main.root").alias("most"), parts(F.col("c"), F.col("v")).alias("rights"), parts(F.col("c") - F.col("main.c"), F.col("v") - F.col("main.v")).alias("lefts")
+    )
     rows = rooted.join(stats, "key")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
     to = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
     # left part p meets right part q in cell (p, q); sets of the left stand on both sides
     right = rows.select("key", F.explode(to("lefts", lambda p: p.cast("long") * (1 << 31) + part("rights"))).alias("pair"), F.lit(0).alias("left"), "node", "root")
-    left = rows.where("root != main").select("key", F.explode(to("rights", lambda q: part("lefts") * (1 << 31) + q.cast("long"))).alias("pair"), F.lit(1).alias("left"), "node", "root")
-    sent = left.unionByName(right).join(nodes.select("node", "n", "regs"), "node").select("key", "pair", "left", "node", "root", "n", "regs")
-    ordered = sent.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return ordered.mapInArrow(lambda it: _searched(it, similar, whole), "a long, b long").distinct()
+    left = rows.where("root != most").select("key", F.explode(to("rights", lambda q: part("lefts") * (1 << 31) + q.cast("long"))).alias("pair"), F.lit(1).alias("left"), "node", "root")
+    cell = ["key", "pair", "left", "node", "root"]
+
+    def in_cells(df: DataFrame, solve: Callable, kinds: str) -> DataFrame:
+        ordered = df.repartition("key", "pair").sortWithinPartitions("key", "pair")
+        return ordered.mapInArrow(lambda it: _by_cell(it, lambda r, x: solve(r, x, similar)), kinds)
+
+    sent = left.unionByName(right).join(nodes.select("node", "n", "regs"), "node").select(*cell, "n", "regs")
+    some = written(in_cells(sent, _hopeful, "key long, pair long, left long, node long, root long"), "hopeful")
+    used = some.select("node").distinct()
+    sets = written(_full_sets(docs, nodes.select("node", "rep").join(used, "node", "left_semi"), shingle), "full-sets")
+    return in_cells(some.join(sets, "node").select(*cell, "n", "set"), _forest, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -300,22 +351,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "first")
     buckets = written(keys.join(full, "key"), "buckets")
     star = buckets.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    tested = written(_estimated(star, nodes, similar), "estimated")
+    likely = written(_estimated(star, nodes, similar), "estimated")
     # rows of one id are one document
     held = own.where("id IS NOT NULL AND n > 0").select("id", "node")
     several = held.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = several.join(held, "id").where("a != node").select("a", F.col("node").alias("b")).distinct()
-    links = written(_verified(tested, nodes, named, shingle, similar).unionByName(same), "links")
-    for whole in (False, True):
-        roots = written(components(links), "roots")
-        found = written(_apart(buckets.select("key", "node"), roots, nodes, similar, whole), "apart")
-        ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = written(found.where("a != b").join(ordered, ["a", "b"], "left_anti"), "fresh")
-        more = found.where("a = b").limit(1).count()
-        links = written(links.unionByName(_verified(fresh, nodes, named, shingle, similar)), "links")
-        tested = tested.unionByName(fresh)
-        if not more:
-            break
+    links = written(_verified(likely, nodes, named, shingle, similar).unionByName(same), "links")
+    roots = written(components(links), "roots")
+    links = links.unionByName(_rest(buckets.select("key", "node", "n"), roots, nodes, named, shingle, similar))
     roots = components(links).withColumnRenamed("root", "_root")
     rooted = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("_root", "node").alias("root"))
     rooted = written(rooted, "rooted-nodes")

@@ -92,6 +92,15 @@ def test_estimates_drop_what_is_apart():
     assert setsketch.may_link(np.array([100]), np.array([84]), np.array([0]), np.array([0])).tolist() == [False]
 
 
+def test_shared_elements():
+    r = np.random.default_rng(5)
+    sets = [r.choice(400, size=int(k), replace=False) if k % 2 else np.arange(int(k)) for k in r.integers(1, 200, 60)]
+    n = np.array([len(s) for s in sets])
+    left, right = np.arange(0, 40, 2), np.arange(1, 60)
+    got = setsketch._shared(np.concatenate(sets), n, left, right)
+    assert got.tolist() == [[len(set(sets[i].tolist()) & set(sets[j].tolist())) for j in right] for i in left]
+
+
 def test_edges(spark):
     long = "x y " * 40000
     rows = [(5, None), (2, ""), (9, " \t"), (1, "One"), (7, "one"), (8, "a b c"), (8, "a b c"), (None, "a b c"), (None, "zz"), (4, long), (6, long + "z"), (3, "ÄÖ  x\x1fy"), (11, "a b c d e f"), (11, "q r s t u v w"), (10, "q r s t u v w")]
@@ -104,15 +113,17 @@ def test_given_table(spark, sf):
     assert found(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("cell,few", [(1000, 4), (9, 0)])
-def test_groups_and_chains(spark, monkeypatch, cell, few):
+@pytest.mark.parametrize("cell,volume", [(1000, 1_000_000), (9, 3000)])
+def test_groups_and_chains(spark, monkeypatch, cell, volume):
     """Copies around one text, chains, loose groups, and everything in small cells."""
     monkeypatch.setattr(setsketch, "CELL", cell)
-    monkeypatch.setattr(setsketch, "FEW", few)
+    monkeypatch.setattr(setsketch, "VOLUME", volume)
     r = random.Random(cell)
     rows = []
     hub = words(r, 120)
     rows += [(300 + i, " ".join(edited(r, hub, 1))) for i in range(60)] + [(299, " ".join(hub))]  # the copies differ from each other by more
+    worn = words(r, 120)  # as many edits as there are copies of one kind: linked, alike and apart
+    rows += [(400 + i, " ".join(edited(r, worn, i // 6))) for i in range(60)]
     loose = words(r, 100)
     rows += [(500 + i, " ".join(edited(r, loose, 2))) for i in range(40)]  # about the bound
     chain = words(r, 150)
