@@ -116,6 +116,7 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, int, int]]:
     """``(text, tag, bad, article, link characters)`` of each block with text; ``article`` numbers the innermost one, 0 for none."""
     out: list[tuple[str, str, bool, int, int]] = []
     stack: list[tuple[str, bool, int]] = []  # tag, bad, article
+    open_tags: Counter[str] = Counter()  # so that an end tag without a start costs nothing, however deep the page
     articles = 0
     parts: list[str] = []
     state = {"tag": "", "links": 0}
@@ -152,9 +153,11 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, int, int]]:
             close()
             link = 0
             if end:
-                if any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if open_tags[tag]:
+                    last = ""
+                    while last != tag:
+                        last = stack.pop()[0]
+                        open_tags[last] -= 1
                 state["tag"] = ""
             else:
                 state["tag"] = tag
@@ -162,12 +165,14 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, int, int]]:
                     _, bad, art = stack[-1] if stack else ("", False, 0)
                     if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
                         stack.pop()
+                        open_tags[tag] -= 1
                         _, bad, art = stack[-1] if stack else ("", False, 0)
                     bad = bad or _bad_element(tag, attrs, art > 0)
                     if _is_article(tag, attrs):
                         articles += 1
                         art = articles
                     stack.append((tag, bad, art))
+                    open_tags[tag] += 1
                 elif tag == "p" and _bad_element(tag, attrs, True):
                     state["tag"] = "-"  # a paragraph that calls itself a notice or the like
     if at < len(page):

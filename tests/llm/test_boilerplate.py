@@ -74,3 +74,12 @@ def test_rows(spark):
 def test_long_page(spark):
     text = "the of and " * 200_000
     assert main_text(f"<article><p>{text}</p></article>") == text.strip()
+
+
+def test_deep_pages_without_end_tags():
+    """End tags that nothing opened cost no walk over what is open."""
+    import time
+
+    began = time.time()
+    main_text("<div>" * 60000 + "</section>" * 60000 + "<p>end")
+    assert time.time() - began < 20
