@@ -46,18 +46,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every parent domain of it."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, labels: Sequence[int]) -> Column:
+    """The host's endings of the given numbers of labels, itself among them; others cannot be a rule's host."""
+    wanted = F.array(*[F.lit(n) for n in labels]).cast("array<int>")
+    has = F.size(F.split(host, r"\.", -1))
+    dots = F.filter(wanted, lambda n: n <= has)
+    return F.transform(dots, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Rules as a table: ``rule, action, digest, prefix, path_len``. A large list comes as a table with the first two columns."""
-    rows = F.array(*[F.struct(F.lit(ascii_host + path).alias("rule"), F.lit(path).alias("path"), F.lit(action).alias("action")) for ascii_host, path, action in rules])
+    """Rules as a table: ``rule, action, digest, prefix, path_len, labels``. A large list comes as a table with the first two columns."""
+    rows = F.array(*[F.struct(F.lit(ascii_host + path).alias("rule"), F.lit(path).alias("path"), F.lit(ascii_host.count(".") + 1).alias("labels"), F.lit(action).alias("action")) for ascii_host, path, action in rules])
     listed = spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
     digest = F.sha2(F.col("rule"), 256)
-    return listed.select("rule", "action", digest.alias("digest"), F.substring(digest, 1, _PREFIX_DIGITS).alias("prefix"), F.length("path").alias("path_len"))
+    return listed.select("rule", "action", digest.alias("digest"), F.substring(digest, 1, _PREFIX_DIGITS).alias("prefix"), F.length("path").alias("path_len"), "labels")
 
 
 def path_prefixes(path: Column, lengths: Sequence[int]) -> Column:
@@ -66,17 +68,20 @@ def path_prefixes(path: Column, lengths: Sequence[int]) -> Column:
     return F.transform(F.filter(wanted, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
 
 
-def judge(urls: DataFrame, id_col: str, url_col: str, rules: DataFrame, lengths: Sequence[int], default: str = "allow") -> DataFrame:
-    """``id, host, path, rule, verdict`` for each row. ``lengths``: the path lengths that occur among the rules.
+def judge(urls: DataFrame, id_col: str, url_col: str, rules: DataFrame, lengths: Sequence[int] | None = None, default: str = "allow") -> DataFrame:
+    """``id, host, path, rule, verdict`` for each row. ``lengths``: path lengths of the rules to heed, all by default.
 
     Equal rows are folded to one with a count before they are expanded, so that a
     URL held by a large share of the rows is expanded once. Spark broadcasts the
     rules only while it knows them to be small; else both sides shuffle on the
     hash prefix, and a prefix that many URLs share is split by skew handling.
     """
+    # which lengths of paths and numbers of labels occur among the rules: no more than the longest rule is long
+    lengths = lengths if lengths is not None else sorted(r[0] for r in rules.select("path_len").distinct().collect())
+    labels = sorted(r[0] for r in rules.select("labels").distinct().collect())
     rows = urls.groupBy(F.col(id_col), F.col(url_col).alias("_url")).agg(F.count(F.lit(1)).alias("_n"))
     parts = rows.select(id_col, "_url", "_n", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
-    pairs = F.flatten(F.transform(host_suffixes(F.col("host")), lambda h: F.transform(path_prefixes(F.col("path"), lengths), lambda p: F.concat(h, p))))
+    pairs = F.flatten(F.transform(host_suffixes(F.col("host"), labels), lambda h: F.transform(path_prefixes(F.col("path"), lengths), lambda p: F.concat(h, p))))
     expanded = parts.select("*", F.explode_outer(F.when(F.col("host") != "", pairs)).alias("_expr"))
     hashed = expanded.withColumn("_digest", F.sha2(F.col("_expr"), 256)).withColumn("_prefix", F.substring("_digest", 1, _PREFIX_DIGITS)).drop("_expr")
     r = rules.select(F.col("rule").alias("_rule"), F.col("action").alias("_action"), F.col("digest").alias("_rdigest"), F.col("prefix").alias("_rprefix"))
@@ -115,5 +120,4 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 )
 def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    lengths = sorted({len(path) for _, path, _ in RULES})
-    return judge(pages, "page_id", "url", rule_table(spark, RULES), lengths)
+    return judge(pages, "page_id", "url", rule_table(spark, RULES))
