@@ -1,13 +1,11 @@
-"""Repeated word spans by a compacted de Bruijn graph.
-
-Edges are the 50-word windows (k-mers) of all texts; the 49-word overlaps are the
-nodes. As in minimiser-partitioned graph builders, neighbouring edges that share
-an anchor form one path piece without branches inside it; pieces are grouped by
-anchor and compacted by joins: a piece met with the same content elsewhere is one
-nonbranching repeated path and needs no edge of its own, and only pieces of an
-anchor with different contents (where the path forks) are cut into single edges.
-Each piece and edge keeps its source coordinates (document, first word), and the
-digest that decides equality covers all words of the span, in 128 bits.
+"""Repeated word spans, by runs of windows in place of a de Bruijn graph.
+
+What runs here is ``repeats``: neighbouring 50-word windows that share an anchor form
+one run, runs are grouped by digests, and only runs of one anchor with different
+contents are cut into single windows. There are no nodes, degrees or compaction
+joins; an edge for each k-mer would be a row for each word, and the README has the
+figures why that was not built. The results are those of the graph: a window is removed
+exactly if its word sequence also starts in a document with a smaller id.
 
 A word is removed if an edge over it also starts in a document with a smaller id.
 Windows are judged on the input.

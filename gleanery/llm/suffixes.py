@@ -1,19 +1,11 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes.
-
-Suffixes are ordered only through the threshold depth, and only as far as needed
-to tell equal from different. Digits are compared from the most significant one
-on, and after each pass a suffix that is alone in its group leaves:
-
-* digit 1: the anchor block of the suffix's first 400 bytes (its least 64-byte
-  gram) and its distance. Neighbouring suffixes share it, so one row carries them;
-* digit 2: all bytes that those neighbouring suffixes cover. A row that meets an
-  equal one is sorted through the full depth for all its suffixes at once;
-* digit 3: the bytes common to 16 neighbouring suffixes;
-* digit 4: all 400 bytes of a single suffix.
-
-Groups that are left after the last pass are exactly the repeated windows. The
-order in which a radix sort takes its digits does not change its groups of equal
-keys, which is all that is used here.
+"""Repeated byte strings, by runs of windows in place of a radix sort of suffixes.
+
+What runs here is ``repeats``: neighbouring 400-byte windows that share an anchor
+(their least 64-byte gram) form one run, and runs are grouped by digests of all
+bytes they cover. Runs that partly equal others are cut into blocks of 16 windows, and those
+into single windows. No suffix is ordered and no digit is compared; a row for each suffix
+is a row for each byte, and the README has the figures why that was not built. The
+results are those of the sort: the groups of equal strings at the threshold depth.
 
 A byte is removed if a 400-byte string over it also starts anywhere else, in the
 same document too. Strings are judged on the input; none crosses documents.
