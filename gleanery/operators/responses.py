@@ -21,15 +21,33 @@ from gleanery.functions.transforms import type_setting
 GOAL, STRUCTURE, FIELDS = "Extraction Goal", "Data Structure", "Key Fields"
 ELEMENTS, STRATEGY, CHALLENGES = "Target Elements", "Extraction Strategy", "Potential Challenges"
 
-# Phrases that announce pagination facts.
-NEXT_PAGE = r"(?i)next\s+page\s+(?:button|link|selector):?\s*[`']?([.#/][^`'\n]+)"
-PAGE_PATTERN = r"(?i)pagination\s+pattern:?\s*([^.]+)"
-PAGE_PATTERN_ALT = r"(?i)page\s+url\s+pattern:?\s*([^.]+)"
-PAGE_NUMBERS = r"(?i)page\s+numbers\s+(?:are\s+in|selector):?\s*[`']?([.#/][^`'\n]+)"
-MAX_PAGES = r"(?i)(?:max|maximum|total)\s+(?:of\s+)?(\d+)\s+pages"
+# The words that announce pagination facts (a tuple where any of them will do), and what selectors start with and are quoted by.
+NEXT_PAGE = ("next", "page", ("button", "link", "selector"))
+PAGE_NUMBERS = ("page", "numbers", ("are in", "selector"))
+URL_PATTERNS = (("pagination", "pattern"), ("page", "url", "pattern"))
+MOST_PAGES = (("max", "maximum", "total"),)
+STARTS, QUOTES = ".#/", "`'"
 DEFAULT_MAX_PAGES = 10
 
 
+def _phrase(words: tuple) -> str:
+    """A pattern for words in a row with any white space between them."""
+    def spaced(w: str) -> str:
+        return r"\s+".join(w.split())
+
+    return r"\s+".join(spaced(w) if isinstance(w, str) else "(?:" + "|".join(map(spaced, w)) + ")" for w in words)
+
+
+def _said(text: Column, words: tuple, value: str) -> Column:
+    """What follows the first such announcement, with or without a colon."""
+    return js_trim(first_match(text, rf"(?i){_phrase(words)}:?\s*{value}"))
+
+
+def _selector_said(text: Column, words: tuple) -> Column:
+    """A selector, quoted or not, to its closing quote or the end of the line."""
+    return _said(text, words, rf"[{QUOTES}]?([{STARTS}][^{QUOTES}\n]+)")
+
+
 def _line(text: Column, heading: str) -> Column:
     return js_trim(first_match(text, rf"(?i){heading}:?\s*([^\n]+)"))
 
@@ -57,13 +75,18 @@ def plan_fields(text: Column) -> Column:
 
     A type counts only in square brackets: ``price: number`` is a string field.
     """
+    signs = "[:\\[\\]]"
+
     def one(s: Column) -> Column:
-        name = F.coalesce(first_match(s, r"([^:\[\]]+)"), s)
-        kind = first_match(s, r"[^:\[\]]+\[([^\]]+)\]")
-        at_first = s.rlike(r"^[:\[\]]*[^:\[\]]+\[[^\]]+\]")
+        # name, then what stands right behind it
+        bare = F.regexp_replace(s, rf"^{signs}+", "")
+        name = F.split(bare, signs, 2)[0]
+        behind = F.substr(bare, F.length(name) + 1)
+        kind = F.substring_index(F.substr(behind, F.lit(2)), "]", 1)
+        typed = (name != "") & behind.startswith("[") & (kind != "") & F.contains(F.substr(behind, F.lit(2)), F.lit("]"))
         return F.struct(
-            js_trim(name).alias("name"),
-            F.when(at_first, F.lower(js_trim(kind))).otherwise(F.lit("string")).alias("type"),
+            js_trim(F.when(name == "", s).otherwise(name)).alias("name"),
+            F.when(typed, F.lower(js_trim(kind))).otherwise(F.lit("string")).alias("type"),
         )
 
     fields = F.transform(_bullets(_section(text, FIELDS, ELEMENTS, STRATEGY, CHALLENGES)), one)
@@ -143,15 +166,15 @@ def parse_plans(responses: DataFrame, key: str = "plan_id") -> DataFrame:
 
 def pagination(text: Column) -> Column:
     """STRUCT<type, next_selector, url_pattern, numbers_selector, max_pages, has_pagination>."""
-    nxt = js_trim(first_match(text, NEXT_PAGE))
-    pattern = js_trim(F.coalesce(first_match(text, PAGE_PATTERN), first_match(text, PAGE_PATTERN_ALT)))
-    numbers = js_trim(first_match(text, PAGE_NUMBERS))
+    nxt, numbers = _selector_said(text, NEXT_PAGE), _selector_said(text, PAGE_NUMBERS)
+    pattern = F.coalesce(*[_said(text, words, "([^.]+)") for words in URL_PATTERNS])
     kind = F.coalesce(
         F.when(nxt.isNotNull(), F.lit("next-button")),
         F.when(pattern.isNotNull(), F.lit("url-pattern")),
         F.when(numbers.isNotNull(), F.lit("page-numbers")),
     )
-    limit = F.coalesce(first_match(text, MAX_PAGES).try_cast("int"), F.lit(DEFAULT_MAX_PAGES))
+    most = first_match(text, rf"(?i){_phrase(MOST_PAGES)}(?:\s+of)?\s+(\d+)\s+pages")
+    limit = F.coalesce(most.try_cast("int"), F.lit(DEFAULT_MAX_PAGES))
     return F.struct(
         kind.alias("type"),
         nxt.alias("next_selector"),
@@ -162,23 +185,34 @@ def pagination(text: Column) -> Column:
     )
 
 
-def _named_selectors(text: Column, name: str, other: str) -> Column:
-    """Ordered distinct selectors announced by ``name``: quoted, bare, then listed ones."""
-    lead = rf"(?i){name}(?:\s+selector)?:?\s*"
-    quoted = F.regexp_extract_all(text, F.lit(lead + r"`([^`]+)`"), 1)
-    bare = F.regexp_extract_all(text, F.lit(lead + r"([^\n`]+)"), 1)
-    block = F.regexp_extract(text, rf"(?is){name}\s+selectors:(.*?)(?={other}\s+selectors:|\n\s*-?\s*selector\s+logic|\z)", 1)
-    listed = F.regexp_extract_all(block, F.lit(r"(?i)(?:primary|alternate):\s*`?([^`\n]+)"), 1)
-    found = F.transform(F.concat(quoted, bare, listed), lambda s: js_trim(s))
-    return F.array_distinct(F.filter(found, lambda s: ~s.rlike(r"(?i)^(s?:?)\z")))
+# The words of a selector answer.
+KINDS = ("css", "xpath")
+LISTED, LOGIC = ("primary", "alternate"), ("selector", "logic")
+
+
+def _named_selectors(text: Column, name: str) -> Column:
+    """Ordered distinct selectors that are announced by a kind's name.
+
+    First those in back quotes, then bare ones to the end of their line, then the
+    ones that are listed under the kind's heading. What is left of a heading itself is no selector.
+    """
+    (other,) = [k for k in KINDS if k != name]
+    heading = lambda kind: _phrase((kind, "selectors"))
+    forms = {"quoted": "`([^`]+)`", "bare": r"([^\n`]+)"}
+    after = [F.regexp_extract_all(text, F.lit(rf"(?i){name}(?:\s+selector)?:?\s*{form}"), 1) for form in forms.values()]
+    ends = "|".join([rf"{heading(other)}:", rf"\n\s*-?\s*{_phrase(LOGIC)}", r"\z"])
+    under = F.regexp_extract(text, rf"(?is){heading(name)}:(.*?)(?={ends})", 1)
+    listed = F.regexp_extract_all(under, F.lit(rf"(?i){_phrase((LISTED,))}:\s*`?([^`\n]+)"), 1)
+    found = F.transform(F.concat(*after, listed), lambda s: js_trim(s))
+    return F.array_distinct(F.filter(found, lambda s: ~F.lower(s).isin("", "s", ":", "s:")))
 
 
 def css_selectors(text: Column) -> Column:
-    return _named_selectors(text, "css", "xpath")
+    return _named_selectors(text, "css")
 
 
 def xpath_selectors(text: Column) -> Column:
-    return _named_selectors(text, "xpath", "css")
+    return _named_selectors(text, "xpath")
 
 
 def explanation(text: Column, words: str = "explanation") -> Column:
