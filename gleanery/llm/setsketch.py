@@ -220,22 +220,26 @@ def _by_cell(batches: Iterator[pa.RecordBatch], solve: Callable) -> Iterator[pa.
         yield from one()
 
 
-def _hopeful(rows: np.ndarray, regs: pa.Array, similar: tuple[int, int]) -> pa.RecordBatch | None:
+def _hopeful(rows: np.ndarray, regs: pa.Array, similar: tuple[int, int], least: np.ndarray) -> pa.RecordBatch | None:
     """The rows of a cell that may link to a set of another component by their registers."""
     r, left, root, n = _matrix(regs), np.flatnonzero(rows[2]), rows[4], rows[5]
     right = np.flatnonzero(rows[2] == 0)
     some = np.zeros(rows.shape[1], bool)
+    of_right = np.ascontiguousarray(r[right])
+    low = similar[0] / similar[1]
 
     def may(i: int, j: np.ndarray) -> np.ndarray:
-        j = j[root[j] != root[i]]
-        j = j[np.minimum(n[j], n[i]) * similar[1] >= np.maximum(n[j], n[i]) * similar[0]]
         return j[may_link(np.full(len(j), n[i]), n[j], (r[i] > r[j]).sum(1), (r[i] < r[j]).sum(1), similar)] if len(j) else j
 
     for i in left.tolist():
+        ratio = np.minimum(n[right], n[i]) / np.maximum(n[right], n[i])
+        step = np.clip(((ratio - low) * (RATIOS / (1 - low))).astype(np.int64), 0, RATIOS - 1)
+        near = (root[right] != root[i]) & (np.minimum(n[right], n[i]) * similar[1] >= np.maximum(n[right], n[i]) * similar[0])
+        near = right[near & (np.count_nonzero(of_right == r[i], axis=1) >= least[step])]
         # what is not named yet is tried in full; of the rest one partner is enough
-        found = may(i, right[~some[right]])
+        found = may(i, near[~some[near]])
         some[found] = True
-        named, at = right[some[right]], 0
+        named, at = near[some[near]], 0
         while not some[i] and not len(found) and at < len(named):
             found, at = may(i, named[at : at + 64]), at + 64
         some[i] |= len(found) > 0
@@ -244,6 +248,31 @@ def _hopeful(rows: np.ndarray, regs: pa.Array, similar: tuple[int, int]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:5, some]], ["key", "pair", "left", "node", "root"])
 
 
+#: Steps of the ratio of two set sizes for which ``least_equal`` is worked out.
+RATIOS = 16
+
+
+def least_equal(similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """Fewer equal registers than that never pass ``may_link``, whatever the signs of the others.
+
+    One number for each step of the ratio of the set sizes, from the least that can be similar enough up to 1; two off to be safe.
+    """
+    low = similar[0] / similar[1]
+    above, equal = np.meshgrid(np.arange(REGISTERS + 1), np.arange(REGISTERS + 1))
+    fits = above + equal <= REGISTERS
+    above, equal = above[fits], equal[fits]
+    out = np.zeros(RATIOS, np.int64)
+    for step in range(RATIOS):
+        best = REGISTERS
+        for ratio in low + (1 - low) * (step + np.linspace(0, 1, 5)) / RATIOS:
+            few = np.full(len(above), np.ceil(ratio * 1_000_000))
+            ok = may_link(few, np.full(len(above), 1_000_000.0), above, REGISTERS - equal - above, similar)
+            best = min(best, int(equal[ok].min(initial=REGISTERS)))
+        out[step] = max(0, best - 2)
+    # neighbouring steps, so that rounding of a ratio cannot matter
+    return np.minimum(out, np.minimum(np.append(out[1:], REGISTERS), np.append(REGISTERS, out[:-1])))
+
+
 def _shared(number: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many elements each left set shares with each right one; ``number`` lists the elements of all sets one after the other."""
     owner = np.repeat(np.arange(len(n)), n)
@@ -329,12 +358,24 @@ def _rest(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFram
         return ordered.mapInArrow(lambda it: _by_cell(it, lambda r, x: solve(r, x, similar)), kinds)
 
     sent = left.unionByName(right).join(nodes.select("node", "n", "regs"), "node").select(*cell, "n", "regs")
-    some = written(in_cells(sent, _hopeful, "key long, pair long, left long, node long, root long"), "hopeful")
+    least = least_equal(similar)
+    some = written(in_cells(sent, lambda r, x, how: _hopeful(r, x, how, least), "key long, pair long, left long, node long, root long"), "hopeful")
     used = some.select("node").distinct()
     sets = written(_full_sets(docs, nodes.select("node", "rep").join(used, "node", "left_semi"), shingle), "full-sets")
     return in_cells(some.join(sets, "node").select(*cell, "n", "set"), _forest, "a long, b long").distinct()
 
 
+def _pointed(links: DataFrame, rounds: int = 3) -> DataFrame:
+    """``node, root``: the smallest node within some links of each. Nodes with one root are linked, but not all linked ones have one root yet."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    for _ in range(rounds):
+        now = written(now, "pointed")
+        far = now.select(F.col("node").alias("b"), "root")
+        now = both.join(far, "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root"))
+    return written(now, "pointed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``id, n, component_id``: size of each row's shingle set, and the smallest id that links reach.
 
@@ -357,7 +398,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = held.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = several.join(held, "id").where("a != node").select("a", F.col("node").alias("b")).distinct()
     links = written(_verified(likely, nodes, named, shingle, similar).unionByName(same), "links")
-    roots = written(components(links), "roots")
+    roots = _pointed(links)
     links = links.unionByName(_rest(buckets.select("key", "node", "n"), roots, nodes, named, shingle, similar))
     roots = components(links).withColumnRenamed("root", "_root")
     rooted = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("_root", "node").alias("root"))

@@ -92,6 +92,21 @@ def test_estimates_drop_what_is_apart():
     assert setsketch.may_link(np.array([100]), np.array([84]), np.array([0]), np.array([0])).tolist() == [False]
 
 
+def test_fewest_equal_registers():
+    """The quick bound never drops what the estimate keeps."""
+    least = setsketch.least_equal()
+    assert 40 < least[0] < least[-1] < 85
+    r = np.random.default_rng(2)
+    nb = r.integers(1, 3000, 20000)
+    na = np.ceil(nb * r.uniform(0.85, 1, 20000)).astype(int)
+    step = np.clip(((na / nb - 0.85) * (setsketch.RATIOS / 0.15)).astype(int), 0, setsketch.RATIOS - 1)
+    equal = (r.random(20000) * least[step]).astype(int)
+    up = (r.random(20000) * (setsketch.REGISTERS - equal + 1)).astype(int)
+    for up in (up, np.zeros_like(up), setsketch.REGISTERS - equal, (setsketch.REGISTERS - equal) // 2):
+        down = setsketch.REGISTERS - equal - up
+        assert not setsketch.may_link(na, nb, up, down).any() and not setsketch.may_link(nb, na, down, up).any()
+
+
 def test_shared_elements():
     r = np.random.default_rng(5)
     sets = [r.choice(400, size=int(k), replace=False) if k % 2 else np.arange(int(k)) for k in r.integers(1, 200, 60)]
