@@ -125,3 +125,18 @@ def prompt_cache_rounds(spark, sf):
         got = got.select(F.lit(n).cast("long").alias("round"), "prompt_id", "text", "from_cache")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+@query(
+    "selector_history",
+    """WITH v AS (SELECT p_partkey AS id, p_partkey // 10 AS chain, p_partkey % 10 AS step, p_size % 2 = 0 AS robust FROM part), t AS (SELECT chain, max(step) AS n FROM v GROUP BY chain)
+       SELECT 'f' || v.chain AS field, '.s' || id AS selector, '.s' || 10 * v.chain AS first_selector, n AS n_improved, robust AS is_robust FROM v JOIN t ON v.chain = t.chain AND step = n""",
+)
+def selector_history(spark, sf):
+    """Chains of up to ten improved selectors, some of them asked to be robust."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(
+        key.alias("selector_id"), F.format_string("f%d", F.floor(key / 10)).alias("field"), F.format_string(".s%d", key).alias("selector"),
+        F.when(key % 10 > 0, key - 1).alias("improved_from"), (F.col("p_size") % 2 == 0).alias("is_robust"),
+    )
+    return batch.selector_history(rows)

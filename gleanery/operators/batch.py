@@ -288,6 +288,23 @@ def lineage(versions: DataFrame) -> DataFrame:
         before = total
 
 
+def selector_history(versions: DataFrame) -> DataFrame:
+    """(field, selector, first_selector, n_improved, is_robust): where each selector in use comes from.
+
+    versions(selector_id, field, selector, improved_from, is_robust): a selector keeps which one it improves
+    and whether it was asked to be robust. In use is what nothing improves, so of branches all ends are.
+    A version that improves an unknown one starts a way of its own.
+    """
+    known = versions.select(F.col("selector_id").alias("improved_from"), F.lit(True).alias("_known"))
+    own = versions.join(known, "improved_from", "left").withColumn("improved_from", F.when(F.col("_known"), F.col("improved_from"))).drop("_known")
+    own = written(own, "selector-versions")
+    way = lineage(own.select(F.col("selector_id").alias("version_id"), F.col("improved_from").alias("parent_id")))
+    last = own.join(own.select(F.col("improved_from").alias("selector_id")), "selector_id", "left_anti")
+    first = own.select(F.col("selector_id").alias("original"), F.col("selector").alias("first_selector"))
+    out = last.join(way.withColumnRenamed("version_id", "selector_id"), "selector_id").join(first, "original")
+    return out.select("field", "selector", "first_selector", F.col("depth").alias("n_improved"), F.coalesce("is_robust", F.lit(False)).alias("is_robust"))
+
+
 def run_diff(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
     """Records added, removed, changed or kept between two runs."""
     a = old.select(*key, F.col(value).alias("old_value"), F.lit(True).alias("_a"))

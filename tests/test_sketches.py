@@ -85,3 +85,11 @@ def test_selector_precision(spark):
     wanted = spark.createDataFrame([(1, 3, "s"), (1, 4, "s"), (2, 5, "u")], "page_id long, pre int, selector string")
     got = rows(recover.selector_precision(found, wanted, "selector"), "selector", "n_found", "n_wanted", "n_right", "precision", "recall")
     assert got == [("s", 2, 2, 1, 0.5, 0.5), ("t", 1, 0, 0, 0.0, None), ("u", 0, 1, 0, None, 0.0)]
+
+
+def test_selector_history(spark):
+    v = [(1, "a", "h1", None, False), (2, "a", ".t", 1, None), (3, "a", "#t", 2, True), (4, "a", ".t > b", 2, False), (5, "b", "p", 99, True), (6, "c", "q", None, None)]
+    df = spark.createDataFrame(v, "selector_id long, field string, selector string, improved_from long, is_robust boolean")
+    got = rows(batch.selector_history(df), "field", "selector", "first_selector", "n_improved", "is_robust")
+    assert got == [("a", "#t", "h1", 2, True), ("a", ".t > b", "h1", 2, False), ("b", "p", "p", 0, True), ("c", "q", "q", 0, False)]
+    assert batch.selector_history(df.limit(0)).count() == 0
