@@ -51,8 +51,10 @@ CELL = 1000
 COUNT, WIDE, TOTAL = 8, 20, 120
 #: The similarity of near copies there, as a fraction.
 SIMILAR = (4, 5)
-#: Most shingles of a text that is compared by its least shingles; most shingles of one part of a group.
-SHORT, VOLUME = 20, 1_000_000
+#: Fewest and most shingles of a text that has MORE fingerprints instead of COUNT as well (with fewer, only equal sets are similar).
+FEW, SHORT, MORE = 4, 20, 24
+#: Most shingles of one part of a group.
+VOLUME = 1_000_000
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -330,25 +332,25 @@ def _alike(rep: np.ndarray, side: np.ndarray, size: np.ndarray, flat: np.ndarray
 
 
 def _confirmed(cells: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links ``a, b`` inside each cell; rows ``kind, key, pair, side, rep, n, set`` come sorted by cell."""
+    """Links ``a, b`` inside each cell; rows ``key, pair, side, rep, n, set`` come sorted by cell."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def solve() -> pa.RecordBatch | None:
         rows = np.concatenate([r for r, _ in held], 1)
         if rows.shape[1] < 2:
             return None
-        a, b = _alike(rows[4], rows[3], rows[5], np.concatenate([x for _, x in held]))
+        a, b = _alike(rows[3], rows[2], rows[4], np.concatenate([x for _, x in held]))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
 
     for batch in cells:
         if not len(batch):
             continue
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:6]])
-        flat = batch.column(6).flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(rows[5])])
-        bounds = np.flatnonzero((np.diff(rows[:3]) != 0).any(0)) + 1
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:5]])
+        flat = batch.column(5).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(rows[4])])
+        bounds = np.flatnonzero((np.diff(rows[:2]) != 0).any(0)) + 1
         for s, e in zip([0, *bounds.tolist()], [*bounds.tolist(), len(batch)]):
-            if held and (held[0][0][:3, 0] != rows[:3, s]).any():
+            if held and (held[0][0][:2, 0] != rows[:2, s]).any():
                 out = solve()
                 if out is not None:
                     yield out
@@ -360,27 +362,22 @@ def _confirmed(cells: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def similar_links(docs: DataFrame, near: DataFrame, short: DataFrame, shingle: int) -> DataFrame:
+def similar_links(docs: DataFrame, near: DataFrame, shingle: int) -> DataFrame:
     """Links ``a, b`` with exact shingle similarity SIMILAR at least.
 
     ``docs (rep, text)``. Compared are the members of each group of ``near (node,
-    root)``, and all of ``short (rep)`` that share one of the least shingles of
-    which similar sets have one in common (prefix filter). A group of more than
-    CELL texts or VOLUME shingles is dealt over cells, one for each pair of its
-    parts, so no task holds a large group and every pair of it meets.
+    root)``. A group of more than CELL texts or VOLUME shingles is dealt over cells,
+    one for each pair of its parts, so no task holds a large group and every pair
+    of it meets.
     """
-    few = short.select("rep").distinct().withColumn("_short", F.lit(True))
-    wanted = docs.join(near.select(F.col("node").alias("rep"), "root"), "rep", "left").join(few, "rep", "left").where("root IS NOT NULL OR _short")
+    wanted = docs.join(near.select(F.col("node").alias("rep")), "rep")
     sets = written(_shingle_sets(wanted.select("rep", "text"), shingle), "shingle-sets")
-    grouped = sets.join(near.select(F.col("node").alias("rep"), F.col("root").alias("key")), "rep").select(F.lit(0).cast("long").alias("kind"), "key", "rep", "n", "set")
-    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1
-    least = sets.where(F.col("n") <= SHORT).select(F.lit(1).cast("long").alias("kind"), F.explode(F.slice("set", F.lit(1), prefix.cast("int"))).alias("key"), "rep", "n", "set")
-    sent = grouped.unionByName(least)
+    sent = sets.join(near.select(F.col("node").alias("rep"), F.col("root").alias("key")), "rep").select("key", "rep", "n", "set")
     most = F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") / VOLUME)
-    sizes = sent.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_rows"), F.ceil(most).cast("int").alias("parts")).where("_rows > 1")
-    dealt = sent.join(sizes, ["kind", "key"]).withColumn("part", F.pmod(F.xxhash64("rep", "set"), F.col("parts")).cast("int"))
-    cells = dealt.select("kind", "key", F.explode(_meets()).alias("m"), "rep", "n", "set").select("kind", "key", "m.pair", F.col("m.side").cast("long").alias("side"), "rep", "n", "set")
-    ordered = cells.repartition("kind", "key", "pair").sortWithinPartitions("kind", "key", "pair")
+    sizes = sent.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.ceil(most).cast("int").alias("parts")).where("_rows > 1")
+    dealt = sent.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep", "set"), F.col("parts")).cast("int"))
+    cells = dealt.select("key", F.explode(_meets()).alias("m"), "rep", "n", "set").select("key", "m.pair", F.col("m.side").cast("long").alias("side"), "rep", "n", "set")
+    ordered = cells.repartition("key", "pair").sortWithinPartitions("key", "pair")
     return ordered.mapInArrow(_confirmed, "a long, b long")
 
 
@@ -392,8 +389,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     texts whose COUNT fingerprints differ in at most TOTAL of all their bits, of
     which pairs at similarity 0.8 differ in about 76; they meet where they agree in
     one of the segments of the fingerprints, as over 99 in 100 such pairs do. Texts
-    of at most SHORT shingles, whose fingerprints tell little, meet by their least
-    shingles. No candidate counts before its shingle sets are compared
+    of FEW to SHORT shingles differ in more bits (four of five shingles: 3 in 16), so they
+    are searched a second time with MORE fingerprints, of which a pair agrees in
+    a segment in 9,997 of 10,000 cases. No candidate counts before its shingle sets are compared
     (``similar_links``). Equal sets are folded first. Rows without an id stay.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"))
@@ -401,11 +399,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     small_batches(docs.sparkSession)
     own = written(_marked(texts, shingle), "marked")
     nodes = written(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "nodes")
-    groups = components(links(nodes.select("rep", "fps"), WIDE, sharded=COUNT, total=TOTAL))
+    short = nodes.where(F.col("n").between(FEW, SHORT)).select(F.col("rep").alias("id"))
+    again = written(fingerprints(texts.join(short.distinct(), "id", "left_semi"), "id", "text", shingle, MORE).groupBy("id").agg(F.first("fps").alias("fps")), "short-prints")
+    wide = links(nodes.select("rep", "fps"), WIDE, sharded=COUNT, total=TOTAL)
+    groups = components(wide.unionByName(links(again.select(F.col("id").alias("rep"), "fps"), WIDE, sharded=MORE, total=TOTAL * MORE // COUNT)))
     near = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct(), "candidates")
     reps = texts.withColumnRenamed("id", "rep").join(nodes.select("rep").distinct(), "rep", "left_semi")
-    short = nodes.where(F.col("n").between(1, SHORT))
-    found = components(similar_links(reps, near, short, shingle))
+    found = components(similar_links(reps, near, shingle))
     first = nodes.join(found, F.col("rep") == F.col("node"), "left").where("root IS NULL OR root = rep").select(F.col("rep").alias("_first")).distinct()
     kept = rows.join(first, F.col("_id") == F.col("_first"), "left_semi")
     kept = kept.withColumn("_no", F.row_number().over(W.partitionBy("_id").orderBy("_id"))).where("_no = 1")

@@ -149,3 +149,20 @@ def test_keep_one_is_exact(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 7)
     monkeypatch.setattr(simhash, "VOLUME", 500)
     assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == want
+
+
+def test_keep_one_goes_through_fingerprints(spark, monkeypatch):
+    """Short texts just above the bound are found by fingerprints, and without links of these nothing is folded."""
+    r = random.Random(6)
+    rows = []
+    for size in (8, 12, 16, 20, 24):  # words: one more word makes one shingle more
+        for _ in range(30):
+            base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+            rows += [base, [*base, f"w{r.randrange(10**6)}"]]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda: sorted(x.doc_id for x in simhash.keep_one(docs).collect())
+    assert kept() == brute_keep(rows) == list(range(0, len(rows), 2))
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: none)
+    assert kept() == list(range(len(rows)))
