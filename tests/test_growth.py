@@ -23,3 +23,18 @@ def test_table_rows_are_dealt_once(spark, tmp_path):
         assert sorted((p, r, c, v) for p, _, r, c, v in got) == sorted(want)
     again = tables.table_rows(spark.read.parquet(str(tmp_path / "short")))  # not run yet, so its plan is there once
     assert plan(again).count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_one_group_are_spread(spark, tmp_path):
+    """A file with many splits whose rows all lie in one row group is read by one task."""
+    rows = [(i, f"{i * 7919 % 9973:x} " * 40) for i in range(2000)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "4096")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "pages"))
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [len(p) for p in spread(scan, "page_id").select("page_id").rdd.glom().collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(sizes) == 2000 and max(sizes) < 1000
