@@ -270,7 +270,8 @@ def lineage(versions: DataFrame) -> DataFrame:
     """versions(version_id, parent_id) -> (version_id, original, depth): the chain of refinements behind each version.
 
     Every round doubles how far each version looks back, so a chain of n
-    versions takes log2(n) rounds.
+    versions takes log2(n) rounds. Both sides of the join are the whole table, which
+    packs well as a file; the hint keeps it from being sent through the driver for that.
     """
     now = written(
         versions.select(
@@ -281,7 +282,7 @@ def lineage(versions: DataFrame) -> DataFrame:
     before = None
     while True:
         up = now.select(F.col("version_id").alias("original"), F.col("original").alias("_far"), F.col("depth").alias("_more"))
-        now = written(now.join(up, "original", "left").select("version_id", F.coalesce("_far", "original").alias("original"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), "lineage")
+        now = written(now.join(up.hint("merge"), "original", "left").select("version_id", F.coalesce("_far", "original").alias("original"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), "lineage")
         total = now.agg(F.sum("depth")).first()[0]
         if total == before:
             return now

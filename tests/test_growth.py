@@ -38,3 +38,12 @@ def test_rows_of_one_group_are_spread(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert sum(sizes) == 2000 and max(sizes) < 1000
+
+
+def test_lineage_sends_no_table_through_the_driver(spark, monkeypatch):
+    plans, write = [], batch.written
+    monkeypatch.setattr(batch, "written", lambda df, name: plans.append(plan(df)) or write(df, name))
+    versions = spark.createDataFrame([(i, i - 25 if i > 25 else None) for i in range(1, 301)], "version_id long, parent_id long")
+    got = {(x.version_id, x.original, x.depth) for x in batch.lineage(versions).collect()}
+    assert got == {(i, 1 + (i - 1) % 25, (i - 1) // 25) for i in range(1, 301)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
