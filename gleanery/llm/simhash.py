@@ -391,7 +391,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     one of the segments of the fingerprints, as over 99 in 100 such pairs do. Texts
     of FEW to SHORT shingles differ in more bits (four of five shingles: 3 in 16), so they
     are searched a second time with MORE fingerprints, of which a pair agrees in
-    a segment in 9,997 of 10,000 cases. No candidate counts before its shingle sets are compared
+    a segment in 9,998 of 10,000 cases. No candidate counts before its shingle sets are compared
     (``similar_links``). Equal sets are folded first. Rows without an id stay.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"))
