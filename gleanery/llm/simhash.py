@@ -250,11 +250,12 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: i
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
     ]
     sent = prints.select("rep", "fps", F.explode(F.array(*keys)).alias("k")).select("rep", "fps", (F.col("k.seg") * (1 << 33) + F.col("k.val")).alias("shard"))
-    # 2 ** (64 / segments) shards for each segment: 40,960 for five segments of one fingerprint
-    sizes = sent.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    # 2 ** (64 / segments) shards for each segment: 40,960 for five segments of one fingerprint; only those of several parts are looked up
+    sizes = sent.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("shard", F.ceil(F.col("n") / cell).cast("int").alias("_parts"))
     if segments >= 5 and sharded <= 8:
         sizes = F.broadcast(sizes)
-    dealt = sent.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("fps"), F.col("parts")).cast("int"))
+    # from the left, so that what was exploded is never the side that is sent to all tasks
+    dealt = sent.join(sizes, "shard", "left").withColumn("parts", F.coalesce("_parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fps"), F.col("parts")).cast("int"))
     cells = dealt.select("shard", "rep", "fps", F.explode(_meets()).alias("m")).select("shard", "m.pair", F.col("m.side").cast("long").alias("side"), "rep", "fps")
     ordered = cells.repartition("shard", "pair").sortWithinPartitions("shard", "pair")
     return ordered.mapInArrow(lambda it: _linked(it, radius, total, segments), "a long, b long")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from gleanery.llm import simhash
 
@@ -166,3 +167,11 @@ def test_keep_one_goes_through_fingerprints(spark, monkeypatch):
     none = spark.createDataFrame([], "a long, b long")
     monkeypatch.setattr(simhash, "links", lambda *a, **k: none)
     assert kept() == list(range(len(rows)))
+
+
+def test_exploded_fingerprints_are_not_sent_to_all_tasks(spark, tmp_path):
+    """A small file of fingerprints becomes a hundred times as many rows; the planner judges by the file."""
+    spark.range(2000).select(F.col("id").alias("rep"), F.array_repeat(F.col("id"), 24).alias("fps")).write.parquet(str(tmp_path / "prints"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "prints")), simhash.WIDE, sharded=24)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" in plan and "BuildLeft" not in plan and "Inner" not in plan
