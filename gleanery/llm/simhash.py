@@ -47,8 +47,8 @@ RADIUS = 4
 SEED = 42
 #: Most fingerprints of one part of a shard.
 CELL = 1000
-#: Where one row of each group is kept: fingerprints of a text, radius in one of them and in all together.
-COUNT, WIDE, TOTAL = 8, 20, 120
+#: Where one row of each group is kept: fingerprints searched together, radius in one of them and in all together, and how often other ones are searched.
+COUNT, WIDE, TOTAL, BANKS = 8, 20, 120, 2
 #: The similarity of near copies there, as a fraction.
 SIMILAR = (4, 5)
 #: Fewest and most shingles of a text that has MORE fingerprints instead of COUNT as well (with fewer, only equal sets are similar).
@@ -276,17 +276,17 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = A.buffers(b.column(1))
-            fps = np.zeros((len(b), COUNT), A.U)
+            fps = np.zeros((len(b), COUNT * BANKS), A.U)
             marks = np.zeros((2, len(b)), A.U)
             size = np.zeros(len(b), np.int64)
             for i, j, n, digests in _shingles(data, offsets, shingle):
-                fps[i:j] = _print_bits(n, digests, COUNT)
+                fps[i:j] = _print_bits(n, digests, COUNT * BANKS)
                 size[i:j], h = _sets(n, digests)
                 ends = np.concatenate([[0], np.cumsum(size[i:j])])
                 for k, x in enumerate((A.mix(h), A.second(h))):
                     total = np.concatenate([np.zeros(1, A.U), np.cumsum(x, dtype=A.U)])
                     marks[k, i:j] = total[ends[1:]] - total[ends[:-1]]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * COUNT), pa.array(fps.view(np.int64).ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * COUNT * BANKS), pa.array(fps.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, *[pa.array(m.view(np.int64)) for m in marks], pa.array(size)], ["id", "fps", "d1", "d2", "n"])
 
     return docs.mapInArrow(run, "id long, fps array<long>, d1 long, d2 long, n long")
@@ -389,21 +389,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     SIMILAR at least, and groups are closed under that. SimHash finds candidates:
     texts whose COUNT fingerprints differ in at most TOTAL of all their bits, of
     which pairs at similarity 0.8 differ in about 76; they meet where they agree in
-    one of the segments of the fingerprints, as over 99 in 100 such pairs do. Texts
+    one of the segments of the fingerprints, as over 99 in 100 such pairs do. What does
+    not is searched again: BANKS times with COUNT other fingerprints each time. Texts
     of FEW to SHORT shingles differ in more bits (four of five shingles: 3 in 16), so they
-    are searched a second time with MORE fingerprints, of which a pair agrees in
+    and those that can be similar to them are searched once more with MORE fingerprints, of which a pair agrees in
     a segment in 9,998 of 10,000 cases. No candidate counts before its shingle sets are compared
     (``similar_links``). Equal sets are folded first. Rows without an id stay.
     """
+    longest = SHORT * SIMILAR[1] // SIMILAR[0]
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
     own = written(_marked(texts, shingle), "marked")
     nodes = written(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "nodes")
-    short = nodes.where(F.col("n").between(FEW, SHORT)).select(F.col("rep").alias("id"))
-    again = written(fingerprints(texts.join(short.distinct(), "id", "left_semi"), "id", "text", shingle, MORE).groupBy("id").agg(F.first("fps").alias("fps")), "short-prints")
-    wide = links(nodes.select("rep", "fps"), WIDE, sharded=COUNT, total=TOTAL)
-    groups = components(wide.unionByName(links(again.select(F.col("id").alias("rep"), "fps"), WIDE, sharded=MORE, total=TOTAL * MORE // COUNT)))
+    short = nodes.where(F.col("n").between(FEW, longest)).select(F.col("rep").alias("id"))
+    again = written(fingerprints(texts.join(short.distinct(), "id", "left_semi"), "id", "text", shingle, MORE).distinct(), "short-prints")
+    found = links(again.select(F.col("id").alias("rep"), "fps"), WIDE, sharded=MORE, total=TOTAL * MORE // COUNT)
+    for bank in range(BANKS):
+        found = found.unionByName(links(nodes.select("rep", F.slice("fps", bank * COUNT + 1, COUNT).alias("fps")), WIDE, sharded=COUNT, total=TOTAL))
+    groups = components(found)
     near = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct(), "candidates")
     reps = texts.withColumnRenamed("id", "rep").join(nodes.select("rep").distinct(), "rep", "left_semi")
     found = components(similar_links(reps, near, shingle))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -169,6 +170,32 @@ def test_keep_one_goes_through_fingerprints(spark, monkeypatch):
     assert kept() == list(range(len(rows)))
 
 
+def lost_pairs(wanted):
+    """Pairs at 0.8 and more, of which the first eight fingerprints agree in no segment."""
+    r, rows = random.Random(9), []
+    cuts = [round(64 * i / 5) for i in range(6)]
+    while len(rows) < 2 * wanted:
+        pairs = []
+        for _ in range(500):  # 44 words, the last four other ones: 36 of 44 shingles are shared
+            head = [f"w{r.randrange(10**7)}" for _ in range(40)]
+            pairs += [" ".join(head + [f"w{r.randrange(10**7)}" for _ in range(4)]) for _ in range(2)]
+        fps = simhash._prints(*simhash.A.buffers(pa.array(pairs)), 5, 8).reshape(-1, 2, 8)
+        apart = fps[:, 0] ^ fps[:, 1]
+        meet = np.zeros(len(apart), bool)
+        for lo, hi in zip(cuts, cuts[1:]):
+            meet |= ((apart >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1)) == 0).any(1)
+        for k in np.flatnonzero(~meet):
+            rows += pairs[2 * k : 2 * k + 2]
+    return list(enumerate(rows))
+
+
+def test_keep_one_searches_again(spark):
+    """What the first fingerprints miss is found by other ones."""
+    rows = lost_pairs(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == brute_keep(rows) == [i for i, _ in rows if i % 2 == 0]
+
+
 def test_exploded_fingerprints_are_not_sent_to_all_tasks(spark, tmp_path):
     """A small file of fingerprints becomes a hundred times as many rows; the planner judges by the file."""
     spark.range(2000).select(F.col("id").alias("rep"), F.array_repeat(F.col("id"), 24).alias("fps")).write.parquet(str(tmp_path / "prints"))
