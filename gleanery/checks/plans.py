@@ -12,7 +12,7 @@ from gleanery.operators.dom import with_text
 from gleanery.operators.selector_table import matches_on
 from gleanery.operators.selectors import select_many
 from gleanery.plans import tables
-from gleanery.session import scratch
+from gleanery.session import scratch, written
 
 # one plan for each group of card pages; group d has none
 FIELDS = (
@@ -200,6 +200,6 @@ def template_store(spark, sf):
     log, out = templates.versions(spark, path), None  # from the folder alone, as another application would
     for v in (1, 2, 3):
         got, _ = templates.apply(pg, ns, templates.as_of(log, v), "menu")
-        got = got.select(F.lit(v).cast("long").alias("version"), "page_id", long("rec_no").alias("rec_no"), "field", "value")
+        got = written(got.select(F.lit(v).cast("long").alias("version"), "page_id", long("rec_no").alias("rec_no"), "field", "value"), "applied")
         out = got if out is None else out.unionByName(got)
     return out

@@ -25,6 +25,8 @@ from gleanery.sources.nodes import elements, text_nodes
 
 _TESTS = "array<array<array<struct<neg: boolean, kind: string, name: string, op: string, value: string, fold: boolean, which: string, back: boolean, a: int, b: int>>>>"
 _STEPS = f"selector string, chain int, step int, steps int, link string, key string, texts boolean, tests {_TESTS}"
+#: Most step rows whose keys go to every task.
+SENT_STEPS = 20_000
 #: Products of alternatives inside alternatives; a selector beyond it is reported as unusable.
 MAX_CLAUSES = 64
 
@@ -156,7 +158,7 @@ def _all(tests: str, holds) -> Column:
     return F.forall(tests, lambda clause: F.exists(clause, lambda part: F.forall(part, holds)))
 
 
-def _candidates(nodes: DataFrame, asked: DataFrame | None, step_table: DataFrame, texts: bool) -> DataFrame:
+def _candidates(nodes: DataFrame, asked: DataFrame | None, step_table: DataFrame, texts: bool, few: bool) -> DataFrame:
     """(page_id, pre, anc, parent, sib_pos, selector, chain, step, steps, link): elements that pass a single step's tests."""
     keys = F.array_union(
         F.array_union(F.array(F.lit("*"), F.concat(F.lit("tag:"), "tag")), F.array_compact(F.array(F.concat(F.lit("id:"), "id")))),
@@ -168,6 +170,8 @@ def _candidates(nodes: DataFrame, asked: DataFrame | None, step_table: DataFrame
     if asked is not None:
         # selectors of single pages: every step goes to its page only
         wanted, on = asked.select("page_id", "selector").distinct().join(step_table, "selector"), ["page_id", "key"]
+        if few:  # elements that no step asks for stay where they are
+            els = els.join(F.broadcast(step_table.select("key").distinct()), "key", "left_semi")
     rows = els.join(wanted, on).where(_all("tests", _may_hold))
     out = ["page_id", "pre", "anc", "parent", "sib_pos", "selector", "chain", "step", "steps", "link"]
     if not texts:
@@ -186,9 +190,9 @@ def _candidates(nodes: DataFrame, asked: DataFrame | None, step_table: DataFrame
 
 def _chained(nodes: DataFrame, asked: DataFrame | None, selectors: DataFrame) -> DataFrame:
     table = written(steps(selectors), "selector-steps")
-    deepest, texts = table.agg(F.max("steps"), F.bool_or("texts")).first()
+    deepest, texts, n = table.agg(F.max("steps"), F.bool_or("texts"), F.count(F.lit(1))).first()
     deepest = deepest or 1
-    rows = _candidates(nodes, asked, table, bool(texts))
+    rows = _candidates(nodes, asked, table, bool(texts), n <= SENT_STEPS)
     rows = written(rows, "selector-candidates") if deepest > 1 else rows
     own = ["page_id", "selector", "chain"]
     now = rows.where("step = 0")

@@ -1,7 +1,10 @@
 """Plans and partitions that must hold up when the tables grow."""
 
-from gleanery.operators import batch, tables
-from gleanery.session import spread
+from pyspark.sql import functions as F
+
+from gleanery.checks import QUERIES
+from gleanery.operators import batch, selector_table, tables
+from gleanery.session import spread, written
 from gleanery.sources import nodes as N
 
 
@@ -62,3 +65,36 @@ def test_plain_tags_are_read_in_one_match(monkeypatch):
         monkeypatch.delattr(N._Tree, name)
     N._rows(1, html, slow)
     assert fast == slow and fast["tag"].count("p") == 1
+
+
+def test_keys_of_pages_are_not_sent_to_all_tasks(spark):
+    """Half a million keys are a file of a few megabytes, and a hash table of ten times as many."""
+    keys = written(spark.range(500_000).select(F.col("id").alias("page_id"), F.lit("li > .price").alias("selector")), "packed")
+    joined = spark.range(10**9).withColumnRenamed("id", "page_id").join(keys, "page_id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    few = written(spark.range(50).withColumnRenamed("id", "page_id"), "few")
+    joined = spark.range(10**9).withColumnRenamed("id", "page_id").join(few, "page_id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_elements_without_a_step_are_not_shuffled(parse, spark, monkeypatch):
+    """Matches are the same whether or not the keys of the steps go to every task."""
+    _, nodes = parse(*["<nav><ul><li id=a><a href=x>one</a><li class='b c'><a>two</a></ul></nav><p>rest<p class=b>of it"] * 3)
+    asked = spark.createDataFrame([(0, "nav li > a"), (1, ".b"), (1, "#a"), (2, "p + *"), (2, "//li[contains(., 'two')]"), (9, "a"), (0, "!")], "page_id long, selector string")
+    found = lambda: sorted(map(tuple, selector_table.matches_on(nodes, asked).collect()))
+    sent = found()
+    assert len(sent) == 2 + 2 + 1 + 1 + 1
+    monkeypatch.setattr(selector_table, "SENT_STEPS", 0)
+    assert found() == sent
+
+
+def test_versions_of_templates_are_read_one_after_the_other(spark, tmp_path):
+    """The result is a union of written tables, so no two versions are joined at the same time."""
+    html = "<nav><ul><li><a href='/x'> One </a><li><a href='/y'>Two</a></ul></nav>"
+    spark.createDataFrame([(1, "http://aa.de/1", html), (2, "http://b.de/2", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = QUERIES["template_store"](spark, str(tmp_path))
+    assert "Join" not in plan(out) and "Exchange" not in plan(out)
+    even, odd = 2, 1  # by the length of the host
+    want = [(1, p, n, "txt", t) for p in (1, 2) for n, t in ((1, "One"), (2, "Two"))] + [(2, odd, n, "txt", t) for n, t in ((1, "One"), (2, "Two"))]
+    want += [(v, even, n, f, x) for v in (2, 3) for n, to, text in ((1, "/x", "one"), (2, "/y", "two")) for f, x in (("to", to), ("text", text))]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
